@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -25,7 +26,7 @@ class WordTokens:
     Texts that hold control characters, a capital sigma or the start of a special token go to the tokenizer whole.
     """
 
-    def __init__(self, path: str, limit: int = 500_000):
+    def __init__(self, path: str, limit: int = 1_000_000):
         import regex
         from tokenizers import Tokenizer
 
@@ -42,14 +43,12 @@ class WordTokens:
 
     def _empty(self) -> None:
         self.places: dict[int, int] = {}
-        self.pool = np.zeros(1 << 16, np.uint32)
-        self.ends = np.zeros(1 << 14, np.int64)  # of stretch k in the pool; stretch 0 is empty
-        self.known = 1
+        self.pool, self.ends = array("I"), array("q", [0])  # ids of all stretches, and where each ends; stretch 0 is empty
 
     def _piece(self, piece: str) -> list[int]:
         ids = self.pieces.get(piece)
         if ids is None:
-            if len(self.pieces) >= self.limit // 2:
+            if len(self.pieces) >= self.limit // 4:
                 self.pieces.clear()
             shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.bytes)
             ids = self.pieces[piece] = [t.id for t in self.model.tokenize(shown)]
@@ -62,15 +61,9 @@ class WordTokens:
             ids = self._piece(stretch[:-1]) + self._piece(stretch[-1])
         else:
             ids = list(chain.from_iterable(map(self._piece, self.cut(stretch))))
-        k, end = self.known, int(self.ends[self.known - 1])
-        if k == len(self.ends):
-            self.ends = np.concatenate((self.ends, np.zeros_like(self.ends)))
-        while end + len(ids) > len(self.pool):
-            self.pool = np.concatenate((self.pool, np.zeros_like(self.pool)))
-        self.pool[end : end + len(ids)] = ids
-        self.ends[k] = end + len(ids)
-        self.known += 1
-        self.places[key] = k
+        self.pool.extend(ids)
+        self.places[key] = k = len(self.ends)
+        self.ends.append(len(self.pool))
         return k
 
     def batch(self, texts: list[str]) -> list[np.ndarray]:
@@ -88,19 +81,20 @@ class WordTokens:
         sizes = np.array([len(p) + 1 for p in plain], np.int64)
         bounds = np.concatenate(([0], np.cumsum(sizes)))
         bounds[-1] -= 1
-        array = np.frombuffer(data, np.uint8)
-        starts, ends, first = words(array, bounds, NON_SPACE)
-        keys, at, inverse = np.unique(span_hashes(array, starts, ends), return_index=True, return_inverse=True)
-        if self.known > self.limit:
+        raw = np.frombuffer(data, np.uint8)
+        starts, ends, first = words(raw, bounds, NON_SPACE)
+        keys, at, inverse = np.unique(span_hashes(raw, starts, ends), return_index=True, return_inverse=True)
+        if len(self.ends) > self.limit:
             self._empty()
         get, place = self.places.get, np.zeros(len(keys), np.int64)
         for j, key in enumerate(keys.tolist()):
             place[j] = get(key) or self._add(key, data[starts[at[j]] : ends[at[j]]].decode())
         place = place[inverse]
-        low = self.ends[place - 1]
-        sizes = self.ends[place] - low
+        until = np.array(self.ends)
+        low = until[place - 1]
+        sizes = until[place] - low
         total = np.concatenate(([0], np.cumsum(sizes)))
-        ids = self.pool[np.arange(total[-1]) + np.repeat(low - total[:-1], sizes)]
+        ids = np.frombuffer(self.pool, np.uint32)[np.arange(total[-1]) + np.repeat(low - total[:-1], sizes)] if total[-1] else np.zeros(0, np.uint32)
         cut = total[first]
         return [ids[i:j] if done is None else done for i, j, done in zip(cut[:-1], cut[1:], out, strict=True)]
 
