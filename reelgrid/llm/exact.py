@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from reelgrid.session import written
+
 #: The ASCII white space that the default normalisation deletes.
 BLANKS = " \t\n\x0b\x0c\r"
 
 
 def without_blanks(text: Column) -> Column:
     """The text without ASCII white space; null counts as empty."""
-    return F.translate(F.coalesce(text, F.lit("")), BLANKS, "")
+    return reduce(lambda t, c: F.replace(t, F.lit(c), F.lit("")), BLANKS, F.coalesce(text, F.lit("")))
 
 
 def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", normalise=without_blanks, content_hash=None) -> DataFrame:
@@ -19,27 +23,24 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Rows with equal normalised text form a group; the row with the most code points in its original text, then
     the smallest id, stays. A null text is an empty text; an empty table gives no rows; rows that repeat an id
-    are rows of their own, and a repeated id that stays is kept once. Other columns are not read.
+    are rows of their own, and all rows with the id that stays are marked as kept. Other columns are not read.
 
-    The hash groups are counted with map-side partial aggregates (no group is gathered), then each row of a group
-    of two or more meets the text of the row that stays, by an equi-join on the hash that adaptive execution can
-    split where a hash is hot. Rows whose bytes differ from it (a hash collision) are grouped again by the text.
+    One pass writes hashes and lengths to the shared folder; groups are counted on those with partial aggregates, so no group is
+    gathered. A second pass joins texts to the groups of two or more by hash (adaptive execution can split a hot one) and
+    compares bytes by the least and the greatest text of each group, again as partial aggregates. Groups whose bytes differ
+    (a hash collision) are grouped again by the text itself.
     """
     hashed = content_hash or (lambda norm: F.unhex(F.md5(norm)))
-    rows = df.select(
-        F.col(id_col).alias("id"), F.length(F.coalesce(F.col(text_col), F.lit(""))).alias("points"), normalise(F.col(text_col)).alias("norm")
-    ).select("id", "points", "norm", hashed(F.col("norm")).alias("h"), F.sha2("norm", 256).alias("text_sha256"))
-    groups = rows.groupBy("h").agg(F.count(F.lit(1)).alias("group_size"), F.min(F.struct(-F.col("points"), F.col("id"))).alias("best")).select("h", "group_size", F.col("best.id").alias("keep_id"), (-F.col("best.col1")).alias("keep_points"))
-    alone = groups.where("group_size = 1").join(rows.select("h", "text_sha256"), "h").select(F.col("keep_id").alias("id"), "keep_id", "group_size", "text_sha256")
-    many = groups.where("group_size > 1")
-    members = rows.join(many, "h")
-    kept_text = members.where((F.col("id") == F.col("keep_id")) & (F.col("points") == F.col("keep_points"))).groupBy("h").agg(F.min("norm").alias("keep_norm"))
-    compared = members.join(kept_text, "h").select("*", (F.col("norm") == F.col("keep_norm")).alias("same"))
-    # A collision leaves group_size too large for the rows that are equal; count again by the text where there is one.
-    recount = compared.where("not same").select("h").distinct()
-    sure = compared.join(recount, "h", "left_anti").select("id", "keep_id", "group_size", "text_sha256")
-    unsure = members.join(recount, "h", "left_semi").select("id", "points", "norm", "h", "text_sha256")
-    split = unsure.groupBy("h", "norm").agg(F.count(F.lit(1)).alias("group_size"), F.min(F.struct(-F.col("points"), F.col("id"))).alias("best"))
-    again = unsure.join(split, ["h", "norm"]).select("id", F.col("best.id").alias("keep_id"), "group_size", "text_sha256")
-    out = alone.unionByName(sure).unionByName(again)
-    return out.select(F.col("id").alias(id_col), "keep_id", "group_size", (F.col("id") == F.col("keep_id")).alias("kept"), "text_sha256")
+    points = F.length(F.coalesce(F.col(text_col), F.lit("")))
+    texts = df.select(F.col(id_col).alias("id"), points.alias("points"), normalise(F.col(text_col)).alias("norm")).select("*", hashed(F.col("norm")).alias("h"))
+    rows = written(texts.select("id", "points", "h", F.sha2("norm", 256).alias("text_sha256")), "hashes")
+    best = F.min(F.struct((-F.col("points")).alias("p"), F.col("id"))).alias("best")
+    groups = rows.groupBy("h").agg(F.count(F.lit(1)).alias("group_size"), best).select("h", "group_size", F.col("best.id").alias("keep_id"))
+    many = groups.where("group_size > 1").select("h")
+    collided = written(texts.select("h", "norm").join(many, "h", "left_semi").groupBy("h").agg(F.min("norm").alias("a"), F.max("norm").alias("b")).where("a <> b").select("h"), "collided")
+    out = rows.join(groups, "h")
+    if collided.limit(1).count():
+        unsure = texts.join(collided, "h", "left_semi").select("*", F.sha2("norm", 256).alias("text_sha256"))
+        split = unsure.groupBy("h", "norm").agg(F.count(F.lit(1)).alias("group_size"), best).select("h", "norm", "group_size", F.col("best.id").alias("keep_id"))
+        out = out.join(collided, "h", "left_anti").select("id", "keep_id", "group_size", "text_sha256").unionByName(unsure.join(split, ["h", "norm"]).select("id", "keep_id", "group_size", "text_sha256"))
+    return out.select(F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
