@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelgrid.llm import decontam, exact, langid, packing, toxicity, warc
+from reelgrid.llm import decontam, exact, jaccard, langid, licenses, lines, packing, suffix, toxicity, warc
 from reelgrid.session import prepare, shared_dir
 
 
@@ -21,6 +21,15 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix.remove_repeats(table(spark, sf_dir, "documents"), length=400)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, num=90, den=100)
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "item_ids"), 256).alias("items_sha256"), "contaminated")
@@ -44,11 +53,24 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), tokens=2048)
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files of source/lang/shelf/; a short document that speaks of a licence is its shelf's licence file."""
+    docs = table(spark, sf_dir, "documents")
+    shelf = F.concat_ws("/", F.col("source"), F.col("lang"), F.pmod(F.col("doc_id"), F.lit(50)).cast("string"))
+    licence = (F.length("text") < 400) & F.lower("text").contains("licen")
+    name = F.when(licence, F.concat(F.lit("LICENSE."), F.col("doc_id"))).otherwise(F.concat(F.col("doc_id"), F.lit(".txt")))
+    return licenses.scan(docs.select("doc_id", F.concat_ws("/", shelf, name).alias("path"), "text"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op4_decontamination, op5_toxicity, op6_warc, op7_packing, op9_exact_dedup)}
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup_lines(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_suffix_dedup, op3_ngram_jaccard, op4_decontamination, op5_toxicity, op6_warc, op7_packing, op8_license_scan, op9_exact_dedup, op10_line_dedup)}
 
 ORACLE_SQL = {
     "op9_exact_dedup": r"""
