@@ -18,15 +18,17 @@ _MEDIA = "_mimeType:string,_contentType:string,_codecs:string,_width:bigint,_hei
 _REP = f"struct<_id:string,_bandwidth:bigint,{_MEDIA},{_LEVEL}>"
 _SET = f"struct<{_MEDIA},{_LEVEL},Representation:array<{_REP}>>"
 _PERIOD = f"struct<_id:string,_start:string,_duration:string,{_LEVEL},AdaptationSet:array<{_SET}>>"
-SCHEMA = f"_type string, _mediaPresentationDuration string, BaseURL array<string>, Period array<{_PERIOD}>"
+SCHEMA = f"_type string, _mediaPresentationDuration string, BaseURL array<string>, Period array<{_PERIOD}>, _corrupt_record string"
 
 
 def manifests(texts: DataFrame) -> DataFrame:
     """manifest_id, url, mpd (parsed), error. Texts over the cap, with a document type subset, or that are no manifest get an error."""
     error = F.when(F.length("text") > K.MAX_MANIFEST_CHARS, "The manifest is too large").when(F.col("text").rlike(r"(?is)<!DOCTYPE[^>]*\["), "Document type declarations are not supported").when(~F.col("text").rlike(r"(?s)^﻿?\s*(?:<\?.*?\?>\s*|<!--.*?-->\s*|<!DOCTYPE[^>]*>\s*)*<(?:[\w.-]+:)?MPD[\s>]"), "Not a DASH manifest")
     rows = texts.select("manifest_id", "url", "text", error.alias("error"))
-    parsed = F.from_xml(F.when(F.col("error").isNull(), F.col("text")), SCHEMA, {"ignoreNamespace": "true", "mode": "PERMISSIVE", "valueTag": "_text"})
-    return rows.select("manifest_id", "url", parsed.alias("mpd"), F.coalesce("error", F.when(parsed.isNull() & F.col("text").isNotNull(), "Malformed XML")).alias("error"))
+    parsed = F.from_xml(F.when(F.col("error").isNull(), F.col("text")), SCHEMA, {"ignoreNamespace": "true", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record", "valueTag": "_text"})
+    rows = rows.withColumn("mpd", parsed)
+    bad = F.coalesce("error", F.when(F.col("mpd").isNull() | F.col("mpd._corrupt_record").isNotNull(), "Malformed XML"))
+    return rows.select("manifest_id", "url", F.when(bad.isNull(), F.col("mpd")).alias("mpd"), bad.alias("error"))
 
 
 def periods(parsed: DataFrame) -> DataFrame:

@@ -94,7 +94,7 @@ def fresh_jobs(jobs: DataFrame, as_of: Column) -> DataFrame:
 
 def diagnostics(items: DataFrame) -> DataFrame:
     """What may be shown to others: no query strings, no titles."""
-    return items.select("tab_id", "id", "kind", "media", "mime", "ext", "size", U.safe_url(F.col("url")).alias("url"), U.host_of(F.col("initiator")).alias("page_host"))
+    return items.select("tab_id", "id", "key", "kind", "media", "mime", "ext", "size", U.safe_url(F.col("url")).alias("url"), U.host_of(F.col("initiator")).alias("page_host"))
 
 
 def page_media(pages: DataFrame, limit: int = 60) -> DataFrame:
