@@ -101,7 +101,12 @@ def page_media(pages: DataFrame, limit: int = 60) -> DataFrame:
     """Media URLs of stored pages: element sources, links and meta tags with a media extension, the best source of each, at most `limit` a page."""
     ext = r"\.(?:mp4|m4v|webm|mkv|mov|m3u8|mpd|mp3|m4a|ogg|oga|opus|wav|flac|ogv)(?:[?#][^\"'\s>]*)?"
     tags = {"element": rf"(?i)<(?:video|audio|source)\b[^>]*?\bsrc\s*=\s*[\"']?([^\"'\s>]+)", "link": rf"(?i)<a\b[^>]*?\bhref\s*=\s*[\"']?([^\"'\s>]+?{ext})[\"'\s>]", "meta": r"(?i)<meta\b[^>]*?\bproperty\s*=\s*[\"']?og:video(?::url)?[\"']?[^>]*?\bcontent\s*=\s*[\"']?([^\"'\s>]+)"}
-    found = F.concat(*[F.transform(F.slice(F.regexp_extract_all("html", F.lit(p), F.lit(1)), 1, 20 if s == "link" else limit), lambda u, s=s: F.struct(F.lit(s).alias("source"), u.alias("ref"))) for s, p in tags.items()])
+
+    def tagged(source: str, pattern: str) -> Column:
+        refs = F.slice(F.regexp_extract_all("html", F.lit(pattern), F.lit(1)), 1, 20 if source == "link" else limit)
+        return F.transform(refs, lambda u: F.struct(F.lit(source).alias("source"), u.alias("ref")))
+
+    found = F.concat(*[tagged(s, p) for s, p in tags.items()])
     rows = pages.select("page_id", "url", F.posexplode(found).alias("place", "m")).select("page_id", "place", "m.source", U.resolve(F.col("m.ref"), F.col("url")).alias("media_url")).where(F.col("media_url").isNotNull())
     best = best_source(rows.select(F.col("page_id").alias("tab_id"), F.col("media_url").alias("url"), "source", F.col("place").alias("event_id")))
     w = Window.partitionBy("tab_id").orderBy("url")

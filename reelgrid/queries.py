@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -13,8 +14,9 @@ from reelgrid.functions import classify as C
 from reelgrid.functions import formats as T
 from reelgrid.functions import urls as U
 from reelgrid.operators import dash, hls, observe
-from reelgrid.session import prepare
+from reelgrid.session import prepare, shared_dir
 from reelgrid.sources import fixtures as X
+from reelgrid.streaming.state import tab_items
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -456,3 +458,25 @@ def clean_names(spark, sf_dir):
 @query()
 def page_media(spark, sf_dir):
     return observe.page_media(X.table(spark, sf_dir, "pages"))
+
+
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+
+
+@query(OBS + "SELECT tab_id, key, kind, media, ext, size, mime, url, sightings FROM items")
+def stream_items(spark, sf_dir):
+    """Events read as a stream into keyed state per tab; each item's last update. Equals the batch upsert."""
+    events = X.table(spark, sf_dir, "events")
+    stream = spark.readStream.schema(events.schema).parquet(f"{sf_dir}/events.parque[t]")
+    found = observe.classified(X.observations(spark, sf_dir, stream)).withColumn("what", F.lit("item")).withColumn("seen", F.col("seen").cast("timestamp"))
+    folder = f"{shared_dir(spark)}/reelgrid/stream-{uuid.uuid4().hex}"
+    before = spark.conf.get(STATE_STORE, None)
+    spark.conf.set(STATE_STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        updates = tab_items(found, max_items=1_000_000)
+        updates.writeStream.outputMode("update").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).foreachBatch(lambda rows, n: rows.withColumn("batch", F.lit(n)).write.mode("append").parquet(f"{folder}/out")).start().awaitTermination()
+    finally:
+        spark.conf.set(STATE_STORE, before) if before else spark.conf.unset(STATE_STORE)
+    rows = spark.read.schema(updates.schema.add("batch", "long")).parquet(f"{folder}/out")
+    last = rows.groupBy("tab_id", "key").agg(F.max_by(F.struct("kind", "media", "ext", "size", "mime", "url", "sightings"), "batch").alias("x"))
+    return last.select("tab_id", "key", "x.*")

@@ -17,9 +17,9 @@ def _pick(values: list[str], k: Column) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (k % len(values) + 1).cast("int"))
 
 
-def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Response observations from events: tab_id, seen, event_id, event_type, url, status, headers, initiator, source, via, size."""
-    e = table(spark, sf_dir, "events")
+def observations(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
+    """Response observations from events (a stream or the table): tab_id, seen, event_id, event_type, url, status, headers, initiator, source, via, size."""
+    e = table(spark, sf_dir, "events") if events is None else events
     i = F.col("event_id")
     rows = e.select(
         "event_id",

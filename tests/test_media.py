@@ -226,3 +226,21 @@ def test_stream_equals_batch(spark, sf, tmp_path):
     want = observe.upsert(found.where("tab_id <> 3"))
     columns = ["tab_id", "key", "kind", "mime", "size", "url", "sightings"]
     assert sorted(map(str, got.select(columns).collect())) == sorted(map(str, want.select(columns).collect()))
+
+
+def test_settled(spark):
+    """The stream-stream join gives the same on bounded tables."""
+    from reelgrid.streaming.state import settled, throttled
+
+    pending = spark.sql("SELECT * FROM VALUES (1L, timestamp'2024-01-01 10:00:00'), (2L, timestamp'2024-01-01 10:00:00'), (3L, timestamp'2024-01-01 10:00:00'), (4L, timestamp'2024-01-01 10:00:00'), (5L, timestamp'2024-01-01 10:00:00') AS t(download_id, started)")
+    ended = spark.sql("SELECT * FROM VALUES (1L, timestamp'2024-01-01 10:05:00', null, 'video/mp4', 1000000L), (2L, timestamp'2024-01-01 10:05:00', null, 'text/html', 200000L), (3L, timestamp'2024-01-01 10:05:00', 'SERVER_FORBIDDEN', '', 0L), (4L, timestamp'2024-01-01 10:05:00', 'FILE_NO_SPACE', '', 0L), (5L, timestamp'2024-01-01 12:05:00', null, 'video/mp4', 1000000L) AS t(download_id, ended, reason, mime, bytes)")
+    got = {r["download_id"]: r["outcome"] for r in settled(pending, ended).collect()}
+    assert got == {1: "done", 2: "error_page", 3: "retry", 4: "failed"}
+    reports = spark.sql("SELECT 1L AS tab_id, id AS event_id, timestamp_millis(array(0, 300, 900, 5000)[int(id)]) AS seen FROM range(4)")
+    assert sorted((r["reports"], r["last_event"]) for r in throttled(reports).collect()) == [(1, 3), (3, 2)]
+
+
+def test_page_media(spark):
+    html = '<video src="/v/a.mp4"></video><a href="b.webm">x</a><a href="c.html">y</a><meta property="og:video" content="https://h/a.mp4"><a href="javascript:x.mp4">'
+    pages = spark.createDataFrame([(1, "https://h/v/p.html", html), (2, "https://h/", None)], "page_id long, url string, html string")
+    assert sorted(map(tuple, observe.page_media(pages).collect())) == [(1, "https://h/a.mp4", "meta"), (1, "https://h/v/a.mp4", "element"), (1, "https://h/v/b.webm", "link")]
