@@ -31,6 +31,9 @@ REGION = 20_000
 DEPTH = 3
 #: A band of sizes reaches from 10 * BAND^b to 10 * BAND^(b+1) shingles.
 BAND = 1.6
+#: One row in SAMPLE is looked at for hot cells; a cell is hot with one in HOT of the rows seen.
+SAMPLE = 64
+HOT = 10_000
 
 _U = np.uint64
 
@@ -47,23 +50,25 @@ def _top(b: int) -> float:
 
 
 def parts_of(shingles: np.ndarray, num: int, den: int) -> list[np.ndarray]:
-    """A hash of each part, for the set's own band and for the next if partners can lie there.
+    """A hash of each part that holds a shingle, for the set's own band and for the next if partners can lie there.
 
-    Two sets with den * intersection >= num * union, both under `top` shingles, differ in at most
-    2 * top * (den - num) / (den + num) shingles, and so agree on one of one part more.
+    Two sets with den * intersection >= num * union, both under `top` shingles, differ in at most k = 2 * top * (den - num) / (den + num)
+    shingles, so in at most k parts: a set with shingles in more than k parts agrees with every partner on one of those. A set that has fewer gives
+    its empty parts as well, on which it agrees with the other such sets. Parts are cut so that this is rare.
     """
     n = len(shingles)
     out = []
     first, last = _band(n), _band(n * den / num + 1e-9)
     for b in range(first, last + 1):
         differ = int(2 * (np.ceil(_top(b)) - 1) * (den - num) / (den + num) + 1e-9)
-        parts = differ + 1
+        parts = int(1.2 * (differ + 1)) + 8 if differ else 1
         which = ((shingles >> _U(32)) * _U(parts)) >> _U(32)
         cut = np.searchsorted(which, np.arange(parts + 1, dtype=np.uint64))
         with np.errstate(over="ignore"):
             sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(shingles + _U(0x632BE59BD9B4E019)))))
-            found = sums[cut[1:]] - sums[cut[:-1]]
-            out.append(mix(found + mix(np.arange(parts, dtype=np.uint64) + _U((b + 2) << 32))))
+            found = mix(sums[cut[1:]] - sums[cut[:-1]] + mix(np.arange(parts, dtype=np.uint64) + _U((b + 2) << 32)))
+        filled = cut[1:] > cut[:-1]
+        out.append(found[filled] if filled.sum() > differ else found)
     return out
 
 
@@ -141,6 +146,48 @@ def _join_region(size: int, num: int, den: int):
     return run
 
 
+def _pair(a: np.ndarray, b: np.ndarray, *names: str) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=list(names))
+
+
+def _first_of_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by part and node: each later node of a part with the part's first, which is its pivot."""
+    part = pivot = None
+    for batch in batches:
+        parts, nodes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        if not len(parts):
+            continue
+        starts = np.concatenate(([True], parts[1:] != parts[:-1]))
+        starts[0] = part is None or parts[0] != part
+        at = np.flatnonzero(starts)
+        first = np.full(len(parts), 0 if pivot is None else pivot)
+        if len(at):
+            first[at[0] :] = nodes[at][np.cumsum(starts[at[0] :]) - 1]
+        part, pivot = int(parts[-1]), int(first[-1])
+        keep = first != nodes
+        yield _pair(first[keep], nodes[keep], "a", "b")
+
+
+def _regions(parts: DataFrame, sample: DataFrame) -> DataFrame:
+    """Distinct (pivot, node) over all cells of two or more nodes, pivots with themselves included.
+
+    Cells are sorted and streamed in constant memory after one shuffle. Cells that hold over one in HOT of a sample's rows (HOT of them at most)
+    are not shuffled: their pivots are partial aggregates, which are broadcast. The sample decides on the way only, not on the result.
+    """
+    counts = written(sample.groupBy("part").agg(F.count(F.lit(1)).alias("n")), "sampled")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    hot = counts.where(F.col("n") >= max(50, -(-total // HOT))).select("part")
+    rest = parts
+    if hot.limit(1).count():
+        pivots = F.broadcast(written(parts.join(F.broadcast(hot), "part").groupBy("part").agg(F.min("node").alias("pivot")), "pivots"))
+        rest = parts.join(F.broadcast(hot), "part", "left_anti")
+    cells = rest.repartition("part").sortWithinPartitions("part", "node").mapInArrow(_first_of_each, "a long, b long")
+    if rest is not parts:
+        cells = cells.unionByName(parts.join(pivots, "part").where("pivot <> node").select(F.col("pivot").alias("a"), F.col("node").alias("b")))
+    cells = cells.distinct()
+    return cells.select(F.col("a").alias("pivot"), F.explode(F.array("a", "b")).alias("node")).distinct()
+
+
 def near_duplicates(df: DataFrame, *, shingle: int = 5, num: int = 8, den: int = 10, id_col: str = "doc_id", text_col: str = "text", region: int = REGION) -> DataFrame:
     """One row per input row: id, n_shingles, component_id (smallest id reachable by links, itself included).
 
@@ -159,25 +206,28 @@ def near_duplicates(df: DataFrame, *, shingle: int = 5, num: int = 8, den: int =
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns], names=["id", "k1", "k2", "n", "node", "check"])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # copies that a task meets again add nothing
         for batch in batches:
             parts, nodes, total = [], [], 0
             for s in _sets(batch.column(0), shingle):
-                if len(s):
-                    node = set_hashes(s)[0]
-                    for p in parts_of(s, num, den):
-                        parts.append(p.view(np.int64))
-                        nodes.append(np.full(len(p), node))
-                        total += len(p)
+                if not len(s) or (node := set_hashes(s)[0]) in seen:
+                    continue
+                if len(seen) >= 200_000:
+                    seen.clear()
+                seen.add(node)
+                for p in parts_of(s, num, den):
+                    parts.append(p.view(np.int64))
+                    nodes.append(np.full(len(p), node))
+                    total += len(p)
                 if total > 100_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts)), pa.array(np.concatenate(nodes))], names=["part", "node"])
+                    yield _pair(np.concatenate(parts), np.concatenate(nodes), "part", "node")
                     parts, nodes, total = [], [], 0
             if parts:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts)), pa.array(np.concatenate(nodes))], names=["part", "node"])
+                yield _pair(np.concatenate(parts), np.concatenate(nodes), "part", "node")
 
     rows = written(docs.select("id", "k1", "k2", "text").mapInArrow(measure, f"id {kind}, k1 long, k2 long, n long, node long, check long"), "sets")
-    parts = docs.select("text").mapInArrow(sign, "part long, node long")
-    cells = parts.groupBy("part").agg(F.min("node").alias("pivot"), F.max("node").alias("other")).where("pivot < other").select("part", "pivot")
-    regions = written(parts.join(cells, "part").select("pivot", "node").distinct(), "regions")
+    signed = lambda some: some.select("text").mapInArrow(sign, "part long, node long")
+    regions = written(_regions(signed(docs), signed(docs.where(F.pmod("k1", F.lit(SAMPLE)) == 0))), "regions")
     places = rows.where("n > 0").groupBy("node").agg(F.min(F.struct("k1", "k2")).alias("at")).join(regions.select("node").distinct(), "node").select("node", "at.k1", "at.k2")
     texts = docs.join(places, ["k1", "k2"]).groupBy("node").agg(F.min("text").alias("text"))
     sizes = regions.groupBy("pivot").agg(F.count(F.lit(1)).alias("m"))
