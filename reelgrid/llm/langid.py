@@ -10,11 +10,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelgrid.llm.arrays import code_points, letters
+from reelgrid.session import written
 
 #: n-grams of one to three letters, word ends marked by a blank; the ranks compared; labelled rows read per language.
 ORDERS = (1, 2, 3)
 RANKS = 300
 FIT_ROWS = 1500
+#: Ids of the sample that are broadcast at most; more (with many languages) are joined by a shuffle.
+MAX_IDS = 1_000_000
 
 
 
@@ -66,9 +69,13 @@ def fit(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     (bounded by languages times `ranks`) are the only thing collected.
     """
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    chosen = rows.select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id")).select("*", F.row_number().over(order).alias("k")).where(F.col("k") <= fit_rows).select("id").distinct()
-    texts = rows.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).join(chosen, "id", "left_semi")
+    keyed = rows.select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.pmod(F.xxhash64(id_col), F.lit(1 << 40)).alias("h"))
+    # About twice as many as are wanted pass a threshold on the hash, so that no task ranks all rows of a language.
+    sizes = keyed.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    passed = keyed.join(sizes, "lang").where(F.col("h") < F.lit(2.0 * (fit_rows + 50) * (1 << 40)) / F.col("n"))
+    chosen = passed.select("lang", "id", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id")).alias("k")).where(F.col("k") <= fit_rows).select("id").distinct()
+    ids = written(chosen, "sample")  # at most `fit_rows` a language
+    texts = rows.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).join(F.broadcast(ids) if ids.count() <= MAX_IDS else ids, "id", "left_semi")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
