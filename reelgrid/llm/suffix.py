@@ -29,6 +29,8 @@ from reelgrid.session import written
 GRAM = 32
 WIDE = 4096
 SEGMENT = 1 << 22
+#: Contexts that hold at least this share (one in HOT) of all anchors are joined by broadcast; there are HOT of them at most.
+HOT = 10_000
 
 _U = np.uint64
 _PLACE = _U((1 << 24) - 1)
@@ -266,7 +268,11 @@ def remove_repeats(df: DataFrame, *, length: int = 400, id_col: str = "doc_id",
     windows = cut.where(F.col("m") > wide).mapInArrow(_digests(length), "d binary, k1 long, k2 long, n long, b long")
     twice = windows.groupBy("d").agg(F.sum("n").alias("t")).where("t > 1").select("d")
     across = windows.where("n = 1").join(twice, "d", "left_semi").select("k1", "k2", "b", (F.col("b") + length).alias("e"))
-    whole = anchors.join(contexts.where("n > 1").select("g", "c"), ["g", "c"]).select("k1", "k2", F.col("s0").alias("b"), (F.col("s1") + length).alias("e"))
+    # At most HOT contexts can hold a share of 1 / HOT of all anchors: those are broadcast, so that no task gathers a hot one.
+    share = max(2, -(-anchors.count() // HOT))
+    hot = F.broadcast(written(contexts.where(F.col("n") >= share).select("g", "c"), "hot"))
+    rest = contexts.where((F.col("n") > 1) & (F.col("n") < share)).select("g", "c")
+    whole = anchors.join(hot, ["g", "c"], "left_semi").unionByName(anchors.join(hot, ["g", "c"], "left_anti").join(rest, ["g", "c"], "left_semi")).select("k1", "k2", F.col("s0").alias("b"), (F.col("s1") + length).alias("e"))
     spans = whole.unionByName(bucketed).unionByName(across).groupBy("k1", "k2").agg(F.collect_list(F.struct("b", "e")).alias("runs"))
     kind = df.schema[id_col].dataType.simpleString()
     out = docs.join(spans, ["k1", "k2"], "left").select("id", "text", "runs").mapInArrow(_drop, f"id {kind}, n_bytes long, n_removed long, spans array<array<long>>, kept binary")
