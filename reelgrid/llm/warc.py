@@ -80,15 +80,16 @@ def decode(record: bytes) -> tuple[dict[str, str], bytes]:
 
 
 def marked(pages: DataFrame, min_revisit_bytes: int, id_col: str, url_col: str, html_col: str) -> DataFrame:
-    """Columns page_id, url, html, refers_to: of equal payloads the smallest id is the response, others refer to it.
+    """The pages (mark 1), and before each page that revisits another a row (mark 0) with its payload hash and the id it refers to.
 
-    Payloads are grouped by SHA-256 with partial aggregates; only the digests are shuffled, not the pages.
+    Of equal payloads the smallest id is the response. Payloads are grouped by SHA-256 with partial aggregates over digests alone; the marks
+    reach the pages by the writer's own range partitioning, so pages are shuffled once.
     """
-    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
-    keyed = rows.select("page_id", F.octet_length("html").alias("size"), F.unhex(F.sha2("html", 256)).alias("h"))
-    groups = keyed.where(F.col("size") >= min_revisit_bytes).groupBy("h").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    later = keyed.join(groups, "h").where("page_id > first and size >= " + str(int(min_revisit_bytes))).select("page_id", F.col("first").alias("refers_to"))
-    return rows.join(later.groupBy("page_id").agg(F.min("refers_to").alias("refers_to")), "page_id", "left")
+    rows = pages.select(F.col(id_col).alias("page_id"), F.lit(1).alias("mark"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"), F.lit(None).cast(pages.schema[id_col].dataType).alias("refers_to"))
+    keyed = rows.where(F.octet_length("html") >= min_revisit_bytes).select("page_id", F.unhex(F.sha2("html", 256)).alias("h"))
+    first = keyed.groupBy("h").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).where("first < last").select("h", "first")
+    later = keyed.join(first, "h").where("page_id > first").select("page_id", F.lit(0).alias("mark"), F.lit(None).cast("string").alias("url"), F.hex("h").alias("html"), F.col("first").alias("refers_to")).distinct()
+    return rows.unionByName(later)
 
 
 def write_warc(pages: DataFrame, folder: str, *, roll_bytes: int = 64 << 20, shards: int | None = None, min_revisit_bytes: int = 0, level: int = 6, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -105,7 +106,7 @@ def write_warc(pages: DataFrame, folder: str, *, roll_bytes: int = 64 << 20, sha
     spark = pages.sparkSession
     rows = marked(pages, min_revisit_bytes, id_col, url_col, html_col)
     n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = rows.repartitionByRange(n, "page_id").sortWithinPartitions("page_id", "url", "html")
+    ranged = rows.repartitionByRange(n, "page_id").sortWithinPartitions("page_id", "mark", "url", "html")
     kind = rows.schema["page_id"].dataType.simpleString()
     schema = f"path string, records long, bytes long, sha256 string, first_id {kind}, last_id {kind}"
 
@@ -126,15 +127,22 @@ def write_warc(pages: DataFrame, folder: str, *, roll_bytes: int = 64 << 20, sha
             done.append({"path": final.rsplit("/", 1)[1], "records": state["n"], "bytes": state["bytes"], "sha256": state["sha"].hexdigest(), "first_id": state["first"], "last_id": state["last"]})
             state = None
 
+        marks: dict = {}
         for batch in batches:
-            for key, url, html, ref in zip(*(batch.column(c) for c in ("page_id", "url", "html", "refers_to")), strict=True):
-                key = key.as_py()
+            for key, mark, url, html, ref in zip(*(batch.column(c) for c in ("page_id", "mark", "url", "html", "refers_to")), strict=True):
+                key, html = key.as_py(), html.as_py()
+                if key not in marks:
+                    marks = {key: {}}
+                if not mark.as_py():
+                    marks[key][html] = ref.as_py()
+                    continue
+                payload = html.encode()
+                ref = marks[key].get(hashlib.sha256(payload).hexdigest().upper()) if marks[key] else None
                 if state is None:
                     temp = f"{root}/.tmp-{context.partitionId()}-{context.taskAttemptId()}-{len(done)}"
                     state = {"temp": temp, "out": store.open_output_stream(temp), "n": 0, "bytes": 0, "sha": hashlib.sha256(), "first": key}
-                ref = ref.as_py()
                 packer = zlib.compressobj(level, zlib.DEFLATED, 31)
-                packed = packer.compress(encode(str(key), url.as_py(), html.as_py().encode(), None if ref is None else str(ref))) + packer.flush()
+                packed = packer.compress(encode("" if key is None else str(key), url.as_py(), payload, None if ref is None else str(ref))) + packer.flush()
                 state["out"].write(packed)
                 state["sha"].update(packed)
                 state["n"] += 1
@@ -189,7 +197,7 @@ def read_warc(spark: SparkSession, folder: str) -> DataFrame:
                         found = fields["WARC-Payload-Digest"].removeprefix("sha1:")
                         if payload is not None and (digest(payload) != found or len(payload) != int(fields["X-Payload-Length"])):
                             raise ValueError(f"{row['path']}: payload of {fields['WARC-Record-ID']} is damaged")
-                        rows.append({"file": row["path"], "page_id": fields["X-Page-Id"], "url": fields["WARC-Target-URI"], "headers": json.dumps(fields), "record_type": fields["WARC-Type"], "refers_to": fields.get("X-Refers-To-Page"), "payload": payload, "payload_digest": found, "payload_bytes": int(fields["X-Payload-Length"])})
+                        rows.append({"file": row["path"], "page_id": fields["X-Page-Id"] or None, "url": fields["WARC-Target-URI"], "headers": json.dumps(fields), "record_type": fields["WARC-Type"], "refers_to": fields.get("X-Refers-To-Page"), "payload": payload, "payload_digest": found, "payload_bytes": int(fields["X-Payload-Length"])})
                         size += len(block)
                         if size > 4 << 20:
                             yield pa.RecordBatch.from_pylist(rows, schema=arrow)
