@@ -2,21 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from reelgrid.session import written
+
 #: Lines of fewer words must be equal to count as repeats; longer ones may differ by one word.
 MIN_WORDS = 8
 
 
-def _words(line: Column) -> Column:
-    """The line's words, split at ASCII white space."""
-    return F.filter(F.split(line, "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+def _plain(line: Column) -> Column:
+    """The line's words with one blank between them."""
+    odd = line.contains("  ")
+    for blank in "\t\x0b\x0c\r":
+        odd = odd | line.contains(blank)
+    return F.trim(F.when(odd, F.regexp_replace(line, "[\\x20\\x09-\\x0D]+", " ")).otherwise(line))
+
+
+def _count(plain: Column) -> Column:
+    return F.octet_length(plain) - F.octet_length(F.replace(plain, F.lit(" "), F.lit(""))) + 1
 
 
-def _hashed(words: Column, *tags: Column) -> list[Column]:
+def _hashed(plain: Column) -> list[Column]:
     """Two independent 64-bit hashes of a sequence of words."""
-    return [F.xxhash64(F.lit(seed), F.size(words), words, *tags) for seed in (11, 29)]
+    return [F.xxhash64(F.lit(seed), plain) for seed in (11, 29)]
 
 
 def dedup_lines(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
@@ -34,52 +43,51 @@ def dedup_lines(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     many lines costs no pairs; edit distances of the joined lines are then verified on the words.
     """
     docs = df.select(F.col(id_col).alias("id"), F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")).alias("line_no", "line"))
-    lines = docs.select("id", "line_no", _words(F.col("line")).alias("words")).where(F.size("words") > 0)
-    n = F.size("words")
+    lines = docs.select("id", "line_no", _plain(F.col("line")).alias("plain")).where("plain <> ''").withColumn("n", _count(F.col("plain")))
+    n = F.col("n")
     halves = []
     for longer in (0, 1):  # this line as the longer one of a pair, or as the shorter
         m = n + longer
-        p = F.floor(m / 2).cast("int")
-        for tag, half in ((0, F.slice("words", F.lit(1), p)), (1, F.slice("words", n - (m - p) + 1, m - p))):
+        for tag, half in ((0, F.expr("substring_index(plain, ' ', cast(floor((n + %d) / 2) as int))" % longer)), (1, F.expr("substring_index(plain, ' ', cast(floor((n + %d) / 2) as int) - n - %d)" % (longer, longer)))):
             halves.append(F.when(n >= min_words - longer, F.xxhash64(F.lit(tag), m, half)))
-    keyed = lines.select("id", "line_no", n.alias("n"), *[h.alias(f"w{k}") for k, h in enumerate(_hashed(F.col("words")))], F.array_compact(F.array(*halves)).alias("halves"))
-    classes = keyed.groupBy("w0", "w1", "n").agg(F.min(F.struct("id", "line_no")).alias("at"))
-    half = keyed.select("w0", "w1", F.explode("halves").alias("half"))
-    shared = half.groupBy("half").agg(F.min("w0").alias("low"), F.max("w0").alias("high")).where("low <> high").select("half")
-    near = half.join(shared, "half", "left_semi").select("w0", "w1").distinct()
-    return _finish(df, lines, keyed, classes, near, id_col, min_words)
-
-
-def _finish(df: DataFrame, lines: DataFrame, keyed: DataFrame, classes: DataFrame, near: DataFrame, id_col: str, min_words: int) -> DataFrame:
-    from reelgrid.session import written
-
-    # The words of the classes that go on.
+    w0, w1 = _hashed(F.col("plain"))
+    keyed = written(lines.select("id", "line_no", "n", w0.alias("w0"), w1.alias("w1"), *[h.alias(f"h{k}") for k, h in enumerate(halves)]), "keys")
+    classes = keyed.groupBy("w0", "w1", "h0", "h1", "h2", "h3").agg(F.min(F.struct("id", "line_no")).alias("at"))
+    half = classes.select("w0", "w1", F.explode(F.array_compact(F.array("h0", "h1", "h2", "h3"))).alias("half"))
+    of_half = Window.partitionBy("half")
+    shared = half.select("w0", "w1", (F.min("w0").over(of_half) < F.max("w0").over(of_half)).alias("shared")).where("shared")
+    near = shared.select("w0", "w1").distinct()
+    # The words of the classes that go on, numbered in the order of their earliest lines.
     places = classes.join(near, ["w0", "w1"], "left_semi").select("w0", "w1", "at", F.col("at.id").alias("id"), F.col("at.line_no").alias("line_no"))
     worded = lines.alias("l").join(places.alias("p"), F.col("l.id").eqNullSafe(F.col("p.id")) & (F.col("l.line_no") == F.col("p.line_no")))
-    w0, w1 = _hashed(F.col("l.words"))
-    worded = written(worded.where((w0 == F.col("p.w0")) & (w1 == F.col("p.w1"))).select("p.w0", "p.w1", "p.at", "l.words").dropDuplicates(["w0", "w1"]), "lines")
-    n = F.size("words")
-    spots = F.transform(
-        F.sequence(F.lit(1), n),
-        lambda i: F.struct(i.alias("spot"), *[h.alias(f"v{k}") for k, h in enumerate(_hashed(F.concat(F.slice("words", F.lit(1), i - 1), F.slice("words", i + 1, n))))]),
-    )
-    variants = worded.where(n >= min_words).select("w0", "w1", "at", F.explode(spots).alias("s")).select("w0", "w1", "at", "s.spot", "s.v0", "s.v1")
-    # One replacement apart: the same word place deleted, the rest equal.
-    replaced = variants.groupBy("spot", "v0", "v1").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    by_place = variants.join(replaced, ["spot", "v0", "v1"]).where("first < at").select("w0", "w1", "at", "first")
-    # One deletion apart: a whole line (w) equals a variant (v) of a longer one.
-    longer = variants.groupBy("v0", "v1").agg(F.min("at").alias("first")).join(worded.where(n >= min_words - 1).select(F.col("w0").alias("v0"), F.col("w1").alias("v1"), F.col("at").alias("short")), ["v0", "v1"])
-    by_longer = longer.where("first < short").select(F.col("v0").alias("w0"), F.col("v1").alias("w1"), F.col("short").alias("at"), "first")
-    by_shorter = variants.join(longer.select("v0", "v1", "short"), ["v0", "v1"]).where("short < at").select("w0", "w1", "at", F.col("short").alias("first"))
-    found = by_place.unionByName(by_longer).unionByName(by_shorter).groupBy("w0", "w1").agg(F.min("first").alias("first"))
-    pairs = found.join(worded.select("w0", "w1", "words"), ["w0", "w1"]).join(worded.select(F.col("at").alias("first"), F.col("words").alias("other")), "first")
-    verified = pairs.where(within_one("words", "other")).select("w0", "w1", "first")
-    decided = classes.join(verified, ["w0", "w1"], "left").select("w0", "w1", "at", F.coalesce("first", "at").alias("first"), F.when(F.col("first").isNotNull(), 1).otherwise(0).alias("edits"))
+    w0, w1 = _hashed(F.col("l.plain"))
+    worded = worded.where((w0 == F.col("p.w0")) & (w1 == F.col("p.w1"))).select("p.w0", "p.w1", "p.at", "l.plain", "l.n").dropDuplicates(["w0", "w1"])
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    worded = written(worded.repartitionByRange(parts, "at").sortWithinPartitions("at").withColumn("o", F.monotonically_increasing_id()), "lines")
+    verified = _one_edit(worded, min_words).join(worded.select("o", "w0", "w1"), "o").join(worded.select(F.col("o").alias("low"), F.col("at").alias("first")), "low").select("w0", "w1", "first")
+    decided = classes.join(verified, ["w0", "w1"], "left").select("w0", "w1", F.coalesce("first", "at").alias("first"), F.when(F.col("first").isNotNull(), 1).otherwise(0).alias("edits"))
     full = keyed.select("id", "line_no", "n", "w0", "w1").join(decided, ["w0", "w1"])
-    own = F.struct("id", "line_no")
-    return full.select(
-        F.col("id").alias(id_col), "line_no", F.col("n").alias("n_words"), (F.col("first").eqNullSafe(own)).alias("kept"), F.col("first.id").alias("first_id"), F.col("first.line_no").alias("first_line"), F.when(F.col("first").eqNullSafe(own), 0).otherwise(F.col("edits")).alias("edits")
-    )
+    own = F.col("first").eqNullSafe(F.struct("id", "line_no"))
+    return full.select(F.col("id").alias(id_col), "line_no", F.col("n").alias("n_words"), own.alias("kept"), F.col("first.id").alias("first_id"), F.col("first.line_no").alias("first_line"), F.when(own, 0).otherwise(F.col("edits")).alias("edits"))
+
+
+def _one_edit(worded: DataFrame, min_words: int) -> DataFrame:
+    """Columns o, low: for each line the smallest number of an earlier one that is one word edit away."""
+    n, spot, plain = F.col("n"), F.col("spot"), F.col("plain")
+    part = lambda count: F.call_function("substring_index", plain, F.lit(" "), count)
+    v0, v1 = _hashed(F.trim(F.concat(part(spot - 1), F.lit(" "), part(spot - n))))
+    variants = worded.where(n >= min_words).select("o", "plain", "n", F.explode(F.sequence(F.lit(1), n)).alias("spot")).select("o", "spot", v0.alias("v0"), v1.alias("v1"))
+    # One replacement apart: the same word place deleted, the rest equal.
+    replaced = variants.groupBy("v0", "v1", "spot").agg(F.min("o").alias("low"), F.count(F.lit(1)).alias("m")).where("m > 1").select("v0", "v1", F.struct("spot", "low").alias("by"), F.lit(None).cast("long").alias("short"))
+    # One deletion apart: a whole line equals a variant of a longer one.
+    short = worded.where(n >= min_words - 1).select(F.col("w0").alias("v0"), F.col("w1").alias("v1"), F.lit(None).cast("struct<spot:int,low:bigint>").alias("by"), F.col("o").alias("short"))
+    keys = replaced.unionByName(short).groupBy("v0", "v1").agg(F.collect_list("by").alias("by"), F.min("short").alias("short"))
+    hits = variants.join(keys, ["v0", "v1"])
+    by_place = F.try_element_at(F.filter("by", lambda b: b["spot"] == F.col("spot")), F.lit(1))["low"]
+    found = hits.select(F.explode(F.array(F.struct("o", F.least(by_place, "short").alias("low")), F.struct(F.col("short").alias("o"), F.col("o").alias("low")))).alias("x")).select("x.*").where("low < o").groupBy("o").agg(F.min("low").alias("low"))
+    words = F.split("plain", " ")
+    pairs = found.join(worded.select("o", words.alias("words")), "o").join(worded.select(F.col("o").alias("low"), words.alias("other")), "low")
+    return pairs.where(within_one("words", "other")).select("o", "low")
 
 
 def within_one(a: str, b: str) -> Column:
