@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reelgrid.llm.arrays import code_points, letters, span_sums
+from reelgrid.session import written
 
 #: Buckets of the hashed subwords, size of the embeddings, lengths of the character n-grams.
 BUCKETS = 1 << 16
@@ -131,19 +132,26 @@ def train(data: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, share:
     return Model(embeddings @ w * scale, b)
 
 
-def fit(labelled: DataFrame, *, id_col: str, text_col: str, label_col: str, fit_rows: int = FIT_ROWS) -> Model:
+def fit(labelled: DataFrame, *, id_col: str, text_col: str, label_col: str, fit_rows: int = FIT_ROWS, texts: DataFrame | None = None) -> Model:
     """Train on at most `fit_rows` rows of each label: those with the smallest hash of the id, whole texts.
 
     Tasks turn texts into subword bags; only the bags of the chosen rows come to the driver. Rows are weighted back to the
     labels' shares among all labelled rows. Without rows of both labels, the score is the labels' share.
+    The ids are chosen on narrow columns and broadcast (`fit_rows` of each label at most), so that no text is shuffled; `texts`
+    gives the texts by id where `labelled` has none.
     """
-    rows = labelled.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"), F.col(text_col).alias("text"))
+    rows = labelled.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"))
     shares = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     chosen = None
     for y in (0, 1):
-        part = rows.where(F.col("y") == y).select("id", "y").distinct().orderBy(F.xxhash64("id"), "id").limit(fit_rows)
+        part = rows.where(F.col("y") == y).distinct().orderBy(F.xxhash64("id"), "id").limit(fit_rows)
         chosen = part if chosen is None else chosen.unionByName(part)
-    sample = rows.join(chosen, ["id", "y"], "left_semi").select("id", "y", "text")
+    chosen = F.broadcast(written(chosen, "sample"))
+    if texts is None:
+        sample = labelled.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"), F.col(text_col).alias("text")).join(chosen, ["id", "y"], "left_semi")
+    else:
+        sample = texts.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(chosen, "id")
+    sample = sample.select("id", "y", "text")
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -185,6 +193,6 @@ def detect(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_c
     out = F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(modulus)) == held_out
     known = labels.select(F.col(id_col).alias("__id"), F.col(label_col).alias("__label")).distinct()
     rows = docs.where(~out).select(F.col(id_col).alias("__doc"), F.col(text_col).alias("__text"))
-    joined = rows.join(known, F.col("__doc") == F.col("__id")).select("__doc", "__text", "__label")
-    model = fit(joined, id_col="__doc", text_col="__text", label_col="__label", fit_rows=fit_rows)
+    joined = rows.select("__doc").join(known, F.col("__doc") == F.col("__id")).select("__doc", "__label")
+    model = fit(joined, id_col="__doc", text_col="__text", label_col="__label", fit_rows=fit_rows, texts=rows)
     return score(docs, model, id_col=id_col, text_col=text_col, keep=(out.alias("held_out"),), threshold=threshold)
