@@ -12,11 +12,14 @@ from reelgrid.session import prepare, written
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A text whose n-grams are further than this from every language (score of 0 to 1) is no running text.
 LEAST_SCORE = 0.3
+#: Ids to drop that are broadcast at most; more are joined by a shuffle.
+MAX_IDS = 1_000_000
 
 
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """The documents whose doc_id is not in `gone`; doc_id is unique in documents, and rows without one stay."""
-    return docs.join(written(gone.select("doc_id").distinct(), "gone"), "doc_id", "left_anti").select(*COLUMNS)
+    ids = written(gone.select("doc_id").distinct(), "gone")
+    return docs.join(F.broadcast(ids) if ids.count() <= MAX_IDS else ids, "doc_id", "left_anti").select(*COLUMNS)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
