@@ -50,11 +50,13 @@ def _top(b: int) -> float:
 
 
 def parts_of(shingles: np.ndarray, num: int, den: int) -> list[np.ndarray]:
-    """A hash of each part that holds a shingle, for the set's own band and for the next if partners can lie there.
+    """Hashes of the set's first parts that hold a shingle, for its own band and for the next if partners can lie there.
 
-    Two sets with den * intersection >= num * union, both under `top` shingles, differ in at most k = 2 * top * (den - num) / (den + num)
-    shingles, so in at most k parts: a set with shingles in more than k parts agrees with every partner on one of those. A set that has fewer gives
-    its empty parts as well, on which it agrees with the other such sets. Parts are cut so that this is rare.
+    Sets of n and m shingles with den * intersection >= num * union differ in at most (n + m) * (den - num) / (den + num) shingles, so in at
+    most as many parts. With k that bound for the largest partner in the band, a set gives its first k + 1 filled parts, in the order of the
+    parts. Of two partners, let A be the one whose last given part comes first: one of its k + 1 parts is equal in B, and B gives it too, as B's
+    parts reach as far. A set with k filled parts or fewer gives all parts, empty ones included: every part that a partner gives, and, of two such
+    sets, more parts than they differ in. Parts are cut so that this is rare.
     """
     n = len(shingles)
     out = []
@@ -68,7 +70,8 @@ def parts_of(shingles: np.ndarray, num: int, den: int) -> list[np.ndarray]:
             sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(shingles + _U(0x632BE59BD9B4E019)))))
             found = mix(sums[cut[1:]] - sums[cut[:-1]] + mix(np.arange(parts, dtype=np.uint64) + _U((b + 2) << 32)))
         filled = cut[1:] > cut[:-1]
-        out.append(found[filled] if filled.sum() > differ else found)
+        k = (n + min(n * den // num, int(np.ceil(_top(b))) - 1)) * (den - num) // (den + num)
+        out.append(found[filled][: k + 1] if filled.sum() > k else found)
     return out
 
 
@@ -188,6 +191,15 @@ def _regions(parts: DataFrame, sample: DataFrame) -> DataFrame:
     return cells.select(F.col("a").alias("pivot"), F.explode(F.array("a", "b")).alias("node")).distinct()
 
 
+def _uncovered(regions: DataFrame) -> DataFrame:
+    """The regions but for those whose members all lie in another one, that of the smallest pivot which holds their own pivot; pairs meet there."""
+    low = regions.groupBy(F.col("node").alias("pivot")).agg(F.min("pivot").alias("low")).where("low < pivot")
+    held = regions.select(F.col("pivot").alias("low"), "node", F.lit(1).alias("held"))
+    checked = regions.join(low, "pivot").join(held, ["low", "node"], "left")
+    covered = checked.groupBy("pivot").agg(F.count(F.lit(1)).alias("all"), F.count("held").alias("in")).where("all = in").select("pivot")
+    return regions.join(covered, "pivot", "left_anti")
+
+
 def near_duplicates(df: DataFrame, *, shingle: int = 5, num: int = 8, den: int = 10, id_col: str = "doc_id", text_col: str = "text", region: int = REGION) -> DataFrame:
     """One row per input row: id, n_shingles, component_id (smallest id reachable by links, itself included).
 
@@ -227,11 +239,12 @@ def near_duplicates(df: DataFrame, *, shingle: int = 5, num: int = 8, den: int =
 
     rows = written(docs.select("id", "k1", "k2", "text").mapInArrow(measure, f"id {kind}, k1 long, k2 long, n long, node long, check long"), "sets")
     signed = lambda some: some.select("text").mapInArrow(sign, "part long, node long")
-    regions = written(_regions(signed(docs), signed(docs.where(F.pmod("k1", F.lit(SAMPLE)) == 0))), "regions")
+    cells = written(_regions(signed(docs), signed(docs.where(F.pmod("k1", F.lit(SAMPLE)) == 0))), "cells")
+    regions = written(_uncovered(cells), "regions")
     places = rows.where("n > 0").groupBy("node").agg(F.min(F.struct("k1", "k2")).alias("at")).join(regions.select("node").distinct(), "node").select("node", "at.k1", "at.k2")
-    texts = docs.join(places, ["k1", "k2"]).groupBy("node").agg(F.min("text").alias("text"))
+    texts = docs.groupBy("k1", "k2").agg(F.min("text").alias("text"))  # a row and its repeats once
     sizes = regions.groupBy("pivot").agg(F.count(F.lit(1)).alias("m"))
-    members = regions.join(sizes, "pivot").join(texts, "node").select(F.col("pivot").alias("region"), "pivot", "node", "m", "text")
+    members = regions.join(sizes, "pivot").join(places, "node").join(texts, ["k1", "k2"]).select(F.col("pivot").alias("region"), "pivot", "node", "m", "text")
     edges = None
     for depth in range(DEPTH + 1):
         small = members if depth == DEPTH else members.where(F.col("m") <= region)
