@@ -10,10 +10,13 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _ROOT = str(Path(__file__).resolve().parent.parent)
+#: Size of the batches that go to Python: bounds a worker's memory whatever the length of the texts (a longer text is a batch of its own).
+BATCH_BYTES = "2m"
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Put this package on the Python workers' path. On a cluster the package is installed or sent with --py-files."""
+    """Put this package on the Python workers' path, and bound Arrow batches by bytes. On a cluster the package is installed or sent with --py-files."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     env = spark.sparkContext.environment
     parts = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if _ROOT not in parts:
