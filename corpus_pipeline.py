@@ -24,6 +24,7 @@ def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter or unlike every language go; the others get the predicted language as lang."""
+    prepare(spark)
     profiles = langid.fit(docs)
     known = langid.predict(docs, profiles, keep=(F.col("text"), F.col("lang"), F.col("source"), F.col("n_chars")))
     return known.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select("doc_id", "text", F.col("lang_pred").alias("lang"), "source", "n_chars")
@@ -31,22 +32,26 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts stays."""
+    prepare(spark)
     return without(docs, exact.exact_groups(docs).where("not kept"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Five-word shingles, similarity of 0.8 or more: the smallest doc_id of each component stays."""
+    prepare(spark)
     return without(docs, jaccard.near_duplicates(docs).where("doc_id <> component_id"))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark window go."""
+    prepare(spark)
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return without(docs, decontam.decontaminate(docs, benchmark, window=10).where("contaminated"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of 2048 tokens."""
+    prepare(spark)
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), tokens=2048)
 
 
@@ -58,8 +63,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written to the shared folder and read again; the pieces of the last."""
-    prepare(spark)
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = prepare(spark).read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)
