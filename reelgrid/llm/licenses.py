@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from reelgrid.session import written
+
 #: Short notices by which licences announce themselves in headers and licence files.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0",
@@ -20,6 +22,8 @@ TEMPLATES = {
 }
 #: Names of licence files (lower case, without what follows a dot).
 LICENCE_NAMES = ("license", "licence", "copying", "notice", "unlicense")
+#: A term is frequent with one in OFTEN of the units; there are at most OFTEN times the mean terms of a unit.
+OFTEN = 1_000
 
 
 def terms(text: Column) -> Column:
@@ -34,15 +38,16 @@ def scan(files: DataFrame, *, id_col: str = "doc_id", path_col: str = "path", te
     """One row per file: id, path, own_license, own_score, own_line, license, via (header, file, inherited or none), license_dir.
 
     Units are the lines of a file, as headers and licence files state their licence in a line. A unit's vector has tf * idf of its
-    terms, a template's likewise; idf is log((1 + units) / (1 + units with the term)) + 1 over all units of all files. A term outside the templates
-    weighs as one that occurs nowhere, which lowers a cosine if anything. Of the (unit, template) pairs with a cosine of `threshold` or more
+    terms, a template's likewise; idf is log((1 + units) / (1 + units with the term)) + 1 over all units of all files,
+    for every term, in the templates or not. Of the (unit, template) pairs with a cosine of `threshold` or more
     the highest wins (then the earlier line, then the template's name).
     A file without a licence of its own takes that of the nearest ancestor directory that has a licence file (named as in `licence_names`; of several,
     the highest score, then the smallest path). The root directory is ''. Null paths are '' and inherit from the root; null and empty texts have no own
     licence; an empty table gives no rows; rows that repeat an id are scanned together.
 
     Only lines that hold an anchor term are vectorised: without one, by the Cauchy-Schwarz inequality, no template's cosine
-    reaches the threshold. Tables of templates and of their terms are bounded by the parameter; nothing else is broadcast.
+    reaches the threshold. Document frequencies are partial aggregates by term. Broadcast are the templates and their terms, bounded by the parameter,
+    and the frequencies of frequent terms, bounded by OFTEN; the other terms meet their frequencies in a shuffle.
     """
     spark = files.sparkSession
     rows = files.select(F.col(id_col).alias("id"), F.coalesce(F.col(path_col), F.lit("")).alias("path"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -50,15 +55,14 @@ def scan(files: DataFrame, *, id_col: str = "doc_id", path_col: str = "path", te
 
     words = {name: _counted([t for t in re.split("[^a-z0-9]+", text.lower()) if t]) for name, text in templates.items()}
     vocabulary = sorted({t for w in words.values() for t in w})
-    known = F.array(*[F.lit(t) for t in vocabulary])
     lines = rows.select("id", "path", F.posexplode(F.split("text", "\n")).alias("line", "unit"))
-    # Document frequencies of the template terms, over every line.
-    tokens = lines.select(F.array_intersect(terms(F.col("unit")), known).alias("t"))
-    units = tokens.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.array_contains("t", t)).alias(f"t{k}") for k, t in enumerate(vocabulary)]).first()
+    # Document frequencies of all terms, over every line; '' counts the lines.
+    seen = written(lines.select(F.explode(F.concat(F.array(F.lit("")), F.array_distinct(terms(F.col("unit"))))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n")), "terms")
+    counts = {r["term"]: r["n"] for r in seen.where(F.col("term").isin("", *vocabulary)).collect()}
+    total = counts.get("", 0)
     import math
 
-    idf = {t: math.log((1 + units["n"]) / (1 + units[f"t{k}"])) + 1 for k, t in enumerate(vocabulary)}
-    unseen = math.log(1 + units["n"]) + 1
+    idf = {t: math.log((1 + total) / (1 + counts.get(t, 0))) + 1 for t in vocabulary}
     weight = {name: {t: c * idf[t] for t, c in w.items()} for name, w in words.items()}
     norm = {name: math.sqrt(sum(x * x for x in w.values())) for name, w in weight.items()}
     anchors = set()
@@ -69,13 +73,15 @@ def scan(files: DataFrame, *, id_col: str = "doc_id", path_col: str = "path", te
                 break
             anchors.add(t)
             rest -= w[t] * w[t]
-    found = lines.select("id", "path", "line", terms(F.col("unit")).alias("t")).where(F.arrays_overlap("t", F.array(*[F.lit(t) for t in sorted(anchors)]))) if anchors else lines.select("id", "path", "line", terms(F.col("unit")).alias("t")).where("false")
-    table = F.create_map(*[x for t in vocabulary for x in (F.lit(t), F.lit(float(idf[t])))])
-    vector = F.transform(F.array_distinct("t"), lambda w: F.struct(w.alias("term"), (F.size(F.filter("t", lambda x: x == w)) * F.coalesce(F.try_element_at(table, w), F.lit(float(unseen)))).alias("x")))
-    sparse = found.select("id", "path", "line", vector.alias("v")).withColumn("size", F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, e: s + e["x"] * e["x"])))
+    found = written(lines.select("id", "path", "line", terms(F.col("unit")).alias("t")).where(F.arrays_overlap("t", F.array(*[F.lit(t) for t in sorted(anchors)])) if anchors else F.lit(False)), "units")
+    each = found.select("id", "path", "line", F.explode(F.transform(F.array_distinct("t"), lambda w: F.struct(w.alias("term"), F.size(F.filter("t", lambda x: x == w)).alias("tf")))).alias("e")).select("id", "path", "line", "e.*")
+    weights = seen.select("term", (F.log(F.lit(1.0 + total) / (1 + F.col("n"))) + 1).alias("idf"), (F.col("n") * OFTEN >= total).alias("often"))
+    often = F.broadcast(weights.where("often").select("term", "idf"))
+    vectors = each.join(often, "term").unionByName(each.join(often, "term", "left_anti").join(weights.where("not often").select("term", "idf"), "term")).withColumn("x", F.col("tf") * F.col("idf"))
     postings = spark.createDataFrame([(t, name, x / norm[name]) for name, w in weight.items() for t, x in w.items()] or [("", "", 0.0)], "term string, template string, y double")
-    dots = sparse.select("id", "path", "line", "size", F.explode("v").alias("e")).select("id", "path", "line", "size", F.col("e.term").alias("term"), F.col("e.x").alias("x")).join(F.broadcast(postings), "term")
-    scores = dots.groupBy("id", "path", "line", "template").agg((F.sum(F.col("x") * F.col("y")) / F.max("size")).alias("score")).where(F.col("score") >= threshold)
+    sizes = vectors.groupBy("id", "path", "line").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("size"))
+    dots = vectors.join(F.broadcast(postings), "term").groupBy("id", "path", "line", "template").agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
+    scores = dots.withColumnsRenamed({"id": "i", "path": "p", "line": "l"}).join(sizes, F.col("i").eqNullSafe(F.col("id")) & (F.col("p") == F.col("path")) & (F.col("l") == F.col("line"))).withColumn("score", F.col("dot") / F.col("size")).where(F.col("score") >= threshold)
     best = scores.groupBy("id", "path").agg(F.min(F.struct((-F.round("score", 9)).alias("s"), F.col("line"), F.col("template"))).alias("b")).select("id", "path", F.col("b.template").alias("own_license"), (-F.col("b.s")).alias("own_score"), F.col("b.line").alias("own_line"))
     folder = F.when(F.instr("path", "/") > 0, F.regexp_extract("path", "^(.*)/[^/]*$", 1)).otherwise("")
     name = F.lower(F.regexp_extract("path", "([^/]*)$", 1))

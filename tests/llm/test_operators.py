@@ -430,6 +430,25 @@ def test_licences(spark, docs):
     assert licenses.scan(spark.createDataFrame([(1, None, "Released under the MIT License"), (1, None, None)], "doc_id long, path string, text string")).count() == 2
 
 
+def test_licences_ordinary_word(spark):
+    """A term outside the templates weighs by its own document frequency: an ordinary word costs a licence line little, at any size of the corpus."""
+    import math
+
+    split = lambda t: [x for x in re.split("[^a-z0-9]+", t.lower()) if x]
+    for n in (30, 3000):
+        lines = [f"thtion plain{k}" if k % 2 else f"plain{k}" for k in range(n)] + ["Released under the MIT License thtion", "Released under the MIT License qqqq"]
+        df = Counter(x for t in lines for x in set(split(t)))
+        weigh = lambda x: math.log((1 + len(lines)) / (1 + df[x])) + 1  # noqa: B023, E731
+        vector = lambda t: {x: c * weigh(x) for x, c in Counter(split(t)).items()}  # noqa: B023, E731
+        norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
+        w = vector(licenses.TEMPLATES["MIT"])
+        want = {k: sum(x * w.get(t, 0) for t, x in v.items()) / norm(v) / norm(w) for k, v in ((k, vector(lines[k])) for k in (n, n + 1))}
+        made = spark.createDataFrame([(k, f"a/{k}.txt", t) for k, t in enumerate(lines)], "doc_id long, path string, text string")
+        got = {r["doc_id"]: (r["own_license"], r["own_score"]) for r in licenses.scan(made, threshold=0.7).where("own_license is not null").collect()}
+        assert {k: x for k, (x, _) in got.items()} == {k: "MIT" for k, s in want.items() if s >= 0.7}
+        assert want[n] > 0.95 and all(abs(s - want[k]) < 1e-6 for k, (_, s) in got.items())
+
+
 # queries
 
 
