@@ -12,14 +12,29 @@ from reelgrid.session import prepare, written
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A text whose n-grams are further than this from every language (score of 0 to 1) is no running text.
 LEAST_SCORE = 0.3
-#: Ids to drop that are broadcast at most; more are joined by a shuffle.
+#: Keys to drop that are broadcast at most; more are joined by a shuffle.
 MAX_IDS = 1_000_000
 
 
-def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """The documents whose doc_id is not in `gone`; doc_id is unique in documents, and rows without one stay."""
-    ids = written(gone.select("doc_id").distinct(), "gone")
-    return docs.join(F.broadcast(ids) if ids.count() <= MAX_IDS else ids, "doc_id", "left_anti").select(*COLUMNS)
+def keyed(docs: DataFrame) -> DataFrame:
+    """The documents with row_key: doc_id and two hashes of doc_id and text (128 bits), equal only in rows that repeat both. Keys sort by doc_id, null first."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return docs.select(*COLUMNS, F.struct("doc_id", F.xxhash64("doc_id", text).alias("k1"), F.xxhash64(text, F.lit(1), F.col("doc_id")).alias("k2")).alias("row_key"))
+
+
+def without(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The keyed documents but for those that are `gone` by their row_key; of rows with one key that `folds`, one stays, the least by its other columns."""
+    decided = found.groupBy(F.col("row_key.k1").alias("k1"), F.col("row_key.k2").alias("k2")).agg(F.max("gone").alias("gone"), (F.count_if("folds") > 1).alias("folds"))
+    decided = written(decided.where("gone or folds"), "gone")
+    rows = docs.select(*COLUMNS, "row_key.k1", "row_key.k2")
+    few = lambda keys, n: F.broadcast(keys) if n <= MAX_IDS else keys
+    dropped = few(decided.select("k1", "k2"), decided.count())
+    out = rows.join(dropped, ["k1", "k2"], "left_anti").select(*COLUMNS)
+    folded = decided.where("folds and not gone").select("k1", "k2")
+    if n := folded.count():
+        least = rows.join(few(folded, n), ["k1", "k2"]).groupBy("k1", "k2").agg(F.min(F.struct("lang", "source", "n_chars", "doc_id", "text")).alias("row"))
+        out = out.unionByName(least.select(*[F.col(f"row.{c}") for c in COLUMNS]))
+    return out
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,20 +48,25 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts stays."""
     prepare(spark)
-    return without(docs, exact.exact_groups(docs).where("not kept"))
+    docs = keyed(docs)
+    return without(docs, exact.exact_groups(docs, "row_key").select("row_key", (~F.col("kept")).alias("gone"), F.col("kept").alias("folds")))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Five-word shingles, similarity of 0.8 or more: the smallest doc_id of each component stays."""
+    """Five-word shingles, similarity of 0.8 or more: the row with the smallest doc_id of each component stays. Wordless rows all stay."""
     prepare(spark)
-    return without(docs, jaccard.near_duplicates(docs).where("doc_id <> component_id"))
+    docs = keyed(docs)
+    found = jaccard.near_duplicates(docs, id_col="row_key")
+    return without(docs, found.select("row_key", (F.col("row_key") != F.col("component_id")).alias("gone"), (F.col("n_shingles") > 0).alias("folds")))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark window go."""
     prepare(spark)
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return without(docs, decontam.decontaminate(docs, benchmark, window=10).where("contaminated"))
+    docs = keyed(docs)
+    found = decontam.decontaminate(docs, benchmark, window=10, id_col="row_key").where("contaminated")
+    return without(docs, found.select("row_key", F.lit(True).alias("gone"), F.lit(False).alias("folds")))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,5 +1,7 @@
 """The pipeline's stages against brute-force versions, each on what the one before kept."""
 
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -41,6 +43,31 @@ def test_odd_rows(spark, sf):
         assert stage(spark, docs.limit(0), sf).count() == 0
 
 
+def test_rows_without_unique_ids(spark, sf):
+    """Every stage decides by row: whole repeats, rows without an id, and one id with several texts."""
+    bad = spark.read.parquet(f"{sf}/benchmark.parquet").where("size(split(text, ' ')) > 12").first()["text"]
+    near = " ".join(f"w{k}" for k in range(60))
+    extra = [(20, "one text"), (20, "one text"), (20, "another text"), (None, "one text"), (None, "no other has this"), (None, near), (None, near + " x"), (21, near + " y"), (21, "clean with that id"), (22, bad), (22, "clean beside it"), (None, bad)]
+    rows = [(i, t) for i, t, *_ in ODD] + extra
+    make = lambda some: spark.createDataFrame([(i, t, "en", None, 1) for i, t in some], "doc_id long, text string, lang string, source string, n_chars long")
+    exact = texts(pipeline.exact_dedup(spark, make(rows), sf))
+    squeeze = lambda t: "".join((t or "").split(" ")).translate({ord(c): None for c in "\t\n\x0b\x0c\r"})
+    best = {}
+    for i, t in rows:
+        order = (-len(t or ""), i is not None, i or 0)
+        best[squeeze(t)] = min(best.get(squeeze(t), (order, i, t)), (order, i, t), key=lambda x: x[0])
+    assert Counter(exact) == Counter((i, t) for _, i, t in best.values())
+    got = texts(pipeline.near_dedup(spark, make(rows), sf))
+    groups = {}
+    numbered = list(enumerate(t for _, t in rows))
+    for n, size, root in brute_components(numbered, 5, 8, 10):
+        groups.setdefault(root if size else (n,), []).append(rows[n])
+    low = [min(g, key=lambda r: (r[0] is not None, r[0] or 0)) for g in groups.values()]
+    assert Counter(i for i, _ in got) == Counter(i for i, _ in low)
+    clean = texts(pipeline.decontaminated(spark, make(rows), sf))
+    assert Counter(clean) == Counter((i, t) for i, t in rows if t != bad)
+
+
 def test_run(spark, sf):
     assert pipeline.run(spark, sf).count() > 0 and len(pipeline.STAGES) == 5
 
