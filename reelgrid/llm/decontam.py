@@ -102,8 +102,8 @@ def rarity(docs: DataFrame, block: Windows, text_col: str) -> dict[int, np.ndarr
     return out
 
 
-def _hits(docs: DataFrame, block: Windows, id_col: str, text_col: str) -> DataFrame:
-    """Per document: n_words, runs of hit words (first, end), items as positions in the block."""
+def _hits(docs: DataFrame, block: Windows, id_col: str, text_col: str, keys: list[str]) -> DataFrame:
+    """Per document: n_words, runs of hit words (first, end), items as positions in the block; and the columns `keys` (longs)."""
     shared = docs.sparkSession.sparkContext.broadcast(block)
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -132,11 +132,11 @@ def _hits(docs: DataFrame, block: Windows, id_col: str, text_col: str) -> DataFr
                                 runs[row + d].append((int(s - first[d]), int(e - first[d])))
                                 items[row + d].update(windows.owners[k].tolist())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(totals), pa.array([merged(r) for r in runs], pa.list_(pa.list_(pa.int64()))), pa.array([sorted(x) for x in items], pa.list_(pa.int32()))],
-                names=[id_col, "n_words", "runs", "items"],
+                [batch.column(0), *batch.columns[2:], pa.array(totals), pa.array([merged(r) for r in runs], pa.list_(pa.list_(pa.int64()))), pa.array([sorted(x) for x in items], pa.list_(pa.int32()))],
+                names=[id_col, *keys, "n_words", "runs", "items"],
             )
 
-    return docs.select(id_col, text_col).mapInArrow(find, f"`{id_col}` {kind}, n_words long, runs array<array<long>>, items array<int>")
+    return docs.select(id_col, text_col, *keys).mapInArrow(find, f"`{id_col}` {kind}, {''.join(f'{k} long, ' for k in keys)}n_words long, runs array<array<long>>, items array<int>")
 
 
 def merged(runs: list[tuple[int, int]]) -> list[list[int]]:
@@ -155,21 +155,25 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, id
     A document word inside any occurrence of a benchmark window is hit. Each window is sought by its rarest shingle
     (its necessary prefix), bounded by the shingle's place in the window and the document's length, and then verified word by word.
     The benchmark's size is measured; a block of at most `block_bytes` of its text is broadcast, and a larger one is joined block by block against
-    all documents, whose results meet by document id. Documents are never shuffled for a benchmark of one block.
+    all documents, whose results meet by hashes of id and text (128 bits). Documents are never shuffled for a benchmark of one block.
     Null or wordless texts have no words and no hits; null or wordless items no windows; an empty benchmark hits
-    nothing; equal items are each reported; rows that repeat an id are told apart within one block, and joined in one row over several blocks.
+    nothing; equal items are each reported; rows that repeat an id, or have none, are rows of their own, however many blocks there are.
     """
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_col).cast("string").alias("i"), F.coalesce(F.col(item_text_col), F.lit("")).alias("t"))
     total = items.agg(F.sum(F.octet_length("t") + F.lit(16)).alias("n")).first()["n"] or 0
     blocks = max(1, -(-2 * total // block_bytes))
+    # Rows meet again by id and two hashes of id and text; whole repeats have equal results and are counted.
+    keys = ["_k1", "_k2"] if blocks > 1 else []
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    keyed = docs.select(id_col, text_col, *[h.alias(k) for k, h in zip(keys, (F.xxhash64(F.col(id_col), text), F.xxhash64(text, F.lit(1), F.col(id_col))), strict=False)])
     parts = []
     for b in range(int(blocks)):
         rows = items if blocks == 1 else items.where(F.pmod(F.xxhash64("i", "t"), F.lit(int(blocks))) == b)
         block = Windows([tuple(r) for r in rows.orderBy("i", "t").collect()], window)  # at most about block_bytes
         block.order(rarity(docs, block, text_col) if block.windows else {})
         names = spark.sparkContext.broadcast(block.items)
-        found = _hits(docs, block, id_col, text_col)
+        found = _hits(keyed, block, id_col, text_col, keys)
 
         def named(column, names=names):
             @F.pandas_udf("array<string>")
@@ -178,12 +182,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, id
 
             return look_up(column)
 
-        parts.append(found.select(id_col, "n_words", "runs", named(F.col("items")).alias("item_ids")))
+        parts.append(found.select(id_col, *keys, "n_words", "runs", named(F.col("items")).alias("item_ids")))
     out = parts[0]
     if len(parts) > 1:
         for part in parts[1:]:
             out = out.unionByName(part)
-        out = out.groupBy(id_col).agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("runs")).alias("runs"), F.flatten(F.collect_list("item_ids")).alias("item_ids"))
+        one = lambda c: F.flatten(F.collect_set(c)).alias(c)
+        out = out.groupBy(id_col, *keys).agg(F.max("n_words").alias("n_words"), one("runs"), one("item_ids"), F.count(F.lit(1)).alias("_rows"))
+        out = out.withColumn("_rows", F.explode(F.sequence(F.lit(1), (F.col("_rows") / len(parts)).cast("long"))))
         start = F.array_sort("runs")
         merge = F.aggregate(
             start,

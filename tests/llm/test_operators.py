@@ -211,6 +211,19 @@ def test_decontamination(spark, sf, docs, odd, window, block):
 # language ID, toxicity
 
 
+@pytest.mark.parametrize("block", [1 << 30, 120])
+def test_decontamination_rows(spark, block):
+    """Rows without an id, or with one id and several texts, or repeated whole, are rows of their own at any number of blocks."""
+    bad, bad2 = "one two three four five six", "seven eight nine ten eleven twelve"
+    rows = [(None, bad), (None, "all clean here"), (None, "all clean here"), (1, f"so {bad} end"), (1, "quite another text of this id"), (2, f"{bad} {bad2}"), (2, f"{bad} {bad2}"), (3, None), (3, None)]
+    items = [("a", bad), ("b", bad2), ("c", "not in any document at all")] + [(f"x{k}", f"filler item {k} of the benchmark") for k in range(4)]
+    df, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id string, text string")
+    got = decontam.decontaminate(df, bench, window=4, block_bytes=block).collect()
+    assert Counter((r["doc_id"], r["n_words"], r["n_hit"], tuple(r["item_ids"]), r["contaminated"]) for r in got) == Counter(
+        {(None, 6, 6, ("a",), True): 1, (None, 3, 0, (), False): 2, (1, 8, 6, ("a",), True): 1, (1, 6, 0, (), False): 1, (2, 12, 12, ("a", "b"), True): 2, (3, 0, 0, (), False): 2}
+    )
+
+
 def test_language(docs, odd):
     got = {r["doc_id"]: r for r in langid.identify(docs).collect()}
     want = {r["doc_id"]: r["lang"] for r in docs.collect()}
