@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelgrid.session import written
@@ -20,6 +20,35 @@ TEMPLATES = {
     "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0",
     "Proprietary": "All rights reserved",
 }
+#: Longer notices of the same licences: standard headers, titles with the opening of the full text, and SPDX lines.
+NOTICES = {
+    "Apache-2.0": (
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
+        "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION",
+    ),
+    "MIT": (
+        "The MIT License (MIT)",
+        'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:',
+    ),
+    "GPL-3.0": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    ),
+    "LGPL-3.0": (
+        "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    ),
+    "BSD-3-Clause": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    ),
+    "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.", "Mozilla Public License Version 2.0"),
+    "CC-BY-4.0": ("Creative Commons Attribution 4.0 International",),
+    "CC-BY-NC-4.0": ("Creative Commons Attribution-NonCommercial 4.0 International",),
+    "CC-BY-SA-4.0": ("Creative Commons Attribution-ShareAlike 4.0 International",),
+}
+NOTICES = {k: (*NOTICES.get(k, ()), *(() if k == "Proprietary" else (f"SPDX-License-Identifier: {k}",))) for k in TEMPLATES}
+#: Numbers of adjacent lines that hold a term that make a unit, besides single lines.
+SPANS = (2, 3, 4, 5, 6, 7, 8, 10, 12, 16, 20, 24)
 #: Names of licence files (lower case, without what follows a dot).
 LICENCE_NAMES = ("license", "licence", "copying", "notice", "unlicense")
 #: A term is frequent with one in OFTEN of the units; there are at most OFTEN times the mean terms of a unit.
@@ -34,28 +63,31 @@ def _counted(words: list[str]) -> dict[str, int]:
     return {w: words.count(w) for w in sorted(set(words))}
 
 
-def scan(files: DataFrame, *, id_col: str = "doc_id", path_col: str = "path", text_col: str = "text", templates: dict[str, str] = TEMPLATES, threshold: float = 0.8, licence_names: tuple[str, ...] = LICENCE_NAMES) -> DataFrame:
+def scan(files: DataFrame, *, id_col: str = "doc_id", path_col: str = "path", text_col: str = "text", templates: dict[str, str] = TEMPLATES, notices: dict[str, tuple[str, ...]] = NOTICES, threshold: float = 0.8, licence_names: tuple[str, ...] = LICENCE_NAMES) -> DataFrame:
     """One row per file: id, path, own_license, own_score, own_line, license, via (header, file, inherited or none), license_dir.
 
-    Units are the lines of a file, as headers and licence files state their licence in a line. A unit's vector has tf * idf of its
-    terms, a template's likewise; idf is log((1 + units) / (1 + units with the term)) + 1 over all units of all files,
+    Units are the lines of a file, and runs of adjacent lines that hold a term (of SPANS lines, or as many as there are), as headers and licence
+    files wrap their text. Templates are `templates` and the longer `notices` of the same licences. A unit's vector has tf * idf of its
+    terms, a template's likewise; idf is log((1 + lines) / (1 + lines with the term)) + 1 over all lines of all files,
     for every term, in the templates or not. Of the (unit, template) pairs with a cosine of `threshold` or more
-    the highest wins (then the earlier line, then the template's name).
+    the highest wins (then the fewest lines, the earlier line, the licence's name). Files with a line of cosine 1 need no longer units.
     A file without a licence of its own takes that of the nearest ancestor directory that has a licence file (named as in `licence_names`; of several,
     the highest score, then the smallest path). The root directory is ''. Null paths are '' and inherit from the root; null and empty texts have no own
-    licence; an empty table gives no rows; rows that repeat an id are scanned together.
+    licence; an empty table gives no rows; rows that repeat an id are rows of their own.
 
-    Only lines that hold an anchor term are vectorised: without one, by the Cauchy-Schwarz inequality, no template's cosine
+    Only units that hold an anchor term are vectorised, and runs of lines only of files that hold enough of a template's weight: without one, by the Cauchy-Schwarz inequality, no template's cosine
     reaches the threshold. Document frequencies are partial aggregates by term. Broadcast are the templates and their terms, bounded by the parameter,
     and the frequencies of frequent terms, bounded by OFTEN; the other terms meet their frequencies in a shuffle.
     """
     spark = files.sparkSession
     rows = files.select(F.col(id_col).alias("id"), F.coalesce(F.col(path_col), F.lit("")).alias("path"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = rows.select("*", F.xxhash64("id", "path", "text").alias("k1"), F.xxhash64("text", F.lit(1), "path", "id").alias("k2"))
     import re
 
-    words = {name: _counted([t for t in re.split("[^a-z0-9]+", text.lower()) if t]) for name, text in templates.items()}
+    every_text = [(name, text) for name, text in templates.items()] + [(name, text) for name in templates for text in notices.get(name, ())]
+    words = {(name, k): _counted([t for t in re.split("[^a-z0-9]+", text.lower()) if t]) for k, (name, text) in enumerate(every_text)}
     vocabulary = sorted({t for w in words.values() for t in w})
-    lines = rows.select("id", "path", F.posexplode(F.split("text", "\n")).alias("line", "unit"))
+    lines = rows.select("k1", "k2", F.posexplode(F.split("text", "\n")).alias("line", "unit"))
     # Document frequencies of all terms, over every line; '' counts the lines.
     seen = written(lines.select(F.explode(F.concat(F.array(F.lit("")), F.array_distinct(terms(F.col("unit"))))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n")), "terms")
     counts = {r["term"]: r["n"] for r in seen.where(F.col("term").isin("", *vocabulary)).collect()}
@@ -73,16 +105,35 @@ def scan(files: DataFrame, *, id_col: str = "doc_id", path_col: str = "path", te
                 break
             anchors.add(t)
             rest -= w[t] * w[t]
-    found = written(lines.select("id", "path", "line", terms(F.col("unit")).alias("t")).where(F.arrays_overlap("t", F.array(*[F.lit(t) for t in sorted(anchors)])) if anchors else F.lit(False)), "units")
-    each = found.select("id", "path", "line", F.explode(F.transform(F.array_distinct("t"), lambda w: F.struct(w.alias("term"), F.size(F.filter("t", lambda x: x == w)).alias("tf")))).alias("e")).select("id", "path", "line", "e.*")
+    anchored = lambda t: F.arrays_overlap(t, F.array(*[F.lit(t) for t in sorted(anchors)])) if anchors else F.lit(False)
     weights = seen.select("term", (F.log(F.lit(1.0 + total) / (1 + F.col("n"))) + 1).alias("idf"), (F.col("n") * OFTEN >= total).alias("often"))
     often = F.broadcast(weights.where("often").select("term", "idf"))
-    vectors = each.join(often, "term").unionByName(each.join(often, "term", "left_anti").join(weights.where("not often").select("term", "idf"), "term")).withColumn("x", F.col("tf") * F.col("idf"))
-    postings = spark.createDataFrame([(t, name, x / norm[name]) for name, w in weight.items() for t, x in w.items()] or [("", "", 0.0)], "term string, template string, y double")
-    sizes = vectors.groupBy("id", "path", "line").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("size"))
-    dots = vectors.join(F.broadcast(postings), "term").groupBy("id", "path", "line", "template").agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
-    scores = dots.withColumnsRenamed({"id": "i", "path": "p", "line": "l"}).join(sizes, F.col("i").eqNullSafe(F.col("id")) & (F.col("p") == F.col("path")) & (F.col("l") == F.col("line"))).withColumn("score", F.col("dot") / F.col("size")).where(F.col("score") >= threshold)
-    best = scores.groupBy("id", "path").agg(F.min(F.struct((-F.round("score", 9)).alias("s"), F.col("line"), F.col("template"))).alias("b")).select("id", "path", F.col("b.template").alias("own_license"), (-F.col("b.s")).alias("own_score"), F.col("b.line").alias("own_line"))
+    rare = weights.where("not often").select("term", "idf")
+    postings = F.broadcast(spark.createDataFrame([(t, *key, x / norm[key]) for key, w in weight.items() for t, x in w.items()] or [("", "", 0, 0.0)], "term string, template string, k int, y double"))
+
+    def scored(units: DataFrame) -> DataFrame:
+        """k1, k2, span, line, template, score of the units (k1, k2, span, line, t) that reach the threshold."""
+        each = units.select("k1", "k2", "span", "line", F.explode(F.transform(F.array_distinct("t"), lambda w: F.struct(w.alias("term"), F.size(F.filter("t", lambda x: x == w)).alias("tf")))).alias("e")).select("k1", "k2", "span", "line", "e.*")
+        vectors = each.join(often, "term").unionByName(each.join(often, "term", "left_anti").join(rare, "term")).withColumn("x", F.col("tf") * F.col("idf"))
+        unit = ["k1", "k2", "span", "line"]
+        sizes = vectors.groupBy(*unit).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("size"))
+        dots = vectors.join(postings, "term").groupBy(*unit, "template", "k").agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
+        return dots.join(sizes, unit).select(*unit, "template", F.round(F.col("dot") / F.col("size"), 9).alias("score")).where(F.col("score") >= threshold - 5e-10)
+
+    found = written(lines.select("k1", "k2", F.lit(1).alias("span"), "line", terms(F.col("unit")).alias("t")).where(anchored(F.col("t"))), "units")
+    single = written(scored(found.dropDuplicates(["k1", "k2", "line"])), "lines")
+    # Runs of lines: of files without a line of cosine 1 that hold, in all their lines, a template's terms with threshold^2 of its weight.
+    open_ = found.select("k1", "k2").distinct().join(single.where("score >= 1").select("k1", "k2").distinct(), ["k1", "k2"], "left_anti")
+    texts = written(rows.join(open_, ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.min("text").alias("text")), "texts")
+    mass = texts.select("k1", "k2", F.explode(F.array_distinct(terms(F.col("text")))).alias("term")).join(postings, "term").groupBy("k1", "k2", "template", "k").agg(F.sum(F.col("y") * F.col("y")).alias("mass"))
+    able = mass.where(F.col("mass") >= threshold * threshold - 1e-9).select("k1", "k2").distinct()
+    full = texts.join(able, ["k1", "k2"], "left_semi").select("k1", "k2", F.posexplode(F.split("text", "\n")).alias("line", "unit")).select("k1", "k2", "line", terms(F.col("unit")).alias("t")).where(F.size("t") > 0)
+    ahead = full.withColumn("ahead", F.collect_list("t").over(Window.partitionBy("k1", "k2").orderBy("line").rowsBetween(0, max(SPANS) - 1)))
+    spans = F.array_distinct(F.transform(F.array(*[F.lit(k) for k in SPANS]), lambda k: F.least(k, F.size("ahead"))))
+    runs = ahead.where(F.size("ahead") > 1).select("k1", "k2", "line", "ahead", F.explode(spans).alias("span")).select("k1", "k2", "span", "line", F.flatten(F.slice("ahead", F.lit(1), F.col("span"))).alias("t"))
+    wide = scored(written(runs.where(anchored(F.col("t"))), "runs"))
+    best = single.unionByName(wide).groupBy("k1", "k2").agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("span"), F.col("line"), F.col("template"))).alias("b"))
+    best = written(rows.drop("text").join(best, ["k1", "k2"]).groupBy("k1", "k2", "id", "path").agg(F.min("b").alias("b")).select("k1", "k2", "id", "path", F.col("b.template").alias("own_license"), (-F.col("b.s")).alias("own_score"), F.col("b.line").alias("own_line")), "best")
     folder = F.when(F.instr("path", "/") > 0, F.regexp_extract("path", "^(.*)/[^/]*$", 1)).otherwise("")
     name = F.lower(F.regexp_extract("path", "([^/]*)$", 1))
     licence_file = F.regexp_extract(name, "^([^.]*)", 1).isin(*licence_names)
@@ -92,8 +143,8 @@ def scan(files: DataFrame, *, id_col: str = "doc_id", path_col: str = "path", te
     steps = F.split("dir", "/")
     ancestors = F.concat(F.array(F.lit("")), F.when(F.col("dir") != "", F.transform(F.sequence(F.lit(1), F.size(steps)), lambda k: F.array_join(F.slice(steps, F.lit(1), k), "/"))).otherwise(F.array().cast("array<string>")))
     nearest = dirs.select("dir", F.explode(F.array_distinct(ancestors)).alias("up")).join(stated.withColumnRenamed("dir", "up"), "up").groupBy("dir").agg(F.max(F.struct(F.length("up").alias("n"), F.col("up"), F.col("dir_license"))).alias("b")).select("dir", F.col("b.up").alias("license_dir"), F.col("b.dir_license").alias("dir_license"))
-    every = rows.select("id", "path").withColumn("dir", folder)
-    joined = every.join(best, [every["id"].eqNullSafe(best["id"]), every["path"] == best["path"]], "left").select(every["id"], every["path"], "dir", "own_license", "own_score", "own_line").join(nearest, "dir", "left")
+    every = rows.select("k1", "k2", "id", "path").withColumn("dir", folder)
+    joined = every.join(best.drop("id", "path"), ["k1", "k2"], "left").select("id", "path", "dir", "own_license", "own_score", "own_line").join(nearest, "dir", "left")
     own = F.col("own_license").isNotNull()
     return joined.select(
         F.col("id").alias(id_col),

@@ -462,6 +462,26 @@ def test_licences_ordinary_word(spark):
         assert want[n] > 0.95 and all(abs(s - want[k]) < 1e-6 for k, (_, s) in got.items())
 
 
+def test_licences_wrapped(spark):
+    """Headers and licence files wrapped over lines, SPDX lines, and rows that share id and path."""
+    wrap = lambda text, n, lead="": "\n".join(lead + " ".join(w) for w in (text.split()[k : k + n] for k in range(0, len(text.split()), n)))
+    notice = {k: v[0] for k, v in licenses.NOTICES.items() if v}
+    files = [
+        (1, "a/x.py", "#!/usr/bin/env python\n# SPDX-License-Identifier: MIT\nimport os"),
+        (2, "b/y.py", wrap(notice["Apache-2.0"], 12, "# ").replace("you may", "\n#\n# you may") + "\n\nimport os\nprint(os)"),
+        (3, "c/LICENSE", "Copyright 2021 Example\n\n" + wrap(licenses.NOTICES["MIT"][1], 11) + "\n\nThe above copyright notice shall stay"),
+        (4, "c/d/z.py", "print(1)"),
+        (5, "e/w.c", wrap(notice["GPL-3.0"], 10, " * ") + "\nint main() {}"),
+        (6, "f/v.c", "Licensed under the\nApache License, Version 2.0"),
+        (7, "g/u.c", "The MIT License (MIT)"),
+        (8, "h/same.c", "Released under the MIT License"),
+        (8, "h/same.c", "nothing is said here"),
+        *[(100 + k, f"p/{k}.txt", f"plain words number {k}\nof the file {k} and of no other") for k in range(300)],
+    ]
+    got = Counter((r["doc_id"], r["license"], r["via"]) for r in licenses.scan(spark.createDataFrame(files, "doc_id long, path string, text string")).where("doc_id < 100").collect())
+    assert got == Counter([(1, "MIT", "header"), (2, "Apache-2.0", "header"), (3, "MIT", "file"), (4, "MIT", "inherited"), (5, "GPL-3.0", "header"), (6, "Apache-2.0", "header"), (7, "MIT", "header"), (8, "MIT", "header"), (8, None, "none")])
+
+
 # queries
 
 
