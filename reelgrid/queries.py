@@ -14,7 +14,7 @@ from reelgrid.functions import classify as C
 from reelgrid.functions import formats as T
 from reelgrid.functions import urls as U
 from reelgrid.operators import dash, hls, observe
-from reelgrid.session import prepare, shared_dir
+from reelgrid.session import prepare, shared_dir, written
 from reelgrid.sources import fixtures as X
 from reelgrid.streaming.state import tab_items
 
@@ -148,9 +148,13 @@ SELECT page_id, domain = other AS same, CASE WHEN domain = other THEN 'include'
 def same_site_pairs(spark, sf_dir):
     """Each page with the next by id."""
     rows = _hosts(spark, sf_dir).select("page_id", F.concat(F.lit("https://"), "host", F.lit("/x")).alias("url"))
-    low = rows.agg(F.min("page_id")).first()[0] or 0
-    other = rows.select((F.col("page_id") - 1).alias("page_id"), F.col("url").alias("other"))
-    return rows.where(F.col("page_id") >= low).join(other, "page_id").select("page_id", U.same_site(F.col("url"), F.col("other")).alias("same"), C.cookies_for(F.col("url"), F.col("other")).alias("cookies"))
+    # Ranges of ids are in order, so the next id is in the row's own range or the first of the next range that has rows.
+    ranges = written(rows.repartitionByRange("page_id").withColumn("range", F.spark_partition_id()), "ranges")
+    firsts = ranges.groupBy("range").agg(F.min_by("url", "page_id").alias("url")).orderBy("range").collect()  # one row a range
+    edges = spark.createDataFrame([(a["range"], b["url"]) for a, b in zip(firsts[:-1], firsts[1:], strict=True)], "range int, edge string")
+    w = Window.partitionBy("range").orderBy("page_id")
+    other = ranges.withColumn("other", F.lead("url").over(w)).join(F.broadcast(edges), "range", "left").withColumn("other", F.coalesce("other", "edge"))
+    return other.where("other is not null").select("page_id", U.same_site(F.col("url"), F.col("other")).alias("same"), C.cookies_for(F.col("url"), F.col("other")).alias("cookies"))
 
 
 @query("""WITH h AS (SELECT page_id, url, list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split(url, ''), lambda c: unicode(c)::BIGINT)), lambda h, c: (xor(h, c) * 16777619) & 4294967295) AS h FROM pages)

@@ -51,5 +51,17 @@ def test_runs(spark, sf, name):
     assert entry.queries()[name](spark, sf).columns
 
 
+def test_same_site_gaps(spark, sf, tmp_path):
+    """Pairs reach over gaps in the ids."""
+    import duckdb
+
+    spark.read.parquet(f"{sf}/pages.parquet").where("page_id % 5 <> 2").write.parquet(f"{tmp_path}/pages.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    df = entry.queries()["same_site_pairs"](spark, str(tmp_path))
+    found = c.execute(entry.oracle_sql()["same_site_pairs"])
+    assert rows_of(df.columns, df.collect()) == rows_of([d[0] for d in found.description], found.fetchall())
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
