@@ -36,6 +36,48 @@ AAC_CODEC = r"(?i)^mp4a\.40\."
 H264_CODEC = r"(?i)^avc[1-4]"
 FRAGMENT_BOXES = ["styp", "moof", "sidx"]
 
+TEMPLATE_TOKEN = r"\$[A-Za-z]*(?:%0[0-9]+d)?\$|[^$]+|\$"
+MEDIA_PATH = r"(?i)\.(m3u8|mpd|mp4|m4v|webm|mkv|mov|flv|mp3|m4a|ogg|oga|opus|wav|flac)\z"
+TEXTUAL_MIME = r"(?i)^(text/|application/(json|xml|xhtml))"
+
+# What makes a text a file name: patterns and what is put in their place, in order; the longest name; reserved names.
+NAME_RULES = [(r'[\x00-\x1f\x7f<>:"/\\|?*]', " "), (r"(?U)\s+", " "), (r"^ | \z", ""), (r"^\.+", ""), (r"[. ]+\z", "")]
+MAX_NAME = 120
+RESERVED_NAME = r"(?i)^(con|prn|aux|nul|com[0-9]|lpt[0-9])\z"
+
+# Sentences that are results.
+SAYS = {
+    "refused": "The server refused the request (HTTP {status}). The link may have expired or the stream may be protected. Reload the original page, play the video again, and retry.",
+    "gone": "The file is gone (HTTP {status}). Reload the original page and try again.",
+    "status": "The server answered HTTP {status}.",
+    "network": "Network error while contacting the server.",
+    "blocked": "DRM-protected{systems}: this stream can't be downloaded.",
+    "drm": "DRM-protected ({systems}): this stream can only be played by a licensed player and cannot be downloaded.",
+    "nothing": "This manifest lists no downloadable video or audio.",
+    "unreadable": "Could not read the manifest: {reason}",
+    "entry": "Invalid SegmentTimeline entry",
+    "duration": "Invalid SegmentTemplate duration",
+    "undated": "The SegmentTemplate has neither a SegmentTimeline nor a duration.",
+    "wall_clock": "This live stream addresses segments by wall-clock time, which is not supported.",
+    "many": "The manifest lists too many segments",
+    "scheme": "Unsupported URL scheme in manifest: {scheme}",
+    "large": "XML document is too large",
+    "doctype": "DOCTYPE declarations are not supported",
+    "root": "Not a DASH manifest",
+    "malformed": "Malformed XML",
+    "deep": "XML is nested too deeply",
+    "elements": "XML has too many elements",
+    "playlist_large": "Playlist is too large",
+    "playlist": "Not an HLS playlist",
+    "method": "Unsupported encryption method {method}.",
+    "no_key": "Encrypted stream without a usable key URI.",
+    "key": "Unexpected AES-128 key length ({n} bytes)",
+    "format": "The stream changes format partway through (for example at an ad break), so it cannot be saved as one file in this format. Save it as .ts instead.",
+    "no_moov": "The init segment has no moov box",
+    "no_mvex": "Not a fragmented MP4 (no mvex): it cannot be merged",
+    "offset": "Segments with an explicit base data offset cannot be merged",
+}
+
 # Names of protection systems by key format and by scheme.
 HLS_SYSTEMS = {
     "com.apple.streamingkeydelivery": "FairPlay",
@@ -71,15 +113,21 @@ MAX_URL_LENGTH = 4096
 MAX_MANIFEST_CHARS = 5_000_000
 MAX_LINES = 200_000
 MAX_SEGMENTS = 200_000
+MAX_ELEMENTS = 200_000
+MAX_DEPTH = 64
 MAX_VARIANTS = 2_000
 MAX_CHILD_URLS = 500
 MAX_ITEMS = 40
 MAX_REJECTED = 100
 MAX_LOG = 80
 MAX_PROBES = 30
+MAX_CLOSED = 500
 PENDING_SECONDS = 20
 RETRY_SECONDS = 10
+REPORT_MILLIS = 800
 JOB_MINUTES = 60
 ERROR_PAGE_BYTES = 16 * 1024
 TEXT_ERROR_PAGE_BYTES = 512 * 1024
+REQUEST_TYPES = ["main_frame", "sub_frame", "media", "xmlhttprequest", "object", "other"]
+RETRY_CODES = ["SERVER_FORBIDDEN", "SERVER_UNAUTHORIZED", "SERVER_BAD_CONTENT", "SERVER_FAILED"]
 SOURCE_RANK = {"element": 3, "timing": 2, "link": 1, "meta": 1}

@@ -32,7 +32,9 @@ def format_duration(seconds: Column) -> Column:
 
 
 def format_rate(bytes_per_second: Column) -> Column:
-    return F.concat(format_bytes(bytes_per_second), F.lit("/s"))
+    """Bytes a second as text; '' for null, zero, negative and endless rates."""
+    finite = (bytes_per_second > 0) & (bytes_per_second < float("inf"))
+    return F.when(finite, F.concat(format_bytes(bytes_per_second), F.lit("/s"))).otherwise("")
 
 
 def has_video(height: Column, width: Column, codecs: Column) -> Column:
@@ -120,59 +122,86 @@ def decrypt(data: Column, key: Column, iv: Column) -> Column:
     return F.when((F.octet_length(key) == 16) & (F.octet_length(iv) == 16), F.aes_decrypt(F.concat(iv, data), key, F.lit("CBC"), F.lit("PKCS")))
 
 
-def expand_template(template: Column, representation_id: Column, number: Column, bandwidth: Column, time: Column) -> Column:
-    """$RepresentationID$, $Number$, $Bandwidth$ and $Time$, with '%0Nd' widths, and '$$'; unknown names stay."""
+def template_tokens(template: Column) -> Column:
+    """A template as its identifiers ('$Name$', '$Name%05d$', '$$') and the text between them."""
+    return F.regexp_extract_all(template, F.lit(K.TEMPLATE_TOKEN), F.lit(0))
 
-    @F.pandas_udf("string")
-    def run(templates, ids, numbers, rates, times):
-        import re
 
-        import pandas as pd
+def expand_tokens(tokens: Column, **values: Column) -> Column:
+    """The tokens with the given identifiers replaced; unknown names and null values stay as they are."""
 
-        out = []
-        for t, i, n, b, at in zip(templates, ids, numbers, rates, times, strict=True):
-            known = {"RepresentationID": i, "Number": n, "Bandwidth": b, "Time": at}
+    def put(token: Column) -> Column:
+        out = F.when(~token.startswith("$") | (token == "$"), token).when(token == "$$", "$")
+        for name, value in values.items():
+            text, width = value.cast("string"), F.regexp_extract(token, r"%0([0-9]+)d\$\z", 1)
+            padded = F.when((width != "") & (F.length(text) < width.try_cast("int")), F.lpad(text, width.try_cast("int"), "0")).otherwise(text)
+            out = out.when(token.rlike(rf"^\${name}(%0[0-9]+d)?\$\z") & text.isNotNull(), padded)
+        return out.otherwise(token)
 
-            def put(m, known=known):
-                name, width = m.group(1), m.group(2)
-                value = "$" if name == "" else known.get(name)
-                if value is None or value != value:
-                    return m.group(0)
-                return str(value if isinstance(value, str) else int(value)).rjust(int(width or 0), "0") if name else "$"
+    return F.transform(tokens, put)
 
-            out.append(None if t is None else re.sub(r"\$([A-Za-z]*)(?:%0(\d+)d)?\$", put, t))
-        return pd.Series(out, dtype=object)
 
-    return run(template, representation_id.cast("string"), number, bandwidth, time)
+def expand_template(template: Column, representation_id: Column, number: Column, bandwidth: Column, time: Column) -> Column:
+    """$RepresentationID$, $Number$, $Bandwidth$ and $Time$, with '%0Nd' widths that never cut, and '$$'; unknown names stay."""
+    return F.array_join(expand_tokens(template_tokens(template), RepresentationID=representation_id, Number=number, Bandwidth=bandwidth, Time=time), "")
 
 
 def sanitize_filename(name: Column, fallback: str = "video") -> Column:
-    """A file name that every system takes: NFKC, no reserved signs or names, at most 120 characters."""
+    """A file name that every system takes: NFKC (the one step that SQL lacks), then K.NAME_RULES, at most 120 characters, no reserved name."""
 
     @F.pandas_udf("string")
-    def run(names):
-        import re
-        import unicodedata
-
-        import pandas as pd
-
-        def one(raw):
-            s = unicodedata.normalize("NFKC", raw or "")
-            s = re.sub(r'[\x00-\x1f\x7f<>:"/\\|?*]', " ", s)
-            s = re.sub(r"\s+", " ", s).strip().lstrip(".").rstrip(". ")
-            s = s[:120].strip()
-            if re.fullmatch(r"(?i)con|prn|aux|nul|com\d|lpt\d", s):
-                s = f"_{s}"
-            return s or fallback
-
-        return pd.Series([one(x) for x in names], dtype=object)
+    def composed(names):
+        return names.str.normalize("NFKC")
 
-    return run(name)
+    ascii_only = ~F.coalesce(name, F.lit("")).rlike(r"[^\x00-\x7f]")
+    text = F.coalesce(F.when(ascii_only, name).otherwise(composed(F.when(~ascii_only, name))), F.lit(""))
+    for pattern, put in K.NAME_RULES:
+        text = F.regexp_replace(text, pattern, put)
+    text = F.regexp_replace(F.substring(text, 1, K.MAX_NAME), r"(?U)\s+\z", "")
+    text = F.when(text.rlike(K.RESERVED_NAME), F.concat(F.lit("_"), text)).otherwise(text)
+    return F.when(text == "", fallback).otherwise(text)
 
 
 def base_name(title: Column, url: Column) -> Column:
     return sanitize_filename(F.coalesce(F.nullif(F.trim(title), F.lit("")), F.nullif(F.regexp_replace(U.filename_from_url(url), r"(?i)\.[a-z0-9]{2,5}\z", ""), F.lit("")), F.lit("video")))
 
 
-def describe(host: Column, size: Column, duration: Column, live: Column) -> Column:
-    return F.concat_ws(" · ", F.nullif(host, F.lit("")), F.nullif(format_bytes(size), F.lit("")), F.nullif(format_duration(duration), F.lit("")), F.when(live, "Live"))
+def describe(kind: Column, media: Column, url: Column, size: Column, info: Column) -> Column:
+    """Title and facts of an item. `info` has playlist, variants, max_height, audio_only, duration, live, hidden_protected, drm, encryption."""
+    u = U.of(url)
+    label = F.when(kind == "dash", "DASH").otherwise("HLS")
+    named = F.nullif(U.filename_from_url(u), F.lit(""))
+    title = F.when(kind == "file", F.coalesce(named, F.when(media == "audio", "Audio file").otherwise("Video file"))).when(info["audio_only"], F.concat(label, F.lit(" audio stream"))).otherwise(F.concat(label, F.lit(" stream")))
+    stream = F.array(
+        F.when(info["max_height"] > 0, F.concat(F.lit("up to "), info["max_height"], F.lit("p"))),
+        F.when(info["playlist"].isin("master", "mpd") & (info["variants"] > 1), F.concat(info["variants"], F.lit(" qualities"))),
+        F.nullif(format_duration(info["duration"]), F.lit("")),
+        F.when(info["live"], "live"),
+        F.when(info["hidden_protected"] > 0, F.concat(info["hidden_protected"], F.lit(" DRM hidden"))),
+        F.when(info["drm"], "DRM").when(info["encryption"] != "NONE", info["encryption"]),
+    )
+    facts = F.when(kind == "file", F.array(F.when(size > 0, format_bytes(size)))).otherwise(stream)
+    return F.struct(title.alias("title"), F.array_join(F.array_compact(F.concat(facts, F.array(F.nullif(U.host_of(u), F.lit(""))))), " · ").alias("meta"))
+
+
+def describe_info(info: Column) -> Column:
+    """What a manifest turned out to be, as a log line. `info` has error, playlist, variants, segments, live, drm."""
+    live, drm = F.when(info["live"], ", live").otherwise(""), F.when(info["drm"], ", DRM").otherwise("")
+    return (
+        F.when(info["error"].isNotNull(), F.concat(F.lit("error "), info["error"]))
+        .when(info["playlist"] == "master", F.concat(F.lit("master, "), info["variants"], F.lit(" variants")))
+        .when(info["playlist"] == "mpd", F.concat(F.lit("mpd, "), info["variants"], F.lit(" representations"), live, drm))
+        .otherwise(F.concat(F.lit("media, "), info["segments"], F.lit(" segments"), live))
+    )
+
+
+def explain(status: Column, name: Column, message: Column) -> Column:
+    """What went wrong, for people: a refused or failed response by its status, a network error, or the message itself."""
+    says = lambda text: F.replace(F.lit(text), F.lit("{status}"), status.cast("string"))
+    return (
+        F.when(status.isin(401, 403), says(K.SAYS["refused"]))
+        .when(status.isin(404, 410), says(K.SAYS["gone"]))
+        .when(status.isNotNull(), says(K.SAYS["status"]))
+        .when(name == "TypeError", K.SAYS["network"])
+        .otherwise(message)
+    )

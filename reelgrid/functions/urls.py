@@ -2,58 +2,92 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reelgrid import constants as K
 
 _SHAPE = r"(?is)^\s*([a-z][a-z0-9+.-]*):[/\\]*(?:[^/?#\\@]*@)?(\[[^\]/?#]*\]|[^/?#:\\]+)(?::([0-9]*))?([^?#]*)(\?[^#]*)?(#.*)?\z"
+_CUT = "\x01"
+
+
+def parsed(url: Column) -> Column:
+    """Scheme, host, port, path, query and fragment as an array, by one regular expression; an unreadable URL gives one element."""
+    text = F.replace(url, F.lit(_CUT), F.lit("%01"))
+    return F.split(F.regexp_replace(text, _SHAPE, _CUT.join(f"${k}" for k in range(1, 7))), _CUT)
+
+
+class Url:
+    """A URL with its parts. Every function here takes a Url or a text; parts held in a column are taken apart once a row."""
+
+    def __init__(self, text: Column, parts: Column):
+        self.text, self.parts = text, parts
+
+    def part(self, k: int) -> Column:
+        return F.get(self.parts, F.lit(k))
 
 
-def _part(url: Column, k: int) -> Column:
-    return F.regexp_extract(url, _SHAPE, k)
+def of(url: Column | Url) -> Url:
+    return url if isinstance(url, Url) else Url(url, parsed(url))
 
 
-def scheme(url: Column) -> Column:
-    return F.lower(_part(url, 1))
+def with_parts(df: DataFrame, name: str, column: str = "__url") -> tuple[DataFrame, Url]:
+    """The rows with a URL's parts as a column, and the Url that reads them."""
+    return df.withColumn(column, parsed(F.col(name))), Url(F.col(name), F.col(column))
 
 
-def is_web(url: Column) -> Column:
+def scheme(url: Column | Url) -> Column:
+    return F.lower(of(url).part(0))
+
+
+def is_web(url: Column | Url) -> Column:
     """Whether the URL can be read and is http or https."""
-    return F.coalesce(scheme(url).isin("http", "https"), F.lit(False))
+    u = of(url)
+    return F.coalesce(F.lower(u.part(0)).isin("http", "https") & u.part(1).isNotNull(), F.lit(False))
 
 
-def host(url: Column) -> Column:
-    return F.lower(_part(url, 2))
+def host(url: Column | Url) -> Column:
+    return F.lower(F.coalesce(of(url).part(1), F.lit("")))
 
 
-def path(url: Column) -> Column:
-    found = _part(url, 4)
+def path(url: Column | Url) -> Column:
+    found = F.coalesce(of(url).part(3), F.lit(""))
     return F.when(found == "", "/").otherwise(found)
 
 
-def query(url: Column) -> Column:
-    return F.substring(_part(url, 5), 2, K.MAX_URL_LENGTH * 16)
+def query(url: Column | Url) -> Column:
+    return F.substring(F.coalesce(of(url).part(4), F.lit("")), 2, K.MAX_URL_LENGTH * 16)
+
 
+def _port(u: Url) -> Column:
+    """':port', or '' where there is none or it is the scheme's own."""
+    port, name = F.coalesce(u.part(2), F.lit("")), F.lower(u.part(0))
+    usual = (port == "") | ((name == "http") & (port == "80")) | ((name == "https") & (port == "443"))
+    return F.when(usual, "").otherwise(F.concat(F.lit(":"), port))
 
-def origin(url: Column) -> Column:
+
+def origin(url: Column | Url) -> Column:
     """Scheme, host and port; a scheme's own port is left out."""
-    port = _part(url, 3)
-    usual = (port == "") | ((scheme(url) == "http") & (port == "80")) | ((scheme(url) == "https") & (port == "443"))
-    return F.concat(scheme(url), F.lit("://"), host(url), F.when(usual, "").otherwise(F.concat(F.lit(":"), port)))
+    u = of(url)
+    return F.concat(scheme(u), F.lit("://"), host(u), _port(u))
 
 
-def origin_of(url: Column) -> Column:
-    return F.when(is_web(url), origin(url)).otherwise("")
+def origin_of(url: Column | Url) -> Column:
+    u = of(url)
+    return F.when(is_web(u), origin(u)).otherwise("")
 
 
-def host_of(url: Column) -> Column:
-    return F.when(is_web(url), F.regexp_replace(host(url), r"^www\.", "")).otherwise("")
+def host_of(url: Column | Url) -> Column:
+    u = of(url)
+    return F.when(is_web(u), F.regexp_replace(host(u), r"^www\.", "")).otherwise("")
 
 
-def safe_url(url: Column) -> Column:
+def safe_url(url: Column | Url) -> Column:
     """Origin and path, without query and fragment."""
-    return F.when(is_web(url), F.concat(origin(url), path(url))).otherwise(F.element_at(F.split(url, "[?#]"), 1))
+    u = of(url)
+    return F.when(is_web(u), F.concat(origin(u), path(u))).otherwise(F.element_at(F.split(u.text, "[?#]"), 1))
 
 
 def path_ext(p: Column) -> Column:
@@ -69,8 +103,9 @@ def _decoded(text: Column) -> Column:
     return F.try_url_decode(F.replace(text, F.lit("+"), F.lit("%2B")))
 
 
-def filename_from_url(url: Column) -> Column:
-    return F.when(is_web(url), F.coalesce(_decoded(last_segment(path(url))), F.lit(""))).otherwise("")
+def filename_from_url(url: Column | Url) -> Column:
+    u = of(url)
+    return F.when(is_web(u), F.coalesce(_decoded(last_segment(path(u))), F.lit(""))).otherwise("")
 
 
 def looks_like_stream_piece(p: Column) -> Column:
@@ -86,15 +121,17 @@ def is_volatile(name: Column) -> Column:
     return out
 
 
-def dedupe_key(url: Column) -> Column:
+def dedupe_key(url: Column | Url) -> Column:
     """Origin, path and the identifying query parameters in the order of their names; an unreadable URL is its own key."""
+    u = of(url)
     pairs = F.transform(
-        F.filter(F.split(query(url), "&"), lambda p: p != ""),
+        F.filter(F.split(query(u), "&"), lambda p: p != ""),
         lambda p, i: F.struct(_form(F.regexp_extract(p, "(?s)^([^=]*)", 1)).alias("name"), i.alias("i"), _form(F.regexp_extract(p, "(?s)^[^=]*=(.*)", 1)).alias("value")),
     )
     kept = F.array_sort(F.filter(pairs, lambda p: ~is_volatile(p["name"])))
     text = F.array_join(F.transform(kept, lambda p: F.concat(F.url_encode(p["name"]), F.lit("="), F.url_encode(p["value"]))), "&")
-    return F.when(is_web(url), F.concat(origin(url), path(url), F.when(text != "", F.concat(F.lit("?"), text)).otherwise(""))).otherwise(url)
+    tail = F.when(query(u) == "", "").otherwise(F.when(text != "", F.concat(F.lit("?"), text)).otherwise(""))
+    return F.when(is_web(u), F.concat(origin(u), path(u), tail)).otherwise(u.text)
 
 
 def _form(text: Column) -> Column:
@@ -109,7 +146,8 @@ def registrable_domain(h: Column) -> Column:
     return F.when(h.rlike(K.IP_ADDRESS), h).otherwise(F.array_join(F.when(n <= 2, labels).when(three, F.slice(labels, F.greatest(n - 2, F.lit(1)), 3)).otherwise(F.slice(labels, F.greatest(n - 1, F.lit(1)), 2)), "."))
 
 
-def same_site(a: Column, b: Column) -> Column:
+def same_site(a: Column | Url, b: Column | Url) -> Column:
+    a, b = of(a), of(b)
     return is_web(a) & is_web(b) & (registrable_domain(host(a)) == registrable_domain(host(b)))
 
 
@@ -126,37 +164,55 @@ def hash_to_rule_id(text: Column) -> Column:
     return _fnv(text) % 2_000_000_000 + 1
 
 
-def absolute(reference: str | None, base: str | None) -> str | None:
-    """An http(s) reference resolved against a base, or null; scheme and host in lower case, dot segments gone."""
-    from urllib.parse import urljoin, urlsplit, urlunsplit
-
-    try:
-        joined = urlsplit(urljoin(base or "", (reference or "").strip()))
-        if joined.scheme.lower() not in ("http", "https") or not joined.hostname:
-            return None
-        port = joined.port
-        usual = port is None or (joined.scheme.lower(), port) in (("http", 80), ("https", 443))
-        steps: list[str] = []
-        for step in joined.path.split("/")[1:]:
-            if step == "..":
-                del steps[-1:]
-            elif step != ".":
-                steps.append(step)
-        if joined.path.rsplit("/", 1)[-1] in (".", ".."):
-            steps.append("")
-        name = f"[{joined.hostname}]" if ":" in joined.hostname else joined.hostname
-        return urlunsplit((joined.scheme.lower(), name + ("" if usual else f":{port}"), "/" + "/".join(steps).replace(" ", "%20"), joined.query.replace(" ", "%20"), joined.fragment))
-    except ValueError:
-        return None
-
-
-def resolve(reference: Column, base: Column) -> Column:
-    """Vectorised `absolute`; null where the reference is not http(s)."""
-
-    @F.pandas_udf("string")
-    def run(references, bases):
-        import pandas as pd
-
-        return pd.Series([None if r is None else absolute(r, b) for r, b in zip(references, bases, strict=True)], dtype=object)
-
-    return run(reference, base)
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is worked out once, however often f names it: keeps expressions (and their compilation) small."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _normal(text: Column) -> Column:
+    """An absolute http(s) URL with scheme and host in lower case, dot segments resolved and blanks escaped; null if it is none."""
+
+    def clean(p: Column) -> Column:
+        steps = F.split(p, "/")
+        stack = F.aggregate(F.slice(steps, F.lit(2), F.size(steps)), F.array().cast("array<string>"), lambda acc, s: F.when(s == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).when(s == ".", acc).otherwise(F.concat(acc, F.array(s))))
+        solved = _let(stack, lambda x: F.concat(F.lit("/"), F.array_join(x, "/"), F.when(p.rlike(r"/\.\.?\z") & (F.size(x) > 0), "/").otherwise("")))
+        return F.when(p.contains("/."), solved).otherwise(p)
+
+    def whole(parts: Column) -> Column:
+        u = Url(text, parts)
+        full = F.concat(origin(u), F.replace(F.concat(_let(path(u), clean), F.coalesce(u.part(4), F.lit(""))), F.lit(" "), F.lit("%20")), F.coalesce(u.part(5), F.lit("")))
+        return F.when(is_web(u) & (F.coalesce(F.nullif(u.part(2), F.lit("")).try_cast("int"), F.lit(0)) < 65536), full)
+
+    return _let(parsed(text), whole)
+
+
+#: What a base gives to the references that are resolved against it.
+BASE = "struct<scheme:string,origin:string,folder:string,path:string,query:string>"
+
+
+def base(url: Column) -> Column:
+    """The parts of a base URL, read once for all its references; null if it is no http(s) URL."""
+
+    def parts(x: Column) -> Column:
+        u = Url(x, x)
+        return F.when(is_web(u), F.struct(scheme(u).alias("scheme"), origin(u).alias("origin"), F.regexp_replace(path(u), r"[^/]*\z", "").alias("folder"), path(u).alias("path"), F.coalesce(u.part(4), F.lit("")).alias("query")))
+
+    return _let(parsed(_normal(url)), parts)
+
+
+def resolve(reference: Column, against: Column) -> Column:
+    """An http(s) reference resolved against a base (from `base`); null where the result is not http(s). Plain names need no parsing."""
+
+    def solved(r: Column) -> Column:
+        plain = r.rlike(r"^[A-Za-z0-9_~!$&'()*,;=@%-][^\s?#:\\]*\z") & ~r.contains("/.")
+        joined = (
+            F.when(r.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), r)
+            .when(r.startswith("//"), F.concat(against["scheme"], F.lit(":"), r))
+            .when(r.startswith("/"), F.concat(against["origin"], r))
+            .when(r.startswith("?"), F.concat(against["origin"], against["path"], r))
+            .when((r == "") | r.startswith("#"), F.concat(against["origin"], against["path"], against["query"], r))
+            .otherwise(F.concat(against["origin"], against["folder"], r))
+        )
+        return F.when(plain, F.concat(against["origin"], against["folder"], r)).otherwise(_normal(joined))
+
+    return _let(F.regexp_replace(reference, r"^[\x00-\x20]+|[\x00-\x20]+\z", ""), solved)

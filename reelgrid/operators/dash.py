@@ -10,24 +10,41 @@ from reelgrid.functions import formats as T
 from reelgrid.functions import urls as U
 
 _INIT = "struct<_sourceURL:string,_range:string>"
-_TIMELINE = "struct<S:array<struct<_t:bigint,_d:bigint,_r:bigint>>>"
-_TEMPLATE = f"struct<_media:string,_initialization:string,_timescale:bigint,_startNumber:bigint,_duration:bigint,_presentationTimeOffset:bigint,Initialization:{_INIT},SegmentTimeline:{_TIMELINE}>"
-_LIST = f"struct<_timescale:bigint,_startNumber:bigint,_duration:bigint,Initialization:{_INIT},SegmentTimeline:{_TIMELINE},SegmentURL:array<struct<_media:string,_mediaRange:string>>>"
+_TIMELINE = "struct<S:array<struct<_t:string,_d:string,_r:string>>>"
+_TEMPLATE = f"struct<_media:string,_initialization:string,_timescale:string,_startNumber:string,_duration:string,_presentationTimeOffset:string,Initialization:{_INIT},SegmentTimeline:{_TIMELINE}>"
+_LIST = f"struct<_timescale:string,_startNumber:string,_duration:string,Initialization:{_INIT},SegmentTimeline:{_TIMELINE},SegmentURL:array<struct<_media:string,_mediaRange:string>>>"
 _LEVEL = f"BaseURL:array<string>,ContentProtection:array<struct<_schemeIdUri:string>>,SegmentTemplate:{_TEMPLATE},SegmentList:{_LIST}"
-_MEDIA = "_mimeType:string,_contentType:string,_codecs:string,_width:bigint,_height:bigint,_lang:string"
-_REP = f"struct<_id:string,_bandwidth:bigint,{_MEDIA},{_LEVEL}>"
+_MEDIA = "_mimeType:string,_contentType:string,_codecs:string,_width:string,_height:string,_lang:string"
+_REP = f"struct<_id:string,_bandwidth:string,{_MEDIA},{_LEVEL}>"
 _SET = f"struct<{_MEDIA},{_LEVEL},Representation:array<{_REP}>>"
 _PERIOD = f"struct<_id:string,_start:string,_duration:string,{_LEVEL},AdaptationSet:array<{_SET}>>"
+_ID = ["manifest_id", "period", "set", "rep"]
 SCHEMA = f"_type string, _mediaPresentationDuration string, BaseURL array<string>, Period array<{_PERIOD}>, _corrupt_record string"
 
 
+def _depth(text: Column) -> Column:
+    """How deep elements are nested, by a fold over start and end tags; comments, CDATA sections and empty elements are left out first."""
+    plain = F.regexp_replace(text, r"""(?s)<!--.*?-->|<!\[CDATA\[.*?\]\]>|<[A-Za-z_](?:[^<>"'/]++|/(?!>)|"[^"]*+"|'[^']*+')*+/>""", "")
+    tags = F.regexp_extract_all(plain, F.lit("</?[A-Za-z_]"), F.lit(0))
+    zero = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+    step = lambda acc, t: F.when(t.startswith("</"), F.struct((acc["now"] - 1).alias("now"), acc["most"].alias("most"))).otherwise(F.struct((acc["now"] + 1).alias("now"), F.greatest(acc["most"], acc["now"] + 1).alias("most")))
+    return F.aggregate(tags, zero, step)["most"]
+
+
 def manifests(texts: DataFrame) -> DataFrame:
     """manifest_id, url, mpd (parsed), error. Texts over the cap, with a document type subset, or that are no manifest get an error."""
-    error = F.when(F.length("text") > K.MAX_MANIFEST_CHARS, "The manifest is too large").when(F.col("text").rlike(r"(?is)<!DOCTYPE[^>]*\["), "Document type declarations are not supported").when(~F.col("text").rlike(r"(?s)^﻿?\s*(?:<\?.*?\?>\s*|<!--.*?-->\s*|<!DOCTYPE[^>]*>\s*)*<(?:[\w.-]+:)?MPD[\s>]"), "Not a DASH manifest")
+    text = F.col("text")
+    error = (
+        F.when(F.length("text") > K.MAX_MANIFEST_CHARS, K.SAYS["large"])
+        .when(text.rlike(r"(?is)<!DOCTYPE[^>]*\["), K.SAYS["doctype"])
+        .when(~text.rlike(r"(?s)^\x{FEFF}?\s*(?:<\?.*?\?>\s*|<!--.*?-->\s*|<!DOCTYPE[^>]*>\s*)*<(?:[\w.-]+:)?MPD[\s/>]"), K.SAYS["root"])
+        .when(F.regexp_count("text", F.lit("<[A-Za-z_]")) > K.MAX_ELEMENTS, K.SAYS["elements"])
+        .when(_depth(text) > K.MAX_DEPTH, K.SAYS["deep"])
+    )
     rows = texts.select("manifest_id", "url", "text", error.alias("error"))
     parsed = F.from_xml(F.when(F.col("error").isNull(), F.col("text")), SCHEMA, {"ignoreNamespace": "true", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record", "valueTag": "_text"})
     rows = rows.withColumn("mpd", parsed)
-    bad = F.coalesce("error", F.when(F.col("mpd").isNull() | F.col("mpd._corrupt_record").isNotNull(), "Malformed XML"))
+    bad = F.coalesce("error", F.when(F.col("mpd").isNull() | F.col("mpd._corrupt_record").isNotNull(), K.SAYS["malformed"]))
     return rows.select("manifest_id", "url", F.when(bad.isNull(), F.col("mpd")).alias("mpd"), bad.alias("error"))
 
 
@@ -61,17 +78,35 @@ def _systems(lists: list[Column]) -> Column:
     return F.when(F.size(names) > 1, F.filter(names, lambda n: n != "CENC")).otherwise(names)
 
 
-def _base(url: Column, *levels: Column) -> Column:
-    for level in levels:
-        text = F.trim(F.try_element_at(level, F.lit(1)))
-        url = F.when(F.coalesce(text, F.lit("")) != "", U.resolve(text, url)).otherwise(url)
-    return url
+def _number(text: Column) -> Column:
+    """A number of an attribute; null if it is missing or none."""
+    x = F.trim(text).try_cast("double")
+    return F.when(~F.isnan(x), x)
+
+
+def _whole(text: Column) -> Column:
+    """The same as a whole number within 2^40, beyond which no count or size is of use."""
+    x = F.trim(text).try_cast("double")
+    return F.when(x.isNotNull() & ~F.isnan(x), F.floor(F.greatest(F.least(x, F.lit(2.0**40)), F.lit(-(2.0**40)))).cast("bigint"))
+
+
+def _scheme(reference: Column) -> Column:
+    return F.replace(F.lit(K.SAYS["scheme"]), F.lit("{scheme}"), F.coalesce(F.nullif(F.regexp_extract(F.trim(reference), "^([A-Za-z][A-Za-z0-9+.-]*:)", 1), F.lit("")), F.trim(reference)))
+
+
+def _rebased(rows: DataFrame, level: str) -> DataFrame:
+    """`base` (parts for references) after a level's BaseURL, and the first error on the way."""
+    text = F.nullif(F.trim(F.get(level, F.lit(0))), F.lit(""))
+    rows = rows.withColumn("__text", text).withColumn("__to", U.resolve(F.col("__text"), F.col("base")))
+    foreign = F.when(F.col("__text").isNotNull() & F.col("__to").isNull(), _scheme(F.col("__text")))
+    return rows.withColumn("error", F.coalesce("error", foreign)).withColumn("base", F.when(F.col("__text").isNull(), F.col("base")).otherwise(U.base(F.col("__to")))).drop("__text", "__to")
 
 
 def representations(p: DataFrame) -> DataFrame:
-    """One row per representation, attributes inherited from its adaptation set and period."""
-    sets = p.select("*", F.posexplode("element.AdaptationSet").alias("set", "s"))
-    reps = sets.select("*", F.posexplode("s.Representation").alias("rep", "r"))
+    """One row per representation, attributes inherited from its adaptation set and period; `error` where a BaseURL is not http(s)."""
+    p = _rebased(_rebased(p.withColumn("base", U.base(F.col("url"))).withColumn("error", F.lit(None).cast("string")), "mpd_base"), "element.BaseURL")
+    sets = _rebased(p.select("*", F.posexplode("element.AdaptationSet").alias("set", "s")), "s.BaseURL")
+    reps = _rebased(sets.select("*", F.posexplode("s.Representation").alias("rep", "r")), "r.BaseURL")
     both = lambda k: F.coalesce(F.col(f"r.{k}"), F.col(f"s.{k}"))
     mime = F.coalesce(both("_mimeType"), F.lit(""))
     kind = F.coalesce(both("_contentType"), F.element_at(F.split(mime, "/"), 1))
@@ -83,9 +118,9 @@ def representations(p: DataFrame) -> DataFrame:
     return reps.select(
         "manifest_id", "type", "total", "period", "start", "duration", "set", "rep",
         F.coalesce("r._id", F.lit("")).alias("id"), kind.alias("kind"), mime.alias("mime"), F.coalesce(both("_codecs"), F.lit("")).alias("codecs"),
-        F.coalesce("r._bandwidth", F.lit(0)).alias("bandwidth"), F.coalesce(both("_width"), F.lit(0)).alias("width"), F.coalesce(both("_height"), F.lit(0)).alias("height"),
+        F.coalesce(_whole(F.col("r._bandwidth")), F.lit(0)).alias("bandwidth"), F.coalesce(_whole(both("_width")), F.lit(0)).alias("width"), F.coalesce(_whole(both("_height")), F.lit(0)).alias("height"),
         F.coalesce(both("_lang"), F.lit("")).alias("lang"), T.container_of(mime).alias("container"), guarded.alias("protected"), _systems(marks).alias("systems"),
-        _base(F.col("url"), F.col("mpd_base"), F.col("element.BaseURL"), F.col("s.BaseURL"), F.col("r.BaseURL")).alias("base"),
+        F.concat("base.origin", "base.path", "base.query").alias("url"), "base", "error",
         *[F.array(*[F.col(f"{x}.{n}") for x in ("r", "s", "element")]).alias(n) for n in ("SegmentTemplate", "SegmentList")],
     )
 
@@ -104,81 +139,150 @@ def protection(reps: DataFrame) -> DataFrame:
 
 
 def summarize(p: DataFrame, reps: DataFrame) -> DataFrame:
-    mains = main_period(p)
-    video, audio = downloadable(reps, mains, "video"), downloadable(reps, mains, "audio")
-    v = video.groupBy("manifest_id").agg(F.count(F.lit(1)).alias("videos"), F.nullif(F.max("height"), F.lit(0)).alias("max_height"))
-    a = audio.groupBy("manifest_id").agg(F.count(F.lit(1)).alias("audios"))
-    n = p.groupBy("manifest_id").agg(F.count(F.lit(1)).alias("periods"), F.max("type").alias("type"))
-    rows = n.join(mains.select("manifest_id", F.coalesce("duration", "total").alias("duration")), "manifest_id").join(v, "manifest_id", "left").join(a, "manifest_id", "left").join(protection(reps), "manifest_id", "left")
-    videos, audios = F.coalesce("videos", F.lit(0)), F.coalesce("audios", F.lit(0))
-    drm = F.coalesce("protected", F.lit(False))
-    return rows.select("manifest_id", F.when(videos > 0, videos).otherwise(audios).alias("variants"), "max_height", ((videos == 0) & (audios > 0)).alias("audio_only"), "duration", (F.col("type") == "dynamic").alias("live"), drm.alias("drm"), F.coalesce("hidden_protected", F.lit(0)).alias("hidden_protected"), F.when(drm, "protected").when(videos + audios == 0, "This manifest lists no downloadable video or audio.").otherwise("").alias("unsupported"), "periods")
+    """One row per manifest, by one aggregate over its representations: variants, max_height, audio_only, duration, live, drm, systems, hidden_protected, unsupported, periods.
+
+    Lists are those of the main period, protection is that of all periods. `unsupported` also names what is wrong with the representation that would be taken.
+    """
+    facts = p.groupBy("manifest_id").agg(F.count(F.lit(1)).alias("periods"), F.max("type").alias("live"), F.max("total").alias("total"), F.max_by(F.struct("period", "duration"), F.struct(F.coalesce("duration", F.lit(0.0)), -F.col("period"))).alias("main"))
+    planned = plans(reps).select(*_ID, "kind", "protected", "systems", "height", "bandwidth", F.col("error").alias("problem"))
+    rows = planned.join(facts.select("manifest_id", F.col("main.period").alias("main")), "manifest_id").withColumn("offered", ~F.col("protected") & (F.col("period") == F.col("main")))
+    video, audio = F.col("offered") & (F.col("kind") == "video"), F.col("offered") & (F.col("kind") == "audio")
+    media = F.col("kind").isin("video", "audio")
+    rank = F.when(video, F.struct(F.lit(1), F.col("height"), F.col("bandwidth"), -F.col("set"), -F.col("rep"))).when(audio, F.struct(F.lit(0), (-F.col("set")).cast("bigint").alias("height"), F.col("bandwidth"), -F.col("set"), -F.col("rep")))
+    g = rows.groupBy("manifest_id").agg(
+        F.count_if(video).alias("videos"), F.count_if(audio).alias("audios"), F.nullif(F.max(F.when(video, F.col("height"))), F.lit(0)).alias("max_height"),
+        F.bool_and(F.when(media, F.col("protected"))).alias("drm"), F.count_if(media & F.col("protected")).alias("n"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.when(media & F.col("protected"), F.col("systems")))))).alias("systems"), F.max_by(F.struct("problem"), rank).alias("first"),
+    )
+    every = facts.join(g, "manifest_id", "left")
+    videos, audios, drm = F.coalesce("videos", F.lit(0)), F.coalesce("audios", F.lit(0)), F.coalesce("drm", F.lit(False))
+    names = F.coalesce(F.nullif(F.array_join("systems", ", "), F.lit("")), F.lit("DRM"))
+    unsupported = F.when(drm, F.replace(F.lit(K.SAYS["drm"]), F.lit("{systems}"), names)).when(videos + audios == 0, K.SAYS["nothing"]).otherwise(F.coalesce("first.problem", F.lit("")))
+    return every.select(
+        "manifest_id", F.when(videos > 0, videos).otherwise(audios).alias("variants"), "max_height", ((videos == 0) & (audios > 0)).alias("audio_only"), F.coalesce("main.duration", "total").alias("duration"),
+        (F.col("live") == "dynamic").alias("live"), drm.alias("drm"), F.when(drm, F.col("systems")).otherwise(F.array().cast("array<string>")).alias("systems"), F.when(drm, 0).otherwise(F.coalesce("n", F.lit(0))).alias("hidden_protected"), unsupported.alias("unsupported"), "periods",
+    )
 
 
 def _inherit(levels: str, name: str) -> Column:
-    return F.coalesce(*[F.col(levels)[k][name] for k in range(3)])
+    return F.coalesce(*[F.get(levels, F.lit(k))[name] for k in range(3)])
 
 
-def plans(reps: DataFrame) -> DataFrame:
-    """How each representation is addressed: template, list or single, with the fields that expansion needs and an error."""
-    some = lambda n: F.exists(n, lambda x: x.isNotNull())
-    t, li = "SegmentTemplate", "SegmentList"
-    mode = F.when(some(t), F.when(_inherit(t, "_media").isNotNull(), "template").otherwise("single")).when(some(li), "list").otherwise("single")
-    pick = lambda name: F.when(F.col("mode") == "template", _inherit(t, name)).otherwise(_inherit(li, name))
-    rows = reps.withColumn("mode", mode)
-    init = F.when(F.col("mode") == "template", F.coalesce(_inherit(t, "_initialization"), _inherit(t, "Initialization")["_sourceURL"])).otherwise(_inherit(li, "Initialization")["_sourceURL"])
-    rows = rows.select("manifest_id", "type", "period", F.col("duration").alias("seconds"), "set", "rep", "id", "bandwidth", "base", "mode", _inherit(t, "_media").alias("media"), init.alias("init"), F.when(F.col("mode") == "list", T.parse_range(_inherit(li, "Initialization")["_range"])).alias("init_range"), F.coalesce(pick("_timescale"), F.lit(1)).alias("timescale"), F.coalesce(pick("_startNumber"), F.lit(1)).alias("start_number"), pick("_duration").alias("ticks"), F.coalesce(_inherit(t, "_presentationTimeOffset"), F.lit(0)).alias("pto"), pick("SegmentTimeline")["S"].alias("timeline"), _inherit(li, "SegmentURL").alias("urls"))
-    error = F.when((F.col("mode") == "template") & F.col("timeline").isNull(), F.when(F.col("ticks").isNull(), "The SegmentTemplate has neither a SegmentTimeline nor a duration.").when(F.col("seconds").isNull() | (F.col("type") == "dynamic"), "This live stream addresses segments by wall-clock time, which is not supported.").when(F.ceil(F.col("seconds") * F.col("timescale") / F.col("ticks")) > K.MAX_SEGMENTS, "The manifest lists too many segments")).when((F.col("mode") != "single") & F.exists("timeline", lambda s: ~F.coalesce(s["_d"] > 0, F.lit(False))), "Invalid SegmentTimeline entry")
-    return rows.withColumn("error", error)
+def _own(levels: str, name: str) -> Column:
+    """A child of the innermost element of that name only."""
+    return F.coalesce(*[F.get(levels, F.lit(k)) for k in range(3)])[name]
+
 
+def _entries(timeline: Column, seconds: Column, timescale: Column, pto: Column) -> Column:
+    """Timeline entries as (time, ticks, repeat, first, open): a fold, since a negative repeat depends on the running time.
 
-def _entries() -> Column:
-    """Timeline entries as (time, ticks, repeat, first): a fold, since a negative repeat depends on the running time."""
-    end = F.col("seconds") * F.col("timescale") + F.col("pto")
-    numbered = F.transform("timeline", lambda s, i: F.struct(s["_t"].alias("t"), s["_d"].alias("d"), F.coalesce(s["_r"], F.lit(0)).alias("r"), F.coalesce(F.try_element_at(F.col("timeline"), i + 2)["_t"].cast("double"), end).alias("next")))
+    The fold goes by blocks of entries, so that its cost is near linear in their number. Entries without a positive duration must be ruled out before.
+    """
+    end = seconds * timescale + pto
+    numbered = F.transform(timeline, lambda s, i: F.struct(_number(s["_t"]).alias("t"), _number(s["_d"]).alias("d"), F.coalesce(_whole(s["_r"]), F.lit(0)).alias("r"), F.coalesce(_number(F.get(timeline, i + 1)["_t"]), end).alias("next")))
+    kind = "array<struct<time:double,ticks:double,repeat:bigint,first:bigint,open:boolean>>"
+    zero = lambda time, count: F.struct(time.alias("time"), count.alias("count"), F.array().cast(kind).alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
         t = F.coalesce(s["t"], acc["time"])
-        r = F.when(s["r"] >= 0, s["r"]).otherwise(F.coalesce(F.greatest(F.lit(0).cast("bigint"), (F.ceil((s["next"] - t) / s["d"]) - 1).cast("bigint")), F.lit(0).cast("bigint")))
-        entry = F.struct(t.alias("time"), s["d"].alias("ticks"), r.alias("repeat"), acc["count"].alias("first"))
+        until = F.greatest(F.lit(0.0), F.least(F.ceil(F.try_divide(s["next"] - t, s["d"])).cast("double") - 1, F.lit(2.0**40))).cast("bigint")
+        r = F.when(s["r"] >= 0, s["r"]).otherwise(F.when(s["next"].isNull(), 0).otherwise(until))
+        entry = F.struct(t.alias("time"), s["d"].alias("ticks"), r.alias("repeat"), acc["count"].alias("first"), ((s["r"] < 0) & s["next"].isNull()).alias("open"))
         return F.struct((t + (r + 1) * s["d"]).alias("time"), (acc["count"] + r + 1).alias("count"), F.concat(acc["out"], F.array(entry)).alias("out"))
 
-    zero = F.struct(F.lit(0).cast("bigint").alias("time"), F.lit(0).cast("bigint").alias("count"), F.array().cast("array<struct<time:bigint,ticks:bigint,repeat:bigint,first:bigint>>").alias("out"))
-    return F.aggregate(numbered, zero, step)["out"]
+    def block(acc: Column, b: Column) -> Column:
+        inner = F.aggregate(b, zero(acc["time"], acc["count"]), step)
+        return F.struct(inner["time"].alias("time"), inner["count"].alias("count"), F.concat(acc["out"], F.array(inner["out"])).alias("out"))
 
+    nothing = F.lit(0).cast("bigint")
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(numbered) - 1) / 256).cast("int")), lambda k: F.slice(numbered, k * 256 + 1, F.lit(256)))
+    start = F.struct(F.lit(0.0).alias("time"), nothing.alias("count"), F.array().cast(f"array<{kind}>").alias("out"))
+    return F.when(F.size(timeline) > 0, F.flatten(F.aggregate(blocks, start, block)["out"])).otherwise(F.array().cast(kind))
 
-_ID = ["manifest_id", "period", "set", "rep"]
+
+def plans(reps: DataFrame) -> DataFrame:
+    """How each representation is addressed: mode (template, list or single), the fields that expansion needs, `init` (url, range), open_ended and an error.
+
+    Nothing a manifest says can stop the job: divisions are guarded, and what cannot be addressed has an error and no segments.
+    """
+    some = lambda n: F.exists(n, lambda x: x.isNotNull())
+    t, li = "SegmentTemplate", "SegmentList"
+    mode = F.when(some(t), F.when(_inherit(t, "_media").isNotNull(), "template").otherwise("single")).when(some(li), "list").otherwise("single")
+    is_template, is_list = F.col("mode") == "template", F.col("mode") == "list"
+    pick = lambda name: F.when(is_template, _inherit(t, name)).when(is_list, _inherit(li, name))
+    rows = reps.withColumn("mode", mode)
+    tokens = T.expand_tokens(T.template_tokens(_inherit(t, "_media")), RepresentationID=F.col("id"), Bandwidth=F.col("bandwidth"))
+    start = T.expand_tokens(T.template_tokens(F.coalesce(_inherit(t, "_initialization"), _own(t, "Initialization")["_sourceURL"])), RepresentationID=F.col("id"), Bandwidth=F.col("bandwidth"))
+    init = F.when(is_template, F.array_join(start, "")).otherwise(_inherit(li, "Initialization")["_sourceURL"])
+    positive = lambda x: F.when(x != 0, x)
+    rows = rows.select(
+        "*", F.col("duration").alias("seconds"), F.when(is_template, tokens).alias("media"), init.alias("init_ref"), (is_list & _inherit(li, "Initialization").isNotNull()).alias("listed_init"),
+        F.when(is_list, T.parse_range(_inherit(li, "Initialization")["_range"])).alias("init_range"), F.coalesce(positive(_number(pick("_timescale"))), F.lit(1.0)).alias("timescale"),
+        F.coalesce(_whole(pick("_startNumber")), F.lit(1)).alias("start_number"), F.nullif(F.trim(pick("_duration")), F.lit("")).alias("said"), F.coalesce(_number(_inherit(t, "_presentationTimeOffset")), F.lit(0.0)).alias("pto"),
+        F.when(is_template | is_list, pick("SegmentTimeline")["S"]).alias("timeline"), pick("SegmentTimeline").isNotNull().alias("timed"), _inherit(li, "SegmentURL").alias("urls"),
+    ).withColumn("ticks", _number(F.col("said")))
+    bad = F.exists("timeline", lambda s: ~F.coalesce(_number(s["_d"]) > 0, F.lit(False)))
+    entries = F.when(is_template & F.col("timed") & ~F.coalesce(bad, F.lit(False)), _entries(F.coalesce("timeline", F.array().cast("array<struct<_t:string,_d:string,_r:string>>")), F.col("seconds"), F.col("timescale"), F.col("pto")))
+    rows = rows.withColumn("entries", entries)
+    count = F.ceil(F.try_divide(F.col("seconds") * F.col("timescale"), F.col("ticks"))).cast("bigint")
+    rows = rows.withColumn("count", F.when(F.col("entries").isNotNull(), F.aggregate("entries", F.lit(0).cast("bigint"), lambda n, e: n + e["repeat"] + 1)).when(is_template, count).when(is_list, F.size("urls").cast("bigint")))
+    first = T.expand_tokens(F.col("media"), Number=F.col("start_number"), Time=_shown(F.coalesce(F.get("entries", F.lit(0))["time"], F.col("pto"))))
+    reference = F.when(is_template, F.array_join(first, ""))
+    away = F.get(F.filter("urls", lambda u: u["_media"].isNotNull() & U.resolve(u["_media"], F.col("base")).isNull()), F.lit(0))["_media"]
+    rows = rows.withColumn("__init", U.resolve(F.nullif(F.col("init_ref"), F.lit("")), F.col("base"))).withColumn("__first", reference).withColumn("__away", away)
+    broken = lambda ref, url: F.when(ref.isNotNull() & url.isNull(), _scheme(ref))
+    error = F.coalesce(
+        "error",
+        F.when(F.col("mode") != "single", broken(F.nullif(F.col("init_ref"), F.lit("")), F.col("__init"))),
+        F.when(is_template & F.col("timed"), F.when(F.coalesce(bad, F.lit(False)), K.SAYS["entry"]))
+        .when(is_template & F.col("said").isNull(), K.SAYS["undated"])
+        .when(is_template & ~F.coalesce(F.col("ticks") > 0, F.lit(False)), K.SAYS["duration"])
+        .when(is_template & (F.col("seconds").isNull() | (F.col("type") == "dynamic")), K.SAYS["wall_clock"]),
+        F.when(F.col("count") > K.MAX_SEGMENTS, K.SAYS["many"]),
+        broken(F.col("__first"), U.resolve(F.col("__first"), F.col("base"))),
+        F.when(is_list & F.col("__away").isNotNull(), _scheme(F.col("__away"))),
+    )
+    where = F.when(F.coalesce(F.col("init_ref"), F.lit("")) != "", F.col("__init")).when(F.col("listed_init"), F.col("url"))
+    init = F.when((F.col("mode") != "single") & where.isNotNull(), F.struct(where.alias("url"), F.col("init_range").alias("range")))
+    return rows.select(
+        *_ID, "id", "kind", "container", "protected", "systems", "width", "height", "bandwidth", "url", "base", "mode", "seconds", "media", init.alias("init"), "timescale", "start_number", "ticks", "pto", "timeline", "entries", "count", "urls",
+        F.coalesce(F.exists("entries", lambda e: e["open"]), F.lit(False)).alias("open_ended"), error.alias("error"),
+    )
+
+
+
+def _shown(x: Column) -> Column:
+    """A number as text, whole ones without a fraction."""
+    return F.when(x == F.floor(x), F.floor(x).cast("string")).otherwise(x.cast("string"))
 
 
 def template_segments(p: DataFrame) -> DataFrame:
-    """Segments of template-addressed representations: number, time, start, duration, url."""
-    rows = p.where("mode = 'template' and error is null")
-    lined = rows.where("timeline is not null").withColumn("entries", _entries()).where(F.aggregate("entries", F.lit(0).cast("bigint"), lambda n, e: n + e["repeat"] + 1) <= K.MAX_SEGMENTS)
-    lined = lined.select("*", F.explode("entries").alias("e")).select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest(F.col("e.repeat"), F.lit(0)))).alias("k"))
-    lined = lined.withColumn("index", F.col("e.first") + F.col("k")).withColumn("time", F.col("e.time") + F.col("k") * F.col("e.ticks")).withColumn("width", F.col("e.ticks"))
-    count = F.ceil(F.col("seconds") * F.col("timescale") / F.col("ticks")).cast("bigint")
-    even = rows.where("timeline is null").where(count > 0).select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), count - 1)).alias("index")).withColumn("time", F.col("index") * F.col("ticks") + F.col("pto")).withColumn("width", F.col("ticks"))
-    keep = [*_ID, "id", "bandwidth", "base", "media", "timescale", "pto", "start_number", "index", "time", "width"]
-    both = lined.select(*keep).unionByName(even.select(*keep)).withColumn("number", F.col("start_number") + F.col("index"))
-    name = T.expand_template(F.col("media"), F.col("id"), F.col("number"), F.col("bandwidth"), F.col("time"))
-    return both.select(*_ID, "index", "number", "time", ((F.col("time") - F.col("pto")) / F.col("timescale")).alias("start"), (F.col("width") / F.col("timescale")).alias("duration"), U.resolve(name, F.col("base")).alias("url"))
+    """Segments of template-addressed representations without an error: id, index, number, time, start, duration, url."""
+    even = F.when(F.col("count") > 0, F.array(F.struct(F.col("pto").alias("time"), F.col("ticks"), (F.col("count") - 1).alias("repeat"), F.lit(0).cast("bigint").alias("first"), F.lit(False).alias("open"))))
+    # Plans that yield nothing leave through `explode`: a filter would be pushed below the plan and work it out twice.
+    good = (F.col("mode") == "template") & F.col("error").isNull()
+    rows = p.select("*", F.explode(F.when(good, F.coalesce("entries", even))).alias("e")).select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), "e.repeat")).alias("k"))
+    rows = rows.withColumn("index", F.col("e.first") + F.col("k")).withColumn("time", F.col("e.time") + F.col("k") * F.col("e.ticks")).withColumn("number", F.col("start_number") + F.col("index"))
+    name = F.array_join(T.expand_tokens(F.col("media"), Number=F.col("number"), Time=_shown(F.col("time"))), "")
+    return rows.select(*_ID, "id", "index", "number", F.floor("time").alias("time"), ((F.col("time") - F.col("pto")) / F.col("timescale")).alias("start"), (F.col("e.ticks") / F.col("timescale")).alias("duration"), U.resolve(name, F.col("base")).alias("url"))
 
 
 def list_segments(p: DataFrame) -> DataFrame:
-    """Segments of list-addressed representations: index, number, start, duration, range, url."""
-    rows = p.where("mode = 'list' and error is null").where(F.size("urls") <= K.MAX_SEGMENTS)
-    spread = F.flatten(F.transform("timeline", lambda s: F.array_repeat(s["_d"], (F.greatest(F.coalesce(s["_r"], F.lit(0)), F.lit(0)) + 1).cast("int"))))
-    rows = rows.select(*_ID, "base", "timescale", "start_number", "ticks", spread.alias("widths"), F.posexplode("urls").alias("index", "u"))
-    width = F.coalesce(F.try_element_at("widths", F.col("index") + 1), F.col("ticks"), F.lit(0)) / F.col("timescale")
+    """Segments of list-addressed representations without an error: id, index, number, start, duration, range, url. A timeline entry without a duration lasts NaN."""
+    good = (F.col("mode") == "list") & F.col("error").isNull()
+    repeat = lambda s: F.least(F.greatest(F.coalesce(_whole(s["_r"]), F.lit(0)), F.lit(0)) + 1, F.lit(K.MAX_SEGMENTS)).cast("int")
+    spread = F.flatten(F.transform("timeline", lambda s: F.array_repeat(F.coalesce(s["_d"].try_cast("double"), F.lit(float("nan"))), repeat(s))))
+    rows = p.select(*_ID, "id", "url", "base", "timescale", "start_number", "ticks", spread.alias("widths"), F.posexplode(F.when(good, F.col("urls"))).alias("index", "u"))
+    width = F.coalesce(F.get("widths", F.col("index")), F.col("ticks"), F.lit(0.0)) / F.col("timescale")
     rows = rows.withColumn("duration", width)
     w = Window.partitionBy(*_ID).orderBy("index").rowsBetween(Window.unboundedPreceding, -1)
-    return rows.select(*_ID, "index", (F.col("start_number") + F.col("index")).alias("number"), F.coalesce(F.sum("duration").over(w), F.lit(0.0)).alias("start"), "duration", T.parse_range(F.col("u._mediaRange")).alias("range"), F.when(F.col("u._media").isNull(), F.col("base")).otherwise(U.resolve(F.col("u._media"), F.col("base"))).alias("url"))
+    return rows.select(*_ID, "id", "index", (F.col("start_number") + F.col("index")).alias("number"), F.coalesce(F.sum("duration").over(w), F.lit(0.0)).alias("start"), "duration", T.parse_range(F.col("u._mediaRange")).alias("range"), F.when(F.col("u._media").isNull(), F.col("url")).otherwise(U.resolve(F.col("u._media"), F.col("base"))).alias("url"))
 
 
 def can_merge(video: DataFrame, audio: DataFrame) -> DataFrame:
-    """Manifests whose video and audio plans can be merged: both mp4, both segmented, both with an init segment."""
-    fit = lambda c: (F.col("container") == "mp4") & (F.col("mode") != "single") & F.col("init").isNotNull()
-    both = video.select("manifest_id", fit(0).alias("v")).join(audio.select("manifest_id", fit(1).alias("a")), "manifest_id")
+    """For each pair of a video and an audio plan of a manifest (one of each): whether both are mp4 in segments after an initialisation segment, without an error."""
+    fit = F.coalesce((F.col("container") == "mp4") & (F.col("mode") != "single") & F.col("init").isNotNull() & (F.col("count") > 0) & F.col("error").isNull(), F.lit(False))
+    both = video.select("manifest_id", fit.alias("v")).join(audio.select("manifest_id", fit.alias("a")), "manifest_id")
     return both.select("manifest_id", (F.col("v") & F.col("a")).alias("can_merge"))
 
 

@@ -29,17 +29,17 @@ def _number(text: Column) -> Column:
 
 
 def playlists(texts: DataFrame) -> DataFrame:
-    """playlist_id, base_url, kind (master or media), lines, error. Too long or other texts get an error and no lines."""
+    """playlist_id, base (for references), kind (master or media), lines, error. Too long or other texts get an error and no lines."""
     split = F.filter(F.transform(F.split(F.regexp_replace("text", "^﻿", ""), r"\r?\n"), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+\z", "")), lambda x: x != "")
     rows = texts.select("playlist_id", "base_url", F.when(F.length("text") <= K.MAX_MANIFEST_CHARS, split).alias("lines"))
     n = F.size(F.coalesce("lines", F.array().cast("array<string>")))
-    error = F.when(F.col("lines").isNull() | (n > K.MAX_LINES), "Playlist is too large").when(~F.coalesce(F.try_element_at("lines", F.lit(1)).startswith("#EXTM3U"), F.lit(False)), "Not an HLS playlist")
+    error = F.when(F.col("lines").isNull() | (n > K.MAX_LINES), K.SAYS["playlist_large"]).when(~F.coalesce(F.try_element_at("lines", F.lit(1)).startswith("#EXTM3U"), F.lit(False)), K.SAYS["playlist"])
     kind = F.when(F.exists("lines", lambda x: x.startswith("#EXT-X-STREAM-INF")), "master").otherwise("media")
-    return rows.withColumn("error", error).select("playlist_id", "base_url", F.when(F.col("error").isNull(), kind).alias("kind"), F.when(F.col("error").isNull(), F.col("lines")).alias("lines"), "error")
+    return rows.withColumn("error", error).select("playlist_id", U.base(F.col("base_url")).alias("base"), F.when(F.col("error").isNull(), kind).alias("kind"), F.when(F.col("error").isNull(), F.col("lines")).alias("lines"), "error")
 
 
 def _lines(parsed: DataFrame, kind: str) -> DataFrame:
-    return parsed.where(F.col("kind") == kind).select("playlist_id", "base_url", F.posexplode("lines").alias("line_no", "line"))
+    return parsed.where(F.col("kind") == kind).select("playlist_id", "base", F.posexplode("lines").alias("line_no", "line"))
 
 
 def _value(line: Column = None) -> Column:
@@ -53,13 +53,13 @@ def variants(parsed: DataFrame) -> DataFrame:
     uri = ~F.col("line").startswith("#")
     rows = rows.withColumn("before", F.lag("line").over(w)).where(uri & F.col("before").startswith("#"))
     a = attributes(F.regexp_extract("before", "(?s)^[^:]*:(.*)", 1))
-    rows = rows.select("playlist_id", "base_url", "line_no", "line", a.alias("a"), (F.row_number().over(w) - 1).alias("index")).where(F.col("index") < K.MAX_VARIANTS)
+    rows = rows.select("playlist_id", "base", "line_no", "line", a.alias("a"), (F.row_number().over(w) - 1).alias("index")).where(F.col("index") < K.MAX_VARIANTS)
     size = attribute(F.col("a"), "RESOLUTION")
     side = lambda k: F.coalesce(F.regexp_extract(size, r"(?i)^([0-9]+)x([0-9]+)\z", k).try_cast("int"), F.lit(0))
     return rows.select(
         "playlist_id",
         "index",
-        U.resolve(F.col("line"), F.col("base_url")).alias("url"),
+        U.resolve(F.col("line"), F.col("base")).alias("url"),
         _number(attribute(F.col("a"), "BANDWIDTH")).cast("bigint").alias("bandwidth"),
         _number(attribute(F.col("a"), "AVERAGE-BANDWIDTH")).cast("bigint").alias("avg_bandwidth"),
         side(1).alias("width"),
@@ -74,7 +74,7 @@ def variants(parsed: DataFrame) -> DataFrame:
 def renditions(parsed: DataFrame) -> DataFrame:
     rows = _lines(parsed, "master").where("startswith(line, '#EXT-X-MEDIA:')").withColumn("a", attributes(_value()))
     get = lambda n: attribute(F.col("a"), n)
-    return rows.select("playlist_id", "line_no", get("TYPE").alias("type"), get("GROUP-ID").alias("group_id"), get("NAME").alias("name"), get("LANGUAGE").alias("language"), (get("DEFAULT") == "YES").alias("is_default"), (get("AUTOSELECT") == "YES").alias("autoselect"), F.when(get("URI") != "", U.resolve(get("URI"), F.col("base_url"))).alias("url"))
+    return rows.select("playlist_id", "line_no", get("TYPE").alias("type"), get("GROUP-ID").alias("group_id"), get("NAME").alias("name"), get("LANGUAGE").alias("language"), (get("DEFAULT") == "YES").alias("is_default"), (get("AUTOSELECT") == "YES").alias("autoselect"), F.when(get("URI") != "", U.resolve(get("URI"), F.col("base"))).alias("url"))
 
 
 def session_keys(parsed: DataFrame) -> DataFrame:
@@ -102,46 +102,65 @@ def segments(parsed: DataFrame) -> DataFrame:
     """Segments of media playlists, one row each: index, sequence, url, duration, byte range, key, drm, map, discontinuity.
 
     Tags belong to the next URI line; keys stay in effect per format until replaced or removed; a map keeps the keys in effect at its tag.
+    Everything is read in one pass over the lines of a playlist (windows of one order); only keys of other formats than
+    `identity`, which few playlists have, are laid out per format and joined back as one array a playlist.
     """
     by = Window.partitionBy("playlist_id").orderBy("line_no")
     sofar = by.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     earlier = by.rowsBetween(Window.unboundedPreceding, -1)
-    rows = _lines(parsed, "media").withColumn("uri", ~F.col("line").startswith("#"))
-    tag = lambda t: F.col("line").startswith(t)
-    rows = rows.withColumn("index", F.coalesce(F.sum(F.col("uri").cast("int")).over(earlier), F.lit(0)))
-    rows = rows.withColumn("media_sequence", F.coalesce(F.last(F.when(tag("#EXT-X-MEDIA-SEQUENCE:"), _number(_value()).cast("bigint")), ignorenulls=True).over(sofar), F.lit(0)))
-    a = attributes(_value())
-    rows = rows.withColumn("a", F.when(tag("#EXT-X-KEY:") | tag("#EXT-X-MAP:"), a))
-    points = rows.where(F.col("uri") | tag("#EXT-X-MAP:"))
+    tags = ("#EXT-X-KEY:", "#EXT-X-MAP:", "#EXTINF:", "#EXT-X-BYTERANGE:", "#EXT-X-MEDIA-SEQUENCE:", "#EXT-X-DISCONTINUITY")
+    tag = F.when(~F.col("line").startswith("#"), "uri")
+    for t in tags[:-1]:
+        tag = tag.when(F.col("line").startswith(t), t)
+    rows = _lines(parsed, "media").withColumn("tag", tag.when(F.col("line") == tags[-1], tags[-1])).where("tag is not null")
+    is_ = lambda t: F.col("tag") == t
+    rows = rows.withColumn("value", F.when(is_("uri"), F.col("line")).otherwise(_value())).drop("line")
+    rows = rows.withColumn("a", F.when(is_(tags[0]) | is_(tags[1]), attributes(F.col("value"))))
+    index = F.coalesce(F.sum(F.when(is_("uri"), 1).otherwise(0)).over(earlier), F.lit(0)).cast("int")
+    epoch = F.coalesce(F.sum(F.when(is_(tags[0]), 1).otherwise(0)).over(sofar), F.lit(0)).cast("int")
+    rows = rows.withColumn("index", index).withColumn("epoch", epoch)
     fmt = F.coalesce(F.nullif(attribute(F.col("a"), "KEYFORMAT"), F.lit("")), F.lit("identity"))
     uri = F.nullif(attribute(F.col("a"), "URI"), F.lit(""))
-    key = F.struct(attribute(F.col("a"), "METHOD").alias("method"), F.when(fmt == "identity", U.resolve(uri, F.col("base_url"))).otherwise(uri).alias("url"), T.parse_iv(attribute(F.col("a"), "IV")).alias("iv"), fmt.alias("key_format"))
-    tags = rows.where(tag("#EXT-X-KEY:")).select("playlist_id", "line_no", fmt.alias("key_format"), F.struct(key.alias("key"), (attribute(F.col("a"), "METHOD") == "NONE").alias("gone")).alias("event"))
-    formats = tags.select("playlist_id", "key_format").distinct()
-    per_format = Window.partitionBy("playlist_id", "key_format").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    asked = points.select("playlist_id", "line_no").join(formats, "playlist_id").withColumn("event", F.lit(None).cast(f"struct<key:{KEY},gone:boolean>"))
-    held = asked.withColumn("point", F.lit(True)).unionByName(tags.withColumn("point", F.lit(False))).withColumn("now", F.last("event", ignorenulls=True).over(per_format)).where("point and now is not null and not now.gone")
-    keys = held.groupBy("playlist_id", "line_no").agg(F.max(F.when(F.col("key_format") == "identity", F.col("now.key"))).alias("key"), F.array_sort(F.collect_list(F.when(F.col("key_format") != "identity", F.col("now.key")))).alias("drm"))
-    none = F.array().cast(f"array<{KEY}>")
-    points = points.join(keys, ["playlist_id", "line_no"], "left").withColumn("drm", F.coalesce("drm", none))
+    method = attribute(F.col("a"), "METHOD")
+    key = F.struct(method.alias("method"), F.when(fmt == "identity", U.resolve(uri, F.col("base"))).otherwise(uri).alias("url"), T.parse_iv(attribute(F.col("a"), "IV")).alias("iv"), fmt.alias("key_format"))
+    event = F.when(is_(tags[0]), F.struct(fmt.alias("key_format"), F.when(method != "NONE", key).alias("key")))
     span = T.parse_byte_range(attribute(F.col("a"), "BYTERANGE"))
-    map_uri = F.nullif(attribute(F.col("a"), "URI"), F.lit(""))
-    found = F.struct(F.when(map_uri.isNotNull(), F.struct(U.resolve(map_uri, F.col("base_url")).alias("url"), F.when(span.isNotNull(), F.struct(F.coalesce(span["offset"], F.lit(0)).alias("offset"), span["length"].alias("length"))).alias("byte_range"), F.col("key"), F.col("drm"))).alias("map"))
-    points = points.withColumn("map_now", F.last(F.when(~F.col("uri"), found), ignorenulls=True).over(sofar))
-    pending = rows.groupBy("playlist_id", "index").agg(
-        F.max_by(F.when(tag("#EXTINF:"), _number(_value())), F.when(tag("#EXTINF:"), F.col("line_no"))).alias("duration"),
-        F.max_by(F.when(tag("#EXT-X-BYTERANGE:"), T.parse_byte_range(_value())), F.when(tag("#EXT-X-BYTERANGE:"), F.col("line_no"))).alias("range"),
-        F.bool_or(F.col("line") == "#EXT-X-DISCONTINUITY").alias("discontinuity"),
-    )
-    out = points.where("uri").withColumn("url", U.resolve(F.col("line"), F.col("base_url"))).join(pending, ["playlist_id", "index"])
+    found_map = F.when(is_(tags[1]), F.struct(F.when(uri.isNotNull(), F.struct(U.resolve(uri, F.col("base")).alias("url"), F.when(span.isNotNull(), F.struct(F.coalesce(span["offset"], F.lit(0)).cast("bigint").alias("offset"), span["length"].alias("length"))).alias("byte_range"))).alias("map"), F.col("epoch").alias("epoch")))
+    rows = rows.withColumn("event", event).withColumn("found_map", found_map)
+    last = lambda x: F.last(x, ignorenulls=True).over(sofar)
+    pending = lambda t, x: last(F.when(is_(t), F.struct(F.col("index").alias("i"), x.alias("x"))))
+    plain = F.when(F.col("event.key_format") == "identity", F.struct(F.col("event.key").alias("key")))
+    rows = rows.select(
+        "playlist_id", "base", "line_no", "tag", "value", "index", "epoch", "event", "found_map",
+        last(F.when(is_(tags[4]), _number(F.col("value")).cast("bigint"))).alias("media_sequence"), last(plain)["key"].alias("key"),
+        pending(tags[2], _number(F.col("value"))).alias("lasting"), pending(tags[3], T.parse_byte_range(F.col("value"))).alias("ranged"), pending(tags[5], F.lit(True)).alias("broken"),
+    )
+    rows = rows.withColumn("map_now", last(F.when(F.col("found_map").isNotNull(), F.struct("found_map.*", F.col("key")))))
+    # Keys of other formats: for each epoch (count of key tags so far) of a playlist that has any, the keys in effect.
+    other = rows.where((F.col("tag") == tags[0]) & (F.col("event.key_format") != "identity")).select("playlist_id", "epoch", "event.*")
+    until = F.lead("epoch").over(Window.partitionBy("playlist_id", "key_format").orderBy("epoch"))
+    ends = rows.groupBy("playlist_id").agg(F.max("epoch").alias("top"), F.max(F.when(F.col("event.key_format") != "identity", True)).alias("some")).where("some")
+    held = other.withColumn("until", until).join(ends, "playlist_id").where("key is not null").select("playlist_id", F.explode(F.sequence("epoch", F.coalesce(F.col("until") - 1, F.col("top")))).alias("epoch"), "key")
+    every = ends.select("playlist_id", F.explode(F.sequence(F.lit(1), "top")).alias("epoch"), F.lit(None).cast(KEY).alias("key"))
+    held = held.unionByName(every).groupBy("playlist_id", "epoch").agg(F.array_sort(F.collect_list("key")).alias("drm"))
+    states = held.groupBy("playlist_id").agg(F.array_sort(F.collect_list(F.struct("epoch", "drm"))).alias("states"))
+    none = F.array().cast(f"array<{KEY}>")
+    at = lambda epoch: F.coalesce(F.get("states", epoch - 1)["drm"], none)
+    rows = rows.where(is_("uri")).join(states, "playlist_id", "left")
+    now = F.col("map_now.map")
+    out = rows.select(
+        "playlist_id", "index", (F.coalesce("media_sequence", F.lit(0)) + F.col("index")).alias("sequence"), U.resolve(F.col("value"), F.col("base")).alias("url"),
+        F.coalesce(F.when(F.col("lasting.i") == F.col("index"), F.col("lasting.x")), F.lit(0.0)).alias("duration"), F.when(F.col("ranged.i") == F.col("index"), F.col("ranged.x")).alias("range"), "key", at(F.col("epoch")).alias("drm"),
+        F.when(now.isNotNull(), F.struct(now["url"].alias("url"), now["byte_range"].alias("byte_range"), F.col("map_now.key").alias("key"), at(F.col("map_now.epoch")).alias("drm"))).alias("map"),
+        F.coalesce(F.col("broken.i") == F.col("index"), F.lit(False)).alias("discontinuity"),
+    )
     # An explicit offset starts a run of its URL; implicit ones follow on.
-    ranged = out.where("range is not null").select("playlist_id", "index", "url", "range")
-    per_url = Window.partitionBy("playlist_id", "url").orderBy("index")
-    ranged = ranged.withColumn("run", F.count("range.offset").over(per_url))
-    per_run = Window.partitionBy("playlist_id", "url", "run").orderBy("index")
+    has = F.col("range").isNotNull()
+    per_url = Window.partitionBy("playlist_id", "url", has).orderBy("index")
+    out = out.withColumn("run", F.count("range.offset").over(per_url))
+    per_run = Window.partitionBy("playlist_id", "url", has, "run").orderBy("index")
     offset = F.coalesce(F.first("range.offset").over(per_run), F.lit(0)) + F.coalesce(F.sum("range.length").over(per_run.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranged = ranged.select("playlist_id", "index", offset.cast("bigint").alias("range_offset"), F.col("range.length").alias("range_length"))
-    return out.join(ranged, ["playlist_id", "index"], "left").select("playlist_id", F.col("index").cast("int").alias("index"), (F.col("media_sequence") + F.col("index")).alias("sequence"), "url", F.coalesce("duration", F.lit(0.0)).alias("duration"), "range_offset", "range_length", "key", "drm", F.col("map_now.map").alias("map"), "discontinuity")
+    return out.select("playlist_id", "index", "sequence", "url", "duration", F.when(has, offset.cast("bigint")).alias("range_offset"), F.col("range.length").alias("range_length"), "key", "drm", "map", "discontinuity")
 
 
 def encryption(segs: DataFrame) -> DataFrame:
@@ -149,13 +168,13 @@ def encryption(segs: DataFrame) -> DataFrame:
     here = F.array(F.struct(F.col("key"), F.col("drm"), F.lit(0).alias("o")), F.struct(F.col("map.key").alias("key"), F.col("map.drm").alias("drm"), F.lit(1).alias("o")))
     uses = segs.select("playlist_id", "index", F.explode(here).alias("u")).select("playlist_id", "index", "u.*")
     only = F.col("key").isNull() & (F.coalesce(F.size("drm"), F.lit(0)) > 0)
-    bad = F.when(F.col("key.method") != "AES-128", F.concat(F.lit("Unsupported encryption method "), F.col("key.method"), F.lit("."))).when(F.col("key").isNotNull() & F.col("key.url").isNull(), "Encrypted stream without a usable key URI.")
+    bad = F.when(F.col("key.method") != "AES-128", F.replace(F.lit(K.SAYS["method"]), F.lit("{method}"), F.col("key.method"))).when(F.col("key").isNotNull() & F.col("key.url").isNull(), K.SAYS["no_key"])
     rows = uses.select("playlist_id", "index", "o", "key", only.alias("only"), bad.alias("bad"), F.when(only, F.transform("drm", lambda d: T.drm_system(d["key_format"]))).alias("names"))
     order = F.when(F.col("bad").isNotNull(), F.struct("index", "o"))
     g = rows.groupBy("playlist_id").agg(F.bool_or("only").alias("drm"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("names")))).alias("systems"), F.min_by("bad", order).alias("bad"), F.min_by("key.method", order).alias("bad_method"), F.bool_or(F.col("key").isNotNull()).alias("plain"))
     method = F.when(F.col("drm"), "DRM").when(F.col("bad").isNotNull(), F.col("bad_method")).when(F.col("plain"), "AES-128").otherwise("NONE")
     names = F.array_join("systems", ", ")
-    reason = F.when(F.col("drm"), F.concat(F.lit("DRM-protected ("), names, F.lit("): this stream can only be played by a licensed player and cannot be downloaded."))).otherwise(F.coalesce("bad", F.lit("")))
+    reason = F.when(F.col("drm"), F.replace(F.lit(K.SAYS["drm"]), F.lit("{systems}"), names)).otherwise(F.coalesce("bad", F.lit("")))
     return g.select("playlist_id", method.alias("method"), (~F.col("drm") & F.col("bad").isNull()).alias("supported"), "drm", F.when(F.col("drm"), F.col("systems")).otherwise(F.array().cast("array<string>")).alias("systems"), reason.alias("reason"))
 
 
@@ -197,6 +216,21 @@ def decrypted(segs: DataFrame, bodies: DataFrame, keys: DataFrame) -> DataFrame:
 
     rows = segs.where("size(drm) = 0 or key is not null").join(bodies, "url").join(keys.select(F.col("url").alias("key_url"), F.col("key").alias("secret")), F.col("key.url") == F.col("key_url"), "left")
     part = F.when(F.col("range_length").isNull(), F.col("body")).otherwise(F.expr("substring(body, cast(range_offset + 1 as int), cast(range_length as int))"))
-    rows = rows.withColumn("part", part).withColumn("clear", F.when(F.col("key").isNull(), F.col("part")).otherwise(T.decrypt(F.col("part"), F.col("secret"), F.coalesce("key.iv", T.iv_from_sequence(F.col("sequence"))))))
-    error = F.when(F.octet_length("part") != F.col("range_length"), "wrong length").when(F.col("clear").isNull(), "no usable key").when(is_text_start(F.col("clear")), "not media")
+    iv = F.coalesce("key.iv", T.iv_from_sequence(F.col("sequence")))
+    usable = F.coalesce((F.octet_length("secret") == 16) & (F.octet_length("part") % 16 == 0) & (F.octet_length("part") > 0), F.lit(False))
+    rows = rows.withColumn("part", part).withColumn("clear", F.when(F.col("key").isNull(), F.col("part")).when(usable, T.decrypt(F.col("part"), F.col("secret"), iv)))
+    wrong_key = F.replace(F.lit(K.SAYS["key"]), F.lit("{n}"), F.octet_length("secret").cast("string"))
+    error = (
+        F.when(F.octet_length("part") != F.col("range_length"), "wrong length")
+        .when(F.col("key").isNotNull() & (F.octet_length("secret") != 16), wrong_key)
+        .when(F.col("clear").isNull(), "no usable key")
+        .when(is_text_start(F.col("clear")), "not media")
+    )
     return rows.select("playlist_id", "index", F.when(error.isNull(), F.col("clear")).alias("data"), error.alias("error"))
+
+
+def format_changes(maps: DataFrame) -> DataFrame:
+    """Initialisation segments that differ in bytes from the first of their playlist. Input: playlist_id, index, data; a partial aggregate by digest."""
+    digests = maps.select("playlist_id", "index", F.sha2("data", 256).alias("digest"))
+    first = digests.groupBy("playlist_id").agg(F.min_by("digest", "index").alias("first"))
+    return digests.join(first, "playlist_id").where("digest <> first").select("playlist_id", "index", F.lit(K.SAYS["format"]).alias("error"))

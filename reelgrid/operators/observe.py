@@ -11,9 +11,8 @@ from reelgrid.functions import urls as U
 
 
 def classified(obs: DataFrame) -> DataFrame:
-    """Observations that are media, with their class, canonical key and id."""
-    found = obs.withColumn("class", C.classify_response(F.col("url"), F.col("status"), F.col("headers"))).where(F.col("class").isNotNull())
-    return found.select("tab_id", "seen", "event_id", "url", "initiator", "class.*", U.dedupe_key(F.col("url")).alias("key")).withColumn("id", U.hash_string(F.col("key")))
+    """Observations that are media, with their class and canonical key."""
+    return C.with_class(obs).select("tab_id", "seen", "event_id", "url", "initiator", "class.*", "key")
 
 
 def upsert(items: DataFrame) -> DataFrame:
@@ -21,7 +20,7 @@ def upsert(items: DataFrame) -> DataFrame:
     first, last = F.struct("seen", "event_id"), F.struct("seen", "event_id")
     known = F.when(F.coalesce("size", F.lit(0)) > 0, F.col("size"))
     named = F.nullif(F.col("mime"), F.lit(""))
-    return items.groupBy("tab_id", "key", "id").agg(
+    return items.groupBy("tab_id", "key").agg(
         F.min("seen").alias("seen"),
         F.min_by("kind", first).alias("kind"),
         F.min_by("media", first).alias("media"),
@@ -62,10 +61,13 @@ def hide_children(items: DataFrame, children: DataFrame) -> DataFrame:
     return items.join(marks, ["tab_id", "key"], "left").withColumn("hidden", F.coalesce("__hidden", F.lit(False))).drop("__hidden")
 
 
+def _rank() -> Column:
+    return F.create_map(*[F.lit(x) for pair in K.SOURCE_RANK.items() for x in pair])[F.col("source")]
+
+
 def best_source(found: DataFrame) -> DataFrame:
     """Per tab and URL the most trusted source; of equal rank the first found."""
-    rank = F.create_map(*[F.lit(x) for pair in K.SOURCE_RANK.items() for x in pair])[F.col("source")]
-    return found.groupBy("tab_id", "url").agg(F.max_by("source", F.struct(rank, -F.col("event_id"))).alias("source"))
+    return found.groupBy("tab_id", "url").agg(F.max_by("source", F.struct(_rank(), -F.col("event_id"))).alias("source"))
 
 
 def report_changes(events: DataFrame, keys: list[str], order: list[str], signature: Column) -> DataFrame:
@@ -94,20 +96,57 @@ def fresh_jobs(jobs: DataFrame, as_of: Column) -> DataFrame:
 
 def diagnostics(items: DataFrame) -> DataFrame:
     """What may be shown to others: no query strings, no titles."""
-    return items.select("tab_id", "id", "key", "kind", "media", "mime", "ext", "size", U.safe_url(F.col("url")).alias("url"), U.host_of(F.col("initiator")).alias("page_host"))
-
-
-def page_media(pages: DataFrame, limit: int = 60) -> DataFrame:
-    """Media URLs of stored pages: element sources, links and meta tags with a media extension, the best source of each, at most `limit` a page."""
-    ext = r"\.(?:mp4|m4v|webm|mkv|mov|m3u8|mpd|mp3|m4a|ogg|oga|opus|wav|flac|ogv)(?:[?#][^\"'\s>]*)?"
-    tags = {"element": rf"(?i)<(?:video|audio|source)\b[^>]*?\bsrc\s*=\s*[\"']?([^\"'\s>]+)", "link": rf"(?i)<a\b[^>]*?\bhref\s*=\s*[\"']?([^\"'\s>]+?{ext})[\"'\s>]", "meta": r"(?i)<meta\b[^>]*?\bproperty\s*=\s*[\"']?og:video(?::url)?[\"']?[^>]*?\bcontent\s*=\s*[\"']?([^\"'\s>]+)"}
-
-    def tagged(source: str, pattern: str) -> Column:
-        refs = F.slice(F.regexp_extract_all("html", F.lit(pattern), F.lit(1)), 1, 20 if source == "link" else limit)
-        return F.transform(refs, lambda u: F.struct(F.lit(source).alias("source"), u.alias("ref")))
-
-    found = F.concat(*[tagged(s, p) for s, p in tags.items()])
-    rows = pages.select("page_id", "url", F.posexplode(found).alias("place", "m")).select("page_id", "place", "m.source", U.resolve(F.col("m.ref"), F.col("url")).alias("media_url")).where(F.col("media_url").isNotNull())
-    best = best_source(rows.select(F.col("page_id").alias("tab_id"), F.col("media_url").alias("url"), "source", F.col("place").alias("event_id")))
-    w = Window.partitionBy("tab_id").orderBy("url")
-    return best.withColumn("n", F.row_number().over(w)).where(F.col("n") <= limit).select(F.col("tab_id").alias("page_id"), F.col("url").alias("media_url"), "source")
+    return items.select("tab_id", U.hash_string(F.col("key")).alias("id"), "key", "kind", "media", "mime", "ext", "size", U.safe_url(F.col("url")).alias("url"), U.host_of(F.col("initiator")).alias("page_host"))
+
+
+def page_media(pages: DataFrame, entries: DataFrame | None = None, limit: int = 60, links: int = 20) -> DataFrame:
+    """Media URLs of stored pages: what elements play, what was requested (`entries`: page_id, name), links and a player's meta tag.
+
+    Of each URL the most trusted source counts; at most `links` links and `limit` URLs a page, in the order found. Links and requests count by
+    their path's extension; element sources and the meta tag whatever they name. A blob source is no URL. Pages come one row each.
+    """
+    quoted = r"\s*=\s*[\"']?([^\"'\s>]+)"
+    rows = pages.select("page_id", F.col("url").alias("page_url"), U.base(F.col("url")).alias("base"), "html")
+    tag = lambda pattern, k=0: F.regexp_extract_all("html", F.lit(pattern), F.lit(k))
+    sources = F.transform(tag(r"(?i)<(?:video|audio|source)\b[^>]*>"), lambda t: F.regexp_extract(t, rf"(?i)\ssrc{quoted}", 1))
+    hrefs = F.transform(tag(r"(?i)<a\b[^>]*>"), lambda t: F.regexp_extract(t, rf"(?i)\shref{quoted}", 1))
+    metas = F.slice(F.filter(tag(r"(?i)<meta\b[^>]*>"), lambda t: t.rlike(r"(?i)\sname\s*=\s*[\"']?twitter:player:stream[\"'\s/>]")), 1, 1)
+    metas = F.transform(metas, lambda t: F.regexp_extract(t, r"(?i)\scontent\s*=\s*[\"']?([^\"'>]+)", 1))
+    solved = lambda refs: F.filter(F.transform(F.filter(refs, lambda u: (u != "") & ~u.startswith("blob:")), lambda u: U.resolve(u, F.col("base"))), lambda u: u.isNotNull())
+    media = lambda u: F.regexp_replace(u, "[?#].*", "").rlike(K.MEDIA_PATH)
+    marked = lambda urls, source, at: F.transform(urls, lambda u, i: F.struct(F.lit(source).alias("source"), u.alias("url"), (F.lit(at) + i).cast("bigint").alias("event_id")))
+    found = F.concat(marked(solved(sources), "element", 0), marked(F.slice(F.filter(solved(hrefs), media), 1, links), "link", 2 << 40), marked(solved(metas), "meta", 3 << 40))
+    each = rows.select(F.col("page_id").alias("tab_id"), F.explode(found).alias("m")).select("tab_id", "m.source", "m.url", "m.event_id")
+    if entries is not None:
+        timed = entries.where(media(F.col("name"))).select(F.col("page_id").alias("tab_id"), F.lit("timing").alias("source"), F.col("name").alias("url"), (F.coalesce(F.col("place"), F.lit(0)).cast("bigint") + F.lit(1 << 40)).alias("event_id"))
+        each = each.unionByName(timed)
+    best = each.groupBy("tab_id", "url").agg(F.max_by("source", F.struct(_rank(), -F.col("event_id"))).alias("source"), F.min("event_id").alias("first"))
+    w = Window.partitionBy("tab_id").orderBy("first", "url")
+    return best.withColumn("n", F.row_number().over(w)).where(F.col("n") <= limit).select(F.col("tab_id").alias("page_id"), F.col("url").alias("media_url"), "source", (F.col("n") - 1).alias("place"))
+
+
+def decisions(found: DataFrame, probe_counts: DataFrame | None = None) -> DataFrame:
+    """What is to be done with each candidate (tab_id, url, kind, source, via, size, initiator), as columns: fetchable, from_player, listed, probe.
+
+    `probe_counts` (tab_id, probes) tells how many probes a tab has spent; over its budget, requests of a player are not listed and nothing is probed.
+    """
+    rows = found if probe_counts is None else found.join(probe_counts, "tab_id", "left")
+    over = F.lit(False) if probe_counts is None else F.coalesce(F.col("probes") >= K.MAX_PROBES, F.lit(False))
+    fetchable = F.coalesce(C.fetchable(F.col("source"), F.col("url"), F.col("initiator")), F.lit(False))
+    player = F.coalesce(F.col("via").isin("xmlhttprequest", "other"), F.lit(False))
+    rows = rows.withColumn("fetchable", fetchable).withColumn("from_player", player).withColumn("over", over)
+    file = F.col("kind") == "file"
+    out = rows.withColumn("listed", ~(file & F.col("from_player") & F.col("over"))).withColumn("probe", file & (F.col("size").isNull() | F.col("from_player")) & F.col("fetchable") & ~F.col("over"))
+    return out.drop("over", "probes")
+
+
+def probed(items: DataFrame, probes: DataFrame) -> DataFrame:
+    """Items after verification. `probes` has tab_id, key and probe (from `probe_result`; null where the file could not be reached, which keeps the item).
+
+    listed is false for what turned out to be no media, a fragment or too small; others take the size and the type they lacked.
+    """
+    joined = items.join(probes, ["tab_id", "key"], "left")
+    p = F.col("probe")
+    listed = F.col("probe").isNull() | C.verified(p)
+    size, mime = F.coalesce("size", p["size"]), F.coalesce(F.nullif(F.col("mime"), F.lit("")), p["mime"], F.lit(""))
+    return joined.withColumn("listed", listed).withColumn("size", F.when(F.col("listed"), size).otherwise(F.col("size"))).withColumn("mime", F.when(F.col("listed"), mime).otherwise(F.col("mime"))).drop("probe")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -14,34 +13,12 @@ from reelgrid.functions import classify as C
 from reelgrid.functions import formats as T
 from reelgrid.functions import urls as U
 from reelgrid.operators import dash, hls, observe
-from reelgrid.session import prepare, shared_dir, written
+from reelgrid.registry import ORACLE_SQL, QUERIES, query, sql_in, sql_list
+from reelgrid.session import shared_dir, written
 from reelgrid.sources import fixtures as X
 from reelgrid.streaming.state import tab_items
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return f(prepare(spark), sf_dir)
-
-        run.__name__, run.__doc__ = f.__name__, f.__doc__
-        QUERIES[f.__name__] = run
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return run
-
-    return add
-
-
-def _list(values: list[str]) -> str:
-    return "[" + ", ".join(f"'{v}'" for v in values) + "]"
-
-
-def _in(values: list[str]) -> str:
-    return "(" + ", ".join(f"'{v}'" for v in values) + ")"
+_list, _in = sql_list, sql_in
 
 
 #: Observations, their classes and their items, as SQL.
@@ -81,10 +58,12 @@ def _items(spark, sf_dir):
 
 
 def _hidden(spark, sf_dir):
-    found = _classified(spark, sf_dir)
+    """Files of every seventh event are children of the tab's manifests. The first and the last manifest by key stand for all of a tab, so that
+    no pairs of all children and manifests are made: a key differs from some manifest's if it differs from one of the two."""
+    found = written(_classified(spark, sf_dir), "classified")
     items = observe.upsert(found)
-    parents = items.where("kind <> 'file'").select("tab_id", F.col("key").alias("parent"))
-    children = found.where("kind = 'file' and event_id % 7 = 0").select("tab_id", "key").distinct().join(parents, "tab_id")
+    ends = items.where("kind <> 'file'").groupBy("tab_id").agg(F.array_distinct(F.array(F.min("key"), F.max("key"))).alias("parents"))
+    children = found.where("kind = 'file' and event_id % 7 = 0").select("tab_id", "key").distinct().join(ends, "tab_id").select("tab_id", "key", F.explode("parents").alias("parent"))
     return observe.hide_children(items, children)
 
 
@@ -165,7 +144,7 @@ def fnv_ids(spark, sf_dir):
 
 @query(OBS + "SELECT * FROM items")
 def upsert_items(spark, sf_dir):
-    return _items(spark, sf_dir).drop("id")
+    return _items(spark, sf_dir)
 
 
 @query(OBS + "SELECT tab_id, key, kind, sightings FROM items i WHERE NOT EXISTS (SELECT 1 FROM obs r WHERE r.tab_id = i.tab_id AND r.key = i.key AND r.status = 404)")
@@ -306,7 +285,7 @@ def hls_elapsed(spark, sf_dir):
     return hls.elapsed(_segments(spark, sf_dir)).select("playlist_id", "index", "start")
 
 
-_VAR = f"""WITH v AS (SELECT p_brand AS playlist_id, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS index, p_partkey, 'https://media.example.com/m/v/' || p_partkey || '.m3u8' AS url, CAST(floor(p_retailprice * 1000) AS BIGINT) AS bandwidth,
+_VAR = f"""WITH v AS (SELECT p_brand, p_brand || '/' || (p_partkey // {X.BLOCK}) AS playlist_id, row_number() OVER (PARTITION BY p_brand, p_partkey // {X.BLOCK} ORDER BY p_partkey) - 1 AS index, p_partkey, 'https://media.example.com/m/v/' || p_partkey || '.m3u8' AS url, CAST(floor(p_retailprice * 1000) AS BIGINT) AS bandwidth,
  CASE WHEN p_partkey % 3 = 0 THEN CAST(floor(p_retailprice * 900) AS BIGINT) ELSE 0 END AS avg_bandwidth, CASE WHEN p_partkey % 5 <> 0 THEN p_size * 32 ELSE 0 END AS width, CASE WHEN p_partkey % 5 <> 0 THEN p_size * 18 ELSE 0 END AS height,
  CASE WHEN p_partkey % 2 = 0 THEN 59.94 ELSE 0.0 END::DOUBLE AS frame_rate, {_list(X.CODECS)}[p_partkey % 4 + 1] AS codecs, 'aud' || (p_partkey % 2) AS audio_group FROM part),
 r AS (SELECT *, CASE WHEN avg_bandwidth > 0 THEN avg_bandwidth ELSE bandwidth END AS rate FROM v)"""
@@ -334,14 +313,14 @@ def audio_join(spark, sf_dir):
     return hls.external_audio(hls.variants(parsed), hls.renditions(parsed)).select("playlist_id", "index", "name", "audio_url", "place")
 
 
-@query(_VAR + """ SELECT playlist_id, count(*) AS variants, nullif(max(height), 0) AS max_height, bool_and(height = 0 AND codecs = 'mp4a.40.2') AS audio_only, (length(playlist_id) + ascii(right(playlist_id, 1))) % 2 = 1 AS drm, least(500, count(*) + 3) AS children FROM r GROUP BY playlist_id""")
+@query(_VAR + """ SELECT playlist_id, count(*) AS variants, nullif(max(height), 0) AS max_height, bool_and(height = 0 AND codecs = 'mp4a.40.2') AS audio_only, any_value((length(p_brand) + ascii(right(p_brand, 1))) % 2 = 1) AS drm, least(500, count(*) + 3) AS children FROM r GROUP BY playlist_id""")
 def hls_master_summary(spark, sf_dir):
     parsed = _masters(spark, sf_dir)
     s = hls.summarize_master(hls.variants(parsed), hls.renditions(parsed), hls.session_keys(parsed))
     return s.select("playlist_id", "variants", "max_height", "audio_only", "drm", F.size("child_urls").cast("long").alias("children"))
 
 
-_MPD = "WITH p AS (SELECT *, p_partkey % 4 AS mode, p_brand AS manifest_id, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS rep, CAST(floor(p_retailprice * 1000) AS BIGINT) AS bandwidth FROM part)"
+_MPD = f"WITH p AS (SELECT *, p_partkey % 4 AS mode, p_brand || '/' || (p_partkey // {X.BLOCK}) AS manifest_id, CAST(floor(p_retailprice * 1000) AS BIGINT) AS bandwidth FROM part)"
 
 
 def _mpd(spark, sf_dir):
@@ -353,11 +332,11 @@ def _mpd(spark, sf_dir):
  (p_size * 18) || 'p · ' || CASE WHEN bandwidth >= 1000000 THEN (floor(bandwidth / 1000000.0 * 10 + 0.5)::BIGINT // 10) || '.' || (floor(bandwidth / 1000000.0 * 10 + 0.5)::BIGINT % 10) || ' Mbps' ELSE floor(bandwidth / 1000.0 + 0.5)::BIGINT || ' kbps' END AS label FROM p""")
 def mpd_representations(spark, sf_dir):
     reps = dash.representations(dash.periods(_mpd(spark, sf_dir))).where("kind = 'video' and period = 1")
-    label = reps.select("manifest_id", "id", "width", "height", "protected", F.array_join("systems", ",").alias("systems"), T.representation_label(F.col("kind"), F.col("height"), F.col("bandwidth"), F.col("lang"), F.col("codecs")).alias("label"))
-    return dash.plans(reps).select("manifest_id", "id", "bandwidth", "base", "mode").join(label, ["manifest_id", "id"])
+    label = T.representation_label(F.col("kind"), F.col("height"), F.col("bandwidth"), F.lit(""), F.lit(""))
+    return dash.plans(reps).select("manifest_id", "id", "bandwidth", "width", "height", "protected", F.array_join("systems", ",").alias("systems"), F.col("url").alias("base"), "mode", label.alias("label"))
 
 
-@query("SELECT DISTINCT p_brand AS manifest_id, 1 AS period, 20.0::DOUBLE AS start, 80.0::DOUBLE AS duration FROM part")
+@query(_MPD + " SELECT DISTINCT manifest_id, 1 AS period, 20.0::DOUBLE AS start, 80.0::DOUBLE AS duration FROM p")
 def main_period(spark, sf_dir):
     return dash.main_period(dash.periods(_mpd(spark, sf_dir))).select("manifest_id", "period", "start", "duration")
 
@@ -366,7 +345,7 @@ def main_period(spark, sf_dir):
  80.0::DOUBLE AS duration, false AS live, false AS drm, count(*) FILTER (p_partkey % 10 = 0) AS hidden_protected, '' AS unsupported, 2 AS periods FROM p GROUP BY manifest_id""")
 def mpd_summary(spark, sf_dir):
     p = dash.periods(_mpd(spark, sf_dir))
-    return dash.summarize(p, dash.representations(p))
+    return dash.summarize(p, dash.representations(p)).drop("systems")
 
 
 def _plans(spark, sf_dir):
@@ -379,21 +358,21 @@ def _plans(spark, sf_dir):
 SELECT manifest_id, 'r' || p_partkey AS id, CAST(i + 5 AS BIGINT) AS number, CAST(t AS BIGINT) AS time, (t - 100) / 1000.0::DOUBLE AS start, d / 1000.0::DOUBLE AS duration, 'https://dash.example.com/x/base/main/r' || p_partkey || '/' || t || '-' || lpad((i + 5)::VARCHAR, 5, '0') || '.m4s' AS url FROM e""")
 def timeline_segments(spark, sf_dir):
     p = _plans(spark, sf_dir)
-    return dash.template_segments(p.where("timeline is not null")).join(p.select("manifest_id", "period", "set", "rep", "id"), ["manifest_id", "period", "set", "rep"]).select("manifest_id", "id", "number", "time", "start", "duration", "url")
+    return dash.template_segments(p.where("timeline is not null")).select("manifest_id", "id", "number", "time", "start", "duration", "url")
 
 
 @query(_MPD + """ SELECT manifest_id, 'r' || p_partkey AS id, CAST(k + 1 AS BIGINT) AS number, CAST(k * 7 AS DOUBLE) AS start, 'https://dash.example.com/x/base/main/n' || (k + 1) || '_' || bandwidth || '.m4s' AS url FROM p, (SELECT unnest(generate_series(0, 11)) AS k) WHERE mode = 1
- UNION ALL SELECT DISTINCT p_brand, a.id, CAST(k + 1 AS BIGINT), k * 2.5, 'https://dash.example.com/x/base/main/a-' || (k + 1) || '.m4s' FROM part, (VALUES ('a1'), ('a2')) a(id), (SELECT unnest(generate_series(0, 31)) AS k)""")
+ UNION ALL SELECT DISTINCT manifest_id, a.id, CAST(k + 1 AS BIGINT), k * 2.5, 'https://dash.example.com/x/base/main/a-' || (k + 1) || '.m4s' FROM p, (VALUES ('a1'), ('a2')) a(id), (SELECT unnest(generate_series(0, 31)) AS k)""")
 def template_urls(spark, sf_dir):
     p = _plans(spark, sf_dir).where("mode = 'template' and timeline is null")
-    return dash.template_segments(p).join(p.select("manifest_id", "period", "set", "rep", "id"), ["manifest_id", "period", "set", "rep"]).select("manifest_id", "id", "number", "start", "url")
+    return dash.template_segments(p).select("manifest_id", "id", "number", "start", "url")
 
 
 @query(_MPD + """ SELECT manifest_id, 'r' || p_partkey AS id, CAST(k + 1 AS BIGINT) AS number, k * (p_size / 10.0::DOUBLE) AS start, p_size / 10.0::DOUBLE AS duration, CASE WHEN k = 1 THEN 100 END AS range_offset, CASE WHEN k = 1 THEN 200 END AS range_length,
  'https://dash.example.com/x/base/main/' || CASE WHEN k = 1 THEN '' ELSE 'l' || (k + 1) || '.m4s' END AS url FROM p, (SELECT unnest([0, 1, 2]) AS k) WHERE mode = 2""")
 def list_segments(spark, sf_dir):
     p = _plans(spark, sf_dir)
-    rows = dash.list_segments(p).join(p.select("manifest_id", "period", "set", "rep", "id"), ["manifest_id", "period", "set", "rep"])
+    rows = dash.list_segments(p)
     return rows.select("manifest_id", "id", "number", F.round("start", 9).alias("start"), "duration", F.col("range.offset").alias("range_offset"), F.col("range.length").alias("range_length"), "url")
 
 
@@ -445,42 +424,38 @@ def ts_streams(spark, sf_dir):
     return rows.select("event_id", F.col("s")[0]["type"].alias("video_type"), F.col("s")[0]["pid"].cast("long").alias("video_pid"), F.col("s")[1]["type"].alias("audio_type"), B.all_remuxable(F.col("s")).alias("remuxable"))
 
 
-@query("SELECT doc_id, n_chars > 200 AS listed, n_chars AS size FROM documents WHERE n_chars IS NOT NULL")
-def probe_verify(spark, sf_dir):
-    """Stored probes of texts as if they were files."""
-    headers = F.array(F.struct(F.lit("content-type").alias("name"), F.lit("video/mp4").alias("value")), F.struct(F.lit("Content-Range").alias("name"), F.concat(F.lit("bytes 0-9/"), "n_chars").alias("value")))
-    rows = X.table(spark, sf_dir, "documents").where("n_chars is not null").select("doc_id", C.probe_result(F.lit(206), headers, F.encode(F.col("text"), "UTF-8"), F.lit(None).cast("bigint")).alias("p"))
-    return rows.select("doc_id", (F.col("p.size") > 200).alias("listed"), F.col("p.size").alias("size"))
-
-
 @query()
 def clean_names(spark, sf_dir):
     """File names of texts' first lines (NFKC is beyond SQL)."""
     return X.table(spark, sf_dir, "documents").select("doc_id", T.sanitize_filename(F.element_at(F.split("text", "\n"), 1)).alias("name"))
 
 
-@query()
-def page_media(spark, sf_dir):
-    return observe.page_media(X.table(spark, sf_dir, "pages"))
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 
 
-STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+def event_stream(spark, sf_dir):
+    return spark.readStream.schema(X.table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parque[t]")
 
 
-@query(OBS + "SELECT tab_id, key, kind, media, ext, size, mime, url, sightings FROM items")
-def stream_items(spark, sf_dir):
-    """Events read as a stream into keyed state per tab; each item's last update. Equals the batch upsert."""
-    events = X.table(spark, sf_dir, "events")
-    stream = spark.readStream.schema(events.schema).parquet(f"{sf_dir}/events.parque[t]")
-    found = observe.classified(X.observations(spark, sf_dir, stream)).withColumn("what", F.lit("item")).withColumn("seen", F.col("seen").cast("timestamp"))
+def ran(spark, updates, mode="update"):
+    """The rows that a stream puts out, with the batch of each, after all its input has been read."""
     folder = f"{shared_dir(spark)}/reelgrid/stream-{uuid.uuid4().hex}"
     before = spark.conf.get(STATE_STORE, None)
     spark.conf.set(STATE_STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        updates = tab_items(found, max_items=1_000_000)
-        updates.writeStream.outputMode("update").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).foreachBatch(lambda rows, n: rows.withColumn("batch", F.lit(n)).write.mode("append").parquet(f"{folder}/out")).start().awaitTermination()
+        updates.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).foreachBatch(lambda rows, n: rows.withColumn("batch", F.lit(n)).write.mode("append").parquet(f"{folder}/out")).start().awaitTermination()
     finally:
         spark.conf.set(STATE_STORE, before) if before else spark.conf.unset(STATE_STORE)
-    rows = spark.read.schema(updates.schema.add("batch", "long")).parquet(f"{folder}/out")
-    last = rows.groupBy("tab_id", "key").agg(F.max_by(F.struct("kind", "media", "ext", "size", "mime", "url", "sightings"), "batch").alias("x"))
-    return last.select("tab_id", "key", "x.*")
+    return spark.read.schema(updates.schema.add("batch", "long")).parquet(f"{folder}/out")
+
+
+@query(OBS + "SELECT tab_id, key, kind, media, ext, size, mime, url, sightings FROM items")
+def stream_items(spark, sf_dir):
+    """Events read as a stream into keyed state per tab; each item's last update. Equals the batch upsert."""
+    found = observe.classified(X.observations(spark, sf_dir, event_stream(spark, sf_dir))).withColumn("what", F.lit("item")).withColumn("seen", F.col("seen").cast("timestamp"))
+    rows = ran(spark, tab_items(found, max_items=0))
+    last = rows.groupBy("tab_id", "key").agg(F.max_by(F.struct("gone", "kind", "media", "ext", "size", "mime", "url", "sightings"), "batch").alias("x"))
+    return last.select("tab_id", "key", "x.*").where("not gone").drop("gone")
+
+
+

@@ -9,6 +9,9 @@ EXTS = ["mp4", "webm", "m3u8", "mpd", "ts", "m4s", "mp3", "exe", "html", "", "mo
 MIMES = ["video/mp4", "video/webm", "application/vnd.apple.mpegurl", "application/dash+xml", "video/mp2t", "video/iso.segment", "audio/mpeg", "application/x-msdownload", "text/html", "", "video/quicktime", "audio/flac", "video/x-matroska", "audio/aac", "audio/mp4"]
 
 
+VIAS = ["xmlhttprequest", "media", "other", "main_frame", "image", "script"]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -34,7 +37,7 @@ def observations(spark: SparkSession, sf_dir: str, events: DataFrame | None = No
         F.when(i % 13 == 0, "r1.googlevideo.com").otherwise(F.concat(F.lit("cdn"), F.col("user_id") % 7, F.lit(".example.com"))).alias("host0"),
         F.concat(F.lit("https://www.site"), F.col("user_id") % 5, F.lit(".example.org/watch?v="), i).alias("initiator"),
         _pick(["element", "timing", "link", "meta"], i).alias("source"),
-        _pick(["xmlhttprequest", "media", "other", "main_frame"], i).alias("via"),
+        _pick(VIAS, i).alias("via"),
     )
     path = F.concat(F.lit("/v/"), F.when(i % 11 == 0, "seg-").otherwise(""), F.col("k"), F.when(F.col("ext0") == "", "").otherwise(F.concat(F.lit("."), "ext0")))
     url = F.concat(F.lit("https://"), "host0", path, F.lit("?token="), i, F.when(i % 2 == 1, F.concat(F.lit("&id="), "k")).otherwise(""))
@@ -64,21 +67,29 @@ def playlists(spark: SparkSession, sf_dir: str) -> DataFrame:
 CODECS = ["avc1.4d401f,mp4a.40.2", "hvc1.1.6.L93,ac-3", "mp4a.40.2", ""]
 
 
+#: Part keys of a block: with 25 brands, a playlist or manifest has some 200 of them.
+BLOCK = 5_000
+
+
+def block_id() -> Column:
+    return F.concat("p_brand", F.lit("/"), F.floor(F.col("p_partkey") / BLOCK))
+
+
 def masters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One master playlist per brand, one variant per part, three audio renditions, a session key for every other brand."""
-    p = table(spark, sf_dir, "part")
+    """One master playlist per brand and block of part keys (so that its size does not grow with the table), one variant per part, three audio renditions, a session key for every other brand."""
+    p = table(spark, sf_dir, "part").withColumn("list", block_id())
     i = F.col("p_partkey")
     info = F.concat(F.lit("#EXT-X-STREAM-INF:BANDWIDTH="), F.floor(F.col("p_retailprice") * 1000).cast("bigint"), F.when(i % 3 == 0, F.concat(F.lit(",AVERAGE-BANDWIDTH="), F.floor(F.col("p_retailprice") * 900).cast("bigint"))).otherwise(""), F.when(i % 5 != 0, F.concat(F.lit(",RESOLUTION="), F.col("p_size") * 32, F.lit("x"), F.col("p_size") * 18)).otherwise(""), F.when(i % 2 == 0, ",FRAME-RATE=59.940").otherwise(""), F.lit(',CODECS="'), _pick(CODECS, i), F.lit('",AUDIO="aud'), i % 2, F.lit('"'))
-    lines = p.groupBy("p_brand").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", F.array(info, F.concat(F.lit("v/"), "p_partkey", F.lit(".m3u8"))).alias("x")))), lambda s: s["x"])).alias("body"))
+    lines = p.groupBy("list", "p_brand").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", F.array(info, F.concat(F.lit("v/"), "p_partkey", F.lit(".m3u8"))).alias("x")))), lambda s: s["x"])).alias("body"))
     media = F.array(F.lit('#EXT-X-MEDIA:TYPE=AUDIO,GROUP-ID="aud0",NAME="One, first",LANGUAGE="en",URI="a/1.m3u8"'), F.lit('#EXT-X-MEDIA:TYPE=AUDIO,GROUP-ID="aud0",NAME="Two",DEFAULT=YES,URI="a/2.m3u8"'), F.lit('#EXT-X-MEDIA:TYPE=AUDIO,GROUP-ID="aud1",NAME="Muxed"'), F.lit('#EXT-X-MEDIA:TYPE=SUBTITLES,GROUP-ID="aud1",NAME="Text",URI="s/1.m3u8"'))
     odd = F.length("p_brand") + F.ascii(F.substring("p_brand", -1, 1))
     key = F.when(odd % 2 == 1, F.array(F.lit('#EXT-X-SESSION-KEY:METHOD=SAMPLE-AES,KEYFORMAT="com.apple.streamingkeydelivery"'))).otherwise(F.array().cast("array<string>"))
-    return lines.select(F.col("p_brand").alias("playlist_id"), F.lit("https://media.example.com/m/index.m3u8").alias("base_url"), F.array_join(F.concat(F.array(F.lit("#EXTM3U")), media, key, "body"), "\n").alias("text"))
+    return lines.select(F.col("list").alias("playlist_id"), F.lit("https://media.example.com/m/index.m3u8").alias("base_url"), F.array_join(F.concat(F.array(F.lit("#EXTM3U")), media, key, "body"), "\n").alias("text"))
 
 
 def manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One MPD per brand: an advertisement period, then a main period with one representation per part: timelines, even durations, lists and single files."""
-    p = table(spark, sf_dir, "part")
+    """One MPD per brand and block of part keys: an advertisement period, then a main period with one representation per part: timelines, even durations, lists and single files."""
+    p = table(spark, sf_dir, "part").withColumn("list", block_id())
     i, size = F.col("p_partkey"), F.col("p_size")
     timeline = F.concat(F.lit('<SegmentTemplate timescale="1000" startNumber="5" presentationTimeOffset="100" media="$RepresentationID$/$Time$-$Number%05d$.m4s" initialization="$RepresentationID$/init.mp4"><SegmentTimeline><S t="100" d="'), size * 100, F.lit('" r="2"/><S d="'), size * 50, F.lit('"/><S t="20000" d="4000" r="-1"/></SegmentTimeline></SegmentTemplate>'))
     even = F.lit('<SegmentTemplate media="n$Number$_$Bandwidth$.m4s" duration="7"/>')
@@ -86,8 +97,65 @@ def manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
     single = F.concat(F.lit("<BaseURL>one-"), i, F.lit(".mp4</BaseURL>"))
     kind = i % 4
     guard = F.when(i % 10 == 0, '<ContentProtection schemeIdUri="urn:mpeg:dash:mp4protection:2011"/><ContentProtection schemeIdUri="urn:uuid:edef8ba9-79d6-4ace-a3c8-27dcd51d21ed"/>').otherwise("")
-    rep = F.concat(F.lit('<Representation id="r'), i, F.lit('" bandwidth="'), F.floor(F.col("p_retailprice") * 1000).cast("bigint"), F.lit('" width="'), size * 32, F.lit('" height="'), size * 18, F.lit('">'), guard, F.when(kind == 0, timeline).when(kind == 1, even).when(kind == 2, listed).otherwise(single), F.lit("</Representation>"))
-    video = p.groupBy("p_brand").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", rep.alias("x")))), lambda s: s["x"]), "").alias("reps"))
+    rep = F.concat(F.lit('<Representation id="r'), i, F.lit('" bandwidth="'), F.floor(F.col("p_retailprice") * 1000).cast("bigint"), F.lit('" width="'), size * 32, F.lit('" height="'), size * 18, F.when(i % 6 == 5, '" mimeType="video/webm').otherwise(""), F.lit('">'), guard, F.when(kind == 0, timeline).when(kind == 1, even).when(kind == 2, listed).otherwise(single), F.lit("</Representation>"))
+    video = p.groupBy("list").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", rep.alias("x")))), lambda s: s["x"]), "").alias("reps"))
     head = '<?xml version="1.0"?>\n<!-- made -->\n<MPD xmlns="urn:mpeg:dash:schema:mpd:2011" type="static" mediaPresentationDuration="PT1M40S"><BaseURL>base/</BaseURL><Period duration="PT20S"><AdaptationSet mimeType="video/mp4"><Representation id="ad" bandwidth="1"/></AdaptationSet></Period><Period><BaseURL>main/</BaseURL><AdaptationSet mimeType="video/mp4" codecs="avc1.4d401f">'
     tail = '</AdaptationSet><AdaptationSet contentType="audio" mimeType="audio/mp4" lang="de"><SegmentTemplate timescale="2" duration="5" media="a-$Number$.m4s" initialization="a.mp4"/><Representation id="a1" bandwidth="64000" codecs="mp4a.40.2"/><Representation id="a2" bandwidth="128000" codecs="mp4a.40.2"/></AdaptationSet></Period></MPD>'
-    return video.select(F.col("p_brand").alias("manifest_id"), F.lit("https://dash.example.com/x/manifest.mpd").alias("url"), F.concat(F.lit(head), "reps", F.lit(tail)).alias("text"))
+    return video.select(F.col("list").alias("manifest_id"), F.lit("https://dash.example.com/x/manifest.mpd").alias("url"), F.concat(F.lit(head), "reps", F.lit(tail)).alias("text"))
+
+
+def order_playlists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One playlist per order with keys of three formats, a map with a byte range, and two segments of one of five kinds."""
+    i = F.col("o_orderkey")
+    if_ = lambda test, text: F.when(test, text)
+    plain, guarded = i % 2 == 0, i % 3 == 0
+    method = F.when(i % 10 == 0, "SAMPLE-AES").otherwise("AES-128")
+    name = F.get(F.array(*[F.lit(x) for x in ("ts", "aac", "mp3", "ac3", "m4s")]), (i % 5).cast("int"))
+    lines = F.array(
+        F.lit("#EXTM3U"), if_(plain, F.concat(F.lit("#EXT-X-KEY:METHOD="), method, F.lit(',URI="k.bin"'))), if_(guarded, '#EXT-X-KEY:METHOD=SAMPLE-AES,URI="skd://a",KEYFORMAT="com.widevine.alpha"'),
+        if_(guarded, '#EXT-X-KEY:METHOD=SAMPLE-AES,URI="skd://b",KEYFORMAT="com.example.other"'), if_(i % 4 == 0, '#EXT-X-MAP:URI="init.mp4",BYTERANGE="100@20"'), F.lit("#EXTINF:4,"), F.concat(F.lit("s1."), name),
+        if_(guarded, '#EXT-X-KEY:METHOD=NONE,KEYFORMAT="com.example.other"'), F.lit("#EXTINF:4,"), F.concat(F.lit("s2."), name),
+    )
+    return table(spark, sf_dir, "orders").select(i.alias("playlist_id"), F.concat(F.lit("https://media.example.com/k/"), i, F.lit("/i.m3u8")).alias("base_url"), F.array_join(F.array_compact(lines), "\n").alias("text"))
+
+
+def media_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with a video element, a link to a film and one to a text, and a player's meta tag put in."""
+    i = F.col("page_id")
+    tags = F.concat(F.lit('<VIDEO controls src="/v/'), i, F.lit('.mp4"></VIDEO><video src="blob:x"></video><a class="x" href="/l/'), i, F.lit('.webm">film</a><a href="/l/text.html">text</a><a href="/v/'), i, F.lit('.mp4">the same</a><meta name="twitter:player:stream" content="https://player.example.com/embed?id='), i, F.lit('">'))
+    return table(spark, sf_dir, "pages").select("page_id", "url", F.concat(F.coalesce("html", F.lit("")), tags).alias("html"))
+
+
+def _rep(inner: str, attrs: str = 'id="v" bandwidth="7"') -> str:
+    return f'<Period duration="PT10S"><AdaptationSet mimeType="video/mp4"><Representation {attrs}>{inner}</Representation></AdaptationSet></Period>'
+
+
+#: Odd manifests: text between the MPD tags (or the whole text), error, segments, first URL, URL of the initialisation segment, open-ended.
+ODD_MANIFESTS = [
+    (_rep('<SegmentTemplate media="n$Number$.m4s" duration="0"/>'), "Invalid SegmentTemplate duration", 0, None, None, False),
+    (_rep('<SegmentTemplate media="n$Number$.m4s" duration="x"/>'), "Invalid SegmentTemplate duration", 0, None, None, False),
+    (_rep('<SegmentTemplate media="n$Number$.m4s"/>'), "The SegmentTemplate has neither a SegmentTimeline nor a duration.", 0, None, None, False),
+    (_rep('<SegmentTemplate media="t$Time$.m4s"><SegmentTimeline><S d="0" r="-1"/></SegmentTimeline></SegmentTemplate>'), "Invalid SegmentTimeline entry", 0, None, None, False),
+    (_rep('<SegmentTemplate media="t$Time$.m4s"><SegmentTimeline><S t="0" d="1" r="4000000"/></SegmentTimeline></SegmentTemplate>'), "The manifest lists too many segments", 0, None, None, False),
+    (_rep('<SegmentTemplate timescale="100000" media="n$Number$.m4s" duration="1"/>'), "The manifest lists too many segments", 0, None, None, False),
+    (_rep('<SegmentTemplate timescale="0" media="n$Number$.m4s" duration="2" initialization="i-$Bandwidth%03d$.mp4"/>'), None, 5, "n1.m4s", "i-007.mp4", False),
+    (_rep('<SegmentTemplate media="t$Time$.m4s"><Initialization sourceURL="i.mp4"/><SegmentTimeline><S t="4" d="2" r="-1"/></SegmentTimeline></SegmentTemplate>').replace(' duration="PT10S"', ""), None, 1, "t4.m4s", "i.mp4", True),
+    (_rep('<BaseURL>one.mp4</BaseURL><SegmentList duration="5"><Initialization range="0-99"/><SegmentURL mediaRange="100-199"/><SegmentURL mediaRange="200-299"/></SegmentList>'), None, 2, "one.mp4", "one.mp4", False),
+    (_rep('<SegmentList><SegmentTimeline><S/></SegmentTimeline><SegmentURL media="a&amp;b.m4s"/></SegmentList>'), None, 1, "a&b.m4s", None, False),
+    (_rep("<BaseURL>ftp://h/x.mp4</BaseURL>"), "Unsupported URL scheme in manifest: ftp:", 0, None, None, False),
+    (_rep('<SegmentTemplate media="data:$Number$" duration="2"/>'), "Unsupported URL scheme in manifest: data:", 0, None, None, False),
+    (_rep('<SegmentList duration="2"><SegmentURL media="a.m4s"/><SegmentURL media="file:///b.m4s"/></SegmentList>'), "Unsupported URL scheme in manifest: file:", 0, None, None, False),
+    ("<MPD><Period></MPD>", "Malformed XML", 0, None, None, False),
+    ("<MPD><a><!-- never closed </a></MPD>", "Malformed XML", 0, None, None, False),
+    ("<html></html>", "Not a DASH manifest", 0, None, None, False),
+    ('<!DOCTYPE a [<!ENTITY b "c">]><MPD/>', "DOCTYPE declarations are not supported", 0, None, None, False),
+    ("<MPD>" + '<a x="1>2">' * 70 + "</a>" * 70 + "</MPD>", "XML is nested too deeply", 0, None, None, False),
+    (_rep('<SegmentTemplate media="$RepresentationID$_$Number%02d$$$.m4s" duration="2.5" timescale="1"/>', 'id="q&#65;&quot;&lt;" bandwidth="x"'), None, 4, 'qA"<_01$.m4s', None, False),
+]
+
+
+def odd_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One odd manifest per part, in turn."""
+    texts = [t if t.startswith(("<MPD", "<html", "<!DOC")) else f"<MPD>{t}</MPD>" for t, *_ in ODD_MANIFESTS]
+    i = F.col("p_partkey")
+    return table(spark, sf_dir, "part").select(i.alias("manifest_id"), F.lit("https://dash.example.com/x/m.mpd").alias("url"), F.get(F.array(*[F.lit(t) for t in texts]), (i % len(texts)).cast("int")).alias("text"))

@@ -1,4 +1,8 @@
-"""Observations as a stream: keyed state per tab with navigation resets, caps and tombstones of closed tabs."""
+"""Observations as a stream: keyed state per tab with navigation resets, caps, tombstones of closed tabs and event-time timers.
+
+State is independent of the order of rows inside a batch: an item keeps the places (time, event) of its first and last
+sighting, so a tab's rows are merged chunk by chunk, as Spark hands them over, and none is held back.
+"""
 
 from __future__ import annotations
 
@@ -8,59 +12,117 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reelgrid import constants as K
-
-OUTPUT = "tab_id long, key string, id string, kind string, media string, mime string, ext string, size long, url string, seen timestamp, sightings long"
-
-
-def _processor(max_items: int):
+from reelgrid.functions import classify as C
+
+OUTPUT = "tab_id long, key string, kind string, media string, mime string, ext string, size long, url string, seen timestamp, sightings long, gone boolean"
+#: An item in state: first sighting and what it said, the earliest known size and type, the latest URL.
+ITEM = "kind string, media string, ext string, first_us long, first_event long, mime string, mime_us long, mime_event long, size long, size_us long, size_event long, url string, last_us long, last_event long, sightings long, hidden boolean"
+#: Tombstones of closed tabs are forgotten after this time.
+CLOSED_MILLIS = 60 * 60 * 1000
+
+
+def _merged(old: tuple | None, r) -> tuple:
+    """An item with one more sighting, whatever order they come in."""
+    at = (int(r.us), int(r.event_id))
+    if old is None:
+        old = (None, None, None, *(1 << 62,) * 2, None, *(1 << 62,) * 2, None, *(1 << 62,) * 2, None, -(1 << 62), 0, 0, False)
+    kind, media, ext, f0, f1, mime, m0, m1, size, s0, s1, url, l0, l1, n, hidden = old
+    if at < (f0, f1):
+        kind, media, ext, f0, f1 = r.kind, r.media, r.ext, *at
+    if r.mime and at < (m0, m1):
+        mime, m0, m1 = r.mime, *at
+    if r.size_ == r.size_ and r.size_ and at < (s0, s1):
+        size, s0, s1 = int(r.size_), *at
+    if at >= (l0, l1):
+        url, l0, l1 = r.url, *at
+    return kind, media, ext, f0, f1, mime, m0, m1, size, s0, s1, url, l0, l1, n + 1, hidden
+
+
+def _tab(max_items: int):
     import pandas as pd
     from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+    def frame_of(rows: list[tuple]) -> pd.DataFrame:
+        frame = pd.DataFrame(rows, columns=[x.split()[0] for x in OUTPUT.split(", ")])
+        frame["size"], frame["seen"] = frame["size"].astype("Int64"), frame["seen"].astype("datetime64[us]")
+        return frame
+
     class Tab(StatefulProcessor):
-        """State of a tab: a map of its items by key, and when it last navigated or closed. Late rows are dropped by those times."""
+        """A tab's items by key, its last navigation, the keys its manifests name, and whether it is closed."""
 
         def init(self, handle: StatefulProcessorHandle) -> None:
-            self.items = handle.getMapState("items", "key string", OUTPUT.replace("tab_id long, key string, ", "") + ", hidden boolean")
-            self.times = handle.getValueState("times", "navigated timestamp, closed boolean")
+            self.items = handle.getMapState("items", "key string", ITEM)
+            self.navigated = handle.getValueState("navigated", "us long")
+            self.closed = handle.getValueState("closed", "closed boolean")
+            self.handle = handle
+            self.children = handle.getMapState("children", "key string", "n long")
 
         def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-            (tab,) = key
-            table = pd.concat(list(rows)).sort_values(["seen", "event_id"])
-            navigated, closed = self.times.get() if self.times.exists() else (None, False)
-            items = {k[0]: list(v) for k, v in self.items.iterator()}
             touched: set[str] = set()
-            for r in table.itertuples(index=False):
-                if closed:
+            for chunk in rows:
+                chunk["us"] = chunk["seen"].astype("datetime64[us]").astype("int64")
+                if self.closed.exists():
+                    break
+                if (chunk["what"] == "closed").any():
+                    touched.update(k[0] for k in self.items.keys())
+                    self.items.clear()
+                    self.children.clear()
+                    self.closed.update((True,))
+                    self.handle.registerTimer(int(chunk["us"].max() // 1000) + CLOSED_MILLIS)
                     break
-                if r.what == "closed":
-                    closed = True
-                    items.clear()
-                elif r.what == "navigation":
-                    navigated = r.seen.to_pydatetime()
-                    items = {k: v for k, v in items.items() if v[7] >= navigated}
-                elif navigated is None or r.seen.to_pydatetime() >= navigated:
-                    size = None if pd.isna(r.size_) or not r.size_ else int(r.size_)
-                    old = items.get(r.key)
+                since = self.navigated.get()[0] if self.navigated.exists() else -(1 << 62)
+                navigations = chunk.loc[chunk["what"] == "navigation", "us"]
+                if len(navigations) and navigations.max() > since:
+                    since = int(navigations.max())
+                    self.navigated.update((since,))
+                    for k in [k[0] for k, v in self.items.iterator() if v[3] < since]:
+                        self.items.removeKey((k,))
+                        touched.add(k)
+                for r in chunk[(chunk["what"] == "child")].itertuples(index=False):
+                    self._remember(r.key)
+                    if self.items.containsKey((r.key,)):
+                        self.items.updateValue((r.key,), (*self.items.getValue((r.key,))[:-1], True))
+                        touched.add(r.key)
+                for r in chunk[(chunk["what"] == "item") & (chunk["us"] >= since)].itertuples(index=False):
+                    old = self.items.getValue((r.key,)) if self.items.containsKey((r.key,)) else None
+                    new = _merged(old, r)
                     if old is None:
-                        items[r.key] = [r.id, r.kind, r.media, r.mime or "", r.ext, size, r.url, r.seen.to_pydatetime(), 1, False]
-                    else:
-                        old[3] = old[3] or r.mime or ""
-                        old[5] = old[5] or size
-                        old[6] = r.url
-                        old[8] += 1
+                        new = (*new[:-1], self.children.containsKey((r.key,)))
+                    self.items.updateValue((r.key,), new)
                     touched.add(r.key)
-                    if len(items) > max_items:  # hidden first, then the oldest file, then the oldest
-                        order = sorted(items, key=lambda k: (not items[k][9], items[k][1] != "file", items[k][7], k))
-                        del items[order[0]]
-            self.items.clear()
-            for k, v in items.items():
-                self.items.updateValue((k,), tuple(v))
-            self.times.update((navigated, closed))
-            out = [(tab, k, *items[k][:9]) for k in sorted(touched) if k in items]
-            names = [x.split()[0] for x in OUTPUT.split(", ")]
-            frame = pd.DataFrame(out, columns=names)
-            frame["size"] = frame["size"].astype("Int64")
-            yield frame
+                    if old is None and max_items:
+                        self._evict(touched)
+            out = []
+            for k in sorted(touched):
+                v = self.items.getValue((k,)) if self.items.containsKey((k,)) else None
+                if v is None:
+                    out.append((key[0], k, None, None, None, None, None, None, None, 0, True))
+                else:
+                    out.append((key[0], k, v[0], v[1], v[5] or "", v[2], v[8], v[11], pd.Timestamp(v[3], unit="us"), v[14], False))
+            yield frame_of(out)
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+            """A tombstone is forgotten: nothing of the closed tab can come any more."""
+            self.closed.clear()
+            self.navigated.clear()
+            yield frame_of([])
+
+        def _remember(self, child: str) -> None:
+            """The last MAX_CHILD_URLS keys that manifests named."""
+            if self.children.containsKey((child,)):
+                return
+            known = {k[0]: v[0] for k, v in self.children.iterator()}
+            self.children.updateValue((child,), (max(known.values(), default=0) + 1,))
+            if len(known) >= K.MAX_CHILD_URLS:
+                self.children.removeKey((min(known, key=known.get),))
+
+        def _evict(self, touched: set[str]) -> None:
+            """Over the cap, one item goes: a hidden one, else the oldest file, else the oldest."""
+            held = [(not v[15], v[0] != "file", v[3], v[4], k[0]) for k, v in self.items.iterator()]
+            if len(held) > max_items:
+                gone = min(held)[-1]
+                self.items.removeKey((gone,))
+                touched.add(gone)
 
         def close(self) -> None:
             pass
@@ -68,18 +130,117 @@ def _processor(max_items: int):
     return Tab()
 
 
-def tab_items(rows: DataFrame, max_items: int = K.MAX_ITEMS) -> DataFrame:
-    """Updated items of each tab. Input (a stream): tab_id, seen, event_id, what (item, navigation or closed), key, id, kind, media, mime, ext, size, url.
+def tab_items(rows: DataFrame, max_items: int = K.MAX_ITEMS, delay: str = "1 hour") -> DataFrame:
+    """Changes of each tab's items. Input (a stream): tab_id, seen, event_id, what (item, child, navigation or closed), key, kind, media, mime, ext, size, url.
+
+    A change is an item's new row, or gone = true. Needs the RocksDB state store. A tab's state holds at most `max_items` items (0: no cap)
+    and MAX_CHILD_URLS child keys; tombstones of closed tabs expire an hour of event time later. Rows more than `delay` late are dropped. A row of an item costs one read and one write of that item alone.
+    """
+    shaped = rows.select("tab_id", "seen", "event_id", "what", "key", "kind", "media", "mime", "ext", F.col("size").cast("double").alias("size_"), "url").withWatermark("seen", delay)
+    return shaped.groupBy("tab_id").transformWithStateInPandas(statefulProcessor=_tab(max_items), outputStructType=OUTPUT, outputMode="Update", timeMode="EventTime")
+
+
+def _waiting(wait_millis: int):
+    import pandas as pd
+    from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+    class Waiting(StatefulProcessor):
+        """An unverified item: when it was first seen, until it is verified or its time is up."""
+
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.handle = handle
+            self.state = handle.getValueState("state", "first_us long, done boolean")
+
+        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+            first, done = self.state.get() if self.state.exists() else (None, False)
+            for chunk in rows:
+                done = done or bool(chunk["verified"].any())
+                us = int(chunk["seen"].astype("datetime64[us]").astype("int64").min())
+                first = us if first is None else min(first, us)
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            if not done:
+                self.handle.registerTimer(-(-first // 1000) + wait_millis)
+            self.state.update((first, done))
+            yield pd.DataFrame({"tab_id": pd.Series(dtype="int64"), "key": pd.Series(dtype=object), "shown": pd.Series(dtype="datetime64[us]")})
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+            first, done = self.state.get()
+            if not done:
+                self.state.update((first, True))
+                yield pd.DataFrame({"tab_id": [key[0]], "key": [key[1]], "shown": [pd.Timestamp(first + wait_millis * 1000, unit="us")]})
+
+        def close(self) -> None:
+            pass
+
+    return Waiting()
+
+
+def pending_items(items: DataFrame, wait_seconds: int = K.PENDING_SECONDS, delay: str = "10 seconds") -> DataFrame:
+    """Unverified items of a stream that appear once event time has passed their first sighting by the waiting time: tab_id, key, shown.
 
-    Needs the RocksDB state store. A tab's state holds at most `max_items` items; the rows of a tab within a batch are taken in event order.
+    Input: tab_id, key, seen, verified. An item that is verified before its time is not reported here. Timers go by the watermark, `delay` behind the rows.
     """
-    shaped = rows.select("tab_id", "seen", "event_id", "what", "key", "id", "kind", "media", "mime", "ext", F.col("size").alias("size_"), "url")
-    return shaped.groupBy("tab_id").transformWithStateInPandas(statefulProcessor=_processor(max_items), outputStructType=OUTPUT, outputMode="Update", timeMode="None")
+    rows = items.select("tab_id", "key", "seen", "verified").withWatermark("seen", delay)
+    return rows.groupBy("tab_id", "key").transformWithStateInPandas(statefulProcessor=_waiting(wait_seconds * 1000), outputStructType="tab_id long, key string, shown timestamp", outputMode="Update", timeMode="EventTime")
 
 
-def pending_items(items: DataFrame, wait_seconds: int = K.PENDING_SECONDS) -> DataFrame:
-    """Unverified items of a stream that appear once event time has passed them by the waiting time, each key once a window."""
-    return items.withWatermark("seen", f"{wait_seconds} seconds").dropDuplicatesWithinWatermark(["tab_id", "key"])
+def _throttle(millis: int):
+    import pandas as pd
+    from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+    columns = ["tab_id", "start", "reports", "last_event"]
+
+    class Throttle(StatefulProcessor):
+        """Events that wait for their report, and one timer: the first of them opens a report, which is due `millis` later."""
+
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.handle = handle
+            self.events = handle.getListState("events", "us long, event long")
+
+        def _arm(self, events: list[tuple]) -> None:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            if events:
+                self.handle.registerTimer(-(-(min(events)[0] + millis * 1000) // 1000))
+
+        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+            events = list(self.events.get())
+            for chunk in rows:
+                us = chunk["seen"].astype("datetime64[us]").astype("int64")
+                events += list(zip(us.tolist(), chunk["event_id"].tolist(), strict=True))
+            self.events.put(events)
+            self._arm(events)
+            yield pd.DataFrame({"tab_id": pd.Series(dtype="int64"), "start": pd.Series(dtype="datetime64[us]"), "reports": pd.Series(dtype="int64"), "last_event": pd.Series(dtype="int64")})
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+            events, out = sorted(self.events.get()), []
+            mark = timerValues.getCurrentWatermarkInMs() * 1000
+            while events and events[0][0] + millis * 1000 <= mark:
+                start = events[0][0]
+                n = sum(e[0] < start + millis * 1000 for e in events)
+                out.append((key[0], pd.Timestamp(start, unit="us"), n, events[n - 1][1]))
+                events = events[n:]
+            if events:
+                self.events.put(events)
+            else:
+                self.events.clear()
+            self._arm(events)
+            frame = pd.DataFrame(out, columns=columns)
+            frame["start"] = frame["start"].astype("datetime64[us]")
+            yield frame
+
+        def close(self) -> None:
+            pass
+
+    return Throttle()
+
+
+def throttled(reports: DataFrame, millis: int = K.REPORT_MILLIS, delay: str = "10 seconds") -> DataFrame:
+    """Reports of a stream (tab_id, seen, event_id), at most one per tab in `millis`: the first event opens a report, which takes all events
+    of the time that follows; the next event after that opens another. Columns: tab_id, start, reports, last_event. A tab's state holds the events of `delay` and `millis`."""
+    rows = reports.select("tab_id", "seen", "event_id").withWatermark("seen", delay)
+    return rows.groupBy("tab_id").transformWithStateInPandas(statefulProcessor=_throttle(millis), outputStructType="tab_id long, start timestamp, reports long, last_event long", outputMode="Append", timeMode="EventTime")
 
 
 def settled(pending: DataFrame, completions: DataFrame, within: str = "1 hour") -> DataFrame:
@@ -87,12 +248,4 @@ def settled(pending: DataFrame, completions: DataFrame, within: str = "1 hour")
     left = pending.withWatermark("started", within)
     right = completions.withWatermark("ended", within).withColumnRenamed("download_id", "ended_id")
     joined = left.join(right, F.expr(f"download_id = ended_id AND ended >= started AND ended <= started + INTERVAL {within}"))
-    retry = F.col("reason").isin("SERVER_FORBIDDEN", "SERVER_UNAUTHORIZED", "SERVER_BAD_CONTENT", "SERVER_FAILED")
-    textual = F.col("mime").rlike("^(text/|application/(json|xml|xhtml))")
-    page = (F.col("bytes") < K.ERROR_PAGE_BYTES) | (textual & (F.col("bytes") < K.TEXT_ERROR_PAGE_BYTES))
-    return joined.select("download_id", "started", "ended", F.when(F.col("reason").isNull() & ~page, "done").when(F.col("reason").isNull(), "error_page").when(retry, "retry").otherwise("failed").alias("outcome"))
-
-
-def throttled(reports: DataFrame, millis: int = 800) -> DataFrame:
-    """One report per tab for each burst: the session window's last, closed `millis` after the burst's first unmatched event."""
-    return reports.withWatermark("seen", "10 minutes").groupBy("tab_id", F.session_window("seen", f"{millis} milliseconds")).agg(F.count(F.lit(1)).alias("reports"), F.max("event_id").alias("last_event")).select("tab_id", F.col("session_window.start").alias("start"), "reports", "last_event")
+    return joined.select("download_id", "started", "ended", C.outcome(F.col("reason"), F.col("bytes"), F.col("mime")).alias("outcome"))
