@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+import re
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reelgrid.session import written
@@ -75,25 +78,25 @@ def scan(files: DataFrame, *, id_col: str = "doc_id", path_col: str = "path", te
     the highest score, then the smallest path). The root directory is ''. Null paths are '' and inherit from the root; null and empty texts have no own
     licence; an empty table gives no rows; rows that repeat an id are rows of their own.
 
-    Only units that hold an anchor term are vectorised, and runs of lines only of files that hold enough of a template's weight: without one, by the Cauchy-Schwarz inequality, no template's cosine
-    reaches the threshold. Document frequencies are partial aggregates by term. Broadcast are the templates and their terms, bounded by the parameter,
+    Equal texts, and then equal units, are scored once. Single lines are vectorised if they hold an anchor term: without one, by the Cauchy-Schwarz inequality,
+    no template's cosine reaches the threshold. Runs are looked at in texts that hold enough of a template's weight, and there first by a bound: dot products add up over
+    lines, and a run's squared size is no less than the sum of its lines'. Runs within the bound are vectorised as a whole.
+    Document frequencies are partial aggregates by term. Broadcast are the templates and their terms, bounded by the parameter,
     and the frequencies of frequent terms, bounded by OFTEN; the other terms meet their frequencies in a shuffle.
     """
     spark = files.sparkSession
+    two = lambda x: [F.xxhash64(F.lit(seed), x) for seed in (5, 23)]
     rows = files.select(F.col(id_col).alias("id"), F.coalesce(F.col(path_col), F.lit("")).alias("path"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.select("*", F.xxhash64("id", "path", "text").alias("k1"), F.xxhash64("text", F.lit(1), "path", "id").alias("k2"))
-    import re
-
+    h1, h2 = two(F.col("text"))
+    rows = rows.select("*", h1.alias("h1"), h2.alias("h2"))
     every_text = [(name, text) for name, text in templates.items()] + [(name, text) for name in templates for text in notices.get(name, ())]
     words = {(name, k): _counted([t for t in re.split("[^a-z0-9]+", text.lower()) if t]) for k, (name, text) in enumerate(every_text)}
     vocabulary = sorted({t for w in words.values() for t in w})
-    lines = rows.select("k1", "k2", F.posexplode(F.split("text", "\n")).alias("line", "unit"))
+    lines = rows.select("h1", "h2", F.posexplode(F.split("text", "\n")).alias("line", "unit"))
     # Document frequencies of all terms, over every line; '' counts the lines.
     seen = written(lines.select(F.explode(F.concat(F.array(F.lit("")), F.array_distinct(terms(F.col("unit"))))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n")), "terms")
     counts = {r["term"]: r["n"] for r in seen.where(F.col("term").isin("", *vocabulary)).collect()}
     total = counts.get("", 0)
-    import math
-
     idf = {t: math.log((1 + total) / (1 + counts.get(t, 0))) + 1 for t in vocabulary}
     weight = {name: {t: c * idf[t] for t, c in w.items()} for name, w in words.items()}
     norm = {name: math.sqrt(sum(x * x for x in w.values())) for name, w in weight.items()}
@@ -111,40 +114,58 @@ def scan(files: DataFrame, *, id_col: str = "doc_id", path_col: str = "path", te
     rare = weights.where("not often").select("term", "idf")
     postings = F.broadcast(spark.createDataFrame([(t, *key, x / norm[key]) for key, w in weight.items() for t, x in w.items()] or [("", "", 0, 0.0)], "term string, template string, k int, y double"))
 
-    def scored(units: DataFrame) -> DataFrame:
-        """k1, k2, span, line, template, score of the units (k1, k2, span, line, t) that reach the threshold."""
-        each = units.select("k1", "k2", "span", "line", F.explode(F.transform(F.array_distinct("t"), lambda w: F.struct(w.alias("term"), F.size(F.filter("t", lambda x: x == w)).alias("tf")))).alias("e")).select("k1", "k2", "span", "line", "e.*")
-        vectors = each.join(often, "term").unionByName(each.join(often, "term", "left_anti").join(rare, "term")).withColumn("x", F.col("tf") * F.col("idf"))
-        unit = ["k1", "k2", "span", "line"]
-        sizes = vectors.groupBy(*unit).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("size"))
-        dots = vectors.join(postings, "term").groupBy(*unit, "template", "k").agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
-        return dots.join(sizes, unit).select(*unit, "template", F.round(F.col("dot") / F.col("size"), 9).alias("score")).where(F.col("score") >= threshold - 5e-10)
-
-    found = written(lines.select("k1", "k2", F.lit(1).alias("span"), "line", terms(F.col("unit")).alias("t")).where(anchored(F.col("t"))), "units")
-    single = written(scored(found.dropDuplicates(["k1", "k2", "line"])), "lines")
+    def with_unit(some: DataFrame) -> DataFrame:
+        u1, u2 = two(F.col("t"))
+        return some.withColumn("u1", u1).withColumn("u2", u2)
+
+    def vectors(units: DataFrame) -> DataFrame:
+        """u1, u2, size2 (squared size) and dots (template, k, dot) of the distinct units in `units` (u1, u2, t)."""
+        distinct = units.groupBy("u1", "u2").agg(F.first("t").alias("t"))
+        each = distinct.select("u1", "u2", F.explode(F.transform(F.array_distinct("t"), lambda w: F.struct(w.alias("term"), F.size(F.filter("t", lambda x: x == w)).alias("tf")))).alias("e")).select("u1", "u2", "e.*")
+        found = written(each.join(often, "term", "left").select("term", "u1", "u2", "tf", "idf"), "terms")
+        weighed = found.where("idf is not null").unionByName(found.where("idf is null").drop("idf").join(rare, "term")).withColumn("x", F.col("tf") * F.col("idf"))
+        sizes = weighed.groupBy("u1", "u2").agg(F.sum(F.col("x") * F.col("x")).alias("size2"))
+        dots = weighed.join(postings, "term").groupBy("u1", "u2", "template", "k").agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
+        return sizes.join(dots.groupBy("u1", "u2").agg(F.collect_list(F.struct("template", "k", "dot")).alias("dots")), ["u1", "u2"], "left")
+
+    def scored(vectored: DataFrame) -> DataFrame:
+        """u1, u2, template, score of the units that reach the threshold."""
+        return vectored.select("u1", "u2", F.explode("dots").alias("d"), "size2").select("u1", "u2", "d.template", F.round(F.col("d.dot") / F.sqrt("size2"), 9).alias("score")).where(F.col("score") >= threshold - 5e-10)
+
+    found = written(with_unit(lines.select("h1", "h2", "line", terms(F.col("unit")).alias("t")).where(anchored(F.col("t")))), "units")
+    single = found.select("h1", "h2", F.lit(1).alias("span"), "line", "u1", "u2").distinct().join(scored(vectors(found)), ["u1", "u2"]).drop("u1", "u2")
+    single = written(single, "lines")
     # Runs of lines: of files without a line of cosine 1 that hold, in all their lines, a template's terms with threshold^2 of its weight.
-    open_ = found.select("k1", "k2").distinct().join(single.where("score >= 1").select("k1", "k2").distinct(), ["k1", "k2"], "left_anti")
-    texts = written(rows.join(open_, ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.min("text").alias("text")), "texts")
-    mass = texts.select("k1", "k2", F.explode(F.array_distinct(terms(F.col("text")))).alias("term")).join(postings, "term").groupBy("k1", "k2", "template", "k").agg(F.sum(F.col("y") * F.col("y")).alias("mass"))
-    able = mass.where(F.col("mass") >= threshold * threshold - 1e-9).select("k1", "k2").distinct()
-    full = texts.join(able, ["k1", "k2"], "left_semi").select("k1", "k2", F.posexplode(F.split("text", "\n")).alias("line", "unit")).select("k1", "k2", "line", terms(F.col("unit")).alias("t")).where(F.size("t") > 0)
-    ahead = full.withColumn("ahead", F.collect_list("t").over(Window.partitionBy("k1", "k2").orderBy("line").rowsBetween(0, max(SPANS) - 1)))
-    spans = F.array_distinct(F.transform(F.array(*[F.lit(k) for k in SPANS]), lambda k: F.least(k, F.size("ahead"))))
-    runs = ahead.where(F.size("ahead") > 1).select("k1", "k2", "line", "ahead", F.explode(spans).alias("span")).select("k1", "k2", "span", "line", F.flatten(F.slice("ahead", F.lit(1), F.col("span"))).alias("t"))
-    wide = scored(written(runs.where(anchored(F.col("t"))), "runs"))
-    best = single.unionByName(wide).groupBy("k1", "k2").agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("span"), F.col("line"), F.col("template"))).alias("b"))
-    best = written(rows.drop("text").join(best, ["k1", "k2"]).groupBy("k1", "k2", "id", "path").agg(F.min("b").alias("b")).select("k1", "k2", "id", "path", F.col("b.template").alias("own_license"), (-F.col("b.s")).alias("own_score"), F.col("b.line").alias("own_line")), "best")
+    open_ = found.select("h1", "h2").distinct().join(single.where("score >= 1").select("h1", "h2").distinct(), ["h1", "h2"], "left_anti")
+    texts = written(rows.join(open_, ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.min("text").alias("text")), "texts")
+    mass = texts.select("h1", "h2", F.explode(F.array_distinct(terms(F.col("text")))).alias("term")).join(postings, "term").groupBy("h1", "h2", "k").agg(F.sum(F.col("y") * F.col("y")).alias("mass"))
+    able = written(mass.where(F.col("mass") >= threshold * threshold - 1e-9).groupBy("h1", "h2").agg(F.collect_list("k").alias("ks")), "able")
+    full = texts.join(able, ["h1", "h2"]).select("h1", "h2", F.posexplode(F.split("text", "\n")).alias("line", "unit")).select("h1", "h2", "line", terms(F.col("unit")).alias("t")).where(F.size("t") > 0)
+    full = written(with_unit(full), "full")
+    laid = full.join(vectors(full), ["u1", "u2"]).groupBy("h1", "h2").agg(F.array_sort(F.collect_list(F.struct("line", "t", "size2", "dots"))).alias("x"))
+    laid = laid.where(F.size("x") > 1).join(able, ["h1", "h2"]).select("h1", "h2", "x", F.explode("ks").alias("k"))
+    laid = laid.withColumn("d", F.transform("x", lambda e: F.coalesce(F.get(F.filter(e["dots"], lambda z: z["k"] == F.col("k")), F.lit(0))["dot"], F.lit(0.0)))).withColumn("s", F.transform("x", lambda e: e["size2"]))
+    n = F.size("x")
+    total_of = lambda c, i, k: F.aggregate(F.slice(c, i, k), F.lit(0.0), lambda acc, v: acc + v)
+    spans = lambda i: F.filter(F.array_distinct(F.transform(F.array(*[F.lit(k) for k in SPANS]), lambda k: F.least(k, n - i + 1))), lambda k: k > 1)
+    within = lambda i: F.transform(F.filter(spans(i), lambda k: total_of("d", i, k) >= threshold * F.sqrt(total_of("s", i, k)) - 1e-9), lambda k: F.struct(i.alias("i"), k.alias("span")))
+    starts = F.filter(F.sequence(F.lit(1), n - 1), lambda i: F.exists(F.slice("d", i, F.lit(max(SPANS))), lambda v: v > 0))
+    runs = laid.select("h1", "h2", "x", F.explode(F.flatten(F.transform(starts, within))).alias("r")).select("h1", "h2", "r.span", F.get("x", F.col("r.i") - 1)["line"].alias("line"), F.flatten(F.transform(F.slice("x", F.col("r.i"), F.col("r.span")), lambda e: e["t"])).alias("t"))
+    runs = written(with_unit(runs), "runs")
+    wide = runs.select("h1", "h2", "span", "line", "u1", "u2").distinct().join(scored(vectors(runs)), ["u1", "u2"]).drop("u1", "u2")
+    best = single.unionByName(wide).groupBy("h1", "h2").agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("span"), F.col("line"), F.col("template"))).alias("b"))
+    best = written(best.select("h1", "h2", F.col("b.template").alias("own_license"), (-F.col("b.s")).alias("own_score"), F.col("b.line").alias("own_line")), "best")
     folder = F.when(F.instr("path", "/") > 0, F.regexp_extract("path", "^(.*)/[^/]*$", 1)).otherwise("")
     name = F.lower(F.regexp_extract("path", "([^/]*)$", 1))
     licence_file = F.regexp_extract(name, "^([^.]*)", 1).isin(*licence_names)
-    stated = best.where(licence_file).select(folder.alias("dir"), "own_license", "own_score", "path").groupBy("dir").agg(F.min(F.struct((-F.col("own_score")).alias("s"), F.col("path"), F.col("own_license").alias("license"))).alias("b")).select("dir", F.col("b.license").alias("dir_license"))
+    stated = rows.select("h1", "h2", "path").where(licence_file).join(best, ["h1", "h2"]).select(folder.alias("dir"), "own_license", "own_score", "path").groupBy("dir").agg(F.min(F.struct((-F.col("own_score")).alias("s"), F.col("path"), F.col("own_license").alias("license"))).alias("b")).select("dir", F.col("b.license").alias("dir_license"))
     # Every directory meets its ancestors: '', 'a', 'a/b', ...; the longest that states a licence is the nearest.
     dirs = rows.select(folder.alias("dir")).distinct()
     steps = F.split("dir", "/")
     ancestors = F.concat(F.array(F.lit("")), F.when(F.col("dir") != "", F.transform(F.sequence(F.lit(1), F.size(steps)), lambda k: F.array_join(F.slice(steps, F.lit(1), k), "/"))).otherwise(F.array().cast("array<string>")))
     nearest = dirs.select("dir", F.explode(F.array_distinct(ancestors)).alias("up")).join(stated.withColumnRenamed("dir", "up"), "up").groupBy("dir").agg(F.max(F.struct(F.length("up").alias("n"), F.col("up"), F.col("dir_license"))).alias("b")).select("dir", F.col("b.up").alias("license_dir"), F.col("b.dir_license").alias("dir_license"))
-    every = rows.select("k1", "k2", "id", "path").withColumn("dir", folder)
-    joined = every.join(best.drop("id", "path"), ["k1", "k2"], "left").select("id", "path", "dir", "own_license", "own_score", "own_line").join(nearest, "dir", "left")
+    every = rows.select("h1", "h2", "id", "path").withColumn("dir", folder)
+    joined = every.join(best, ["h1", "h2"], "left").select("id", "path", "dir", "own_license", "own_score", "own_line").join(nearest, "dir", "left")
     own = F.col("own_license").isNotNull()
     return joined.select(
         F.col("id").alias(id_col),
