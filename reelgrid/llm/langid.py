@@ -70,9 +70,9 @@ def fit(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     """
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     keyed = rows.select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.pmod(F.xxhash64(id_col), F.lit(1 << 40)).alias("h"))
-    # About twice as many as are wanted pass a threshold on the hash, so that no task ranks all rows of a language.
+    # About twice as many as are wanted pass a threshold on the hash before any shuffle: sizes, one row a language, are broadcast (a model holds a profile of each language too).
     sizes = keyed.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    passed = keyed.join(sizes, "lang").where(F.col("h") < F.lit(2.0 * (fit_rows + 50) * (1 << 40)) / F.col("n"))
+    passed = keyed.join(F.broadcast(sizes), "lang").where(F.col("h") < F.lit(2.0 * (fit_rows + 50) * (1 << 40)) / F.col("n"))
     chosen = passed.select("lang", "id", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id")).alias("k")).where(F.col("k") <= fit_rows).select("id").distinct()
     ids = written(chosen, "sample")  # at most `fit_rows` a language
     texts = rows.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).join(F.broadcast(ids) if ids.count() <= MAX_IDS else ids, "id", "left_semi")
