@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reelgrid.session import written
@@ -54,9 +54,9 @@ def dedup_lines(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     keyed = written(lines.select("id", "line_no", "n", w0.alias("w0"), w1.alias("w1"), *[h.alias(f"h{k}") for k, h in enumerate(halves)]), "keys")
     classes = keyed.groupBy("w0", "w1", "h0", "h1", "h2", "h3").agg(F.min(F.struct("id", "line_no")).alias("at"))
     half = classes.select("w0", "w1", F.explode(F.array_compact(F.array("h0", "h1", "h2", "h3"))).alias("half"))
-    of_half = Window.partitionBy("half")
-    shared = half.select("w0", "w1", (F.min("w0").over(of_half) < F.max("w0").over(of_half)).alias("shared")).where("shared")
-    near = shared.select("w0", "w1").distinct()
+    # Halves of two classes or more, by partial aggregates (no task gathers a common half); a class that has one of them goes on.
+    common = half.groupBy("half").agg(F.min("w0").alias("least"), F.max("w0").alias("most")).where("least < most").select("half")
+    near = half.join(common, "half", "left_semi").select("w0", "w1").distinct()
     # The words of the classes that go on, numbered in the order of their earliest lines.
     places = classes.join(near, ["w0", "w1"], "left_semi").select("w0", "w1", "at", F.col("at.id").alias("id"), F.col("at.line_no").alias("line_no"))
     worded = lines.alias("l").join(places.alias("p"), F.col("l.id").eqNullSafe(F.col("p.id")) & (F.col("l.line_no") == F.col("p.line_no")))
