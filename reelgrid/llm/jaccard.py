@@ -7,10 +7,14 @@ documents agree on a whole part. Documents with an equal part form a cell whose
 regions of the pivots of its cells (boundary documents to several). All linked pairs meet in a region.
 
 A region's join is exact: distances to the pivot are computed; documents within the threshold of the pivot are linked to
-it; others are compared with all documents whose distance to the pivot differs by no more than the threshold (the triangle
-inequality), through the places where they differ from the pivot. A region too large for a task is split into rings of distance to its
-pivot, each with the neighbouring rings' documents, and the rings that hold a document not linked to the pivot are joined again as
-regions with pivots of their own.
+it; others are compared with the documents whose distance to the pivot differs by no more than the threshold (the triangle
+inequality), through the places where they differ from the pivot.
+
+A region too large for a task gets further pivots, and each document is assigned to the nearest (a Voronoi cell). Documents that
+are not linked to the region's own pivot are open: they look for partners in their own cell, to which documents
+of other cells are replicated if they lie within twice the threshold of the boundary. A cell is cut into rings of
+distance to its pivot, so that partners are one ring apart at most, and rings into blocks by hash, so that no task takes more
+than its bound, however large or dense a region is.
 """
 
 from __future__ import annotations
@@ -26,9 +30,10 @@ from reelgrid.llm.arrays import mix, row_chunks, shingle_sets, utf8
 from reelgrid.llm.components import components
 from reelgrid.session import written
 
-#: Documents that a task joins at most before a region is split; rounds of splitting.
-REGION = 20_000
-DEPTH = 3
+#: Documents that a task joins at most, and shingles for each of them, before a region is split; pivots of a split region.
+REGION = 4_000
+SHINGLES = 500
+PIVOTS = 4
 #: A band of sizes reaches from 10 * BAND^b to 10 * BAND^(b+1) shingles.
 BAND = 1.6
 #: One row in SAMPLE is looked at for hot cells; a cell is hot with one in HOT of the rows seen.
@@ -118,24 +123,61 @@ def local_links(sets: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray,
     distance = apart / np.maximum(1, sizes + sizes[0] - shared)
     width = 1 - num / den + 1e-9
 
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
     for i in far.tolist():
-        low, high = np.searchsorted(values, forms[i], "left"), np.searchsorted(values, forms[i], "right")
-        count = high - low
-        at = np.repeat(low - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum())
+        at = _found(values, forms[i])
+        at = at[np.abs(distance[members[at]] - distance[i]) <= width]  # the window goes before the intersections
         common = np.bincount(members[at], minlength=n)
         inter = (sizes[i] + sizes - (lengths[i] + lengths - 2 * common)) // 2 if by_difference else common
         others = np.flatnonzero(linked(inter, sizes[i], sizes, num, den) & (np.abs(distance - distance[i]) <= width))
-        for j in others.tolist():
-            x, y = find(i), find(j)
-            if x != y:
-                root[max(x, y)] = min(x, y)
-    return np.array([find(i) for i in range(n)]), shared
+        _unite(root, i, others)
+    return np.array([_top_of(root, i) for i in range(n)]), shared
+
+
+def _found(values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Places of all occurrences of the wanted values in the sorted `values`."""
+    low, high = np.searchsorted(values, wanted, "left"), np.searchsorted(values, wanted, "right")
+    count = high - low
+    return np.repeat(low - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum())
+
+
+def _top_of(root: np.ndarray, x: int) -> int:
+    while root[x] != x:
+        root[x] = root[root[x]]
+        x = root[x]
+    return x
+
+
+def _unite(root: np.ndarray, i: int, others: np.ndarray) -> None:
+    for j in others.tolist():
+        x, y = _top_of(root, i), _top_of(root, j)
+        if x != y:
+            root[max(x, y)] = min(x, y)
+
+
+def open_links(sets: list[np.ndarray], some: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Component of each set by the links that have one of `some` (indices) at an end, exactly."""
+    n = len(sets)
+    sizes = np.array([len(s) for s in sets], np.int64)
+    values = np.concatenate(sets)
+    order = np.argsort(values, kind="stable")
+    values, members = values[order], np.repeat(np.arange(n), sizes)[order]
+    root = np.arange(n)
+    for i in some.tolist():
+        inter = np.bincount(members[_found(values, sets[i])], minlength=n)
+        _unite(root, i, np.flatnonzero(linked(inter, sizes[i], sizes, num, den)))
+    return np.array([_top_of(root, i) for i in range(n)])
+
+
+def _join_block(size: int, num: int, den: int):
+    def run(table: pa.Table) -> pa.Table:
+        nodes, first = np.unique(table.column("node").to_numpy(), return_index=True)
+        opened = np.isin(nodes, table.filter(table.column("open")).column("node").to_numpy())
+        sets = list(_sets(table.column("text").combine_chunks().take(pa.array(first)), size))
+        root = open_links(sets, np.flatnonzero(opened), num, den)
+        at = np.flatnonzero(root != np.arange(len(nodes)))
+        return pa.table({"a": pa.array(nodes[at]), "b": pa.array(nodes[root[at]])})
+
+    return run
 
 
 def _join_region(size: int, num: int, den: int):
@@ -213,7 +255,7 @@ def near_duplicates(df: DataFrame, *, shingle: int = 5, num: int = 8, den: int =
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(len(s), *set_hashes(s)) for s in _sets(batch.column(3), shingle)]
+            found = [(len(s), *set_hashes(s)) for s in _sets(batch.column(3), shingle)]  # the second hash tells sets apart that share the first
             columns = [pa.array([f[k] for f in found], pa.int64()) for k in range(3)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns], names=["id", "k1", "k2", "n", "node", "check"])
 
@@ -222,7 +264,7 @@ def near_duplicates(df: DataFrame, *, shingle: int = 5, num: int = 8, den: int =
         for batch in batches:
             parts, nodes, total = [], [], 0
             for s in _sets(batch.column(0), shingle):
-                if not len(s) or (node := set_hashes(s)[0]) in seen:
+                if not len(s) or (node := named(*set_hashes(s))) in seen:
                     continue
                 if len(seen) >= 200_000:
                     seen.clear()
@@ -238,23 +280,27 @@ def near_duplicates(df: DataFrame, *, shingle: int = 5, num: int = 8, den: int =
                 yield _pair(np.concatenate(parts), np.concatenate(nodes), "part", "node")
 
     rows = written(docs.select("id", "k1", "k2", "text").mapInArrow(measure, f"id {kind}, k1 long, k2 long, n long, node long, check long"), "sets")
+    # Sets with one 64-bit hash but two others are named by the second: about one pair in 10^19 collides, so these are a handful at any size.
+    clash = [r["node"] for r in rows.groupBy("node").agg(F.min("check").alias("a"), F.max("check").alias("b")).where("a <> b").select("node").collect()]
+    clashing = frozenset(clash)
+    named = lambda node, check: check if node in clashing else node
+    if clash:
+        rows = rows.withColumn("node", F.when(F.col("node").isin(clash), F.col("check")).otherwise(F.col("node")))
     signed = lambda some: some.select("text").mapInArrow(sign, "part long, node long")
     cells = written(_regions(signed(docs), signed(docs.where(F.pmod("k1", F.lit(SAMPLE)) == 0))), "cells")
     regions = written(_uncovered(cells), "regions")
-    places = rows.where("n > 0").groupBy("node").agg(F.min(F.struct("k1", "k2")).alias("at")).join(regions.select("node").distinct(), "node").select("node", "at.k1", "at.k2")
+    places = rows.where("n > 0").groupBy("node").agg(F.min(F.struct("k1", "k2")).alias("at"), F.max("n").alias("n")).join(regions.select("node").distinct(), "node").select("node", "at.k1", "at.k2", "n")
+    placed = written(regions.join(places, "node").select(F.col("pivot").alias("region"), "node", "k1", "k2", "n"), "placed")
     texts = docs.groupBy("k1", "k2").agg(F.min("text").alias("text"))  # a row and its repeats once
-    sizes = regions.groupBy("pivot").agg(F.count(F.lit(1)).alias("m"))
-    members = regions.join(sizes, "pivot").join(places, "node").join(texts, ["k1", "k2"]).select(F.col("pivot").alias("region"), "pivot", "node", "m", "text")
-    edges = None
-    for depth in range(DEPTH + 1):
-        small = members if depth == DEPTH else members.where(F.col("m") <= region)
-        found = small.select("region", "node", "text").groupBy("region").applyInArrow(lambda t: _join_region(shingle, num, den)(t), "a long, b long")
-        edges = found if edges is None else edges.unionByName(found)
-        large = sizes.where(F.col("m") > region)
-        if depth == DEPTH or large.limit(1).count() == 0:
-            break
-        members, sizes, stars = _rings(members.where(F.col("m") > region), shingle, num, den)
-        edges = edges.unionByName(stars)
+    sizes = placed.groupBy("region").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("w"))
+    large = written(sizes.where((F.col("m") > region) | ((F.col("w") > region * SHINGLES) & (F.col("m") > 2))).select("region"), "large")
+    some_large = large.limit(1).count() > 0
+    small = placed.join(large, "region", "left_anti") if some_large else placed
+    edges = small.join(texts, ["k1", "k2"]).select("region", "node", "text").groupBy("region").applyInArrow(lambda t: _join_region(shingle, num, den)(t), "a long, b long")
+    if some_large:
+        members = written(placed.join(large, "region", "left_semi").join(texts, ["k1", "k2"]).select("region", "node", "n", "text"), "members")
+        stars, found = _split(members, shingle, num, den, region)
+        edges = edges.unionByName(stars).unionByName(found)
     labels = components(edges)
     of_node = rows.where("n > 0").groupBy("node").agg(F.min("id").alias("low"))
     low = of_node.join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "low")
@@ -265,21 +311,50 @@ def near_duplicates(df: DataFrame, *, shingle: int = 5, num: int = 8, den: int =
     return full.unionByName(empty).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
 
 
-def _rings(members: DataFrame, shingle: int, num: int, den: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Split large regions: members of the next round, its sizes, and the links to the pivots found on the way."""
-    pivots = members.where("node = pivot").select("region", F.col("text").alias("pivot_text"))
+def _split(members: DataFrame, shingle: int, num: int, den: int, region: int) -> tuple[DataFrame, DataFrame]:
+    """Links inside large regions: those of documents to their region's pivot, and those of open documents to others (as components of blocks).
+
+    The first pivot is the region's smallest node; the others are the smallest by other hashes. All counts are partial aggregates, and
+    only the pivots' texts meet all documents of their region.
+    """
+    radius = 1 - num / den + 1e-9
+    least = [F.min("node")] + [F.min_by("node", F.xxhash64(F.lit(j), "node")) for j in range(1, PIVOTS)]
+    chosen = members.groupBy("region").agg(*[x.alias(f"p{j}") for j, x in enumerate(least)]).select("region", F.posexplode(F.array(*[f"p{j}" for j in range(PIVOTS)])).alias("j", "node"))
+    pivots = members.select("region", "node", "text").join(chosen, ["region", "node"]).groupBy("region").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "text"))), lambda x: x["text"]).alias("pivots"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            near, ring = [], []
-            for s, p in zip(_sets(batch.column(4), shingle), _sets(batch.column(5), shingle), strict=True):
-                inter = len(np.intersect1d(s, p, assume_unique=True))
-                near.append(bool(linked(inter, len(s), len(p), num, den)))
-                ring.append(int((1 - inter / max(1, len(s) + len(p) - inter)) / (1 - num / den) - 1e-9))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(near), pa.array(ring, pa.int32())], names=["region", "pivot", "node", "m", "text", "near", "ring"])
-
-    measured = written(members.join(pivots, "region").select("region", "pivot", "node", "m", "text", "pivot_text").mapInArrow(compare, "region long, pivot long, node long, m long, text string, near boolean, ring int"), "rings")
-    stars = measured.where("near and node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
-    dealt = measured.where("node <> pivot").withColumn("to", F.explode(F.array(F.col("ring") - 1, F.col("ring"), F.col("ring") + 1))).withColumn("region", F.xxhash64("region", "to"))
-    sizes = dealt.groupBy("region").agg(F.count(F.lit(1)).alias("m"), F.min("node").alias("pivot"), F.max(~F.col("near") & (F.col("ring") == F.col("to"))).alias("open")).where("open").select("region", "m", "pivot")
-    return dealt.select("region", "node", "text").join(sizes, "region").select("region", "pivot", "node", "m", "text"), sizes, stars
+            near, distances, known = [], [], {}
+            for s, texts in zip(_sets(batch.column(3), shingle), batch.column(4).to_pylist(), strict=True):
+                key = tuple(map(hash, texts))
+                if key not in known:
+                    known = {key: list(_sets(pa.array(texts, pa.string()), shingle))}
+                inter = [len(np.intersect1d(s, p, assume_unique=True)) for p in known[key]]
+                near.append(bool(linked(inter[0], len(s), len(known[key][0]), num, den)))
+                distances.append([1 - i / max(1, len(s) + len(p) - i) for i, p in zip(inter, known[key], strict=True)])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(near), pa.array(distances, pa.list_(pa.float64()))], names=["region", "node", "n", "text", "near", "d"])
+
+    measured = written(members.join(pivots, "region").select("region", "node", "n", "text", "pivots").mapInArrow(compare, "region long, node long, n long, text string, near boolean, d array<double>"), "measured")
+    first = chosen.where("j = 0").select("region", F.col("node").alias("pivot"))
+    stars = measured.where("near").select("region", "node").join(first, "region").where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
+    nearest = F.array_min("d")
+    own = F.array_position("d", nearest).cast("int")
+    ring = lambda d: F.floor(d / radius).cast("int")
+    # Partners: every document, in each cell whose pivot is at most twice the threshold further than the nearest. Open ones look in their own cell.
+    cells = F.filter(F.sequence(F.lit(1), F.size("d")), lambda c: F.element_at("d", c) <= nearest + 2 * radius)
+    partners = measured.select("region", "node", "n", F.explode(cells).alias("cell"), "d").withColumn("ring", ring(F.element_at("d", F.col("cell"))))
+    seekers = measured.where("not near").select("region", "node", "n", own.alias("cell"), ring(nearest).alias("ring"))
+    place = ["region", "cell", "ring"]
+    parts = lambda rows, name: rows.groupBy(*place).agg(F.ceil(F.greatest(F.count(F.lit(1)) * 2 / F.lit(float(region)), F.sum("n") * 2 / F.lit(float(region * SHINGLES)))).cast("int").alias(name))
+    blocks = written(parts(seekers, "blocks"), "blocks")
+    buckets = parts(partners.join(blocks.select("region", "cell").distinct(), ["region", "cell"], "left_semi"), "buckets")
+    # A task is a block of seekers of one ring against a bucket of partners of the same ring or one beside it.
+    around = blocks.select(*place, "blocks", F.explode(F.array(F.col("ring") - 1, F.col("ring"), F.col("ring") + 1)).alias("other"))
+    tasks = written(around.join(buckets.withColumnRenamed("ring", "other"), ["region", "cell", "other"]).select("region", "cell", "ring", "other", "blocks", "buckets"), "tasks")
+    part = lambda count: F.pmod(F.xxhash64(F.lit(97), "node"), F.col(count)).cast("int")
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+    key = ["region", "cell", "ring", "other", "block", "bucket"]
+    asked = seekers.join(tasks, place).withColumn("block", part("blocks")).select(*key[:4], "block", every("buckets").alias("bucket"), "node", F.lit(True).alias("open"))
+    offered = partners.withColumnRenamed("ring", "other").join(tasks, ["region", "cell", "other"]).withColumn("bucket", part("buckets")).select(*key[:4], every("blocks").alias("block"), "bucket", "node", F.lit(False).alias("open"))
+    dealt = asked.unionByName(offered).join(measured.select("region", "node", "text"), ["region", "node"]).select(F.xxhash64(*key).alias("task"), "node", "open", "text")
+    return stars, dealt.groupBy("task").applyInArrow(lambda t: _join_block(shingle, num, den)(t), "a long, b long")
