@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 import re
 
@@ -54,8 +55,6 @@ NOTICES = {k: (*NOTICES.get(k, ()), *(() if k == "Proprietary" else (f"SPDX-Lice
 SPANS = (2, 3, 4, 5, 6, 7, 8, 10, 12, 16, 20, 24)
 #: Names of licence files (lower case, without what follows a dot).
 LICENCE_NAMES = ("license", "licence", "copying", "notice", "unlicense")
-#: A term is frequent with one in OFTEN of the units; there are at most OFTEN times the mean terms of a unit.
-OFTEN = 1_000
 
 
 def terms(text: Column) -> Column:
@@ -78,11 +77,10 @@ def scan(files: DataFrame, *, id_col: str = "doc_id", path_col: str = "path", te
     the highest score, then the smallest path). The root directory is ''. Null paths are '' and inherit from the root; null and empty texts have no own
     licence; an empty table gives no rows; rows that repeat an id are rows of their own.
 
-    Equal texts, and then equal units, are scored once. Single lines are vectorised if they hold an anchor term: without one, by the Cauchy-Schwarz inequality,
-    no template's cosine reaches the threshold. Runs are looked at in texts that hold enough of a template's weight, and there first by a bound: dot products add up over
-    lines, and a run's squared size is no less than the sum of its lines'. Runs within the bound are vectorised as a whole.
-    Document frequencies are partial aggregates by term. Broadcast are the templates and their terms, bounded by the parameter,
-    and the frequencies of frequent terms, bounded by OFTEN; the other terms meet their frequencies in a shuffle.
+    Equal texts, and then equal units, are scored once. What can reach the threshold is found in each row by a bound, without a join: a line's dot products follow from the
+    terms of the templates, and its size is no less than that of these terms and one for each other term, as no idf is under 1. For runs of lines both add up, as a
+    run's squared size is no less than the sum of its lines'; they are looked at in texts that hold threshold^2 of a template's weight. Units within the bound are then
+    vectorised as a whole. Document frequencies are partial aggregates by term. Broadcast are the templates and their terms, bounded by the parameter; other terms meet their frequencies in a shuffle.
     """
     spark = files.sparkSession
     two = lambda x: [F.xxhash64(F.lit(seed), x) for seed in (5, 23)]
@@ -100,59 +98,57 @@ def scan(files: DataFrame, *, id_col: str = "doc_id", path_col: str = "path", te
     idf = {t: math.log((1 + total) / (1 + counts.get(t, 0))) + 1 for t in vocabulary}
     weight = {name: {t: c * idf[t] for t, c in w.items()} for name, w in words.items()}
     norm = {name: math.sqrt(sum(x * x for x in w.values())) for name, w in weight.items()}
-    anchors = set()
-    for name, w in weight.items():
-        rest = sum(x * x for x in w.values())
-        for t in sorted(w, key=lambda t: (t not in anchors, -idf[t], t)):
-            if math.sqrt(max(0.0, rest)) < threshold * norm[name] - 1e-9:
-                break
-            anchors.add(t)
-            rest -= w[t] * w[t]
-    anchored = lambda t: F.arrays_overlap(t, F.array(*[F.lit(t) for t in sorted(anchors)])) if anchors else F.lit(False)
-    weights = seen.select("term", (F.log(F.lit(1.0 + total) / (1 + F.col("n"))) + 1).alias("idf"), (F.col("n") * OFTEN >= total).alias("often"))
-    often = F.broadcast(weights.where("often").select("term", "idf"))
-    rare = weights.where("not often").select("term", "idf")
+    names = list(words)
+    # Of each term of the templates: its idf, and its share in each template's vector. Constants of the plan.
+    table = F.from_json(F.lit(json.dumps({t: [idf[t], *(weight[key].get(t, 0.0) / norm[key] for key in names)] for t in vocabulary})), "map<string,array<double>>")
+    listed = F.array(*[F.lit(t) for t in vocabulary]).cast("array<string>")
+    none = F.array_repeat(F.lit(0.0), len(names))
+    weights = seen.select("term", (F.log(F.lit(1.0 + total) / (1 + F.col("n"))) + 1).alias("idf"))
     postings = F.broadcast(spark.createDataFrame([(t, *key, x / norm[key]) for key, w in weight.items() for t, x in w.items()] or [("", "", 0, 0.0)], "term string, template string, k int, y double"))
 
+    def with_bound(some: DataFrame) -> DataFrame:
+        """low (no more than the squared size) and dots (by template) of units t."""
+        own = F.transform(F.array_intersect("t", listed), lambda w: F.struct(F.size(F.filter("t", lambda x: x == w)).alias("tf"), F.element_at(table, w).alias("y")))
+        rows = some.withColumn("own", own)
+        low = F.aggregate("own", F.lit(0.0), lambda acc, e: acc + (e["tf"] * e["y"][0]) ** 2) + F.size(F.array_distinct("t")) - F.size("own")
+        dots = F.aggregate("own", none, lambda acc, e: F.zip_with(acc, F.slice(e["y"], 2, len(names)), lambda d, y: d + e["tf"] * e["y"][0] * y))
+        return rows.withColumn("low", low).withColumn("dots", dots).drop("own")
+
     def with_unit(some: DataFrame) -> DataFrame:
         u1, u2 = two(F.col("t"))
         return some.withColumn("u1", u1).withColumn("u2", u2)
 
-    def vectors(units: DataFrame) -> DataFrame:
-        """u1, u2, size2 (squared size) and dots (template, k, dot) of the distinct units in `units` (u1, u2, t)."""
+    def scored(units: DataFrame) -> DataFrame:
+        """u1, u2, template, score of the distinct units in `units` (u1, u2, t) that reach the threshold."""
         distinct = units.groupBy("u1", "u2").agg(F.first("t").alias("t"))
         each = distinct.select("u1", "u2", F.explode(F.transform(F.array_distinct("t"), lambda w: F.struct(w.alias("term"), F.size(F.filter("t", lambda x: x == w)).alias("tf")))).alias("e")).select("u1", "u2", "e.*")
-        found = written(each.join(often, "term", "left").select("term", "u1", "u2", "tf", "idf"), "terms")
-        weighed = found.where("idf is not null").unionByName(found.where("idf is null").drop("idf").join(rare, "term")).withColumn("x", F.col("tf") * F.col("idf"))
-        sizes = weighed.groupBy("u1", "u2").agg(F.sum(F.col("x") * F.col("x")).alias("size2"))
+        weighed = each.join(weights, "term").withColumn("x", F.col("tf") * F.col("idf"))
+        sizes = weighed.groupBy("u1", "u2").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("size"))
         dots = weighed.join(postings, "term").groupBy("u1", "u2", "template", "k").agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
-        return sizes.join(dots.groupBy("u1", "u2").agg(F.collect_list(F.struct("template", "k", "dot")).alias("dots")), ["u1", "u2"], "left")
-
-    def scored(vectored: DataFrame) -> DataFrame:
-        """u1, u2, template, score of the units that reach the threshold."""
-        return vectored.select("u1", "u2", F.explode("dots").alias("d"), "size2").select("u1", "u2", "d.template", F.round(F.col("d.dot") / F.sqrt("size2"), 9).alias("score")).where(F.col("score") >= threshold - 5e-10)
+        return dots.join(sizes, ["u1", "u2"]).select("u1", "u2", "template", F.round(F.col("dot") / F.col("size"), 9).alias("score")).where(F.col("score") >= threshold - 5e-10)
 
-    found = written(with_unit(lines.select("h1", "h2", "line", terms(F.col("unit")).alias("t")).where(anchored(F.col("t")))), "units")
-    single = found.select("h1", "h2", F.lit(1).alias("span"), "line", "u1", "u2").distinct().join(scored(vectors(found)), ["u1", "u2"]).drop("u1", "u2")
+    cut = threshold - 1e-9
+    split = with_bound(lines.select("h1", "h2", "line", terms(F.col("unit")).alias("t")).where(F.arrays_overlap("t", listed)))
+    found = written(with_unit(split.where(F.array_max("dots") >= F.sqrt("low") * cut).select("h1", "h2", "line", "t")), "units")
+    single = found.select("h1", "h2", F.lit(1).alias("span"), "line", "u1", "u2").distinct().join(scored(found), ["u1", "u2"]).drop("u1", "u2")
     single = written(single, "lines")
-    # Runs of lines: of files without a line of cosine 1 that hold, in all their lines, a template's terms with threshold^2 of its weight.
-    open_ = found.select("h1", "h2").distinct().join(single.where("score >= 1").select("h1", "h2").distinct(), ["h1", "h2"], "left_anti")
-    texts = written(rows.join(open_, ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.min("text").alias("text")), "texts")
-    mass = texts.select("h1", "h2", F.explode(F.array_distinct(terms(F.col("text")))).alias("term")).join(postings, "term").groupBy("h1", "h2", "k").agg(F.sum(F.col("y") * F.col("y")).alias("mass"))
-    able = written(mass.where(F.col("mass") >= threshold * threshold - 1e-9).groupBy("h1", "h2").agg(F.collect_list("k").alias("ks")), "able")
-    full = texts.join(able, ["h1", "h2"]).select("h1", "h2", F.posexplode(F.split("text", "\n")).alias("line", "unit")).select("h1", "h2", "line", terms(F.col("unit")).alias("t")).where(F.size("t") > 0)
-    full = written(with_unit(full), "full")
-    laid = full.join(vectors(full), ["u1", "u2"]).groupBy("h1", "h2").agg(F.array_sort(F.collect_list(F.struct("line", "t", "size2", "dots"))).alias("x"))
-    laid = laid.where(F.size("x") > 1).join(able, ["h1", "h2"]).select("h1", "h2", "x", F.explode("ks").alias("k"))
-    laid = laid.withColumn("d", F.transform("x", lambda e: F.coalesce(F.get(F.filter(e["dots"], lambda z: z["k"] == F.col("k")), F.lit(0))["dot"], F.lit(0.0)))).withColumn("s", F.transform("x", lambda e: e["size2"]))
+    # Runs of lines: of texts without a line of cosine 1 that hold, in all their lines, a template's terms with threshold^2 of its weight.
+    held = F.aggregate(F.transform(F.array_intersect(terms(F.col("text")), listed), lambda w: F.element_at(table, w)), none, lambda acc, y: F.zip_with(acc, F.slice(y, 2, len(names)), lambda m, v: m + v * v))
+    able = rows.where(F.instr("text", "\n") > 0).select("h1", "h2", "text", F.explode(F.array_compact(F.array(F.when(F.array_max(held) >= threshold * threshold - 1e-9, held)))).alias("held"))
+    able = able.join(single.where("score >= 1").select("h1", "h2").distinct(), ["h1", "h2"], "left_anti").groupBy("h1", "h2").agg(F.min("text").alias("text"), F.first("held").alias("held"))
+    full = written(able, "able").select("h1", "h2", "held", F.posexplode(F.split("text", "\n")).alias("line", "unit")).select("h1", "h2", "held", "line", terms(F.col("unit")).alias("t")).where(F.size("t") > 0)
+    laid = with_bound(full).groupBy("h1", "h2").agg(F.array_sort(F.collect_list(F.struct("line", "t", "low", "dots"))).alias("x"), F.first("held").alias("held"))
+    ks = F.filter(F.transform("held", lambda m, k: F.when(m >= threshold * threshold - 1e-9, k)), lambda k: k.isNotNull())
+    laid = laid.where(F.size("x") > 1).select("h1", "h2", "x", F.explode(ks).alias("k"))
+    laid = laid.withColumn("d", F.transform("x", lambda e: F.get(e["dots"], F.col("k")))).withColumn("s", F.transform("x", lambda e: e["low"]))
     n = F.size("x")
     total_of = lambda c, i, k: F.aggregate(F.slice(c, i, k), F.lit(0.0), lambda acc, v: acc + v)
     spans = lambda i: F.filter(F.array_distinct(F.transform(F.array(*[F.lit(k) for k in SPANS]), lambda k: F.least(k, n - i + 1))), lambda k: k > 1)
-    within = lambda i: F.transform(F.filter(spans(i), lambda k: total_of("d", i, k) >= threshold * F.sqrt(total_of("s", i, k)) - 1e-9), lambda k: F.struct(i.alias("i"), k.alias("span")))
+    within = lambda i: F.transform(F.filter(spans(i), lambda k: total_of("d", i, k) >= F.sqrt(total_of("s", i, k)) * cut), lambda k: F.struct(i.alias("i"), k.alias("span")))
     starts = F.filter(F.sequence(F.lit(1), n - 1), lambda i: F.exists(F.slice("d", i, F.lit(max(SPANS))), lambda v: v > 0))
     runs = laid.select("h1", "h2", "x", F.explode(F.flatten(F.transform(starts, within))).alias("r")).select("h1", "h2", "r.span", F.get("x", F.col("r.i") - 1)["line"].alias("line"), F.flatten(F.transform(F.slice("x", F.col("r.i"), F.col("r.span")), lambda e: e["t"])).alias("t"))
     runs = written(with_unit(runs), "runs")
-    wide = runs.select("h1", "h2", "span", "line", "u1", "u2").distinct().join(scored(vectors(runs)), ["u1", "u2"]).drop("u1", "u2")
+    wide = runs.select("h1", "h2", "span", "line", "u1", "u2").distinct().join(scored(runs), ["u1", "u2"]).drop("u1", "u2")
     best = single.unionByName(wide).groupBy("h1", "h2").agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("span"), F.col("line"), F.col("template"))).alias("b"))
     best = written(best.select("h1", "h2", F.col("b.template").alias("own_license"), (-F.col("b.s")).alias("own_score"), F.col("b.line").alias("own_line")), "best")
     folder = F.when(F.instr("path", "/") > 0, F.regexp_extract("path", "^(.*)/[^/]*$", 1)).otherwise("")
