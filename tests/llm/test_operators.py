@@ -85,8 +85,9 @@ def brute_repeats(rows, n):
     return out
 
 
-@pytest.mark.parametrize("length,wide", [(400, 4096), (64, 4096), (64, 2), (40, 8)])
-def test_suffix(docs, odd, length, wide):
+@pytest.mark.parametrize("length,wide,bucket", [(400, 4096, 16_384), (64, 4096, 3), (64, 2, 16_384), (40, 8, 3)])
+def test_suffix(docs, odd, length, wide, bucket, monkeypatch):
+    monkeypatch.setattr(suffix, "BUCKET", bucket)
     for df in (docs.where("length(text) < 4000"), odd, odd.limit(0)):
         rows = texts(df)
         want = brute_repeats([(t or "").encode() for _, t in rows], length)
