@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import uuid
 from collections.abc import Callable
 
@@ -72,14 +71,33 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_suffix_dedup, op3_ngram_jaccard, op4_decontamination, op5_toxicity, op6_warc, op7_packing, op8_license_scan, op9_exact_dedup, op10_line_dedup)}
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_WORDS = f"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+_BASE32 = "list_aggregate(list_transform(generate_series(0, 31), lambda i: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[(('0x' || h[i // 4 * 5 + 1 : i // 4 * 5 + 5])::BIGINT >> (15 - i % 4 * 5)) % 32 + 1]), 'string_agg', '')"
+
 ORACLE_SQL = {
+    "op4_decontamination": f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+i AS (SELECT DISTINCT item_id, k, array_to_string(w[s : s + k - 1], ' ') AS t FROM (SELECT item_id, w, least(10, len(w)) AS k, unnest(generate_series(1, greatest(1, len(w) - 9))) AS s FROM b WHERE len(w) > 0)),
+x AS (SELECT doc_id, k, s, array_to_string(w[s : s + k - 1], ' ') AS t FROM (SELECT doc_id, w, k, unnest(generate_series(1, len(w) - k + 1)) AS s FROM d, (SELECT DISTINCT k FROM i) WHERE len(w) >= k)),
+h AS (SELECT doc_id, s, k, item_id::VARCHAR AS item FROM x JOIN i USING (k, t)),
+p AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(generate_series(s, s + k - 1)) AS p FROM h) GROUP BY doc_id),
+n AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN p USING (doc_id) LEFT JOIN n USING (doc_id)""",
+    "op6_warc": f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages), q AS (SELECT *, upper(sha1(payload)) AS h FROM p)
+SELECT page_id, strlen(payload) AS payload_bytes, {_BASE32} AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM q""",
     "op9_exact_dedup": r"""
 WITH n AS (SELECT doc_id, coalesce(length(text), 0) AS points, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents),
 w AS (SELECT doc_id, norm, first_value(doc_id) OVER (PARTITION BY norm ORDER BY points DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size FROM n)
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM w""",
+    "op10_line_dedup": f"""
+WITH l AS (SELECT doc_id, i - 1 AS line_no, regexp_extract_all(x[i], '[^\\x20\\x09-\\x0D]+') AS w FROM (SELECT doc_id, x, unnest(generate_series(1, len(x))) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents))),
+p AS (SELECT doc_id, line_no, len(w) AS n, array_to_string(w, ' ') AS t, w FROM l WHERE len(w) > 0),
+c AS (SELECT t, any_value(w) AS w, any_value(n) AS n, min((doc_id, line_no)) AS own FROM p GROUP BY t),
+v AS (SELECT t, n, own, s, array_to_string(list_concat(w[: s - 1], w[s + 1 :]), ' ') AS d FROM (SELECT *, unnest(generate_series(1, n)) AS s FROM c WHERE n >= {lines.MIN_WORDS})),
+r AS (SELECT n, s, d, min(own) AS low FROM v GROUP BY n, s, d), e AS (SELECT d, min(own) AS low FROM v GROUP BY d),
+f AS (SELECT v.t, r.low FROM v JOIN r USING (n, s, d) UNION ALL SELECT v.t, c.own FROM v JOIN c ON c.t = v.d UNION ALL SELECT c.t, e.low FROM c JOIN e ON c.t = e.d UNION ALL SELECT t, own FROM c),
+m AS (SELECT t, min(low) AS first FROM f GROUP BY t)
+SELECT p.doc_id, p.line_no, p.n AS n_words, m.first = (p.doc_id, p.line_no) AS kept, m.first[1] AS first_id, m.first[2] AS first_line, CASE WHEN m.first < c.own THEN 1 ELSE 0 END AS edits FROM p JOIN c USING (t) JOIN m USING (t)""",
 }
-
-
-def items_digest(item_ids) -> str:
-    """What items_sha256 holds, for tests."""
-    return hashlib.sha256(",".join(sorted(item_ids)).encode()).hexdigest()
