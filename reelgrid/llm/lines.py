@@ -9,6 +9,8 @@ from reelgrid.session import written
 
 #: Lines of fewer words must be equal to count as repeats; longer ones may differ by one word.
 MIN_WORDS = 8
+#: Shared halves that are broadcast at most (8 bytes each); more are joined by a shuffle.
+MAX_HALVES = 1_000_000
 
 
 def _plain(line: Column) -> Column:
@@ -53,12 +55,14 @@ def dedup_lines(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     w0, w1 = _hashed(F.col("plain"))
     keyed = written(lines.select("id", "line_no", "n", w0.alias("w0"), w1.alias("w1"), *[h.alias(f"h{k}") for k, h in enumerate(halves)]), "keys")
     classes = keyed.groupBy("w0", "w1", "h0", "h1", "h2", "h3").agg(F.min(F.struct("id", "line_no")).alias("at"))
-    half = classes.select("w0", "w1", F.explode(F.array_compact(F.array("h0", "h1", "h2", "h3"))).alias("half"))
     # Halves of two classes or more, by partial aggregates (no task gathers a common half); a class that has one of them goes on.
-    common = half.groupBy("half").agg(F.min("w0").alias("least"), F.max("w0").alias("most")).where("least < most").select("half")
-    near = half.join(common, "half", "left_semi").select("w0", "w1").distinct()
+    # One hash names a class here: two classes that share it both go on, and are told apart later.
+    half = classes.select("w0", F.explode(F.array_compact(F.array("h0", "h1", "h2", "h3"))).alias("half"))
+    common = written(half.groupBy("half").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("half"), "halves")
+    common = F.broadcast(common) if common.count() <= MAX_HALVES else common
+    near = half.join(common, "half", "left_semi").select("w0").distinct()
     # The words of the classes that go on, numbered in the order of their earliest lines.
-    places = classes.join(near, ["w0", "w1"], "left_semi").select("w0", "w1", "at", F.col("at.id").alias("id"), F.col("at.line_no").alias("line_no"))
+    places = classes.join(near, "w0", "left_semi").select("w0", "w1", "at", F.col("at.id").alias("id"), F.col("at.line_no").alias("line_no"))
     worded = lines.alias("l").join(places.alias("p"), F.col("l.id").eqNullSafe(F.col("p.id")) & (F.col("l.line_no") == F.col("p.line_no")))
     w0, w1 = _hashed(F.col("l.plain"))
     worded = worded.where((w0 == F.col("p.w0")) & (w1 == F.col("p.w1"))).select("p.w0", "p.w1", "p.at", "l.plain", "l.n").dropDuplicates(["w0", "w1"])
