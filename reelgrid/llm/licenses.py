@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import math
 import re
 
@@ -98,9 +97,19 @@ def scan(files: DataFrame, *, id_col: str = "doc_id", path_col: str = "path", te
     idf = {t: math.log((1 + total) / (1 + counts.get(t, 0))) + 1 for t in vocabulary}
     weight = {name: {t: c * idf[t] for t, c in w.items()} for name, w in words.items()}
     norm = {name: math.sqrt(sum(x * x for x in w.values())) for name, w in weight.items()}
+    anchors = set()
+    for key, w in weight.items():
+        rest = sum(x * x for x in w.values())
+        for t in sorted(w, key=lambda t: (t not in anchors, -idf[t], t)):
+            if math.sqrt(max(0.0, rest)) < threshold * norm[key] - 1e-9:
+                break
+            anchors.add(t)
+            rest -= w[t] * w[t]
+    anchored = lambda t: F.arrays_overlap(t, F.array(*[F.lit(t) for t in sorted(anchors)])) if anchors else F.lit(False)
     names = list(words)
-    # Of each term of the templates: its idf, and its share in each template's vector. Constants of the plan.
-    table = F.from_json(F.lit(json.dumps({t: [idf[t], *(weight[key].get(t, 0.0) / norm[key] for key in names)] for t in vocabulary})), "map<string,array<double>>")
+    # Of each term of the templates: its idf, and its share in each template's vector. A constant of the plan.
+    numbers = {t: [idf[t], *(weight[key].get(t, 0.0) / norm[key] for key in names)] for t in vocabulary}
+    table = F.expr("map(" + ", ".join(f"'{t}', array({', '.join(f'{x!r}D' for x in y)})" for t, y in numbers.items()) + ")") if vocabulary else F.expr("map('', array(0D))")
     listed = F.array(*[F.lit(t) for t in vocabulary]).cast("array<string>")
     none = F.array_repeat(F.lit(0.0), len(names))
     weights = seen.select("term", (F.log(F.lit(1.0 + total) / (1 + F.col("n"))) + 1).alias("idf"))
@@ -128,14 +137,19 @@ def scan(files: DataFrame, *, id_col: str = "doc_id", path_col: str = "path", te
         return dots.join(sizes, ["u1", "u2"]).select("u1", "u2", "template", F.round(F.col("dot") / F.col("size"), 9).alias("score")).where(F.col("score") >= threshold - 5e-10)
 
     cut = threshold - 1e-9
-    split = with_bound(lines.select("h1", "h2", "line", terms(F.col("unit")).alias("t")).where(F.arrays_overlap("t", listed)))
-    found = written(with_unit(split.where(F.array_max("dots") >= F.sqrt("low") * cut).select("h1", "h2", "line", "t")), "units")
-    single = found.select("h1", "h2", F.lit(1).alias("span"), "line", "u1", "u2").distinct().join(scored(found), ["u1", "u2"]).drop("u1", "u2")
-    single = written(single, "lines")
+    # Without an anchor term, by the Cauchy-Schwarz inequality, no template's cosine reaches the threshold.
+    found = written(with_unit(lines.select("h1", "h2", "line", terms(F.col("unit")).alias("t")).where(anchored(F.col("t")))), "units")
+    bounded = with_bound(found.groupBy("u1", "u2").agg(F.first("t").alias("t")))
+    # Rows leave through `explode`: a filter would be pushed below the bound and work it out twice.
+    near = F.explode(F.array_compact(F.array(F.when(F.array_max("dots") >= F.sqrt("low") * cut, F.col("t")))))
+    close = written(bounded.select("u1", "u2", near.alias("t")), "close")
+    single = written(found.select("h1", "h2", F.lit(1).alias("span"), "line", "u1", "u2").distinct().join(scored(close), ["u1", "u2"]).drop("u1", "u2"), "lines")
     # Runs of lines: of texts without a line of cosine 1 that hold, in all their lines, a template's terms with threshold^2 of its weight.
+    open_ = found.select("h1", "h2").distinct().join(single.where("score >= 1").select("h1", "h2").distinct(), ["h1", "h2"], "left_anti")
+    texts = rows.join(open_, ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.min("text").alias("text"))
     held = F.aggregate(F.transform(F.array_intersect(terms(F.col("text")), listed), lambda w: F.element_at(table, w)), none, lambda acc, y: F.zip_with(acc, F.slice(y, 2, len(names)), lambda m, v: m + v * v))
-    able = rows.where(F.instr("text", "\n") > 0).select("h1", "h2", "text", F.explode(F.array_compact(F.array(F.when(F.array_max(held) >= threshold * threshold - 1e-9, held)))).alias("held"))
-    able = able.join(single.where("score >= 1").select("h1", "h2").distinct(), ["h1", "h2"], "left_anti").groupBy("h1", "h2").agg(F.min("text").alias("text"), F.first("held").alias("held"))
+    enough = lambda m: F.array_max(m) >= threshold * threshold - 1e-9
+    able = texts.select("h1", "h2", "text", F.explode(F.filter(F.array(held), enough)).alias("held"))
     full = written(able, "able").select("h1", "h2", "held", F.posexplode(F.split("text", "\n")).alias("line", "unit")).select("h1", "h2", "held", "line", terms(F.col("unit")).alias("t")).where(F.size("t") > 0)
     laid = with_bound(full).groupBy("h1", "h2").agg(F.array_sort(F.collect_list(F.struct("line", "t", "low", "dots"))).alias("x"), F.first("held").alias("held"))
     ks = F.filter(F.transform("held", lambda m, k: F.when(m >= threshold * threshold - 1e-9, k)), lambda k: k.isNotNull())
