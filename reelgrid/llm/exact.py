@@ -26,9 +26,8 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     are rows of their own, and all rows with the id that stays are marked as kept. Other columns are not read.
 
     One pass writes hashes and lengths to the shared folder; groups are counted on those with partial aggregates, so no group is
-    gathered. A second pass joins texts to the groups of two or more by hash (adaptive execution can split a hot one) and
-    compares bytes by the least and the greatest text of each group, again as partial aggregates. Groups whose bytes differ
-    (a hash collision) are grouped again by the text itself.
+    gathered. A second pass compares bytes inside groups by the least and the greatest text of each hash, again as partial aggregates: of a
+    group of copies each task sends one text. Groups whose bytes differ (a hash collision) are grouped again by the text itself.
     """
     hashed = content_hash or (lambda norm: F.unhex(F.md5(norm)))
     points = F.length(F.coalesce(F.col(text_col), F.lit("")))
@@ -36,8 +35,7 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = written(texts.select("id", "points", "h", F.sha2("norm", 256).alias("text_sha256")), "hashes")
     best = F.min(F.struct((-F.col("points")).alias("p"), F.col("id"))).alias("best")
     groups = rows.groupBy("h").agg(F.count(F.lit(1)).alias("group_size"), best).select("h", "group_size", F.col("best.id").alias("keep_id"))
-    many = groups.where("group_size > 1").select("h")
-    collided = written(texts.select("h", "norm").join(many, "h", "left_semi").groupBy("h").agg(F.min("norm").alias("a"), F.max("norm").alias("b")).where("a <> b").select("h"), "collided")
+    collided = written(texts.groupBy("h").agg(F.min("norm").alias("a"), F.max("norm").alias("b")).where("a <> b").select("h"), "collided")
     out = rows.join(groups, "h")
     if collided.limit(1).count():
         unsure = texts.join(collided, "h", "left_semi").select("*", F.sha2("norm", 256).alias("text_sha256"))
