@@ -22,6 +22,17 @@ DATE = "1970-01-01T00:00:00Z"
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 
 
+#: HTML bytes of a shard, from which the number of shards follows.
+SHARD_BYTES = 256 << 20
+
+
+def _store(folder: str):
+    """File system and path of the shared folder, for tasks; Hadoop's name of an S3 store is taken too."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(f"s3://{folder[6:]}" if folder.startswith("s3a://") else folder)
+
+
 def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
@@ -105,17 +116,18 @@ def write_warc(pages: DataFrame, folder: str, *, roll_bytes: int = 64 << 20, sha
     """
     spark = pages.sparkSession
     rows = marked(pages, min_revisit_bytes, id_col, url_col, html_col)
-    n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = rows.repartitionByRange(n, "page_id").sortWithinPartitions("page_id", "mark", "url", "html")
+    total = pages.agg(F.sum(F.octet_length(html_col))).first()[0] or 0
+    n = shards or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // SHARD_BYTES))
+    spread = F.when(F.col("page_id").isNull(), F.xxhash64("url", "html"))  # rows without an id are dealt out too
+    ranged = rows.repartitionByRange(n, F.col("page_id"), spread).sortWithinPartitions("page_id", "mark", "url", "html")
     kind = rows.schema["page_id"].dataType.simpleString()
     schema = f"path string, records long, bytes long, sha256 string, first_id {kind}, last_id {kind}"
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
         from pyspark import TaskContext
 
         context = TaskContext.get()
-        store, root = fs.FileSystem.from_uri(folder)
+        store, root = _store(folder)
         store.create_dir(root, recursive=True)
         done, state = [], None
 
@@ -123,6 +135,8 @@ def write_warc(pages: DataFrame, folder: str, *, roll_bytes: int = 64 << 20, sha
             nonlocal state
             state["out"].close()
             final = f"{root}/part-{context.partitionId():06d}-{len(done):04d}.warc.gz"
+            if store.get_file_info(final).is_file:  # of an earlier attempt at this task, with the same bytes: some stores don't overwrite
+                store.delete_file(final)
             store.move(state["temp"], final)
             done.append({"path": final.rsplit("/", 1)[1], "records": state["n"], "bytes": state["bytes"], "sha256": state["sha"].hexdigest(), "first_id": state["first"], "last_id": state["last"]})
             state = None
@@ -161,6 +175,8 @@ def write_warc(pages: DataFrame, folder: str, *, roll_bytes: int = 64 << 20, sha
     store = path(final).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not store.rename(path(temp), path(final)):
         raise OSError(f"{final} exists or can't be written")
+    for left in store.globStatus(path(f"{folder}/.tmp-*")) or []:  # of failed attempts
+        store.delete(left.getPath(), False)
     return spark.read.schema(schema).parquet(final)
 
 
@@ -173,8 +189,6 @@ def read_warc(spark: SparkSession, folder: str) -> DataFrame:
     arrow = pa.schema([("file", pa.string()), ("page_id", pa.string()), ("url", pa.string()), ("headers", pa.string()), ("record_type", pa.string()), ("refers_to", pa.string()), ("payload", pa.binary()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64())])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
         class Hashed(io.RawIOBase):
             def __init__(self, inner):
                 self.inner, self.sha = inner, hashlib.sha256()
@@ -184,7 +198,7 @@ def read_warc(spark: SparkSession, folder: str) -> DataFrame:
                 self.sha.update(chunk)
                 return chunk
 
-        store, root = fs.FileSystem.from_uri(folder)
+        store, root = _store(folder)
         for batch in batches:
             for row in batch.to_pylist():
                 rows, size = [], 0
