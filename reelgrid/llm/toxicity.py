@@ -93,9 +93,23 @@ class Model:
         return 1.0 / (1.0 + np.exp(-np.clip(np.concatenate(out), -40, 40))) if out else np.zeros(0)
 
 
+def gradients(data: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, share: np.ndarray, embeddings: np.ndarray, w: np.ndarray, b: float, scale: float) -> tuple:
+    """Of the mean weighted cross-entropy of a batch: buckets met, the gradient of their embeddings, of the softmax, and of its constant."""
+    ids = np.concatenate([i for i, _ in data])
+    weights = np.concatenate([x for _, x in data]) * np.float32(scale)
+    sizes = np.array([len(i) for i, _ in data])
+    of = np.repeat(np.arange(len(data)), sizes)
+    hidden = np.add.reduceat(embeddings[ids] * weights[:, None], np.cumsum(sizes) - sizes)
+    p = 1 / (1 + np.exp(-np.clip(hidden @ w + b, -40, 40)))
+    error = ((p - labels) * share / len(data)).astype(embeddings.dtype)
+    pull = np.bincount(ids, weights * error[of], minlength=len(embeddings)).astype(embeddings.dtype)
+    near = np.flatnonzero(pull)
+    return near, pull[near, None] * w[None, :], hidden.T @ error, float(error.sum())
+
+
 def train(data: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, share: np.ndarray, *, epochs: int = 10, batch: int = 32, rate: float = 0.05, seed: int = 7) -> Model:
     """Adam over mini-batches on embeddings and softmax together. `share` weighs rows (the sample may be balanced)."""
-    full = np.array([len(i) > 0 for i, _ in data])  # a text without words teaches nothing
+    full = np.array([len(i) > 0 for i, _ in data], bool)  # a text without words teaches nothing
     data, labels, share = [x for x, f in zip(data, full, strict=True) if f], labels[full], share[full]
     rng = np.random.default_rng(seed)
     embeddings = (rng.standard_normal((BUCKETS, SIZE)) * 0.05).astype(np.float32)
@@ -108,18 +122,8 @@ def train(data: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, share:
         order = rng.permutation(len(data))
         for s in range(0, len(order), batch):
             rows = order[s : s + batch]
-            ids = np.concatenate([data[r][0] for r in rows])
-            weights = np.concatenate([data[r][1] for r in rows]) * scale
-            sizes = np.array([len(data[r][0]) for r in rows])
-            of = np.repeat(np.arange(len(rows)), sizes)
-            hidden = np.add.reduceat(embeddings[ids] * weights[:, None], np.cumsum(sizes) - sizes)
-            p = 1 / (1 + np.exp(-np.clip(hidden @ w + b, -40, 40)))
-            error = ((p - labels[rows]) * share[rows] / len(rows)).astype(np.float32)
-            gw = hidden.T @ error + 1e-5 * w
-            gb = float(error.sum())
-            pull = np.bincount(ids, weights * error[of], minlength=BUCKETS).astype(np.float32)
-            near = np.flatnonzero(pull)
-            grad = pull[near, None] * w[None, :] + 1e-6 * embeddings[near]
+            near, grad, gw, gb = gradients([data[r] for r in rows], labels[rows], share[rows], embeddings, w, b, scale)
+            grad, gw = grad + 1e-6 * embeddings[near], gw + 1e-5 * w
             step += 1
             f1, f2 = 1 - 0.9**step, 1 - 0.999**step
             m[near] = 0.9 * m[near] + 0.1 * grad
