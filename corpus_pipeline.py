@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelgrid.llm import decontam, exact, jaccard, langid, packing
-from reelgrid.session import prepare, written
+from reelgrid.session import prepare, scratch, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A text whose n-grams are further than this from every language (score of 0 to 1) is no running text.
@@ -38,7 +38,11 @@ def without(docs: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter or unlike every language go; the others get the predicted language as lang."""
+    """Documents without a letter or unlike every language go; the others get the predicted language as lang.
+
+    Null, empty and letterless texts go; rows with a null id, repeated rows and very long texts are judged by their own text; of languages at one
+    distance the first by name counts; without any labelled row nothing is known and all rows go; other columns than those of documents are left out.
+    """
     prepare(spark)
     profiles = langid.fit(docs)
     known = langid.predict(docs, profiles, keep=(F.col("text"), F.col("lang"), F.col("source"), F.col("n_chars")))
@@ -46,14 +50,22 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts stays."""
+    """One document of each group of texts that are equal without white space stays: the longest, of equally long ones that with the smallest id (null first).
+
+    Null texts equal empty ones; of rows that repeat id and text one stays, the least by its other columns; rows with one id and other texts are
+    judged apart; an empty table stays empty.
+    """
     prepare(spark)
     docs = keyed(docs)
     return without(docs, exact.exact_groups(docs, "row_key").select("row_key", (~F.col("kept")).alias("gone"), F.col("kept").alias("folds")))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Five-word shingles, similarity of 0.8 or more: the row with the smallest doc_id of each component stays. Wordless rows all stay."""
+    """Five-word shingles, similarity of 0.8 or more: the row with the smallest id (null first) of each component stays.
+
+    Null, empty and wordless texts are like none and all stay; of rows that repeat id and text one stays; rows with one id and other texts are judged
+    apart; texts of fewer than five words are near only if equal; an empty table stays empty.
+    """
     prepare(spark)
     docs = keyed(docs)
     found = jaccard.near_duplicates(docs, id_col="row_key")
@@ -61,7 +73,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark window go."""
+    """Documents that hold a benchmark window go.
+
+    Null, empty and wordless texts hold none and stay; repeated rows go or stay together; a row is judged by its text, whatever other rows have its id (or none);
+    an empty benchmark takes nothing away.
+    """
     prepare(spark)
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     docs = keyed(docs)
@@ -70,7 +86,11 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of 2048 tokens."""
+    """Sequences of 2048 tokens, one row per piece.
+
+    A null or empty text is its end token alone; repeated rows and rows without an id are packed as rows of their own; a long text is cut into
+    pieces; an empty table gives no rows.
+    """
     prepare(spark)
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), tokens=2048)
 
@@ -85,5 +105,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written to the shared folder and read again; the pieces of the last."""
     docs = prepare(spark).read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        with scratch(spark):  # what a stage wrote on its way goes once its result is written
+            docs = written(stage(spark, docs, sf_dir), name, keep=True)
     return STAGES[-1][1](spark, docs, sf_dir)
