@@ -247,6 +247,38 @@ def test_language_ngrams():
     assert alone[5] == {a: 1, b: 1, blank << 21 | a: 1, a << 21 | b: 1, b << 21 | blank: 1, (blank << 21 | a) << 21 | b: 1, (a << 21 | b) << 21 | blank: 1}
 
 
+def brute_profile(texts, n):
+    """The n most frequent 1- to 3-grams of words between blanks, most frequent first, ties by code."""
+    counts = Counter()
+    for t in texts:
+        for w in re.findall(r"[^\W\d_]+", (t or "").lower()):
+            padded = f" {w} "
+            counts.update(g for k in (1, 2, 3) for g in (padded[i : i + k] for i in range(len(padded) - k + 1)) if g.strip())
+    code = lambda g: sum(ord(c) << 21 * (len(g) - 1 - k) for k, c in enumerate(g))
+    return [g for g, _ in sorted(counts.items(), key=lambda x: (-x[1], code(x[0])))[:n]]
+
+
+def test_language_brute(spark):
+    """Profiles, ranks, out-of-place distances and ties against a plain version."""
+    rng = np.random.default_rng(12)
+    words = {"aa": ["this", "that", "with", "when"], "bb": ["das", "dies", "mit", "wenn"], "cc": ["ceci", "cela", "avec", "quand"]}
+    rows = [(i, " ".join(rng.choice(words[lang], rng.integers(1, 30))) + rng.choice(["", ".", " 12"]), lang) for i in range(150) for lang in [list(words)[i % 3]]]
+    rows += [(900, "zzz", "aa"), (901, "", None), (902, None, "bb"), (903, "123", "cc"), (904, "this das", None), (905, "this das", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learn = [r for r in rows if r[2] and zlib.crc32(str(r[0]).encode()) % 5]
+    profiles = {lang: brute_profile([t for _, t, x in learn if x == lang], 40) for lang in words}
+    worst = max(map(len, profiles.values()))
+    want = {}
+    for i, t, _ in rows:
+        own = brute_profile([t], worst)
+        distance = {lang: sum(abs(p.index(g) - k) if g in p else worst for k, g in enumerate(own)) for lang, p in profiles.items()}
+        best = min(distance, key=lambda x: (distance[x], x)) if own else "und"
+        want[i] = (best, distance[best] if own else 0, round(1 - distance[best] / (worst * len(own)), 9) if own else 0.0)
+    got = {r["doc_id"]: (r["lang_pred"], r["distance"], round(r["score"], 9)) for r in langid.identify(df, ranks=40).collect()}
+    assert got == want and got[904] == got[905]
+    assert all(k in (901, 902, 903) for k, v in got.items() if v[0] == "und")
+
+
 def test_toxicity(spark, docs, odd, sf):
     rng = np.random.default_rng(9)
     plain = [f"w{k}" for k in range(60)]
@@ -270,6 +302,41 @@ def test_toxicity(spark, docs, odd, sf):
     assert toxicity.detect(odd, spark.createDataFrame([], "doc_id long, toxic int")).count() == len(ODD)
 
 
+def test_toxicity_brute():
+    """Bags, one step of training and scores against plain versions."""
+    some = ["Bad bad word", "", "ünder x", None]
+    for (ids, weights), t in zip(toxicity.bags(some), some, strict=True):
+        words = re.findall(r"[^\W\d_]+", (t or "").lower())
+        assert len(ids) == len(set(ids.tolist())) and abs(weights.sum() - (1 if words else 0)) < 1e-5
+        if words:  # one word's subwords share its weight
+            alone = [toxicity.bags([w])[0] for w in words]
+            total = Counter()
+            for i, w in alone:
+                total.update(dict(zip(i.tolist(), (w / len(words)).tolist(), strict=True)))
+            assert set(total) == set(ids.tolist()) and all(abs(total[k] - v) < 1e-5 for k, v in zip(ids.tolist(), weights.tolist(), strict=True))
+    model = toxicity.Model(np.random.default_rng(1).standard_normal(toxicity.BUCKETS), 0.3)
+    for s, (ids, weights) in zip(model.scores(some), toxicity.bags(some), strict=True):
+        assert abs(s - 1 / (1 + np.exp(-0.3 - float((model.bucket[ids] * weights).sum())))) < 1e-5
+    labels, share = np.array([1.0, 0.0, 0.0, 1.0]), np.array([0.5, 1.5, 1.0, 1.0])
+    data = toxicity.bags(["bad one", "good two", "good ones", "very bad"])
+    rng = np.random.default_rng(3)
+    table, w, b = rng.standard_normal((toxicity.BUCKETS, toxicity.SIZE)), rng.standard_normal(toxicity.SIZE), 0.1
+    loss = lambda table, w, b: sum(-s * np.log(p if y else 1 - p) for (i, x), y, s in zip(data, labels, share, strict=True) for p in [1 / (1 + np.exp(-(x[:, None] * table[i]).sum(0) @ w - b))]) / len(data)
+    near, grad, gw, gb = toxicity.gradients(data, labels, share, table, w, b, 1.0)
+    for k in (0, len(near) - 1):
+        for d in (0, toxicity.SIZE - 1):
+            moved = table.copy()
+            moved[near[k], d] += 1e-5
+            assert abs((loss(moved, w, b) - loss(table, w, b)) / 1e-5 - grad[k, d]) < 1e-3
+    step = np.eye(toxicity.SIZE)[2] * 1e-5
+    assert abs((loss(table, w + step, b) - loss(table, w, b)) / 1e-5 - gw[2]) < 1e-3 and abs((loss(table, w, b + 1e-5) - loss(table, w, b)) / 1e-5 - gb) < 1e-3
+
+
+def test_toxicity_empty(spark, docs):
+    known = spark.createDataFrame([(1, 1), (2, 0), (3, 1), (4, 0)], "doc_id long, toxic int")
+    assert toxicity.detect(docs.limit(0), known).count() == 0
+
+
 # WARC
 
 
@@ -293,6 +360,18 @@ def test_warc(spark):
                 want[(None if i is None else str(i), len(raw), base64.b32encode(hashlib.sha1(raw).digest()).decode(), "response" if ref is None else "revisit", None if ref is None else str(ref), raw if ref is None else None)] += 1
             assert Counter((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"], None if r["payload"] is None else bytes(r["payload"])) for r in rows) == want
         assert sets[0] == sets[1]  # the same files, byte for byte
+    # What a finished and a failed earlier attempt left is replaced and cleared.
+    import os
+
+    folder = f"{shared_dir(spark)}/warc-again-{np.random.rand()}"
+    local = folder.removeprefix("file://")
+    os.makedirs(local)
+    for name in ("part-000000-0000.warc.gz", ".tmp-0-99-0"):
+        with open(f"{local}/{name}", "wb") as f:
+            f.write(b"half")
+    warc.write_warc(df, folder, roll_bytes=600, shards=3, level=1)
+    assert warc.read_warc(spark, folder).count() == len(pages)
+    assert not [x for x in os.listdir(local) if x.startswith(".tmp-")]
     folder = f"{shared_dir(spark)}/warc-empty-{np.random.rand()}"
     assert warc.write_warc(df.limit(0), folder).count() == 0 and warc.read_warc(spark, folder).count() == 0
 
@@ -396,52 +475,69 @@ def test_lines(spark, docs, odd):
 
 
 def brute_licences(rows, threshold):
+    """All eight columns, from every line and every run of SPANS lines with a term."""
     import math
 
     terms = lambda t: [x for x in re.split("[^a-z0-9]+", t.lower()) if x]
-    units = [(i, p, k, terms(u)) for i, p, t in rows for k, u in enumerate((t or "").split("\n"))]
-    vocabulary = {x for t in licenses.TEMPLATES.values() for x in terms(t)}
-    df = Counter(x for *_, u in units for x in set(u) & vocabulary)
-    weigh = lambda x: math.log((1 + len(units)) / (1 + (df[x] if x in vocabulary else 0))) + 1
-    vector = lambda u: {x: c * weigh(x) for x, c in Counter(u).items()}
+    lines = [[terms(u) for u in (t or "").split("\n")] for _, _, t in rows]
+    df, total = Counter(x for own in lines for u in own for x in set(u)), sum(map(len, lines))
+    vector = lambda u: {x: c * (math.log((1 + total) / (1 + df[x])) + 1) for x, c in Counter(u).items()}
     norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
-    own = {}
-    for i, p, k, u in units:
-        v = vector(u)
-        for name, t in licenses.TEMPLATES.items():
-            w = vector(terms(t))
-            if v and (s := sum(v[x] * w.get(x, 0) for x in v) / norm(v) / norm(w)) >= threshold:
-                own[(i, p)] = min(own.get((i, p), (9, 0, "")), (-round(s, 9), k, name))
+    templates = [(name, vector(terms(t))) for name, t in [*licenses.TEMPLATES.items(), *((k, t) for k in licenses.TEMPLATES for t in licenses.NOTICES[k])]]
+
+    def best(units):
+        out = []
+        for span, k, u in units:
+            if v := vector(u):
+                out += [(-round(s, 9), span, k, name) for name, w in templates if (s := sum(v[x] * w.get(x, 0) for x in v) / norm(v) / norm(w)) >= threshold - 5e-10]
+        return out
+
     folder = lambda p: p.rsplit("/", 1)[0] if "/" in p else ""
-    stated = {}
-    for (_, p), (s, _, name) in own.items():
-        if p.rsplit("/", 1)[-1].lower().split(".")[0] in licenses.LICENCE_NAMES:
-            stated[folder(p)] = min(stated.get(folder(p), (9, "", "")), (s, p, name))
-    out = {}
-    for i, p, _ in rows:
+    is_file = lambda p: p.rsplit("/", 1)[-1].lower().split(".")[0] in licenses.LICENCE_NAMES
+    own, stated = [], {}
+    for (_, p, _), own_lines in zip(rows, lines, strict=True):
+        found = best([(1, k, u) for k, u in enumerate(own_lines)])
+        full = [(k, u) for k, u in enumerate(own_lines) if u]
+        if not any(f[0] <= -1 for f in found):
+            found += best([(n, full[i][0], sum((u for _, u in full[i : i + n]), [])) for i in range(len(full)) for n in sorted({min(n, len(full) - i) for n in licenses.SPANS}) if n > 1])
+        own.append(min(found, default=None))
+        if own[-1] and is_file(p or ""):
+            stated[folder(p or "")] = min(stated.get(folder(p or ""), (9, "", "")), (own[-1][0], p or "", own[-1][3]))
+    out = Counter()
+    for (i, p, _), f in zip(rows, own, strict=True):
+        p = p or ""
         up = folder(p)
         while up and up not in stated:
             up = folder(up)
-        found = own.get((i, p))
-        out[(i, p)] = (found and found[2], found[2] if found else stated[up][2] if up in stated else None)
+        if f:
+            out[(i, p, f[3], round(-f[0], 6), f[2], f[3], "file" if is_file(p) else "header", folder(p) if is_file(p) else None)] += 1
+        elif up in stated:
+            out[(i, p, None, None, None, stated[up][2], "inherited", up)] += 1
+        else:
+            out[(i, p, None, None, None, None, "none", None)] += 1
     return out
 
 
+def scanned(df):
+    return Counter((r["doc_id"], r["path"], r["own_license"], None if r["own_score"] is None else round(r["own_score"], 6), r["own_line"], r["license"], r["via"], r["license_dir"]) for r in df.collect())
+
+
 def test_licences(spark, docs):
+    notice = licenses.NOTICES
     files = [
         (1, "a/LICENSE", "Hello\nReleased under the MIT License."), (2, "a/b/c/x.py", "no words here"), (3, "a/b/COPYING.txt", "Licensed under the Apache License, Version 2.0."),
         (4, "a/b/c/y.py", "# All rights reserved.\ncode"), (5, "z/x", None), (6, "top", ""), (7, "a/b/c/d/e", "This work is licensed under the GNU General Public License, version 3."),
-        (8, "ab/x", "the license of the version"), (9, "z/NOTICE", "nothing at all"), (10, "z/y", "Licensed under CC BY-NC 4.0."),
+        (8, "ab/x", "the license of the version"), (9, "z/NOTICE", "nothing at all"), (10, "z/y", "Licensed under CC BY-NC 4.0."), (1, "a/LICENSE", "other words"), (1, "a/LICENSE", "other words"), (None, None, "plain"), (11, None, "Released under the MIT License"),
+        (12, "m/LICENSE", "\n\n".join(notice["MIT"][1].split(", "))), (13, "m/copy", "\n\n".join(notice["MIT"][1].split(", "))), (14, "g/h.c", "int x;\n" + notice["GPL-3.0"][0].replace(". ", ".\n").replace(", ", ",\n * ") + "\nint y;"), (15, "g/COPYING", "word " * 3000 + "\nAll rights reserved"),
     ]
-    made = spark.createDataFrame(files, "doc_id long, path string, text string")
-    got = {(r["doc_id"], r["path"]): (r["own_license"], r["license"]) for r in licenses.scan(made).collect()}
-    assert got == brute_licences(files, 0.8)
-    assert got[(2, "a/b/c/x.py")] == (None, "Apache-2.0") and got[(4, "a/b/c/y.py")][1] == "Proprietary" and got[(8, "ab/x")] == (None, None)
-    table = docs.select("doc_id", F.concat_ws("/", "source", F.concat(F.lit("LICENSE."), "doc_id")).alias("path"), "text")
-    rows = [tuple(r) for r in table.collect()]
-    assert {(r["doc_id"], r["path"]): (r["own_license"], r["license"]) for r in licenses.scan(table).collect()} == brute_licences(rows, 0.8)
+    made = spark.createDataFrame([(*f, "x", 1) for f in files], "doc_id long, path string, text string, term string, line int")
+    got = licenses.scan(made)
+    assert scanned(got) == brute_licences(files, 0.8)
+    found = {(r["doc_id"], r["path"]): r["license"] for r in got.collect()}
+    assert found[(2, "a/b/c/x.py")] == "Apache-2.0" and found[(12, "m/LICENSE")] == "MIT" and found[(14, "g/h.c")] == "GPL-3.0" and found[(8, "ab/x")] is None
+    table = docs.where("length(text) < 6000").select("doc_id", F.concat_ws("/", "source", F.concat(F.lit("LICENSE."), "doc_id")).alias("path"), "text")
+    assert scanned(licenses.scan(table)) == brute_licences([tuple(r) for r in table.collect()], 0.8)
     assert licenses.scan(made.limit(0)).count() == 0
-    assert licenses.scan(spark.createDataFrame([(1, None, "Released under the MIT License"), (1, None, None)], "doc_id long, path string, text string")).count() == 2
 
 
 def test_licences_ordinary_word(spark):
@@ -483,7 +579,47 @@ def test_licences_wrapped(spark):
     assert got == Counter([(1, "MIT", "header"), (2, "Apache-2.0", "header"), (3, "MIT", "file"), (4, "MIT", "inherited"), (5, "GPL-3.0", "header"), (6, "Apache-2.0", "header"), (7, "MIT", "header"), (8, "MIT", "header"), (8, None, "none")])
 
 
-# queries
+# queries: each is run whole on the smallest tables
+
+
+def test_op2_query(spark, sf, docs):
+    rows = texts(docs)
+    want = Counter((i, len((t or "").encode()), removed, spans, hashlib.sha256(kept).hexdigest()) for (i, t), (removed, spans, kept) in zip(rows, brute_repeats([(t or "").encode() for _, t in rows], 400), strict=True))
+    assert Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in QUERIES["op2_suffix_dedup"](spark, sf).collect()) == want
+
+
+def test_op3_query(spark, sf, docs):
+    assert Counter(map(tuple, QUERIES["op3_ngram_jaccard"](spark, sf).select("doc_id", "n_shingles", "component_id").collect())) == brute_components(texts(docs), 3, 90, 100)
+
+
+def test_op1_op5_queries(spark, sf, docs):
+    language = QUERIES["op1_language_id"](spark, sf).collect()
+    assert {r["doc_id"] for r in language} == {i for i, _ in texts(docs)} and all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) and 0 <= r["score"] <= 1 for r in language)
+    toxic = QUERIES["op5_toxicity"](spark, sf).collect()
+    assert {r["doc_id"] for r in toxic} == {i for i, _ in texts(docs)} and all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) and r["predicted"] == int(r["score"] >= 0.3) for r in toxic)
+
+
+def test_op7_query(spark, sf, docs):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(tokenizer())
+    whole = {i: plain.encode(t or "", add_special_tokens=False).ids + [1] for i, t in texts(docs)}
+    pieces, sequences = defaultdict(list), defaultdict(list)
+    for r in QUERIES["op7_packing"](spark, sf).collect():
+        ids = whole[r["doc_id"]]
+        assert r["doc_tokens"] == len(ids) and zlib.crc32(np.array(ids[r["start"] : r["start"] + r["length"]], "<u4").tobytes()) == r["ids_crc32"]
+        pieces[r["doc_id"]].append((r["start"], r["length"]))
+        sequences[r["sequence_id"]].append((r["offset"], r["length"]))
+    gapless = lambda parts: [p for p, _ in sorted(parts)] == np.concatenate(([0], np.cumsum([n for _, n in sorted(parts)])[:-1])).tolist()
+    assert set(pieces) == set(whole) and all(gapless(p) and sum(n for _, n in p) == len(whole[i]) for i, p in pieces.items())
+    assert all(gapless(p) and sum(n for _, n in p) <= 2048 for p in sequences.values())
+
+
+def test_op8_query(spark, sf, docs):
+    rows = [(r["doc_id"], f"{r['source']}/{r['lang']}/{r['doc_id'] % 50}/" + (f"LICENSE.{r['doc_id']}" if len(r["text"]) < 400 and "licen" in r["text"].lower() else f"{r['doc_id']}.txt"), r["text"]) for r in docs.where("length(text) < 6000").collect()]
+    got = scanned(licenses.scan(spark.createDataFrame(rows, "doc_id long, path string, text string")))
+    assert got == brute_licences(rows, 0.8)
+    assert QUERIES["op8_license_scan"](spark, sf).count() == docs.count()
 
 
 def test_query_columns(spark, sf):
