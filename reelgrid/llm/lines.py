@@ -69,7 +69,8 @@ def dedup_lines(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     worded = written(worded.repartitionByRange(parts, "at").sortWithinPartitions("at").withColumn("o", F.monotonically_increasing_id()), "lines")
     verified = _one_edit(worded, min_words).join(worded.select("o", "w0", "w1"), "o").join(worded.select(F.col("o").alias("low"), F.col("at").alias("first")), "low").select("w0", "w1", "first")
-    decided = classes.join(verified, ["w0", "w1"], "left").select("w0", "w1", F.coalesce("first", "at").alias("first"), F.when(F.col("first").isNotNull(), 1).otherwise(0).alias("edits"))
+    # Written, so that the join with all lines has two plain shuffles below it and a line that many documents share is split.
+    decided = written(classes.join(verified, ["w0", "w1"], "left").select("w0", "w1", F.coalesce("first", "at").alias("first"), F.when(F.col("first").isNotNull(), 1).otherwise(0).alias("edits")), "decided")
     full = keyed.select("id", "line_no", "n", "w0", "w1").join(decided, ["w0", "w1"])
     own = F.col("first").eqNullSafe(F.struct("id", "line_no"))
     return full.select(F.col("id").alias(id_col), "line_no", F.col("n").alias("n_words"), own.alias("kept"), F.col("first.id").alias("first_id"), F.col("first.line_no").alias("first_line"), F.when(own, 0).otherwise(F.col("edits")).alias("edits"))
