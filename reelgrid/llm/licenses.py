@@ -52,6 +52,8 @@ NOTICES = {
 NOTICES = {k: (*NOTICES.get(k, ()), *(() if k == "Proprietary" else (f"SPDX-License-Identifier: {k}",))) for k in TEMPLATES}
 #: Numbers of adjacent lines that hold a term that make a unit, besides single lines.
 SPANS = (2, 3, 4, 5, 6, 7, 8, 10, 12, 16, 20, 24)
+#: Texts to be looked at for runs whose keys (16 bytes each) are broadcast at most; more are joined by a shuffle.
+MAX_KEYS = 1_000_000
 #: Names of licence files (lower case, without what follows a dot).
 LICENCE_NAMES = ("license", "licence", "copying", "notice", "unlicense")
 
@@ -146,7 +148,8 @@ def scan(files: DataFrame, *, id_col: str = "doc_id", path_col: str = "path", te
     single = written(found.select("h1", "h2", F.lit(1).alias("span"), "line", "u1", "u2").distinct().join(scored(close), ["u1", "u2"]).drop("u1", "u2"), "lines")
     # Runs of lines: of texts without a line of cosine 1 that hold, in all their lines, a template's terms with threshold^2 of its weight.
     open_ = found.select("h1", "h2").distinct().join(single.where("score >= 1").select("h1", "h2").distinct(), ["h1", "h2"], "left_anti")
-    texts = rows.join(open_, ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.min("text").alias("text"))
+    open_ = written(open_, "open")
+    texts = rows.join(F.broadcast(open_) if open_.count() <= MAX_KEYS else open_, ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.min("text").alias("text"))
     held = F.aggregate(F.transform(F.array_intersect(terms(F.col("text")), listed), lambda w: F.element_at(table, w)), none, lambda acc, y: F.zip_with(acc, F.slice(y, 2, len(names)), lambda m, v: m + v * v))
     enough = lambda m: F.array_max(m) >= threshold * threshold - 1e-9
     able = texts.select("h1", "h2", "text", F.explode(F.filter(F.array(held), enough)).alias("held"))
