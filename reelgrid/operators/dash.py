@@ -144,20 +144,22 @@ def summarize(p: DataFrame, reps: DataFrame) -> DataFrame:
     Lists are those of the main period, protection is that of all periods. `unsupported` also names what is wrong with the representation that would be taken.
     """
     facts = p.groupBy("manifest_id").agg(F.count(F.lit(1)).alias("periods"), F.max("type").alias("live"), F.max("total").alias("total"), F.max_by(F.struct("period", "duration"), F.struct(F.coalesce("duration", F.lit(0.0)), -F.col("period"))).alias("main"))
-    planned = plans(reps).select(*_ID, "kind", "protected", "systems", "height", "bandwidth", F.col("error").alias("problem"))
-    rows = planned.join(facts.select("manifest_id", F.col("main.period").alias("main")), "manifest_id").withColumn("offered", ~F.col("protected") & (F.col("period") == F.col("main")))
+    rows = reps.join(facts.select("manifest_id", F.col("main.period").alias("main")), "manifest_id").withColumn("offered", ~F.col("protected") & (F.col("period") == F.col("main")))
     video, audio = F.col("offered") & (F.col("kind") == "video"), F.col("offered") & (F.col("kind") == "audio")
     media = F.col("kind").isin("video", "audio")
     rank = F.when(video, F.struct(F.lit(1), F.col("height"), F.col("bandwidth"), -F.col("set"), -F.col("rep"))).when(audio, F.struct(F.lit(0), (-F.col("set")).cast("bigint").alias("height"), F.col("bandwidth"), -F.col("set"), -F.col("rep")))
     g = rows.groupBy("manifest_id").agg(
         F.count_if(video).alias("videos"), F.count_if(audio).alias("audios"), F.nullif(F.max(F.when(video, F.col("height"))), F.lit(0)).alias("max_height"),
         F.bool_and(F.when(media, F.col("protected"))).alias("drm"), F.count_if(media & F.col("protected")).alias("n"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.when(media & F.col("protected"), F.col("systems")))))).alias("systems"), F.max_by(F.struct("problem"), rank).alias("first"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.when(media & F.col("protected"), F.col("systems")))))).alias("all_systems"), F.max_by(F.struct(*[c for c in reps.columns if c != "manifest_id"]), rank).alias("first"),
     )
-    every = facts.join(g, "manifest_id", "left")
+    # Only the representation that would be taken is planned.
+    counts = ("videos", "audios", "max_height", "drm", "n", "all_systems")
+    planned = plans(g.select("manifest_id", *counts, "first.*"), keep=counts).select("manifest_id", *counts, F.col("error").alias("problem")).withColumnRenamed("all_systems", "systems")
+    every = facts.join(planned, "manifest_id", "left")
     videos, audios, drm = F.coalesce("videos", F.lit(0)), F.coalesce("audios", F.lit(0)), F.coalesce("drm", F.lit(False))
     names = F.coalesce(F.nullif(F.array_join("systems", ", "), F.lit("")), F.lit("DRM"))
-    unsupported = F.when(drm, F.replace(F.lit(K.SAYS["drm"]), F.lit("{systems}"), names)).when(videos + audios == 0, K.SAYS["nothing"]).otherwise(F.coalesce("first.problem", F.lit("")))
+    unsupported = F.when(drm, F.replace(F.lit(K.SAYS["drm"]), F.lit("{systems}"), names)).when(videos + audios == 0, K.SAYS["nothing"]).otherwise(F.coalesce("problem", F.lit("")))
     return every.select(
         "manifest_id", F.when(videos > 0, videos).otherwise(audios).alias("variants"), "max_height", ((videos == 0) & (audios > 0)).alias("audio_only"), F.coalesce("main.duration", "total").alias("duration"),
         (F.col("live") == "dynamic").alias("live"), drm.alias("drm"), F.when(drm, F.col("systems")).otherwise(F.array().cast("array<string>")).alias("systems"), F.when(drm, 0).otherwise(F.coalesce("n", F.lit(0))).alias("hidden_protected"), unsupported.alias("unsupported"), "periods",
@@ -200,8 +202,8 @@ def _entries(timeline: Column, seconds: Column, timescale: Column, pto: Column)
     return F.when(F.size(timeline) > 0, F.flatten(F.aggregate(blocks, start, block)["out"])).otherwise(F.array().cast(kind))
 
 
-def plans(reps: DataFrame) -> DataFrame:
-    """How each representation is addressed: mode (template, list or single), the fields that expansion needs, `init` (url, range), open_ended and an error.
+def plans(reps: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """How each representation is addressed: mode (template, list or single), the fields that expansion needs, `init` (url, range), open_ended and an error; and the columns of `keep`.
 
     Nothing a manifest says can stop the job: divisions are guarded, and what cannot be addressed has an error and no segments.
     """
@@ -246,7 +248,7 @@ def plans(reps: DataFrame) -> DataFrame:
     init = F.when((F.col("mode") != "single") & where.isNotNull(), F.struct(where.alias("url"), F.col("init_range").alias("range")))
     return rows.select(
         *_ID, "id", "kind", "container", "protected", "systems", "width", "height", "bandwidth", "url", "base", "mode", "seconds", "media", init.alias("init"), "timescale", "start_number", "ticks", "pto", "timeline", "entries", "count", "urls",
-        F.coalesce(F.exists("entries", lambda e: e["open"]), F.lit(False)).alias("open_ended"), error.alias("error"),
+        F.coalesce(F.exists("entries", lambda e: e["open"]), F.lit(False)).alias("open_ended"), error.alias("error"), *keep,
     )
 
 
