@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from reelgrid.session import written
 
+#: Hashes of groups of copies (16 bytes each) that are broadcast at most; beyond that all texts are compared.
+MAX_KEYS = 1_000_000
 #: The ASCII white space that the default normalisation deletes.
 BLANKS = " \t\n\x0b\x0c\r"
 
@@ -34,8 +36,11 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     texts = df.select(F.col(id_col).alias("id"), points.alias("points"), normalise(F.col(text_col)).alias("norm")).select("*", hashed(F.col("norm")).alias("h"))
     rows = written(texts.select("id", "points", "h", F.sha2("norm", 256).alias("text_sha256")), "hashes")
     best = F.min(F.struct((-F.col("points")).alias("p"), F.col("id"))).alias("best")
-    groups = rows.groupBy("h").agg(F.count(F.lit(1)).alias("group_size"), best).select("h", "group_size", F.col("best.id").alias("keep_id"))
-    collided = written(texts.groupBy("h").agg(F.min("norm").alias("a"), F.max("norm").alias("b")).where("a <> b").select("h"), "collided")
+    # Written, so that the join below has two plain shuffles under it and a hot group's rows are split.
+    groups = written(rows.groupBy("h").agg(F.count(F.lit(1)).alias("group_size"), best).select("h", "group_size", F.col("best.id").alias("keep_id")), "groups")
+    many = groups.where("group_size > 1").select("h")
+    shared = texts.join(F.broadcast(many), "h", "left_semi") if many.count() <= MAX_KEYS else texts  # a text alone in its group has no other to differ from
+    collided = written(shared.groupBy("h").agg(F.min("norm").alias("a"), F.max("norm").alias("b")).where("a <> b").select("h"), "collided")
     out = rows.join(groups, "h")
     if collided.limit(1).count():
         unsure = texts.join(collided, "h", "left_semi").select("*", F.sha2("norm", 256).alias("text_sha256"))
