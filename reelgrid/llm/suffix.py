@@ -26,10 +26,10 @@ from pyspark.sql import functions as F
 from reelgrid.llm.arrays import mix, row_chunks, utf8
 from reelgrid.session import written
 
-#: Bytes of an anchor string; contexts of one anchor string that a bucket takes; contexts that a bucket's task holds at once; bytes that are scanned at once.
+#: Bytes of an anchor string; contexts of one anchor string that a bucket takes; contexts of a bucket; bytes that are scanned at once.
 GRAM = 32
 WIDE = 4096
-BUCKET = 16_384
+BUCKET = 8_192
 SEGMENT = 1 << 22
 #: Contexts that hold at least this share (one in HOT) of all anchors are joined by broadcast; there are HOT of them at most.
 HOT = 10_000
@@ -194,9 +194,9 @@ def repeated_windows(groups: np.ndarray, left: list[bytes], right: list[bytes],
 
 
 def _resolve(length: int):
-    """Sort a bucket, whose rows come in the order of their leading bytes, and give the repeated runs of the contexts that occur once.
+    """Sort a bucket and give the repeated runs of the contexts that occur once.
 
-    Suffixes with other leading bytes have no window in common, so the bucket is worked off in parts that end between two leads.
+    Suffixes with other leading bytes have no window in common, so a bucket that came out large is worked off in parts that end between two leads.
     """
 
     def solve(table: pa.Table) -> pa.RecordBatch:
@@ -211,22 +211,20 @@ def _resolve(length: int):
         return pa.RecordBatch.from_arrays([column["k1"].take(take), column["k2"].take(take), pa.array(a - high + 1), pa.array(a - low + length)], names=["k1", "k2", "b", "e"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        rows = 0
-        for batch in batches:
-            held.append(batch)
-            rows += batch.num_rows
-            if rows < BUCKET:
-                continue
-            table = pa.Table.from_batches(held)
-            lead = table.column("lead").combine_chunks()
-            cut = table.num_rows - (pc.sum(pc.equal(lead, lead[-1])).as_py() or 0)
-            if cut:
-                yield solve(table.slice(0, cut))
-                held = table.slice(cut).to_batches()
-                rows -= cut
-        if rows:
-            yield solve(pa.Table.from_batches(held))
+        held = list(batches)  # about BUCKET rows, from which the number of buckets follows
+        table = pa.Table.from_batches(held) if held else None
+        if table is None or not table.num_rows:
+            return
+        if table.num_rows <= 2 * BUCKET:
+            yield solve(table)
+            return
+        table = table.take(pc.sort_indices(table.column("lead")))
+        lead = table.column("lead").to_pylist()
+        begin = 0
+        for k in range(1, len(lead) + 1):
+            if k == len(lead) or (k - begin >= BUCKET and lead[k] != lead[k - 1]):
+                yield solve(table.slice(begin, k - begin))
+                begin = k
 
     return run
 
@@ -282,9 +280,9 @@ def remove_repeats(df: DataFrame, *, length: int = 400, id_col: str = "doc_id",
     listed = contexts.join(groups, "g").groupBy("at.k1", "at.k2").agg(F.collect_list(F.struct("g", "m", "n", "at.a", "at.s0", "at.s1")).alias("listed"))
     cut = long_docs.join(listed, ["k1", "k2"]).mapInArrow(_cut(length), "g long, m long, n long, k1 long, k2 long, a long, lead binary, left binary, right binary")
     cut = written(cut, "contexts")
-    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-cut.count() // (8 * BUCKET)))
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-cut.count() // BUCKET))
     runs = "k1 long, k2 long, b long, e long"
-    bucketed = cut.where(F.col("m") <= wide).repartitionByRange(parts, "lead").sortWithinPartitions("lead").mapInArrow(_resolve(length), runs)
+    bucketed = cut.where(F.col("m") <= wide).repartitionByRange(parts, "lead").mapInArrow(_resolve(length), runs)
     windows = cut.where(F.col("m") > wide).mapInArrow(_digests(length), "d binary, k1 long, k2 long, n long, b long")
     twice = windows.groupBy("d").agg(F.sum("n").alias("t")).where("t > 1").select("d")
     across = windows.where("n = 1").join(twice, "d", "left_semi").select("k1", "k2", "b", (F.col("b") + length).alias("e"))
