@@ -157,6 +157,32 @@ def test_jaccard(spark, docs, odd, k, num, den, region):
         assert Counter(map(tuple, got.collect())) == brute_components(texts(df), k, num, den)
 
 
+@pytest.mark.parametrize("k,num,den,region", [(3, 90, 100, 40), (5, 8, 10, 50), (2, 6, 10, 7)])
+def test_jaccard_split(spark, k, num, den, region):
+    """Clusters of near copies far over a task's bound: cells, rings and blocks give the components of all pairs."""
+    rng = np.random.default_rng(6)
+    rows = []
+    for g in range(3):
+        base = [f"g{g}w{x}" for x in rng.integers(0, 999, 120)]
+        for i in range(120):
+            w = list(base)
+            for at in rng.integers(0, 120, rng.integers(0, 9)):
+                w[at] = f"new{rng.integers(0, 6)}"
+            rows.append((1000 * g + i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert Counter(map(tuple, jaccard.near_duplicates(df, shingle=k, num=num, den=den, region=region).collect())) == brute_components(rows, k, num, den)
+
+
+def test_jaccard_clash(spark, monkeypatch):
+    """Sets whose first hashes are equal are told apart by the second."""
+    plain = jaccard.set_hashes
+    monkeypatch.setattr(jaccard, "set_hashes", lambda s: (plain(s)[0] & 3, plain(s)[1]))
+    rows = [(i, f"text number {i} is unlike {i * 7} and {i * 11} here") for i in range(12)] + [(100, "text number 3 is unlike 21 and 33 here")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r["doc_id"], r["component_id"]) for r in jaccard.near_duplicates(df, shingle=2, num=9).collect()}
+    assert got == {(i, i) for i in range(12)} | {(100, 3)}
+
+
 def test_parts_share():
     """Sets at the threshold always agree on a part."""
     rng = np.random.default_rng(2)
