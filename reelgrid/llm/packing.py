@@ -26,7 +26,7 @@ class WordTokens:
     Texts that hold control characters, a capital sigma or the start of a special token go to the tokenizer whole.
     """
 
-    def __init__(self, path: str, limit: int = 1_000_000):
+    def __init__(self, path: str, limit: int = 400_000):
         import regex
         from tokenizers import Tokenizer
 
