@@ -7,6 +7,7 @@ that memory is bounded by CHUNK bytes of text (or by the longest single text).
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -47,30 +48,71 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def _tables(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Random value of each byte; powers of an odd base modulo 2^64 and their inverses, for n positions."""
-    if "bytes" not in _TABLE:
-        _TABLE["bytes"] = mix(np.arange(1, 257, dtype=np.uint64) * _U(0x9E3779B97F4A7C15))
-    if len(_TABLE.get("powers", ())) < n:
-        n = max(n, CHUNK + 1)
-        base = 0xD1342543DE82EF95
-        inverse = pow(base, -1, 1 << 64)
-        for name, b in (("powers", base), ("inverses", inverse)):
-            p = np.full(n, b, np.uint64)
-            p[0] = 1
-            with np.errstate(over="ignore"):
-                _TABLE[name] = np.cumprod(p)
-    return _TABLE["bytes"], _TABLE["powers"], _TABLE["inverses"]
+def blocks(data: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each place of `data` as one little-endian number; what lies behind the end is 0."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data) + 1,), np.dtype("<u8"), padded, 0, (1,))
+
+
+#: Bytes of a span that are taken 8 at a time for all spans at once; longer spans are few and are digested one by one.
+SHORT = 64
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of data[start:end] for each span, in time linear in the data."""
-    table, powers, inverses = _tables(len(data) + 1)
-    with np.errstate(over="ignore"):
-        sums = np.empty(len(data) + 1, np.uint64)
-        sums[0] = 0
-        np.cumsum(table[data] * powers[: len(data)], out=sums[1:])
-        return mix((sums[ends] - sums[starts]) * inverses[starts] + (ends - starts).astype(np.uint64) * _U(0x9E3779B97F4A7C15))
+    """A 64-bit hash of data[start:end] for each span: its length and then each 8 bytes, chained by the finaliser."""
+    sizes = ends - starts
+    at8 = blocks(data)
+    out = mix(sizes.astype(np.uint64) + _U(0x9E3779B97F4A7C15))
+    at = np.flatnonzero((sizes > 0) & (sizes <= SHORT))
+    for done in range(0, SHORT, 8):
+        if done:
+            at = at[sizes[at] > done]
+        if not len(at):
+            break
+        out[at] = mix(out[at] ^ (at8[starts[at] + done] & _MASKS[np.minimum(sizes[at] - done, 8)]))
+    for k in np.flatnonzero(sizes > SHORT):
+        out[k] = int.from_bytes(blake2b(data[starts[k] : ends[k]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
+def same_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, others: np.ndarray, until: np.ndarray) -> np.ndarray:
+    """Whether data[start:end] and data[other:until] are equal, for each pair of spans."""
+    sizes = ends - starts
+    same = sizes == until - others
+    at8 = blocks(data)
+    at = np.flatnonzero(same & (starts != others))
+    wide = at[sizes[at] > SHORT]
+    at = at[sizes[at] <= SHORT]
+    for done in range(0, SHORT, 8):
+        at = at[sizes[at] > done]
+        if not len(at):
+            break
+        equal = ((at8[starts[at] + done] ^ at8[others[at] + done]) & _MASKS[np.minimum(sizes[at] - done, 8)]) == 0
+        same[at[~equal]] = False
+        at = at[equal]
+    for k in wide:
+        same[k] = np.array_equal(data[starts[k] : ends[k]], data[others[k] : until[k]])
+    return same
+
+
+def span_ids(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each span, equal where and only where the bytes are equal, and the place of one span of each number.
+
+    Spans are grouped by hash and held against the first of their group; if bytes differ, the spans are numbered by their bytes.
+    """
+    hashes = span_hashes(data, starts, ends) if hashes is None else hashes
+    _, first, ids = np.unique(hashes, return_index=True, return_inverse=True)
+    if same_spans(data, starts, ends, starts[first[ids]], ends[first[ids]]).all():
+        return ids, first
+    raw, seen, places = data.tobytes(), {}, []
+    ids = np.zeros(len(starts), np.int64)
+    for k, (i, j) in enumerate(zip(starts.tolist(), ends.tolist(), strict=True)):
+        ids[k] = seen.setdefault(raw[i:j], len(seen))
+        if len(seen) > len(places):
+            places.append(k)
+    return ids, np.array(places, np.int64)
 
 
 #: Byte classes of the word definitions; bytes of 0x80 and more belong to characters beyond ASCII.
@@ -127,6 +169,20 @@ def shingle_sets(data: np.ndarray, bounds: np.ndarray, size: int) -> list[np.nda
     return sets
 
 
+def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd base modulo 2^64 and their inverses, for n positions."""
+    if len(_TABLE.get("powers", ())) < n:
+        n = max(n, CHUNK + 1)
+        base = 0xD1342543DE82EF95
+        inverse = pow(base, -1, 1 << 64)
+        for name, b in (("powers", base), ("inverses", inverse)):
+            p = np.full(n, b, np.uint64)
+            p[0] = 1
+            with np.errstate(over="ignore"):
+                _TABLE[name] = np.cumprod(p)
+    return _TABLE["powers"], _TABLE["inverses"]
+
+
 def letters() -> np.ndarray:
     """For each code point, whether it is a letter."""
     if "letters" not in _TABLE:
@@ -148,8 +204,8 @@ def code_points(texts: list[str | None], limit: int = POINTS) -> Iterator[tuple[
 
 
 def span_sums(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of values[start:end] for each span of numbers."""
-    _, powers, inverses = _tables(len(values) + 1)
+    """A 64-bit hash of values[start:end] for each span of numbers; for short spans, whose polynomials seldom meet."""
+    powers, inverses = _tables(len(values) + 1)
     with np.errstate(over="ignore"):
         sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(values) * powers[: len(values)])))
         return mix((sums[ends] - sums[starts]) * inverses[starts])

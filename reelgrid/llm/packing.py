@@ -11,9 +11,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from reelgrid.llm.arrays import NON_SPACE, span_hashes, words
+from reelgrid.llm.arrays import NON_SPACE, span_ids, words
 
 _CACHE: dict = {}
+#: Bytes of the longest stretch that is remembered.
+KEPT = 64
 
 #: What a whitespace-free stretch of lower-cased text is cut into before byte-pair merging (fixed value of the tokenizer).
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -22,7 +24,8 @@ PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 class WordTokens:
     """Ids of the word-end BPE tokenizer for batches of texts, remembered by stretch and by piece in bounded tables.
 
-    Merges never cross a piece, so remembered ids are the tokenizer's own. Stretches are told apart by a 64-bit hash.
+    Merges never cross a piece, so remembered ids are the tokenizer's own. Stretches are remembered by their bytes; the few that are longer
+    than KEPT bytes are cut and merged each time.
     Texts that hold control characters, a capital sigma or the start of a special token go to the tokenizer whole.
     """
 
@@ -42,7 +45,7 @@ class WordTokens:
         self._empty()
 
     def _empty(self) -> None:
-        self.places: dict[int, int] = {}
+        self.places: dict[bytes, int] = {}
         self.pool, self.ends = array("I"), array("q", [0])  # ids of all stretches, and where each ends; stretch 0 is empty
 
     def _piece(self, piece: str) -> list[int]:
@@ -54,7 +57,8 @@ class WordTokens:
             ids = self.pieces[piece] = [t.id for t in self.model.tokenize(shown)]
         return ids
 
-    def _add(self, key: int, stretch: str) -> int:
+    def _add(self, key: bytes) -> int:
+        stretch = key.decode()
         if stretch.isalpha():
             ids = self._piece(stretch)
         elif stretch[-1] in ",." and stretch[:-1].isalpha():
@@ -62,7 +66,9 @@ class WordTokens:
         else:
             ids = list(chain.from_iterable(map(self._piece, self.cut(stretch))))
         self.pool.extend(ids)
-        self.places[key] = k = len(self.ends)
+        k = len(self.ends)
+        if len(key) <= KEPT:
+            self.places[key] = k
         self.ends.append(len(self.pool))
         return k
 
@@ -83,13 +89,12 @@ class WordTokens:
         bounds[-1] -= 1
         raw = np.frombuffer(data, np.uint8)
         starts, ends, first = words(raw, bounds, NON_SPACE)
-        keys, at, inverse = np.unique(span_hashes(raw, starts, ends), return_index=True, return_inverse=True)
-        if len(self.ends) > self.limit:
+        inverse, at = span_ids(raw, starts, ends)
+        if len(self.ends) > self.limit or len(self.pool) > 4 * self.limit:
             self._empty()
-        get, place = self.places.get, np.zeros(len(keys), np.int64)
-        for j, key in enumerate(keys.tolist()):
-            place[j] = get(key) or self._add(key, data[starts[at[j]] : ends[at[j]]].decode())
-        place = place[inverse]
+        get = self.places.get
+        keys = [data[i:j] for i, j in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
+        place = np.array([get(key) or self._add(key) for key in keys], np.int64)[inverse] if keys else np.zeros(0, np.int64)
         until = np.array(self.ends)
         low = until[place - 1]
         sizes = until[place] - low
