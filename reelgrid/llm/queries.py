@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelgrid.llm import decontam, exact, jaccard, langid, licenses, lines, packing, suffix, toxicity, warc
+from reelgrid.llm import decontam, exact, jaccard, langid, licenses, lines, packing, phrases, quality, runs, suffix, toxicity, warc
 from reelgrid.session import prepare, shared_dir
 
 
@@ -69,7 +69,33 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup_lines(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_suffix_dedup, op3_ngram_jaccard, op4_decontamination, op5_toxicity, op6_warc, op7_packing, op8_license_scan, op9_exact_dedup, op10_line_dedup)}
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents")).drop("failed_rule")  # which rule is met first depends on the measured order
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of which a tenth repeat a stretch of themselves from a word on; both follow from crc32 of the id."""
+    docs = table(spark, sf_dir, "documents")
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g, n = F.floor(h / 10), F.size("words")
+    a = g % n
+    p = 1 + F.floor((n - a) / (3 + g % 8))
+    planted = docs.select("doc_id", "text", F.when(h % 10 == 0, words).alias("words")).select("doc_id", "text", "words", a.cast("int").alias("a"), p.cast("int").alias("p"))
+    times = F.ceil((n - F.col("a")) / F.col("p")).cast("int")
+    tail = F.slice(F.flatten(F.array_repeat(F.slice("words", F.col("a") + 1, F.col("p")), times)), 1, n - F.col("a"))
+    repeated = F.array_join(F.concat(F.slice("words", 1, F.col("a")), tail), " ")
+    found = runs.periodic_runs(planted.select("doc_id", F.when(n > 0, repeated).otherwise(F.col("text")).alias("text")))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    listed = F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise("")
+    return found.select("doc_id", "n_runs", "best.*", F.expr("(1000 * best.length) div best.period").alias("exponent_milli"), F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_suffix_dedup, op3_ngram_jaccard, op4_decontamination, op5_toxicity, op6_warc, op7_packing, op8_license_scan, op9_exact_dedup, op10_line_dedup, op11_quality_rules, op12_periodic_runs, op13_phrases)}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORDS = f"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
@@ -100,4 +126,38 @@ r AS (SELECT n, s, d, min(own) AS low FROM v GROUP BY n, s, d), e AS (SELECT d,
 f AS (SELECT v.t, r.low FROM v JOIN r USING (n, s, d) UNION ALL SELECT v.t, c.own FROM v JOIN c ON c.t = v.d UNION ALL SELECT c.t, e.low FROM c JOIN e ON c.t = e.d UNION ALL SELECT t, own FROM c),
 m AS (SELECT t, min(low) AS first FROM f GROUP BY t)
 SELECT p.doc_id, p.line_no, p.n AS n_words, m.first = (p.doc_id, p.line_no) AS kept, m.first[1] AS first_id, m.first[2] AS first_line, CASE WHEN m.first < c.own THEN 1 ELSE 0 END AS edits FROM p JOIN c USING (t) JOIN m USING (t)""",
+    "op11_quality_rules": r"""
+WITH d AS (SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)),
+s AS (SELECT doc_id, s, w[s : s + 2] AS g FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 2)) AS s FROM d WHERE len(w) > 2)),
+r AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([s, s + 1, s + 2]) AS p FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS c FROM s) WHERE c > 1) GROUP BY doc_id),
+o AS (SELECT doc_id, max(c) AS top FROM (SELECT doc_id, x, count(*) AS c FROM (SELECT doc_id, unnest(w) AS x FROM d) GROUP BY doc_id, x) GROUP BY doc_id),
+m AS (SELECT doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+ len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words, len(l) AS n_lines, len(list_filter(w, lambda x: regexp_matches(x, '[A-Za-z\x{80}-\x{10FFFF}]'))) AS lettered,
+ len(list_filter(l, lambda x: regexp_matches(x, '^[\x20\x09-\x0D]*[-*•]'))) AS bullets, len(list_filter(l, lambda x: regexp_matches(x, '(\.\.\.|…)[\x20\x09-\x0D]*$'))) AS ellipses, coalesce(top, 0) AS top FROM d LEFT JOIN r USING (doc_id) LEFT JOIN o USING (doc_id)),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT (base_failed OR 10 * n_symbols > n_words OR word_chars < 3 * n_words OR word_chars > 10 * n_words OR 100 * lettered < 80 * n_words
+ OR 100 * n_dup_lines > 50 * n_lines OR 100 * bullets > 90 * n_lines OR 100 * ellipses > 30 * n_lines OR 100 * top > 30 * n_words) AS kept FROM b""",
+    "op12_periodic_runs": r"""
+WITH c AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+ xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+ lambda a, b: list_reduce(list_prepend(xor(a, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda v, z: xor(v >> 1, CASE WHEN v % 2 = 1 THEN 3988292384::BIGINT ELSE 0 END)))) AS h FROM documents),
+g AS (SELECT doc_id, w, len(w) AS n, h % 10 = 0 AND len(w) > 0 AS planted, h // 10 AS g FROM c),
+q AS (SELECT *, CASE WHEN planted THEN g % n END AS a FROM g), k AS (SELECT *, CASE WHEN planted THEN 1 + (n - a) // (3 + g % 8) END AS p FROM q),
+o AS (SELECT doc_id, n, i, CASE WHEN planted AND i >= a THEN w[a + (i - a) % p + 1] ELSE w[i + 1] END AS x FROM (SELECT *, unnest(generate_series(0, n - 1)) AS i FROM k WHERE n > 0)),
+e AS (SELECT x.doc_id, y.i - x.i AS p, x.i FROM o x JOIN o y ON x.doc_id = y.doc_id AND x.x = y.x AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+s AS (SELECT doc_id, p, min(i) AS start, count(*) + p AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, p ORDER BY i) AS z FROM e) GROUP BY doc_id, p, z HAVING count(*) + p >= greatest(6, 4 * p)),
+r AS (SELECT doc_id, start, length, min(p) AS period FROM s GROUP BY doc_id, start, length),
+t AS (SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS listed FROM r GROUP BY doc_id),
+b AS (SELECT * FROM r x WHERE NOT EXISTS (SELECT 1 FROM r y WHERE y.doc_id = x.doc_id AND (y.length * x.period > x.length * y.period OR (y.length * x.period = x.length * y.period AND (y.start, y.period) < (x.start, x.period))))),
+f AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS kept FROM o WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.doc_id = o.doc_id AND o.i >= r.start + r.period AND o.i < r.start + r.length) GROUP BY doc_id)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, 1000 * length // period AS exponent_milli, sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256 FROM c LEFT JOIN t USING (doc_id) LEFT JOIN b USING (doc_id) LEFT JOIN f USING (doc_id)""",
+    "op13_phrases": rf"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents), w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+g AS (SELECT lang, k, array_to_string(w[s : s + k - 1], ' ') AS phrase FROM (SELECT lang, w, k, unnest(generate_series(1, len(w) - k + 1)) AS s FROM w, (VALUES (1), (2), (3), (4), (5)) v(k) WHERE len(w) >= k)),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL), t AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang), c AS (SELECT lang, k, phrase, f AS a FROM f WHERE k > 1 AND f >= 100),
+x AS (SELECT *, array_to_string(string_split(phrase, ' ')[: j], ' ') AS head, array_to_string(string_split(phrase, ' ')[j + 1 :], ' ') AS rest FROM (SELECT *, unnest(generate_series(1, k - 1)) AS j FROM c)),
+s AS (SELECT x.lang, x.k, x.phrase, x.a, h.f AS l, r.f AS r, t.n, ((1000::HUGEINT * x.a * t.n) // (h.f::HUGEINT * r.f))::BIGINT AS score, j FROM x JOIN t USING (lang) JOIN f h ON h.lang = x.lang AND h.phrase = x.head JOIN f r ON r.lang = x.lang AND r.phrase = x.rest),
+m AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+o AS (SELECT * FROM m WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.lang = m.lang AND c.k > m.k AND 100 * c.a >= 100 * m.a AND contains(' ' || c.phrase || ' ', ' ' || m.phrase || ' ')))
+SELECT lang, rank, phrase, a, l, r, n, score FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM o) WHERE rank <= 2000""",
 }
