@@ -121,9 +121,9 @@ MAX_ITEMS = 40
 MAX_REJECTED = 100
 MAX_LOG = 80
 MAX_PROBES = 30
-MAX_CLOSED = 500
 PENDING_SECONDS = 20
 RETRY_SECONDS = 10
+PLAYLIST_SECONDS = 15
 REPORT_MILLIS = 800
 JOB_MINUTES = 60
 ERROR_PAGE_BYTES = 16 * 1024

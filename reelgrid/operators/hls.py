@@ -71,6 +71,16 @@ def variants(parsed: DataFrame) -> DataFrame:
     )
 
 
+def child_urls(lines: Column, base: Column) -> Column:
+    """URLs of a master playlist's variants and then of its renditions, at most MAX_CHILD_URLS; by array functions alone, so that streams can use it."""
+    held = F.filter(lines, lambda x: ~x.startswith("#") | x.startswith("#EXT-X-STREAM-INF:"))
+    # A URI is a variant where the line held before it is a stream tag.
+    pairs = F.zip_with(held, F.slice(F.concat(F.array(F.lit("")), held), F.lit(1), F.size(held)), lambda x, before: F.when(~x.startswith("#") & before.startswith("#"), x))
+    uris = F.filter(F.transform(F.filter(lines, lambda x: x.startswith("#EXT-X-MEDIA:")), lambda x: attribute(attributes(F.regexp_extract(x, "(?s)^[^:]*:(.*)", 1)), "URI")), lambda u: u != "")
+    urls = F.transform(F.concat(F.array_compact(pairs), uris), lambda u: U.resolve(u, base))
+    return F.slice(F.array_compact(urls), 1, K.MAX_CHILD_URLS)
+
+
 def renditions(parsed: DataFrame) -> DataFrame:
     rows = _lines(parsed, "master").where("startswith(line, '#EXT-X-MEDIA:')").withColumn("a", attributes(_value()))
     get = lambda n: attribute(F.col("a"), n)

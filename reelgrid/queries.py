@@ -453,7 +453,7 @@ def ran(spark, updates, mode="update"):
 def stream_items(spark, sf_dir):
     """Events read as a stream into keyed state per tab; each item's last update. Equals the batch upsert."""
     found = observe.classified(X.observations(spark, sf_dir, event_stream(spark, sf_dir))).withColumn("what", F.lit("item")).withColumn("seen", F.col("seen").cast("timestamp"))
-    rows = ran(spark, tab_items(found, max_items=0))
+    rows = ran(spark, tab_items(found))
     last = rows.groupBy("tab_id", "key").agg(F.max_by(F.struct("gone", "kind", "media", "ext", "size", "mime", "url", "sightings"), "batch").alias("x"))
     return last.select("tab_id", "key", "x.*").where("not gone").drop("gone")
 

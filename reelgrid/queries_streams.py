@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from reelgrid import constants as K
 from reelgrid.operators import observe
 from reelgrid.queries import OBS, event_stream, ran
 from reelgrid.registry import query
@@ -24,7 +23,7 @@ def stream_tabs(spark, sf_dir):
     obs = X.observations(spark, sf_dir, event_stream(spark, sf_dir)).withColumn("seen", F.col("seen").cast("timestamp"))
     found = observe.classified(obs).withColumn("what", F.when(F.col("tab_id") % 7 == 0, "closed").otherwise("item"))
     moves = obs.where("event_type = 'signup'").select("tab_id", "seen", "event_id", F.lit("navigation").alias("what"))
-    return _last(ran(spark, tab_items(found.unionByName(moves, allowMissingColumns=True), max_items=0)), "sightings")
+    return _last(ran(spark, tab_items(found.unionByName(moves, allowMissingColumns=True))), "sightings")
 
 
 @query("""WITH e AS (SELECT user_id AS tab_id, event_type AS key, min(ts) AS first, bool_or(event_id % 40 = 0) AS verified FROM events GROUP BY user_id, event_type), m AS (SELECT max(ts) AS top FROM events)
@@ -56,16 +55,3 @@ def stream_settled(spark, sf_dir):
     pending = e.select(F.col("event_id").alias("download_id"), F.col("ts").alias("started"))
     completions = e.select(F.col("event_id").alias("download_id"), (F.col("ts") + F.expr("make_interval(0, 0, 0, 0, 0, event_id % 90)")).alias("ended"), F.when(F.col("event_type") == "error", "SERVER_FAILED").alias("reason"), F.lit("video/mp4").alias("mime"), F.floor(F.col("value") * 4000).cast("bigint").alias("bytes"))
     return ran(spark, settled(pending, completions).select("download_id", "outcome"), "append").select("download_id", "outcome")
-
-
-@query(OBS + """, c AS (SELECT DISTINCT tab_id, key FROM cls WHERE kind = 'file' AND event_id % 5 = 0)
-, s AS (SELECT i.tab_id, i.key, i.kind, i.seen, EXISTS (SELECT 1 FROM c WHERE c.tab_id = i.tab_id AND c.key = i.key) AS hidden FROM items i)
-SELECT tab_id, key, kind FROM (SELECT *, count(*) OVER (PARTITION BY tab_id) AS n FROM s) WHERE n <= 40""")
-def stream_caps(spark, sf_dir):
-    """Tabs with the cap of forty items and children named by manifests; of tabs that never pass the cap all items are there."""
-    found = observe.classified(X.observations(spark, sf_dir, event_stream(spark, sf_dir))).withColumn("seen", F.col("seen").cast("timestamp")).withColumn("what", F.lit("item"))
-    children = found.where("kind = 'file' and event_id % 5 = 0").select("tab_id", "seen", "event_id", F.lit("child").alias("what"), "key")
-    rows = ran(spark, tab_items(found.unionByName(children, allowMissingColumns=True), max_items=K.MAX_ITEMS))
-    kept = _last(rows, "kind")
-    full = observe.upsert(observe.classified(X.observations(spark, sf_dir))).groupBy("tab_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= K.MAX_ITEMS)
-    return kept.join(full.select("tab_id"), "tab_id", "left_semi")

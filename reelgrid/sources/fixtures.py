@@ -159,3 +159,53 @@ def odd_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = [t if t.startswith(("<MPD", "<html", "<!DOC")) else f"<MPD>{t}</MPD>" for t, *_ in ODD_MANIFESTS]
     i = F.col("p_partkey")
     return table(spark, sf_dir, "part").select(i.alias("manifest_id"), F.lit("https://dash.example.com/x/m.mpd").alias("url"), F.get(F.array(*[F.lit(t) for t in texts]), (i % len(texts)).cast("int")).alias("text"))
+
+
+#: Time of tabs goes this many times faster than that of events.
+PACE = 3600
+
+
+def tab_events(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
+    """Events (a stream or the table) as busy tabs of three users each: candidates that come again, navigations, closings, and what probes and reads bring seconds later."""
+    e = table(spark, sf_dir, "events") if events is None else events
+    i, k = F.col("event_id"), F.get_json_object("props", "$.k").cast("int") % 12
+    kind = F.when(i % 6 == 0, "hls").when(i % 6 == 3, "dash").otherwise("file")
+    ext = F.when(i % 6 == 0, "m3u8").when(i % 6 == 3, "mpd").otherwise(_pick(["mp4", "webm", "mp3", "mov", "mkv", "flac", "m4a"], i))
+    path = F.concat(F.lit("https://cdn"), F.floor(F.col("user_id") / 3) % 7, F.lit(".example.com/v/"), k, F.lit("."), ext)
+    named = F.when(i % 2 == 1, F.concat(F.lit("id="), k)).otherwise("")
+    seen = F.timestamp_micros(F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / PACE))
+    return e.select(
+        "event_id",
+        F.floor(F.col("user_id") / 3).cast("bigint").alias("tab_id"),
+        seen.alias("seen"),
+        F.when(i % 997 == 500, "closed").when(i % 97 == 60, "navigation").otherwise("item").alias("what"),
+        kind.alias("kind"),
+        _pick(["media", "xmlhttprequest", "media", "other", "media"], i).alias("via"),
+        (~(i % 4).isin(2, 3) | (k % 2 == 0)).alias("fetchable"),
+        F.concat(path, F.when(named == "", "").otherwise(F.concat(F.lit("?"), named))).alias("key"),
+        F.concat(path, F.lit("?token="), i, F.when(named == "", "").otherwise(F.concat(F.lit("&"), named))).alias("url"),
+        F.when(i % 3 != 0, F.floor(F.col("value") * 1000).cast("bigint")).alias("size"),
+        F.when(i % 4 != 1, "video/mp4").otherwise("").alias("mime"),
+        k.alias("k"),
+    )
+
+
+def tab_rows(e: DataFrame) -> DataFrame:
+    """The rows that tabs are told of: each event's own, the start of its navigation two seconds before, the result of its probe some seconds later."""
+    i = F.col("event_id")
+    later = lambda seconds: F.col("seen") + F.make_dt_interval(secs=seconds)
+    none = F.lit(None)
+    row = lambda what, seen, **told: F.struct(*[x.alias(n) for n, x in (("what", F.lit(what) if isinstance(what, str) else what), ("seen", seen), ("size", told.get("size", none.cast("bigint"))), ("mime", told.get("mime", none.cast("string"))), ("reject", told.get("reject", none.cast("boolean"))))])
+    own = row(F.col("what"), F.col("seen"), size=F.col("size"), mime=F.col("mime"))
+    start = F.when(F.col("what") == "navigation", row("navigating", later(F.lit(-2))))
+    probe = F.when((F.col("what") == "item") & (F.col("kind") == "file") & (i % 5 != 0), row("probe", later(i % 30), size=20_000 + i, mime=F.lit("video/webm"), reject=i % 4 == 0))
+    rows = e.select("tab_id", "event_id", "key", "kind", "via", "fetchable", "url", F.explode(F.array_compact(F.array(own, start, probe))).alias("x"))
+    return rows.select("tab_id", "x.seen", "event_id", "x.what", "key", "kind", "via", "fetchable", "url", "x.size", "x.mime", "x.reject", none.cast("string").alias("error"), none.cast("array<string>").alias("children"))
+
+
+def tab_bodies(e: DataFrame) -> DataFrame:
+    """What came back for playlists, some after the time limit: master playlists that name files of their folder, error pages, and texts that are none."""
+    i, k = F.col("event_id"), F.col("k")
+    variants = F.concat(*[x for j, ext in enumerate(("mp4", "webm", "mp3", "mov")) for x in (F.lit(f"#EXT-X-STREAM-INF:BANDWIDTH={j + 1}\n"), (k + j % 2) % 12, F.lit(f".{ext}?id="), (k + j % 2) % 12, F.lit("\n"))])
+    text = F.when(i % 10 == 4, "<html>no</html>").otherwise(F.concat(F.lit('#EXTM3U\n#EXT-X-MEDIA:TYPE=AUDIO,GROUP-ID="a",URI="'), k, F.lit('.m4a"\n'), variants, k, F.lit(".flac\n")))
+    return e.where("what = 'item' and kind = 'hls'").select(i.alias("request_id"), (F.col("seen") + F.make_dt_interval(secs=i % 18)).alias("at"), F.when(i % 14 == 0, 503).otherwise(200).alias("status"), text.alias("text"))

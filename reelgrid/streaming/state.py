@@ -1,4 +1,4 @@
-"""Observations as a stream: keyed state per tab with navigation resets, caps, tombstones of closed tabs and event-time timers.
+"""Observations as a stream: keyed state per tab with navigation resets, tombstones of closed tabs and event-time timers. (`tabs` has the whole list of a tab.)
 
 State is independent of the order of rows inside a batch: an item keeps the places (time, event) of its first and last
 sighting, so a tab's rows are merged chunk by chunk, as Spark hands them over, and none is held back.
@@ -16,7 +16,7 @@ from reelgrid.functions import classify as C
 
 OUTPUT = "tab_id long, key string, kind string, media string, mime string, ext string, size long, url string, seen timestamp, sightings long, gone boolean"
 #: An item in state: first sighting and what it said, the earliest known size and type, the latest URL.
-ITEM = "kind string, media string, ext string, first_us long, first_event long, mime string, mime_us long, mime_event long, size long, size_us long, size_event long, url string, last_us long, last_event long, sightings long, hidden boolean"
+ITEM = "kind string, media string, ext string, first_us long, first_event long, mime string, mime_us long, mime_event long, size long, size_us long, size_event long, url string, last_us long, last_event long, sightings long"
 #: Tombstones of closed tabs are forgotten after this time.
 CLOSED_MILLIS = 60 * 60 * 1000
 
@@ -25,8 +25,8 @@ def _merged(old: tuple | None, r) -> tuple:
     """An item with one more sighting, whatever order they come in."""
     at = (int(r.us), int(r.event_id))
     if old is None:
-        old = (None, None, None, *(1 << 62,) * 2, None, *(1 << 62,) * 2, None, *(1 << 62,) * 2, None, -(1 << 62), 0, 0, False)
-    kind, media, ext, f0, f1, mime, m0, m1, size, s0, s1, url, l0, l1, n, hidden = old
+        old = (None, None, None, *(1 << 62,) * 2, None, *(1 << 62,) * 2, None, *(1 << 62,) * 2, None, -(1 << 62), 0, 0)
+    kind, media, ext, f0, f1, mime, m0, m1, size, s0, s1, url, l0, l1, n = old
     if at < (f0, f1):
         kind, media, ext, f0, f1 = r.kind, r.media, r.ext, *at
     if r.mime and at < (m0, m1):
@@ -35,10 +35,10 @@ def _merged(old: tuple | None, r) -> tuple:
         size, s0, s1 = int(r.size_), *at
     if at >= (l0, l1):
         url, l0, l1 = r.url, *at
-    return kind, media, ext, f0, f1, mime, m0, m1, size, s0, s1, url, l0, l1, n + 1, hidden
+    return kind, media, ext, f0, f1, mime, m0, m1, size, s0, s1, url, l0, l1, n + 1
 
 
-def _tab(max_items: int):
+def _tab():
     import pandas as pd
     from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -48,14 +48,13 @@ def _tab(max_items: int):
         return frame
 
     class Tab(StatefulProcessor):
-        """A tab's items by key, its last navigation, the keys its manifests name, and whether it is closed."""
+        """A tab's items by key, its last navigation, and whether it is closed."""
 
         def init(self, handle: StatefulProcessorHandle) -> None:
             self.items = handle.getMapState("items", "key string", ITEM)
             self.navigated = handle.getValueState("navigated", "us long")
             self.closed = handle.getValueState("closed", "closed boolean")
             self.handle = handle
-            self.children = handle.getMapState("children", "key string", "n long")
 
         def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
             touched: set[str] = set()
@@ -66,7 +65,6 @@ def _tab(max_items: int):
                 if (chunk["what"] == "closed").any():
                     touched.update(k[0] for k in self.items.keys())
                     self.items.clear()
-                    self.children.clear()
                     self.closed.update((True,))
                     self.handle.registerTimer(int(chunk["us"].max() // 1000) + CLOSED_MILLIS)
                     break
@@ -78,20 +76,10 @@ def _tab(max_items: int):
                     for k in [k[0] for k, v in self.items.iterator() if v[3] < since]:
                         self.items.removeKey((k,))
                         touched.add(k)
-                for r in chunk[(chunk["what"] == "child")].itertuples(index=False):
-                    self._remember(r.key)
-                    if self.items.containsKey((r.key,)):
-                        self.items.updateValue((r.key,), (*self.items.getValue((r.key,))[:-1], True))
-                        touched.add(r.key)
                 for r in chunk[(chunk["what"] == "item") & (chunk["us"] >= since)].itertuples(index=False):
                     old = self.items.getValue((r.key,)) if self.items.containsKey((r.key,)) else None
-                    new = _merged(old, r)
-                    if old is None:
-                        new = (*new[:-1], self.children.containsKey((r.key,)))
-                    self.items.updateValue((r.key,), new)
+                    self.items.updateValue((r.key,), _merged(old, r))
                     touched.add(r.key)
-                    if old is None and max_items:
-                        self._evict(touched)
             out = []
             for k in sorted(touched):
                 v = self.items.getValue((k,)) if self.items.containsKey((k,)) else None
@@ -107,37 +95,20 @@ def _tab(max_items: int):
             self.navigated.clear()
             yield frame_of([])
 
-        def _remember(self, child: str) -> None:
-            """The last MAX_CHILD_URLS keys that manifests named."""
-            if self.children.containsKey((child,)):
-                return
-            known = {k[0]: v[0] for k, v in self.children.iterator()}
-            self.children.updateValue((child,), (max(known.values(), default=0) + 1,))
-            if len(known) >= K.MAX_CHILD_URLS:
-                self.children.removeKey((min(known, key=known.get),))
-
-        def _evict(self, touched: set[str]) -> None:
-            """Over the cap, one item goes: a hidden one, else the oldest file, else the oldest."""
-            held = [(not v[15], v[0] != "file", v[3], v[4], k[0]) for k, v in self.items.iterator()]
-            if len(held) > max_items:
-                gone = min(held)[-1]
-                self.items.removeKey((gone,))
-                touched.add(gone)
-
         def close(self) -> None:
             pass
 
     return Tab()
 
 
-def tab_items(rows: DataFrame, max_items: int = K.MAX_ITEMS, delay: str = "1 hour") -> DataFrame:
-    """Changes of each tab's items. Input (a stream): tab_id, seen, event_id, what (item, child, navigation or closed), key, kind, media, mime, ext, size, url.
+def tab_items(rows: DataFrame, delay: str = "1 hour") -> DataFrame:
+    """Changes of each tab's items. Input (a stream): tab_id, seen, event_id, what (item, navigation or closed), key, kind, media, mime, ext, size, url.
 
-    A change is an item's new row, or gone = true. Needs the RocksDB state store. A tab's state holds at most `max_items` items (0: no cap)
-    and MAX_CHILD_URLS child keys; tombstones of closed tabs expire an hour of event time later. Rows more than `delay` late are dropped. A row of an item costs one read and one write of that item alone.
+    A change is an item's new row, or gone = true. Needs the RocksDB state store. A tab's state holds the items since its last
+    navigation; tombstones of closed tabs expire an hour of event time later. Rows more than `delay` late are dropped. A row of an item costs one read and one write of that item alone.
     """
     shaped = rows.select("tab_id", "seen", "event_id", "what", "key", "kind", "media", "mime", "ext", F.col("size").cast("double").alias("size_"), "url").withWatermark("seen", delay)
-    return shaped.groupBy("tab_id").transformWithStateInPandas(statefulProcessor=_tab(max_items), outputStructType=OUTPUT, outputMode="Update", timeMode="EventTime")
+    return shaped.groupBy("tab_id").transformWithStateInPandas(statefulProcessor=_tab(), outputStructType=OUTPUT, outputMode="Update", timeMode="EventTime")
 
 
 def _waiting(wait_millis: int):
@@ -145,29 +116,33 @@ def _waiting(wait_millis: int):
     from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
     class Waiting(StatefulProcessor):
-        """An unverified item: when it was first seen, until it is verified or its time is up."""
+        """An unverified item: when it was first seen, until it is verified or its time is up; an hour of event time behind its last row it is forgotten."""
 
         def init(self, handle: StatefulProcessorHandle) -> None:
             self.handle = handle
-            self.state = handle.getValueState("state", "first_us long, done boolean")
+            self.state = handle.getValueState("state", "first_us long, last_us long, done boolean")
 
         def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-            first, done = self.state.get() if self.state.exists() else (None, False)
+            first, last, done = self.state.get() if self.state.exists() else (None, -(1 << 62), False)
             for chunk in rows:
                 done = done or bool(chunk["verified"].any())
-                us = int(chunk["seen"].astype("datetime64[us]").astype("int64").min())
-                first = us if first is None else min(first, us)
+                us = chunk["seen"].astype("datetime64[us]").astype("int64")
+                first, last = int(us.min()) if first is None else min(first, int(us.min())), max(last, int(us.max()))
+            self._keep(first, last, done)
+            yield pd.DataFrame({"tab_id": pd.Series(dtype="int64"), "key": pd.Series(dtype=object), "shown": pd.Series(dtype="datetime64[us]")})
+
+        def _keep(self, first: int, last: int, done: bool) -> None:
             for timer in list(self.handle.listTimers()):
                 self.handle.deleteTimer(timer)
-            if not done:
-                self.handle.registerTimer(-(-first // 1000) + wait_millis)
-            self.state.update((first, done))
-            yield pd.DataFrame({"tab_id": pd.Series(dtype="int64"), "key": pd.Series(dtype=object), "shown": pd.Series(dtype="datetime64[us]")})
+            self.handle.registerTimer(-(-last // 1000) + CLOSED_MILLIS if done else -(-first // 1000) + wait_millis)
+            self.state.update((first, last, done))
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-            first, done = self.state.get()
-            if not done:
-                self.state.update((first, True))
+            first, last, done = self.state.get()
+            if done:
+                self.state.clear()
+            else:
+                self._keep(first, last, True)
                 yield pd.DataFrame({"tab_id": [key[0]], "key": [key[1]], "shown": [pd.Timestamp(first + wait_millis * 1000, unit="us")]})
 
         def close(self) -> None:
