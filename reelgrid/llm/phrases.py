@@ -122,8 +122,8 @@ def kind(limit: int) -> type:
 
 
 def width(size: int, min_count: int, most: int = CELLS) -> int:
-    """Cells for texts of so many bytes, in which about half as many n-grams lie: few cells then gather `min_count` by chance."""
-    return min(most, 1 << max(14, int(size * 3 // (4 * min_count)).bit_length()))
+    """Cells for texts of so many bytes, in which about half as many n-grams lie: a cell gets a tenth of `min_count` or so by chance, at any size below the bound."""
+    return min(most, 1 << max(14, int(size * 3 // min_count).bit_length()))
 
 
 def survivors(docs: DataFrame, *, lang_col: str, text_col: str, longest: int, min_count: int, cells: int) -> tuple[np.ndarray, int]:
