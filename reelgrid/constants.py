@@ -69,6 +69,7 @@ SAYS = {
     "elements": "XML has too many elements",
     "playlist_large": "Playlist is too large",
     "playlist": "Not an HLS playlist",
+    "playlist_scheme": "Unsupported URL scheme in playlist: {scheme}",
     "method": "Unsupported encryption method {method}.",
     "no_key": "Encrypted stream without a usable key URI.",
     "key": "Unexpected AES-128 key length ({n} bytes)",

@@ -141,13 +141,16 @@ def expand_tokens(tokens: Column, **values: Column) -> Column:
     return F.transform(tokens, put)
 
 
-def expand_template(template: Column, representation_id: Column, number: Column, bandwidth: Column, time: Column) -> Column:
-    """$RepresentationID$, $Number$, $Bandwidth$ and $Time$, with '%0Nd' widths that never cut, and '$$'; unknown names stay."""
-    return F.array_join(expand_tokens(template_tokens(template), RepresentationID=representation_id, Number=number, Bandwidth=bandwidth, Time=time), "")
+def first_units(text: Column, n: int) -> Column:
+    """The first n UTF-16 units of a text; half a character at the end is left out."""
+    points = F.regexp_extract_all(F.substring(text, 1, n), F.lit("(?s)."), F.lit(0))
+    start = F.struct(F.lit(0).alias("units"), F.lit(0).alias("points"))
+    step = lambda acc, c: F.struct((acc["units"] + F.when(F.octet_length(c) == 4, 2).otherwise(1)).alias("units"), (acc["points"] + F.when(acc["units"] + F.when(F.octet_length(c) == 4, 2).otherwise(1) <= n, 1).otherwise(0)).alias("points"))
+    return F.when(text.rlike("[\\x{10000}-\\x{10FFFF}]"), F.substring(text, F.lit(1), F.aggregate(points, start, step)["points"])).otherwise(F.substring(text, 1, n))
 
 
 def sanitize_filename(name: Column, fallback: str = "video") -> Column:
-    """A file name that every system takes: NFKC (the one step that SQL lacks), then K.NAME_RULES, at most 120 characters, no reserved name."""
+    """A file name that every system takes: NFKC (the one step that SQL lacks), then K.NAME_RULES, at most 120 UTF-16 units, no reserved name."""
 
     @F.pandas_udf("string")
     def composed(names):
@@ -157,7 +160,7 @@ def sanitize_filename(name: Column, fallback: str = "video") -> Column:
     text = F.coalesce(F.when(ascii_only, name).otherwise(composed(F.when(~ascii_only, name))), F.lit(""))
     for pattern, put in K.NAME_RULES:
         text = F.regexp_replace(text, pattern, put)
-    text = F.regexp_replace(F.substring(text, 1, K.MAX_NAME), r"(?U)\s+\z", "")
+    text = F.regexp_replace(first_units(text, K.MAX_NAME), r"(?U)\s+\z", "")
     text = F.when(text.rlike(K.RESERVED_NAME), F.concat(F.lit("_"), text)).otherwise(text)
     return F.when(text == "", fallback).otherwise(text)
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from reelgrid import constants as K
 
@@ -164,55 +164,57 @@ def hash_to_rule_id(text: Column) -> Column:
     return _fnv(text) % 2_000_000_000 + 1
 
 
-def _let(value: Column, f: Callable[[Column], Column]) -> Column:
-    """f of a value that is worked out once, however often f names it: keeps expressions (and their compilation) small."""
-    return F.get(F.transform(F.array(value), f), F.lit(0))
+#: A name in the base's own folder, which needs no parsing.
+_PLAIN = r"^[A-Za-z0-9_~!$&'()*,;=@+-][A-Za-z0-9_~!$&'()*,;=@+./-]*\z"
+
+
+def _read(references: pd.Series, against: pd.Series) -> pd.Series:
+    from reelgrid.functions.weburl import resolve
+
+    return pd.Series([None if r is None or b is None else resolve(r, b) for r, b in zip(references, against, strict=True)], dtype=object)
+
 
+def _read_each(references: pd.Series, against: pd.Series) -> pd.Series:
+    from reelgrid.functions.weburl import resolve
 
-def _normal(text: Column) -> Column:
-    """An absolute http(s) URL with scheme and host in lower case, dot segments resolved and blanks escaped; null if it is none."""
+    return pd.Series([None if x is None or b is None else [None if r is None else resolve(r, b) for r in x] for x, b in zip(references, against, strict=True)], dtype=object)
 
-    def clean(p: Column) -> Column:
-        steps = F.split(p, "/")
-        stack = F.aggregate(F.slice(steps, F.lit(2), F.size(steps)), F.array().cast("array<string>"), lambda acc, s: F.when(s == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).when(s == ".", acc).otherwise(F.concat(acc, F.array(s))))
-        solved = _let(stack, lambda x: F.concat(F.lit("/"), F.array_join(x, "/"), F.when(p.rlike(r"/\.\.?\z") & (F.size(x) > 0), "/").otherwise("")))
-        return F.when(p.contains("/."), solved).otherwise(p)
 
-    def whole(parts: Column) -> Column:
-        u = Url(text, parts)
-        full = F.concat(origin(u), F.replace(F.concat(_let(path(u), clean), F.coalesce(u.part(4), F.lit(""))), F.lit(" "), F.lit("%20")), F.coalesce(u.part(5), F.lit("")))
-        return F.when(is_web(u) & (F.coalesce(F.nullif(u.part(2), F.lit("")).try_cast("int"), F.lit(0)) < 65536), full)
+def _canonical(urls: pd.Series) -> pd.Series:
+    from reelgrid.functions.weburl import parse
 
-    return _let(parsed(text), whole)
+    return pd.Series([None if u is None else (found := parse(u)) and str(found) for u in urls], dtype=object)
 
 
-#: What a base gives to the references that are resolved against it.
-BASE = "struct<scheme:string,origin:string,folder:string,path:string,query:string>"
+def canonical(url: Column) -> Column:
+    """An absolute http(s) URL as the URL standard writes it, in Arrow batches; null if it is none."""
+    return F.pandas_udf(_canonical, T.StringType())(url)
 
 
 def base(url: Column) -> Column:
-    """The parts of a base URL, read once for all its references; null if it is no http(s) URL."""
+    """A base for references: the URL in canonical form, without its fragment; null if it is no http(s) URL."""
+    return F.regexp_replace(canonical(url), "#.*", "")
 
-    def parts(x: Column) -> Column:
-        u = Url(x, x)
-        return F.when(is_web(u), F.struct(scheme(u).alias("scheme"), origin(u).alias("origin"), F.regexp_replace(path(u), r"[^/]*\z", "").alias("folder"), path(u).alias("path"), F.coalesce(u.part(4), F.lit("")).alias("query")))
 
-    return _let(parsed(_normal(url)), parts)
+def _plain(reference: Column) -> Column:
+    return reference.rlike(_PLAIN) & ~reference.contains("/.")
+
+
+def _folder(against: Column) -> Column:
+    return F.regexp_extract(against, "^([^?]*/)", 1)
 
 
 def resolve(reference: Column, against: Column) -> Column:
-    """An http(s) reference resolved against a base (from `base`); null where the result is not http(s). Plain names need no parsing."""
-
-    def solved(r: Column) -> Column:
-        plain = r.rlike(r"^[A-Za-z0-9_~!$&'()*,;=@%-][^\s?#:\\]*\z") & ~r.contains("/.")
-        joined = (
-            F.when(r.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), r)
-            .when(r.startswith("//"), F.concat(against["scheme"], F.lit(":"), r))
-            .when(r.startswith("/"), F.concat(against["origin"], r))
-            .when(r.startswith("?"), F.concat(against["origin"], against["path"], r))
-            .when((r == "") | r.startswith("#"), F.concat(against["origin"], against["path"], against["query"], r))
-            .otherwise(F.concat(against["origin"], against["folder"], r))
-        )
-        return F.when(plain, F.concat(against["origin"], against["folder"], r)).otherwise(_normal(joined))
-
-    return _let(F.regexp_replace(reference, r"^[\x00-\x20]+|[\x00-\x20]+\z", ""), solved)
+    """A reference resolved against a base (from `base`) by the URL standard; null where the result is not http(s).
+
+    Plain names are put behind the base's folder; all others are read in Arrow batches.
+    """
+    other = F.pandas_udf(_read, T.StringType())(F.when(~_plain(reference), reference), against)
+    return F.when(_plain(reference), F.concat(_folder(against), reference)).otherwise(other)
+
+
+def resolve_each(references: Column, against: Column) -> Column:
+    """The same of an array of references, in their order."""
+    plain = F.forall(references, _plain)
+    other = F.pandas_udf(_read_each, T.ArrayType(T.StringType()))(F.when(~plain, references), against)
+    return F.when(plain, F.transform(references, lambda r: F.concat(_folder(against), r))).otherwise(other)

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T_
 
 from reelgrid import constants as K
 from reelgrid.functions import formats as T
 from reelgrid.functions import urls as U
+from reelgrid.functions.markup import XmlError, xml_events
 
 _INIT = "struct<_sourceURL:string,_range:string>"
 _TIMELINE = "struct<S:array<struct<_t:string,_d:string,_r:string>>>"
@@ -19,39 +24,83 @@ _REP = f"struct<_id:string,_bandwidth:string,{_MEDIA},{_LEVEL}>"
 _SET = f"struct<{_MEDIA},{_LEVEL},Representation:array<{_REP}>>"
 _PERIOD = f"struct<_id:string,_start:string,_duration:string,{_LEVEL},AdaptationSet:array<{_SET}>>"
 _ID = ["manifest_id", "period", "set", "rep"]
-SCHEMA = f"_type string, _mediaPresentationDuration string, BaseURL array<string>, Period array<{_PERIOD}>, _corrupt_record string"
-
-
-def _depth(text: Column) -> Column:
-    """How deep elements are nested, by a fold over start and end tags; comments, CDATA sections and empty elements are left out first."""
-    plain = F.regexp_replace(text, r"""(?s)<!--.*?-->|<!\[CDATA\[.*?\]\]>|<[A-Za-z_](?:[^<>"'/]++|/(?!>)|"[^"]*+"|'[^']*+')*+/>""", "")
-    tags = F.regexp_extract_all(plain, F.lit("</?[A-Za-z_]"), F.lit(0))
-    zero = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
-    step = lambda acc, t: F.when(t.startswith("</"), F.struct((acc["now"] - 1).alias("now"), acc["most"].alias("most"))).otherwise(F.struct((acc["now"] + 1).alias("now"), F.greatest(acc["most"], acc["now"] + 1).alias("most")))
-    return F.aggregate(tags, zero, step)["most"]
+SCHEMA = f"_type:string,_mediaPresentationDuration:string,BaseURL:array<string>,Period:array<{_PERIOD}>"
+
+
+def _tree(text: str, kind: T_.StructType) -> dict:
+    """The root element as nested values of `kind`: attributes (_name), texts of elements, the first or all children of a name. Elements that `kind` doesn't name are passed over."""
+    root, stack = {}, []  # of each open element: its values and their kind, None where it is passed over, or a list of texts
+    for what, name, found in xml_events(text, K.SAYS, deep=K.MAX_DEPTH, many=K.MAX_ELEMENTS):
+        if what == "end":
+            values, of = stack.pop()
+            if of == "text":
+                values.append("".join(values.pop()))
+        elif what == "text":
+            if stack and stack[-1][1] == "text":
+                stack[-1][0][-1].append(name)
+        elif not stack:
+            if name != "MPD":
+                root = None
+            stack.append((root, kind if root is not None else None))
+            if root is not None:
+                root |= {f"_{k}": v for k, v in found.items() if f"_{k}" in kind.names}
+        else:
+            values, of = stack[-1]
+            if not isinstance(of, T_.StructType) or name not in of.names:
+                stack.append((None, None))
+                continue
+            own = of[name].dataType
+            if isinstance(own, T_.ArrayType) and isinstance(own.elementType, T_.StringType):
+                texts = values.setdefault(name, [])
+                texts.append([])
+                stack.append((texts, "text"))
+                continue
+            inner = own.elementType if isinstance(own, T_.ArrayType) else own
+            child = {f"_{k}": v for k, v in found.items() if f"_{k}" in inner.names}
+            if isinstance(own, T_.ArrayType):
+                values.setdefault(name, []).append(child)
+            else:
+                values.setdefault(name, child)
+            stack.append((child, inner))
+    if root is None:
+        raise XmlError(K.SAYS["root"])
+    return root
 
 
 def manifests(texts: DataFrame) -> DataFrame:
-    """manifest_id, url, mpd (parsed), error. Texts over the cap, with a document type subset, or that are no manifest get an error."""
-    text = F.col("text")
-    error = (
-        F.when(F.length("text") > K.MAX_MANIFEST_CHARS, K.SAYS["large"])
-        .when(text.rlike(r"(?is)<!DOCTYPE[^>]*\["), K.SAYS["doctype"])
-        .when(~text.rlike(r"(?s)^\x{FEFF}?\s*(?:<\?.*?\?>\s*|<!--.*?-->\s*|<!DOCTYPE[^>]*>\s*)*<(?:[\w.-]+:)?MPD[\s/>]"), K.SAYS["root"])
-        .when(F.regexp_count("text", F.lit("<[A-Za-z_]")) > K.MAX_ELEMENTS, K.SAYS["elements"])
-        .when(_depth(text) > K.MAX_DEPTH, K.SAYS["deep"])
-    )
-    rows = texts.select("manifest_id", "url", "text", error.alias("error"))
-    parsed = F.from_xml(F.when(F.col("error").isNull(), F.col("text")), SCHEMA, {"ignoreNamespace": "true", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record", "valueTag": "_text"})
-    rows = rows.withColumn("mpd", parsed)
-    bad = F.coalesce("error", F.when(F.col("mpd").isNull() | F.col("mpd._corrupt_record").isNotNull(), K.SAYS["malformed"]))
-    return rows.select("manifest_id", "url", F.when(bad.isNull(), F.col("mpd")).alias("mpd"), bad.alias("error"))
+    """manifest_id, url, mpd (parsed), error; one parse of each text, in Arrow batches.
+
+    Namespaces are dropped; unknown entities and a plain `&` stay text. Texts over the cap, with a document type subset, that are broken or no manifest get an error.
+    """
+    rows = texts.select("manifest_id", "url", "text")
+    kind = T_.StructType.fromDDL(SCHEMA)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        arrow = to_arrow_type(kind)
+        for batch in batches:
+            trees, errors = [], []
+            for text in batch.column(2).to_pylist():
+                tree, error = None, None
+                try:
+                    if len(text or "") > K.MAX_MANIFEST_CHARS:
+                        raise XmlError(K.SAYS["large"])
+                    tree = _tree(text or "", kind)
+                except XmlError as e:
+                    error = str(e)
+                trees.append(tree)
+                errors.append(error)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(trees, arrow), pa.array(errors, pa.string())], names=["manifest_id", "url", "mpd", "error"])
+
+    ids = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:2])
+    return rows.mapInArrow(read, f"{ids}, mpd struct<{SCHEMA}>, error string")
 
 
 def periods(parsed: DataFrame) -> DataFrame:
     """One row per period: index, start, duration. A period starts where it says, or where the one before ends."""
-    rows = parsed.where("mpd is not null").select("manifest_id", "url", "mpd", T.parse_duration(F.col("mpd._mediaPresentationDuration")).alias("total"))
-    spans = F.transform("mpd.Period", lambda p: F.struct(T.parse_duration(p["_start"]).alias("start"), T.parse_duration(p["_duration"]).alias("duration")))
+    rows = parsed.where("mpd is not null").select("manifest_id", "url", F.col("mpd._type").alias("kind"), F.col("mpd.BaseURL").alias("mpd_base"), F.col("mpd.Period").alias("elements"), T.parse_duration(F.col("mpd._mediaPresentationDuration")).alias("total"))
+    spans = F.transform("elements", lambda p: F.struct(T.parse_duration(p["_start"]).alias("start"), T.parse_duration(p["_duration"]).alias("duration")))
     rows = rows.withColumn("spans", spans).withColumn("numbered", F.transform("spans", lambda s, i: F.struct(s["start"].alias("start"), s["duration"].alias("duration"), F.try_element_at(F.col("spans"), i + 2)["start"].alias("next"))))
 
     def step(acc: Column, p: Column) -> Column:
@@ -61,7 +110,7 @@ def periods(parsed: DataFrame) -> DataFrame:
 
     zero = F.struct(F.lit(0.0).alias("cursor"), F.array().cast("array<struct<start:double,duration:double>>").alias("out"))
     rows = rows.withColumn("times", F.aggregate("numbered", zero, step)["out"])
-    out = rows.select("manifest_id", "url", F.coalesce(F.when(F.col("mpd._type") == "dynamic", "dynamic"), F.lit("static")).alias("type"), "total", F.col("mpd.BaseURL").alias("mpd_base"), F.posexplode(F.arrays_zip(F.col("mpd.Period").alias("p"), F.col("times").alias("t"))).alias("period", "x"))
+    out = rows.select("manifest_id", "url", F.coalesce(F.when(F.col("kind") == "dynamic", "dynamic"), F.lit("static")).alias("type"), "total", "mpd_base", F.posexplode(F.arrays_zip(F.col("elements").alias("p"), F.col("times").alias("t"))).alias("period", "x"))
     return out.select("manifest_id", "url", "type", "total", "mpd_base", "period", F.col("x.t.start").alias("start"), F.col("x.t.duration").alias("duration"), F.col("x.p").alias("element"))
 
 
@@ -99,7 +148,7 @@ def _rebased(rows: DataFrame, level: str) -> DataFrame:
     text = F.nullif(F.trim(F.get(level, F.lit(0))), F.lit(""))
     rows = rows.withColumn("__text", text).withColumn("__to", U.resolve(F.col("__text"), F.col("base")))
     foreign = F.when(F.col("__text").isNotNull() & F.col("__to").isNull(), _scheme(F.col("__text")))
-    return rows.withColumn("error", F.coalesce("error", foreign)).withColumn("base", F.when(F.col("__text").isNull(), F.col("base")).otherwise(U.base(F.col("__to")))).drop("__text", "__to")
+    return rows.withColumn("error", F.coalesce("error", foreign)).withColumn("base", F.when(F.col("__text").isNull(), F.col("base")).otherwise(F.regexp_replace("__to", "#.*", ""))).drop("__text", "__to")
 
 
 def representations(p: DataFrame) -> DataFrame:
@@ -120,7 +169,7 @@ def representations(p: DataFrame) -> DataFrame:
         F.coalesce("r._id", F.lit("")).alias("id"), kind.alias("kind"), mime.alias("mime"), F.coalesce(both("_codecs"), F.lit("")).alias("codecs"),
         F.coalesce(_whole(F.col("r._bandwidth")), F.lit(0)).alias("bandwidth"), F.coalesce(_whole(both("_width")), F.lit(0)).alias("width"), F.coalesce(_whole(both("_height")), F.lit(0)).alias("height"),
         F.coalesce(both("_lang"), F.lit("")).alias("lang"), T.container_of(mime).alias("container"), guarded.alias("protected"), _systems(marks).alias("systems"),
-        F.concat("base.origin", "base.path", "base.query").alias("url"), "base", "error",
+        F.col("base").alias("url"), "base", "error",
         *[F.array(*[F.col(f"{x}.{n}") for x in ("r", "s", "element")]).alias(n) for n in ("SegmentTemplate", "SegmentList")],
     )
 
@@ -132,6 +181,14 @@ def downloadable(reps: DataFrame, mains: DataFrame, kind: str) -> DataFrame:
     return rows.withColumn("place", F.row_number().over(Window.partitionBy("manifest_id").orderBy(*order, "set", "rep")))
 
 
+def taken(reps: DataFrame, mains: DataFrame) -> DataFrame:
+    """Of each manifest the representations that would be taken: the first video and the first audio in the orders of `downloadable`."""
+    rows = reps.where(F.col("kind").isin("video", "audio") & ~F.col("protected")).join(mains.select("manifest_id", "period"), ["manifest_id", "period"], "left_semi")
+    first = F.when(F.col("kind") == "video", -F.col("height")).otherwise(F.col("set"))
+    w = Window.partitionBy("manifest_id", "kind").orderBy(first, F.desc("bandwidth"), "set", "rep")
+    return rows.withColumn("place", F.row_number().over(w)).where("place = 1").drop("place")
+
+
 def protection(reps: DataFrame) -> DataFrame:
     """Per manifest over all periods: protected (all of it), hidden_protected, systems."""
     g = reps.where(F.col("kind").isin("video", "audio")).groupBy("manifest_id").agg(F.bool_and("protected").alias("protected"), F.count_if("protected").alias("n"), F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.when(F.col("protected"), F.col("systems")))))).alias("systems"))
@@ -230,7 +287,8 @@ def plans(reps: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     rows = rows.withColumn("count", F.when(F.col("entries").isNotNull(), F.aggregate("entries", F.lit(0).cast("bigint"), lambda n, e: n + e["repeat"] + 1)).when(is_template, count).when(is_list, F.size("urls").cast("bigint")))
     first = T.expand_tokens(F.col("media"), Number=F.col("start_number"), Time=_shown(F.coalesce(F.get("entries", F.lit(0))["time"], F.col("pto"))))
     reference = F.when(is_template, F.array_join(first, ""))
-    away = F.get(F.filter("urls", lambda u: u["_media"].isNotNull() & U.resolve(u["_media"], F.col("base")).isNull()), F.lit(0))["_media"]
+    named = F.filter(F.transform("urls", lambda u: u["_media"]), lambda m: m.isNotNull())
+    away = F.get(F.filter(F.zip_with(named, U.resolve_each(named, F.col("base")), lambda m, u: F.when(u.isNull(), m)), lambda m: m.isNotNull()), F.lit(0))
     rows = rows.withColumn("__init", U.resolve(F.nullif(F.col("init_ref"), F.lit("")), F.col("base"))).withColumn("__first", reference).withColumn("__away", away)
     broken = lambda ref, url: F.when(ref.isNotNull() & url.isNull(), _scheme(ref))
     error = F.coalesce(

@@ -12,6 +12,10 @@ from reelgrid.functions import urls as U
 _PAIR = r'(?:^|,)([^=,]*+)=(?:"([^"]*+)"?+[^,]*+|([^,"][^,]*+|(?=,)|\z))'
 
 
+#: A line that names what is to be fetched by a scheme other than http(s).
+_FOREIGN = r'^(?:#EXT-X-(?:MAP|MEDIA):(?:|.*,)URI="|(?=[^#]))(?!(?i:https?):)([A-Za-z][A-Za-z0-9+.-]*:)'
+
+
 def attributes(text: Column) -> Column:
     """An attribute list as an array of (name, value); quoted values may hold commas; one linear scan."""
     names, quoted, bare = (F.regexp_extract_all(text, F.lit(_PAIR), F.lit(k)) for k in (1, 2, 3))
@@ -29,11 +33,13 @@ def _number(text: Column) -> Column:
 
 
 def playlists(texts: DataFrame) -> DataFrame:
-    """playlist_id, base (for references), kind (master or media), lines, error. Too long or other texts get an error and no lines."""
+    """playlist_id, base (for references), kind (master or media), lines, error. Texts that are too long, no playlist, or name a segment, variant, rendition or map of a scheme other than http(s) get an error and no lines."""
     split = F.filter(F.transform(F.split(F.regexp_replace("text", "^﻿", ""), r"\r?\n"), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+\z", "")), lambda x: x != "")
     rows = texts.select("playlist_id", "base_url", F.when(F.length("text") <= K.MAX_MANIFEST_CHARS, split).alias("lines"))
     n = F.size(F.coalesce("lines", F.array().cast("array<string>")))
     error = F.when(F.col("lines").isNull() | (n > K.MAX_LINES), K.SAYS["playlist_large"]).when(~F.coalesce(F.try_element_at("lines", F.lit(1)).startswith("#EXTM3U"), F.lit(False)), K.SAYS["playlist"])
+    scheme = F.regexp_extract(F.get(F.filter("lines", lambda x: x.rlike(_FOREIGN)), F.lit(0)), _FOREIGN, 1)
+    error = error.when(scheme != "", F.replace(F.lit(K.SAYS["playlist_scheme"]), F.lit("{scheme}"), F.lower(scheme)))
     kind = F.when(F.exists("lines", lambda x: x.startswith("#EXT-X-STREAM-INF")), "master").otherwise("media")
     return rows.withColumn("error", error).select("playlist_id", U.base(F.col("base_url")).alias("base"), F.when(F.col("error").isNull(), kind).alias("kind"), F.when(F.col("error").isNull(), F.col("lines")).alias("lines"), "error")
 
@@ -77,8 +83,7 @@ def child_urls(lines: Column, base: Column) -> Column:
     # A URI is a variant where the line held before it is a stream tag.
     pairs = F.zip_with(held, F.slice(F.concat(F.array(F.lit("")), held), F.lit(1), F.size(held)), lambda x, before: F.when(~x.startswith("#") & before.startswith("#"), x))
     uris = F.filter(F.transform(F.filter(lines, lambda x: x.startswith("#EXT-X-MEDIA:")), lambda x: attribute(attributes(F.regexp_extract(x, "(?s)^[^:]*:(.*)", 1)), "URI")), lambda u: u != "")
-    urls = F.transform(F.concat(F.array_compact(pairs), uris), lambda u: U.resolve(u, base))
-    return F.slice(F.array_compact(urls), 1, K.MAX_CHILD_URLS)
+    return F.slice(F.array_compact(U.resolve_each(F.concat(F.array_compact(pairs), uris), base)), 1, K.MAX_CHILD_URLS)
 
 
 def renditions(parsed: DataFrame) -> DataFrame:
@@ -173,25 +178,29 @@ def segments(parsed: DataFrame) -> DataFrame:
     return out.select("playlist_id", "index", "sequence", "url", "duration", F.when(has, offset.cast("bigint")).alias("range_offset"), F.col("range.length").alias("range_length"), "key", "drm", "map", "discontinuity")
 
 
-def encryption(segs: DataFrame) -> DataFrame:
-    """Per playlist: method, supported, drm, systems, reason. A segment with only protected keys makes it DRM; a plain key is plain."""
+def _facts(segs: DataFrame) -> DataFrame:
+    """One aggregate over a playlist's segments: how many, how long, and how they are protected."""
     here = F.array(F.struct(F.col("key"), F.col("drm"), F.lit(0).alias("o")), F.struct(F.col("map.key").alias("key"), F.col("map.drm").alias("drm"), F.lit(1).alias("o")))
-    uses = segs.select("playlist_id", "index", F.explode(here).alias("u")).select("playlist_id", "index", "u.*")
+    uses = segs.select("playlist_id", "index", "duration", F.explode(here).alias("u")).select("playlist_id", "index", "duration", "u.*")
     only = F.col("key").isNull() & (F.coalesce(F.size("drm"), F.lit(0)) > 0)
     bad = F.when(F.col("key.method") != "AES-128", F.replace(F.lit(K.SAYS["method"]), F.lit("{method}"), F.col("key.method"))).when(F.col("key").isNotNull() & F.col("key.url").isNull(), K.SAYS["no_key"])
-    rows = uses.select("playlist_id", "index", "o", "key", only.alias("only"), bad.alias("bad"), F.when(only, F.transform("drm", lambda d: T.drm_system(d["key_format"]))).alias("names"))
+    rows = uses.select("playlist_id", "index", "duration", "o", "key", only.alias("only"), bad.alias("bad"), F.when(only, F.transform("drm", lambda d: T.drm_system(d["key_format"]))).alias("names"))
     order = F.when(F.col("bad").isNotNull(), F.struct("index", "o"))
-    g = rows.groupBy("playlist_id").agg(F.bool_or("only").alias("drm"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("names")))).alias("systems"), F.min_by("bad", order).alias("bad"), F.min_by("key.method", order).alias("bad_method"), F.bool_or(F.col("key").isNotNull()).alias("plain"))
+    g = rows.groupBy("playlist_id").agg(F.bool_or("only").alias("drm"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("names")))).alias("systems"), F.min_by("bad", order).alias("bad"), F.min_by("key.method", order).alias("bad_method"), F.bool_or(F.col("key").isNotNull()).alias("plain"), F.count_if(F.col("o") == 0).alias("segments"), F.sum(F.when(F.col("o") == 0, F.col("duration"))).alias("duration"))
     method = F.when(F.col("drm"), "DRM").when(F.col("bad").isNotNull(), F.col("bad_method")).when(F.col("plain"), "AES-128").otherwise("NONE")
     names = F.array_join("systems", ", ")
     reason = F.when(F.col("drm"), F.replace(F.lit(K.SAYS["drm"]), F.lit("{systems}"), names)).otherwise(F.coalesce("bad", F.lit("")))
-    return g.select("playlist_id", method.alias("method"), (~F.col("drm") & F.col("bad").isNull()).alias("supported"), "drm", F.when(F.col("drm"), F.col("systems")).otherwise(F.array().cast("array<string>")).alias("systems"), reason.alias("reason"))
+    return g.select("playlist_id", "segments", "duration", method.alias("method"), (~F.col("drm") & F.col("bad").isNull()).alias("supported"), "drm", F.when(F.col("drm"), F.col("systems")).otherwise(F.array().cast("array<string>")).alias("systems"), reason.alias("reason"))
+
+
+def encryption(segs: DataFrame) -> DataFrame:
+    """Per playlist: method, supported, drm, systems, reason. A segment with only protected keys makes it DRM; a plain key is plain."""
+    return _facts(segs).drop("segments", "duration")
 
 
 def summarize_media(parsed: DataFrame, segs: DataFrame) -> DataFrame:
     live = parsed.where("kind = 'media'").select("playlist_id", (~F.array_contains("lines", "#EXT-X-ENDLIST")).alias("live"))
-    totals = segs.groupBy("playlist_id").agg(F.count(F.lit(1)).alias("segments"), F.sum("duration").alias("duration"))
-    return live.join(totals, "playlist_id", "left").join(encryption(segs), "playlist_id", "left").select("playlist_id", F.coalesce("segments", F.lit(0)).alias("segments"), F.coalesce("duration", F.lit(0.0)).alias("duration"), "live", F.coalesce("method", F.lit("NONE")).alias("encryption"), F.coalesce("drm", F.lit(False)).alias("drm"))
+    return live.join(_facts(segs), "playlist_id", "left").select("playlist_id", F.coalesce("segments", F.lit(0)).alias("segments"), F.coalesce("duration", F.lit(0.0)).alias("duration"), "live", F.coalesce("method", F.lit("NONE")).alias("encryption"), F.coalesce("drm", F.lit(False)).alias("drm"))
 
 
 def summarize_master(v: DataFrame, r: DataFrame, keys: DataFrame) -> DataFrame:

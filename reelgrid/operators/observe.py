@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelgrid import constants as K
 from reelgrid.functions import classify as C
 from reelgrid.functions import urls as U
+from reelgrid.functions.markup import page_references
 
 
 def classified(obs: DataFrame) -> DataFrame:
@@ -15,11 +19,18 @@ def classified(obs: DataFrame) -> DataFrame:
     return C.with_class(obs).select("tab_id", "seen", "event_id", "url", "initiator", "class.*", "key")
 
 
-def upsert(items: DataFrame) -> DataFrame:
-    """One row per tab and key: first sighting's class, first known size and mime, latest URL. A partial aggregate: no key is gathered."""
+def upsert(items: DataFrame, reads: DataFrame | None = None) -> DataFrame:
+    """One row per tab and key: first sighting's class, first known size and mime, latest URL. A partial aggregate: no key is gathered.
+
+    `reads` (tab_id, key, read_at) tells when a manifest was first read: a DASH manifest keeps the URL it had then, as it is what was read.
+    """
     first, last = F.struct("seen", "event_id"), F.struct("seen", "event_id")
     known = F.when(F.coalesce("size", F.lit(0)) > 0, F.col("size"))
     named = F.nullif(F.col("mime"), F.lit(""))
+    fresh = F.lit(True)
+    if reads is not None:
+        items = items.join(reads.groupBy("tab_id", "key").agg(F.min("read_at").alias("read_at")), ["tab_id", "key"], "left")
+        fresh = (F.col("kind") != "dash") | F.col("read_at").isNull() | (F.col("seen") <= F.col("read_at"))
     return items.groupBy("tab_id", "key").agg(
         F.min("seen").alias("seen"),
         F.min_by("kind", first).alias("kind"),
@@ -28,7 +39,7 @@ def upsert(items: DataFrame) -> DataFrame:
         F.min_by("initiator", first).alias("initiator"),
         F.min_by(known, F.when(known.isNotNull(), first)).alias("size"),
         F.coalesce(F.min_by(named, F.when(named.isNotNull(), first)), F.lit("")).alias("mime"),
-        F.max_by("url", last).alias("url"),
+        F.max_by("url", F.when(fresh, last)).alias("url"),
         F.count(F.lit(1)).alias("sightings"),
     )
 
@@ -102,21 +113,31 @@ def diagnostics(items: DataFrame) -> DataFrame:
 def page_media(pages: DataFrame, entries: DataFrame | None = None, limit: int = 60, links: int = 20) -> DataFrame:
     """Media URLs of stored pages: what elements play, what was requested (`entries`: page_id, name), links and a player's meta tag.
 
-    Of each URL the most trusted source counts; at most `links` links and `limit` URLs a page, in the order found. Links and requests count by
-    their path's extension; element sources and the meta tag whatever they name. A blob source is no URL. Pages come one row each.
+    Pages are scanned as HTML, tag by tag: comments, scripts and other raw text name nothing, references of characters are decoded, `source`
+    counts inside `video` and `audio`, and a base element counts. Of each URL the most trusted source counts; at most `links` links and `limit`
+    URLs a page, in the order found. Links and requests count by their path's extension; element sources and the meta tag whatever they name. A blob
+    source is no URL. Pages come one row each.
     """
-    quoted = r"\s*=\s*[\"']?([^\"'\s>]+)"
-    rows = pages.select("page_id", F.col("url").alias("page_url"), U.base(F.col("url")).alias("base"), "html")
-    tag = lambda pattern, k=0: F.regexp_extract_all("html", F.lit(pattern), F.lit(k))
-    sources = F.transform(tag(r"(?i)<(?:video|audio|source)\b[^>]*>"), lambda t: F.regexp_extract(t, rf"(?i)\ssrc{quoted}", 1))
-    hrefs = F.transform(tag(r"(?i)<a\b[^>]*>"), lambda t: F.regexp_extract(t, rf"(?i)\shref{quoted}", 1))
-    metas = F.slice(F.filter(tag(r"(?i)<meta\b[^>]*>"), lambda t: t.rlike(r"(?i)\sname\s*=\s*[\"']?twitter:player:stream[\"'\s/>]")), 1, 1)
-    metas = F.transform(metas, lambda t: F.regexp_extract(t, r"(?i)\scontent\s*=\s*[\"']?([^\"'>]+)", 1))
-    solved = lambda refs: F.filter(F.transform(F.filter(refs, lambda u: (u != "") & ~u.startswith("blob:")), lambda u: U.resolve(u, F.col("base"))), lambda u: u.isNotNull())
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("source", pa.string()), ("reference", pa.string())]))
+        for batch in batches:
+            read = [page_references(html or "") for html in batch.column(2).to_pylist()]
+            found = [[{"source": s, "reference": r} for s, r in named if not (s == "element" and r.startswith("blob:"))] for _, named in read]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([b for b, _ in read], pa.string()), pa.array(found, kind)], names=["page_id", "url", "named_base", "named"])
+
+    kind = pages.schema["page_id"].dataType.simpleString()
+    named = pages.select("page_id", "url", "html").mapInArrow(scan, f"page_id {kind}, url string, named_base string, named array<struct<source:string,reference:string>>")
+    based = named.withColumn("own", U.base(F.col("url"))).withColumn("other", U.resolve(F.col("named_base"), F.col("own")))
+    based = based.select("page_id", "named", F.coalesce(F.regexp_replace("other", "#.*", ""), F.col("own")).alias("base"))
+    each = based.select(F.col("page_id").alias("tab_id"), "base", F.posexplode("named").alias("at", "m"))
+    each = each.select("tab_id", "at", "m.source", U.resolve(F.col("m.reference"), F.col("base")).alias("url")).where("url is not null")
     media = lambda u: F.regexp_replace(u, "[?#].*", "").rlike(K.MEDIA_PATH)
-    marked = lambda urls, source, at: F.transform(urls, lambda u, i: F.struct(F.lit(source).alias("source"), u.alias("url"), (F.lit(at) + i).cast("bigint").alias("event_id")))
-    found = F.concat(marked(solved(sources), "element", 0), marked(F.slice(F.filter(solved(hrefs), media), 1, links), "link", 2 << 40), marked(solved(metas), "meta", 3 << 40))
-    each = rows.select(F.col("page_id").alias("tab_id"), F.explode(found).alias("m")).select("tab_id", "m.source", "m.url", "m.event_id")
+    each = each.where((F.col("source") != "link") | media(F.col("url")))
+    by = Window.partitionBy("tab_id", "source").orderBy("at")
+    each = each.withColumn("n", F.row_number().over(by)).where((F.col("source") != "link") | (F.col("n") <= links))
+    step = F.when(F.col("source") == "element", 0).when(F.col("source") == "link", 2).otherwise(3)
+    each = each.select("tab_id", "source", "url", (step.cast("bigint") * (1 << 40) + F.col("at")).alias("event_id"))
     if entries is not None:
         timed = entries.where(media(F.col("name"))).select(F.col("page_id").alias("tab_id"), F.lit("timing").alias("source"), F.col("name").alias("url"), (F.coalesce(F.col("place"), F.lit(0)).cast("bigint") + F.lit(1 << 40)).alias("event_id"))
         each = each.unionByName(timed)

@@ -9,9 +9,10 @@ from reelgrid import constants as K
 from reelgrid.functions import classify as C
 from reelgrid.functions import formats as T
 from reelgrid.functions import urls as U
-from reelgrid.operators import observe
+from reelgrid.operators import hls, observe
 from reelgrid.queries import OBS, _classified, _items
 from reelgrid.registry import query, sql_in, sql_list, sql_text
+from reelgrid.session import written
 from reelgrid.sources import fixtures as X
 
 _VIA = f"{sql_list(X.VIAS)}[event_id % {len(X.VIAS)} + 1]"
@@ -180,22 +181,61 @@ def stream_labels(spark, sf_dir):
     return X.table(spark, sf_dir, "nation").select("n_nationkey", T.stream_type(code).alias("label"), T.stream_type(code, "kind").alias("kind"))
 
 
-_SIX = ["x/y.mp4", "/root/{i}.mp4?q=1", "../up/./{i}.ts", "?only={i}", "//Other.example.net:443/p{i}", "HTTP://h.org:80/a/../b/{i}"]
-_BASE = "https://base.example.org/one/two/index.m3u8?token=1"
-_WANT = ["https://base.example.org/one/two/x/y.mp4", "https://base.example.org/root/{i}.mp4?q=1", "https://base.example.org/one/up/{i}.ts", "https://base.example.org/one/two/index.m3u8?only={i}", "https://other.example.net/p{i}", "http://h.org/b/{i}"]
+#: References, and what they name seen from a base with a user and a query; {i} stands for a page's number.
+_BASE = "https://Me:pw@base.example.org:443/one/two/index.m3u8?token=1#top"
+_ROOT = "https://Me:pw@base.example.org"
+_PAIRS = [
+    ("x/y.mp4", f"{_ROOT}/one/two/x/y.mp4"), ("/root/{i}.mp4?q=1", f"{_ROOT}/root/{{i}}.mp4?q=1"), ("../up/./{i}.ts", f"{_ROOT}/one/up/{{i}}.ts"), ("?only={i}", f"{_ROOT}/one/two/index.m3u8?only={{i}}"), ("#part", f"{_ROOT}/one/two/index.m3u8?token=1#part"),
+    ("", f"{_ROOT}/one/two/index.m3u8?token=1"), ("//Other.example.net:443/p{i}", "https://other.example.net/p{i}"), ("HTTP://h.org:80/a/../b/{i}", "http://h.org/b/{i}"), ("ftp://h/{i}", None), ("data:text/plain,{i}", None), ("javascript:void({i})", None),
+    ("\u00e9 {i}.mp4", f"{_ROOT}/one/two/%C3%A9%20{{i}}.mp4"), ("..\\x{i}.mp4", f"{_ROOT}/one/x{{i}}.mp4"), ("%2e%2E/{i}", f"{_ROOT}/one/{{i}}"), (".%2e/%2e/{i}/", f"{_ROOT}/one/{{i}}/"), ("a\tb\n{i}.ts", f"{_ROOT}/one/two/ab{{i}}.ts"), ("  {i}.ts \n", f"{_ROOT}/one/two/{{i}}.ts"),
+    ("http://0x7f.1/{i}", "http://127.0.0.1/{i}"), ("http://017700000001/", "http://127.0.0.1/"), ("http://256/{i}", "http://0.0.1.0/{i}"), ("http://1.2.3.256/{i}", None), ("http://08.1/{i}", None), ("http://1.2.3.4.5/", None), ("https://h.1e/{i}", "https://h.1e/{i}"),
+    ("https://ex\u00e4mple.com/{i}", "https://xn--exmple-cua.com/{i}"), ("https://fa\u00df.de/", "https://xn--fa-hia.de/"), ("https://\uff25\uff38.com\u3002/{i}", "https://ex.com./{i}"), ("//%65x.org/{i}", "https://ex.org/{i}"), ("https://a%2fb/{i}", None), ("https://a b/{i}", None),
+    ("http://[::1]:8080/{i}", "http://[::1]:8080/{i}"), ("http://[1:0:0:2::FFFF:1.2.3.4]/", "http://[1::2:0:ffff:102:304]/"), ("http://[::FFFF:1.2.3.4]/{i}", "http://[::ffff:102:304]/{i}"), ("http://[1::2::3]/{i}", None), ("https://u:p%40@h.org/{i}", "https://u:p%40@h.org/{i}"), ("https://a:b@c@h.org/", "https://a:b%40c@h.org/"),
+    ("https://h.org:99999/{i}", None), ("https://h.org:/{i}", "https://h.org/{i}"), ("https://h.org:0443/{i}", "https://h.org/{i}"), ("https:///{i}.org", "https://{i}.org" + "/"), ("https:{i}/x", f"{_ROOT}/one/two/{{i}}/x"), ("http:h{i}.org", "http://h{i}.org/"), ("\\\\h.org\\{i}", "https://h.org/{i}"),
+    ("?q='{i}' \"<\u00e9", f"{_ROOT}/one/two/index.m3u8?q=%27{{i}}%27%20%22%3C%C3%A9"), ("#a`{i} <", f"{_ROOT}/one/two/index.m3u8?token=1#a%60{{i}}%20%3C"), ("/a^b|c{d}[{i}]'", f"{_ROOT}/a%5Eb|c%7Bd%7D[{{i}}]'"), ("../../../../{i}", f"{_ROOT}/{{i}}"), ("./", f"{_ROOT}/one/two/"), ("..", f"{_ROOT}/one/"), ("//", None),
+]
+_PAIRS = [(r.replace("https:///{i}.org", "https:///h{i}.org"), u.replace("https://{i}.org", "https://h{i}.org") if u else u) for r, u in _PAIRS]
 
 
-@query(f"SELECT page_id, CASE page_id % 7 {' '.join(f'WHEN {k} THEN replace({sql_text(w)}, {sql_text(chr(123) + chr(105) + chr(125))}, page_id::VARCHAR)' for k, w in enumerate(_WANT))} END AS url FROM pages")
+@query(f"SELECT page_id, CASE page_id % {len(_PAIRS)} {' '.join(f'WHEN {k} THEN replace({sql_text(u)}, {sql_text(chr(123) + chr(105) + chr(125))}, page_id::VARCHAR)' for k, (_, u) in enumerate(_PAIRS) if u)} END AS url FROM pages")
 def resolved_urls(spark, sf_dir):
-    """References of all shapes against a base; a foreign scheme has no URL."""
+    """References of all shapes against a base, one a page; what names no http(s) address has no URL."""
     i = F.col("page_id")
-    reference = F.replace(F.get(F.array(*[F.lit(r) for r in [*_SIX, "ftp://h/{i}"]]), (i % 7).cast("int")), F.lit("{i}"), i.cast("string"))
-    return X.table(spark, sf_dir, "pages").select("page_id", U.resolve(reference, U.base(F.lit(_BASE))).alias("url"))
+    reference = F.replace(F.get(F.array(*[F.lit(r) for r, _ in _PAIRS]), (i % len(_PAIRS)).cast("int")), F.lit("{i}"), i.cast("string"))
+    return X.table(spark, sf_dir, "pages").select("page_id", reference.alias("r")).select("page_id", U.resolve(F.col("r"), U.base(F.lit(_BASE))).alias("url"))
+
+
+@query(f"""WITH t AS (SELECT unnest([{', '.join(f"({k}, {sql_text(t)}, {sql_text(s) if s else 'NULL'})" for k, (t, s) in enumerate(X.FOREIGN))}]) AS x)
+SELECT o_orderkey AS playlist_id, CASE WHEN x[3] IS NOT NULL THEN replace({sql_text(K.SAYS["playlist_scheme"])}, '{{scheme}}', x[3]) END AS error, CASE WHEN x[3] IS NULL THEN 1 ELSE 0 END AS named FROM orders JOIN t ON o_orderkey % {len(X.FOREIGN)} = x[1]""")
+def playlist_errors(spark, sf_dir):
+    """Playlists that name a segment, map, variant or rendition by a foreign scheme have an error and no rows; keys may have one."""
+    parsed = written(hls.playlists(X.foreign_playlists(spark, sf_dir)), "playlists")
+    rows = hls.segments(parsed).select("playlist_id").unionByName(hls.variants(parsed).select("playlist_id")).groupBy("playlist_id").agg(F.count(F.lit(1)).cast("int").alias("named"))
+    return parsed.join(rows, "playlist_id", "left").select("playlist_id", "error", F.coalesce("named", F.lit(0)).alias("named"))
+
+
+@query(OBS + """, reads AS (SELECT tab_id, key, min(seen) AS read_at FROM cls WHERE kind = 'dash' AND event_id % 2 = 0 GROUP BY tab_id, key)
+SELECT c.tab_id, c.key, count(*) AS sightings, arg_max(c.url, (c.seen, c.event_id)) FILTER (read_at IS NULL OR c.seen <= read_at) AS url FROM cls c LEFT JOIN reads USING (tab_id, key) WHERE kind = 'dash' GROUP BY c.tab_id, c.key""")
+def read_dash_items(spark, sf_dir):
+    """DASH manifests, of which some were read at a sighting: they keep the URL that was read, the others take the latest."""
+    found = _classified(spark, sf_dir).where("kind = 'dash'")
+    reads = found.where("event_id % 2 = 0").select("tab_id", "key", F.col("seen").alias("read_at"))
+    return observe.upsert(found, reads).select("tab_id", "key", "sightings", "url")
+
+
+@query(r"""WITH n AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN repeat('😀', 130) WHEN 1 THEN 'x' || repeat('😀', 70) WHEN 2 THEN p_name || repeat('é', 130) ELSE p_name || '😀' END AS name FROM part)
+SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN repeat('😀', 60) WHEN 1 THEN 'x' || repeat('😀', 59) WHEN 2 THEN left(name, 120) ELSE name END AS name FROM n""")
+def long_names(spark, sf_dir):
+    """Names are cut where UTF-16 units end, and between characters."""
+    i, name = F.col("p_partkey"), F.col("p_name")
+    raw = F.when(i % 4 == 0, F.repeat(F.lit("😀"), F.lit(130))).when(i % 4 == 1, F.concat(F.lit("x"), F.repeat(F.lit("😀"), F.lit(70)))).when(i % 4 == 2, F.concat(name, F.repeat(F.lit("é"), F.lit(130)))).otherwise(F.concat(name, F.lit("😀")))
+    return X.table(spark, sf_dir, "part").select("p_partkey", T.sanitize_filename(raw).alias("name"))
 
 
 @query("""WITH u AS (SELECT page_id, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS origin FROM pages),
- m AS (SELECT page_id, unnest([(0, origin || '/v/' || page_id || '.mp4', 'element'), (1, 'https://cdn.example.com/t' || page_id || '.m3u8?x=1', 'timing'), (2, origin || '/l/' || page_id || '.webm', 'link'), (3, 'https://player.example.com/embed?id=' || page_id, 'meta')]) AS x FROM u)
-SELECT page_id, x[1] - CASE WHEN page_id % 2 = 1 AND x[1] > 1 THEN 1 ELSE 0 END AS place, x[2] AS media_url, x[3] AS source FROM m WHERE page_id % 2 = 0 OR x[3] <> 'timing'""")
+ m AS (SELECT page_id, unnest([(0, origin || '/v/' || page_id || '.mp4', 'element'), (1, origin || '/e/' || page_id || '.mp4?x=1&y=2&copy=3', 'element'), (2, origin || '/s/' || page_id || '.mp3', 'element'), (3, 'https://cdn.example.com/t' || page_id || '.m3u8?x=1', 'timing'),
+ (4, origin || '/l/' || page_id || '.webm', 'link'), (5, origin || '/q/' || page_id || '.mp4', 'link'), (6, 'https://player.example.com/embed?id=' || page_id, 'meta')]) AS x FROM u)
+SELECT page_id, x[1] - CASE WHEN page_id % 2 = 1 AND x[1] > 3 THEN 1 ELSE 0 END AS place, x[2] AS media_url, x[3] AS source FROM m WHERE page_id % 2 = 0 OR x[3] <> 'timing'""")
 def page_media(spark, sf_dir):
     """Media that pages name: their HTML with an element, a link and a player's meta tag put in, and requests of every second page."""
     pages = X.media_pages(spark, sf_dir)

@@ -9,6 +9,7 @@ from reelgrid.functions import formats as T
 from reelgrid.operators import dash, hls, observe
 from reelgrid.queries import _MPD, _VAR, _masters, _mpd
 from reelgrid.registry import query, sql_text
+from reelgrid.session import written
 from reelgrid.sources import fixtures as X
 
 #: Playlists of orders: a plain key for every second, a protected one for every third, a map for every fourth.
@@ -70,9 +71,8 @@ SELECT manifest_id, x.m IN (0, 2) AND NOT x.w AS can_merge FROM v""")
 def merge_checks(spark, sf_dir):
     """Whether the best video and the first audio of each manifest can be merged into one file."""
     p = dash.periods(_mpd(spark, sf_dir))
-    reps, mains = dash.representations(p), dash.main_period(p)
-    best = lambda kind: dash.plans(dash.downloadable(reps, mains, kind).where("place = 1"))
-    return dash.can_merge(best("video"), best("audio"))
+    planned = written(dash.plans(dash.taken(dash.representations(p), dash.main_period(p))), "plans")  # both are planned at once
+    return dash.can_merge(planned.where("kind = 'video'"), planned.where("kind = 'audio'"))
 
 
 @query(_MPD + " SELECT manifest_id, 'Widevine' AS systems, false AS protected, count(*) FILTER (p_partkey % 10 = 0) AS hidden_protected FROM p GROUP BY manifest_id HAVING count(*) FILTER (p_partkey % 10 = 0) > 0")
@@ -90,8 +90,8 @@ SELECT manifest_id, [{', '.join(sql_text(c[1]) if c[1] else 'NULL' for c in X.OD
  [{', '.join(sql_text(_AT + c[3]) if c[3] else 'NULL' for c in X.ODD_MANIFESTS)}][k + 1] AS first_url, [{', '.join(sql_text(_AT + c[4]) if c[4] else 'NULL' for c in X.ODD_MANIFESTS)}][k + 1] AS init_url, [{', '.join(str(c[5]) for c in X.ODD_MANIFESTS)}][k + 1] AS open_ended FROM p""")
 def odd_manifests(spark, sf_dir):
     """Manifests that are broken or odd, one a part: the error, or the segments that come of them. None stops the job, none vanishes."""
-    parsed = dash.manifests(X.odd_manifests(spark, sf_dir))
-    plans = dash.plans(dash.representations(dash.periods(parsed)))
+    parsed = written(dash.manifests(X.odd_manifests(spark, sf_dir)), "manifests")
+    plans = written(dash.plans(dash.representations(dash.periods(parsed))), "plans")
     first = lambda rows: rows.groupBy("manifest_id").agg(F.count(F.lit(1)).alias("segments"), F.min_by("url", "index").alias("first_url"))
     found = first(dash.template_segments(plans)).unionByName(first(dash.list_segments(plans)))
     rows = parsed.select("manifest_id", F.col("error").alias("whole")).join(plans.select("manifest_id", "error", F.col("init.url").alias("init_url"), "open_ended"), "manifest_id", "left").join(found, "manifest_id", "left")

@@ -120,9 +120,9 @@ def order_playlists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def media_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages with a video element, a link to a film and one to a text, and a player's meta tag put in."""
+    """Pages with media elements, links to films and one to a text, and a player's meta tag put in, among comments, scripts and pictures that name others."""
     i = F.col("page_id")
-    tags = F.concat(F.lit('<VIDEO controls src="/v/'), i, F.lit('.mp4"></VIDEO><video src="blob:x"></video><a class="x" href="/l/'), i, F.lit('.webm">film</a><a href="/l/text.html">text</a><a href="/v/'), i, F.lit('.mp4">the same</a><meta name="twitter:player:stream" content="https://player.example.com/embed?id='), i, F.lit('">'))
+    tags = F.concat(F.lit('<VIDEO controls src="/v/'), i, F.lit('.mp4"></VIDEO><video src="blob:x"></video><a class="x" href="/l/'), i, F.lit('.webm">film</a><a href="/l/text.html">text</a><a href="/v/'), i, F.lit('.mp4">the same</a><!-- <video src="/no/1.mp4"></video> --><script>var s = "<video src=\'/no/2.mp4\'>";</script><picture><source src="/no/3.mp4"></picture><a title="a>b" href="/q/'), i, F.lit('.mp4">quoted</a><video src="/e/'), i, F.lit('.mp4?x=1&amp;y=2&copy=3"></video><Audio><SOURCE SRC=/s/'), i, F.lit('.mp3></Audio><source src="/no/4.mp4"><meta name="twitter:player:stream" content="https://player.example.com/embed?id='), i, F.lit('">'))
     return table(spark, sf_dir, "pages").select("page_id", "url", F.concat(F.coalesce("html", F.lit("")), tags).alias("html"))
 
 
@@ -150,17 +150,40 @@ ODD_MANIFESTS = [
     ("<html></html>", "Not a DASH manifest", 0, None, None, False),
     ('<!DOCTYPE a [<!ENTITY b "c">]><MPD/>', "DOCTYPE declarations are not supported", 0, None, None, False),
     ("<MPD>" + '<a x="1>2">' * 70 + "</a>" * 70 + "</MPD>", "XML is nested too deeply", 0, None, None, False),
-    (_rep('<SegmentTemplate media="$RepresentationID$_$Number%02d$$$.m4s" duration="2.5" timescale="1"/>', 'id="q&#65;&quot;&lt;" bandwidth="x"'), None, 4, 'qA"<_01$.m4s', None, False),
+    (_rep('<SegmentList duration="2"><SegmentURL media="a.m4s?x=1&y=2"/></SegmentList>'), None, 1, "a.m4s?x=1&y=2", None, False),
+    (_rep('<BaseURL>b&custom;&#47;&#x63;/</BaseURL><SegmentList duration="2"><SegmentURL media="d.m4s"/></SegmentList>'), None, 1, "b&custom;/c/d.m4s", None, False),
+    (_rep('<BaseURL><![CDATA[e&f/]]></BaseURL><SegmentList duration="2"><!-- > --><SegmentURL media="\u00e9 g.m4s"/></SegmentList>'), None, 1, "e&f/%C3%A9%20g.m4s", None, False),
+    (_rep('<x:SegmentList xmlns:x="urn:x" x:duration="2"><x:SegmentURL media=\'h"i>.m4s\'/></x:SegmentList>'), None, 1, "h%22i%3E.m4s", None, False),
+    ("<MPD/><MPD/>", "Malformed XML", 0, None, None, False),
+    ("<MPD><Period></Period>", "Malformed XML", 0, None, None, False),
+    ("<MPD><![CDATA[never closed</MPD>", "Malformed XML", 0, None, None, False),
+    ("text", "Malformed XML", 0, None, None, False),
+    ("<!DOCTYPE MPD><html/>", "Not a DASH manifest", 0, None, None, False),
+    (_rep('<SegmentTemplate media="$RepresentationID$_$Number%02d$$$.m4s" duration="2.5" timescale="1"/>', 'id="q&#65;&quot;&lt;" bandwidth="x"'), None, 4, "qA%22%3C_01$.m4s", None, False),
 ]
 
 
 def odd_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One odd manifest per part, in turn."""
-    texts = [t if t.startswith(("<MPD", "<html", "<!DOC")) else f"<MPD>{t}</MPD>" for t, *_ in ODD_MANIFESTS]
+    texts = [t if not t.startswith("<Period") else f"<MPD>{t}</MPD>" for t, *_ in ODD_MANIFESTS]
     i = F.col("p_partkey")
     return table(spark, sf_dir, "part").select(i.alias("manifest_id"), F.lit("https://dash.example.com/x/m.mpd").alias("url"), F.get(F.array(*[F.lit(t) for t in texts]), (i % len(texts)).cast("int")).alias("text"))
 
 
+#: What may stand in a playlist, and the scheme that fails it (none: it can be read).
+FOREIGN = [
+    ("#EXTINF:4,\nhttps://cdn.example.com/a.ts", None), ("#EXTINF:4,\nftp://h/a.ts", "ftp:"), ('#EXT-X-MAP:URI="data:,x"\n#EXTINF:4,\na.m4s', "data:"), ("#EXTINF:4,\nC:\\a.ts", "c:"), ('#EXT-X-KEY:METHOD=AES-128,URI="skd://k"\n#EXTINF:4,\na.ts', None),
+    ("#EXT-X-STREAM-INF:BANDWIDTH=1\nFILE:///v.m3u8", "file:"), ('#EXT-X-MEDIA:TYPE=AUDIO,GROUP-ID="a:b",URI="blob:x"\n#EXT-X-STREAM-INF:BANDWIDTH=1\nv.m3u8', "blob:"), ("#EXTINF:4,\na.ts?u=ftp://h", None), ('#EXT-X-MEDIA:TYPE=AUDIO,GROUP-ID="a:b",NAME="URI=x:y"\n#EXT-X-STREAM-INF:BANDWIDTH=1\nv.m3u8', None), ("#EXTINF:4,\na/b:c.ts", None),
+]
+
+
+def foreign_playlists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One playlist per order, in turn with one of FOREIGN."""
+    i = F.col("o_orderkey")
+    body = F.get(F.array(*[F.lit(t) for t, _ in FOREIGN]), (i % len(FOREIGN)).cast("int"))
+    return table(spark, sf_dir, "orders").select(i.alias("playlist_id"), F.lit("https://media.example.com/f/i.m3u8").alias("base_url"), F.concat(F.lit("#EXTM3U\n"), body).alias("text"))
+
+
 #: Time of tabs goes this many times faster than that of events.
 PACE = 3600
 

@@ -90,7 +90,7 @@ def test_formats(spark):
     labels = [(720, 1280, "avc1,mp4a.40.2", 59.94, 1_000_000, 0, "720p · 60fps · 1.0 Mbps"), (0, 0, "mp4a.40.2", 0.0, 64_000, 0, "Audio only · 64 kbps"), (0, 0, "", 0.0, 0, 0, "Default"), (360, 0, "", 30.0, 900_000, 800_400, "360p · 800 kbps")]
     assert evaluate(spark, T.variant_label(*[F.col(c) for c in "hwcfba"]), [r[:6] for r in labels], "h int, w int, c string, f double, b long, a long") == [r[6] for r in labels]
     templates = [("a$b c$Number$", "r", 3, 1, 1, "a$b c3"), ("$RepresentationID$/$Number%05d$-$Time$.$$.$Other$", "r1", 7, 100, None, "r1/00007-$Time$.$.$Other$"), ("$Number%02d$", "x", 12345, 1, 1, "12345")]
-    assert evaluate(spark, T.expand_template(*[F.col(c) for c in "tinbm"]), [r[:5] for r in templates], "t string, i string, n long, b long, m long") == [r[5] for r in templates]
+    assert evaluate(spark, F.array_join(T.expand_tokens(T.template_tokens(F.col("t")), RepresentationID=F.col("i"), Number=F.col("n"), Bandwidth=F.col("b"), Time=F.col("m")), ""), [r[:5] for r in templates], "t string, i string, n long, b long, m long") == [r[5] for r in templates]
 
 
 def parse(spark, text, base="https://h/p/i.m3u8"):
