@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from hashlib import blake2b
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -122,8 +123,8 @@ def kind(limit: int) -> type:
 
 
 def width(size: int, min_count: int, most: int = CELLS) -> int:
-    """Cells for texts of so many bytes, in which about half as many n-grams lie: a cell gets a tenth of `min_count` or so by chance, at any size below the bound."""
-    return min(most, 1 << max(14, int(size * 3 // min_count).bit_length()))
+    """Cells for texts of so many bytes, in which about half as many n-grams lie: a cell gets a fifth of `min_count` or so by chance, at any size below the bound."""
+    return min(most, 1 << max(14, int(size * 3 // (2 * min_count)).bit_length()))
 
 
 def survivors(docs: DataFrame, *, lang_col: str, text_col: str, longest: int, min_count: int, cells: int) -> tuple[np.ndarray, int]:
@@ -165,8 +166,13 @@ def survivors(docs: DataFrame, *, lang_col: str, text_col: str, longest: int, mi
 
 
 def counted(docs: DataFrame, bits: np.ndarray, log_cells: int, *, lang_col: str, text_col: str, longest: int) -> DataFrame:
-    """Occurrences of each surviving phrase by task: lang, size, phrase, n; and all words of a language as size 0."""
-    shared = docs.sparkSession.sparkContext.broadcast(bits)
+    """Occurrences of each surviving phrase: lang, size, phrase, n (to be summed); and all words of a language as size 0.
+
+    Each task sends what it counted in sorted, compressed parts, one for each language and bucket of phrases; parts of a bucket meet in one
+    task, which adds them up as they come and holds HELD phrases at most.
+    """
+    spark = docs.sparkSession
+    shared, buckets = spark.sparkContext.broadcast(bits), max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, held, totals = shared.value, {}, {}
@@ -179,10 +185,14 @@ def counted(docs: DataFrame, bits: np.ndarray, log_cells: int, *, lang_col: str,
             return out
 
         def told() -> pa.RecordBatch:
-            keys = list(held)
-            columns = [pa.array([lang for lang, _, _ in keys], pa.string()), pa.array([size for _, size, _ in keys], pa.int32()), pa.array([p for _, _, p in keys], pa.binary()).cast(pa.string()), pa.array(list(held.values()), pa.int64())]
+            parts: dict[tuple, list] = {}
+            for (lang, phrase), n in held.items():
+                parts.setdefault((lang, crc32(phrase) % buckets), []).append(b"%s\t%d" % (phrase, n))
             held.clear()
-            return pa.RecordBatch.from_arrays(columns, names=["lang", "size", "phrase", "n"])
+            texts = [b"\n".join(sorted(lines)) for lines in parts.values()]
+            codec = pa.Codec("zstd", 3)
+            columns = [pa.array([lang for lang, _ in parts], pa.string()), pa.array([k for _, k in parts], pa.int32()), pa.array(map(len, texts), pa.int64()), pa.array([codec.compress(t, asbytes=True) for t in texts], pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, names=["lang", "bucket", "size", "lines"])
 
         for grams in _parts(batches):
             names, raw = grams.names.tolist(), grams.text.tobytes()
@@ -194,14 +204,33 @@ def counted(docs: DataFrame, bits: np.ndarray, log_cells: int, *, lang_col: str,
                 if not ((lang == lang[first[of]]).all() and same_spans(grams.text, start, end, start[first[of]], end[first[of]]).all()):
                     first, seen = np.arange(len(at)), np.ones(len(at), np.int64)  # hashes of different phrases meet: each counts by its bytes
                 for a, b, c, n in zip(start[first].tolist(), end[first].tolist(), lang[first].tolist(), seen.tolist(), strict=True):
-                    key = (names[c], size, raw[a:b])
+                    key = (names[c], raw[a:b])
                     held[key] = held.get(key, 0) + n
             if len(held) >= HELD:
                 yield told()
-        held.update({(name, 0, b""): n for name, n in totals.items()})
+        held.update({(name, b""): n for name, n in totals.items()})
+        yield told()
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec, sums = pa.Codec("zstd", 3), {}
+
+        def told() -> pa.RecordBatch:
+            keys = list(sums)
+            columns = [pa.array([lang for lang, _ in keys], pa.string()), pa.array([p.count(b" ") + 1 if p else 0 for _, p in keys], pa.int32()), pa.array([p for _, p in keys], pa.binary()).cast(pa.string()), pa.array(list(sums.values()), pa.int64())]
+            sums.clear()
+            return pa.RecordBatch.from_arrays(columns, names=["lang", "size", "phrase", "n"])
+
+        for batch in batches:
+            for lang, _, size, lines in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                for line in codec.decompress(lines, size, asbytes=True).split(b"\n"):
+                    phrase, n = line.split(b"\t")
+                    sums[lang, phrase] = sums.get((lang, phrase), 0) + int(n)
+                if len(sums) >= HELD:
+                    yield told()
         yield told()
 
-    return docs.select(lang_col, text_col).mapInArrow(count, "lang string, size int, phrase string, n long")
+    sent = docs.select(lang_col, text_col).mapInArrow(count, "lang string, bucket int, size long, lines binary")
+    return sent.repartition("bucket").mapInArrow(add, "lang string, size int, phrase string, n long")
 
 
 def _few(df: DataFrame) -> DataFrame:
@@ -224,8 +253,8 @@ def collocations(docs: DataFrame, *, lang_col: str = "lang", text_col: str = "te
 
     First pass: sketches, which overestimate only, say which n-grams may be frequent. Second pass: those, and no others, are counted exactly, and
     the counts decide. The sketch has a cell for each so many bytes of text, up to `max_cells`; with more text more n-grams survive that aren't
-    frequent, which costs time but changes no result. Counts meet by phrase after partial sums in each task, so a common phrase is one
-    row a task; ranks come from one range sort, so a language of any size is spread over all tasks.
+    frequent, which costs time but changes no result. Counts meet by phrase after sums in each task, so a common phrase is one
+    line a task; ranks come from one range sort, so a language of any size is spread over all tasks.
     A null text is empty, a null language is `unknown`; equal rows count each; no rows give no rows; other columns are left out.
     """
     if longest < 2 or min_count < 1:
