@@ -72,8 +72,8 @@ class Texts:
         cuts = np.flatnonzero(self.data == 0x0A)
         starts = np.union1d(cuts + 1, self.bounds[:-1])
         starts = starts[starts < len(self.data)]
-        ends = np.append(starts[1:], len(self.data))
-        ends = ends - ((ends > starts) & (self.data[ends - 1] == 0x0A))
+        ends = np.append(starts[1:], len(self.data))[: len(starts)]
+        ends = ends - (self.data[ends - 1] == 0x0A)
         low, high = np.searchsorted(self.starts, starts), np.searchsorted(self.starts, ends)
         full = high > low
         starts, ends, low, high = starts[full], ends[full], low[full], high[full]
