@@ -9,16 +9,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelgrid.llm.arrays import ALNUM, LOWER, row_chunks, shingle_hashes, span_hashes, utf8, words
+from reelgrid.llm.arrays import ALNUM, LOWER, mix, row_chunks, shingle_hashes, span_hashes, span_ids, utf8, words
 
 #: Words of the shingles that windows are filtered by.
 SHINGLE = 3
-#: Bytes of benchmark text that one broadcast block may hold; a larger benchmark is joined block by block.
-BLOCK_BYTES = 32 << 20
+#: Windows, and bytes of text, of one broadcast block of the benchmark; a larger one is joined block by block. A window of ten words takes some 100 bytes beside its text.
+BLOCK_WINDOWS, BLOCK_BYTES = 1_000_000, 16 << 20
 
 
 class Windows:
-    """The windows of a bounded block of items, and the shingle by which each is looked for.
+    """The distinct windows of a bounded block of items, and the shingle by which each is looked for; all as arrays over one buffer of text.
 
     A window is a run of `size` words, or all words of a shorter item. Full containment asks for every shingle of a
     window, so its necessary prefix is one shingle: the rarest by the document frequencies in `rarity`.
@@ -26,48 +26,72 @@ class Windows:
 
     def __init__(self, items: list[tuple], size: int):
         self.items = [i for i, _ in items]
-        texts: dict[tuple[bytes, ...], set[int]] = {}
-        for k, (_, text) in enumerate(items):
-            data = LOWER[np.frombuffer((text or "").encode(), np.uint8)]
-            starts, ends, _ = words(data, np.array([0, len(data)]), ALNUM)
-            raw = data.tobytes()
-            own = [raw[s:e] for s, e in zip(starts, ends, strict=True)]
-            for s in range(max(1, len(own) - size + 1) if own else 0):
-                texts.setdefault(tuple(own[s : s + size]), set()).add(k)
-        self.windows = list(texts)
-        self.owners = [np.array(sorted(x)) for x in texts.values()]
-        self.lengths = np.array([len(w) for w in self.windows], np.int64)
-        flat = [w for x in self.windows for w in x]
-        data = np.frombuffer(b"".join(flat), np.uint8)
-        ends = np.cumsum([len(w) for w in flat]) if flat else np.zeros(0, np.int64)
-        starts = ends - [len(w) for w in flat] if flat else ends
-        hashes = span_hashes(data, starts, ends) if flat else np.zeros(0, np.uint64)
-        bounds = np.concatenate(([0], np.cumsum(self.lengths)))
-        self.shingles = [shingle_hashes(hashes[i:j], min(SHINGLE, j - i))[: j - i - min(SHINGLE, j - i) + 1] for i, j in zip(bounds[:-1], bounds[1:], strict=True)]
-        self.vocabulary = {n: np.unique(np.concatenate([s for s, w in zip(self.shingles, self.lengths, strict=True) if min(SHINGLE, w) == n])) for n in sorted({min(SHINGLE, int(w)) for w in self.lengths})}
+        texts = [(t or "").encode() for _, t in items]
+        bounds = np.concatenate(([0], np.cumsum([len(t) for t in texts]))).astype(np.int64)
+        self.data = LOWER[np.frombuffer(b"".join(texts), np.uint8)]
+        starts, ends, first = words(self.data, bounds, ALNUM)
+        self.hashes = span_hashes(self.data, starts, ends)
+        ids, _ = span_ids(self.data, starts, ends, self.hashes)
+        self.starts, self.ends = starts.astype(np.int32), ends.astype(np.int32)
+        many = np.diff(first)
+        counts = np.where(many > 0, np.maximum(1, many - size + 1), 0)
+        at = np.repeat(first[:-1], counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+        lengths = np.repeat(np.minimum(many, size), counts)
+        # Equal windows are one: found by a hash of their words' numbers and held against the first of their hash.
+        place = np.minimum(at[:, None] + np.arange(size), max(0, len(ids) - 1))
+        row = np.where(np.arange(size) < lengths[:, None], ids[place] if len(ids) else 0, -1).astype(np.int32)
+        key = np.zeros(len(at), np.uint64)
+        for c in range(size):
+            key = mix(key ^ row[:, c].astype(np.int64).astype(np.uint64))
+        _, kept, of = np.unique(key, return_index=True, return_inverse=True)
+        if not (row == row[kept[of]]).all():
+            _, kept, of = np.unique(row, axis=0, return_index=True, return_inverse=True)
+        self.at, self.lengths = at[kept], lengths[kept]
+        owner = np.unique(of.ravel().astype(np.int64) * max(1, len(items)) + np.repeat(np.arange(len(items)), counts))
+        self.owner_of, self.owners = np.searchsorted(owner // max(1, len(items)), np.arange(len(kept) + 1)), (owner % max(1, len(items))).astype(np.int32)
+        self.vocabulary = {}
+        for n in np.unique(np.minimum(SHINGLE, self.lengths)).tolist():
+            found = [s.ravel() for _, _, s in self._shingles(n)]
+            self.vocabulary[n] = np.unique(np.concatenate(found))
         self.prefix: dict[int, tuple] = {}
 
+    def __len__(self) -> int:
+        return len(self.at)
+
+    def _shingles(self, n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For each length of windows whose shingles have n words: the length, the windows, and a row of shingle hashes for each."""
+        every = shingle_hashes(self.hashes, n)
+        for length in np.unique(self.lengths[np.minimum(SHINGLE, self.lengths) == n]).tolist():
+            at = np.flatnonzero(self.lengths == length)
+            yield length, at, every[self.at[at][:, None] + np.arange(length - n + 1)]
+
     def order(self, rarity: dict[int, np.ndarray]) -> None:
         """Choose each window's prefix shingle; the windows are then sorted by it, with the shingle's place in the window."""
-        found: dict[int, list] = {}
-        for k, (s, w) in enumerate(zip(self.shingles, self.lengths, strict=True)):
-            n = min(SHINGLE, int(w))
-            counts = rarity[n][np.searchsorted(self.vocabulary[n], s)]
-            at = int(np.lexsort((s, counts))[0])
-            found.setdefault(n, []).append((int(s[at]), k, at))
-        for n, rows in found.items():
-            rows.sort()
-            self.prefix[n] = (np.array([r[0] for r in rows], np.uint64), np.array([r[1] for r in rows]), np.array([r[2] for r in rows]))
+        for n, table in self.vocabulary.items():
+            shingles, windows, places = [], [], []
+            for _, at, own in self._shingles(n):
+                seen = rarity[n][np.searchsorted(table, own)]
+                rare = np.where(seen == seen.min(axis=1, keepdims=True), own, np.uint64(2**64 - 1)).argmin(axis=1)
+                shingles.append(own[np.arange(len(at)), rare])
+                windows.append(at)
+                places.append(rare)
+            shingles, windows, places = (np.concatenate(x) for x in (shingles, windows, places))
+            by = np.lexsort((places, windows, shingles))
+            self.prefix[n] = (shingles[by], windows[by].astype(np.int32), places[by].astype(np.int32))
+
+    def words_of(self, k: int) -> list[bytes]:
+        at = range(self.at[k], self.at[k] + self.lengths[k])
+        return [self.data[self.starts[x] : self.ends[x]].tobytes() for x in at]
 
 
 def _shingled(column: pa.Array, sizes) -> Iterator[tuple]:
-    """For chunks of rows: first row, bytes, word spans, first word of each row, and shingle hashes by size."""
+    """For chunks of rows: first row, bytes, word spans, first word of each row, word hashes, and shingle hashes by size."""
     offsets, data = utf8(column)
     for i, j in row_chunks(offsets):
         part = LOWER[data[offsets[i] : offsets[j]]]
         starts, ends, first = words(part, offsets[i : j + 1] - offsets[i], ALNUM)
         hashes = span_hashes(part, starts, ends)
-        yield i, part, starts, ends, first, {n: shingle_hashes(hashes, n) for n in sizes}
+        yield i, part, starts, ends, first, hashes, {n: shingle_hashes(hashes, n) for n in sizes}
 
 
 def _members(table: np.ndarray, found: np.ndarray) -> np.ndarray:
@@ -97,8 +121,11 @@ def rarity(docs: DataFrame, block: Windows, text_col: str) -> dict[int, np.ndarr
 
     out = {n: np.zeros(len(t), np.int64) for n, t in block.vocabulary.items()}
     rows = docs.select(text_col).mapInArrow(count, "n int, k int, seen long").groupBy("n", "k").agg(F.sum("seen").alias("seen"))
-    for n, k, seen in rows.collect():  # one row per shingle of the block, whose size is bounded
-        out[n][k] = seen
+    found = rows.toArrow()  # 16 bytes for each shingle of the block, whose windows are bounded
+    size, at, seen = (found.column(c).to_numpy() for c in ("n", "k", "seen"))
+    for n, counts in out.items():
+        own = size == n
+        counts[at[own]] = seen[own]
     return out
 
 
@@ -113,24 +140,27 @@ def _hits(docs: DataFrame, block: Windows, id_col: str, text_col: str, keys: lis
             totals = np.zeros(batch.num_rows, np.int64)
             runs: list[list] = [[] for _ in range(batch.num_rows)]
             items: list[set] = [set() for _ in range(batch.num_rows)]
-            for row, data, starts, ends, first, shingles in _shingled(batch.column(1), windows.prefix):
+            for row, data, starts, ends, first, hashes, shingles in _shingled(batch.column(1), windows.prefix):
                 totals[row : row + len(first) - 1] = np.diff(first)
                 raw = None
                 for n, (table, ks, places) in windows.prefix.items():
                     at = _members(table, shingles[n])
                     low, high = np.searchsorted(table, shingles[n][at], "left"), np.searchsorted(table, shingles[n][at], "right")
                     doc = np.searchsorted(first, at, "right") - 1
-                    for p, d, lo, hi in zip(at, doc, low, high, strict=True):
-                        for c in range(lo, hi):
-                            k = ks[c]
-                            s = p - places[c]
-                            e = s + windows.lengths[k]
-                            if s < first[d] or e > first[d + 1]:  # the positional and length bounds
-                                continue
-                            raw = data.tobytes() if raw is None else raw
-                            if all(raw[starts[s + x] : ends[s + x]] == word for x, word in enumerate(windows.windows[k])):
-                                runs[row + d].append((int(s - first[d]), int(e - first[d])))
-                                items[row + d].update(windows.owners[k].tolist())
+                    c = np.repeat(low, high - low) + np.arange((high - low).sum()) - np.repeat(np.cumsum(high - low) - (high - low), high - low)
+                    k, d, s = ks[c], np.repeat(doc, high - low), np.repeat(at, high - low) - places[c]
+                    inside = (s >= first[d]) & (s + windows.lengths[k] <= first[d + 1])  # the positional and length bounds
+                    k, d, s = k[inside], d[inside], s[inside]
+                    for x in range(int(windows.lengths[k].max()) if len(k) else 0):  # word by word: first by hash, for all that are left
+                        open_ = windows.lengths[k] > x
+                        same = ~open_
+                        same[open_] = hashes[s[open_] + x] == windows.hashes[windows.at[k[open_]] + x]
+                        k, d, s = k[same], d[same], s[same]
+                    for w, r, p in zip(k.tolist(), d.tolist(), s.tolist(), strict=True):
+                        raw = data.tobytes() if raw is None else raw
+                        if all(raw[starts[p + x] : ends[p + x]] == word for x, word in enumerate(windows.words_of(w))):
+                            runs[row + r].append((int(p - first[r]), int(p - first[r] + windows.lengths[w])))
+                            items[row + r].update(windows.owners[windows.owner_of[w] : windows.owner_of[w + 1]].tolist())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *batch.columns[2:], pa.array(totals), pa.array([merged(r) for r in runs], pa.list_(pa.list_(pa.int64()))), pa.array([sorted(x) for x in items], pa.list_(pa.int32()))],
                 names=[id_col, *keys, "n_words", "runs", "items"],
@@ -149,29 +179,32 @@ def merged(runs: list[tuple[int, int]]) -> list[list[int]]:
     return out
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_windows: int = BLOCK_WINDOWS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per document: id, n_words, n_hit, hit_runs, item_ids (sorted strings), n_items, contaminated.
 
     A document word inside any occurrence of a benchmark window is hit. Each window is sought by its rarest shingle
     (its necessary prefix), bounded by the shingle's place in the window and the document's length, and then verified word by word.
-    The benchmark's size is measured; a block of at most `block_bytes` of its text is broadcast, and a larger one is joined block by block against
-    all documents, whose results meet by hashes of id and text (128 bits). Documents are never shuffled for a benchmark of one block.
+    The benchmark's windows are counted; a block of about `block_windows` windows and `block_bytes` of text is broadcast (some 100 MB), and a larger
+    benchmark is joined block by block against all documents, whose results meet by hashes of id and text (128 bits). Documents are never shuffled for a benchmark of one block.
     Null or wordless texts have no words and no hits; null or wordless items no windows; an empty benchmark hits
     nothing; equal items are each reported; rows that repeat an id, or have none, are rows of their own, however many blocks there are.
     """
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_col).cast("string").alias("i"), F.coalesce(F.col(item_text_col), F.lit("")).alias("t"))
-    total = items.agg(F.sum(F.octet_length("t") + F.lit(16)).alias("n")).first()["n"] or 0
-    blocks = max(1, -(-2 * total // block_bytes))
+    n_words = F.regexp_count("t", F.lit("[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"))
+    total = items.agg(F.sum(F.greatest(n_words - window + 1, F.lit(1))).alias("windows"), F.sum(F.octet_length("t")).alias("bytes")).first()
+    # Blocks are dealt by hash: twice as many as would do if they were even.
+    full = max((total["windows"] or 0) / block_windows, (total["bytes"] or 0) / block_bytes)
+    blocks = 1 if full <= 1 else int(np.ceil(2 * full))
     # Rows meet again by id and two hashes of id and text; whole repeats have equal results and are counted.
     keys = ["_k1", "_k2"] if blocks > 1 else []
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = docs.select(id_col, text_col, *[h.alias(k) for k, h in zip(keys, (F.xxhash64(F.col(id_col), text), F.xxhash64(text, F.lit(1), F.col(id_col))), strict=False)])
     parts = []
-    for b in range(int(blocks)):
-        rows = items if blocks == 1 else items.where(F.pmod(F.xxhash64("i", "t"), F.lit(int(blocks))) == b)
-        block = Windows([tuple(r) for r in rows.orderBy("i", "t").collect()], window)  # at most about block_bytes
-        block.order(rarity(docs, block, text_col) if block.windows else {})
+    for b in range(blocks):
+        rows = items if blocks == 1 else items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b)
+        block = Windows([tuple(r) for r in rows.orderBy("i", "t").collect()], window)  # about block_bytes
+        block.order(rarity(docs, block, text_col) if len(block) else {})
         names = spark.sparkContext.broadcast(block.items)
         found = _hits(keyed, block, id_col, text_col, keys)
 
