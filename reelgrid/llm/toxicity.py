@@ -139,7 +139,7 @@ def train(data: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, share:
 def fit(labelled: DataFrame, *, id_col: str, text_col: str, label_col: str, fit_rows: int = FIT_ROWS, texts: DataFrame | None = None) -> Model:
     """Train on at most `fit_rows` rows of each label: those with the smallest hash of the id, whole texts.
 
-    Tasks turn texts into subword bags; only the bags of the chosen rows come to the driver. Rows are weighted back to the
+    Tasks turn texts into subword bags; of rows that repeat a chosen id those with the smallest hash of the text count, and only the bags of `fit_rows` rows a label come to the driver. Rows are weighted back to the
     labels' shares among all labelled rows. Without rows of both labels, the score is the labels' share.
     The ids are chosen on narrow columns and broadcast (`fit_rows` of each label at most), so that no text is shuffled; `texts`
     gives the texts by id where `labelled` has none.
@@ -155,15 +155,17 @@ def fit(labelled: DataFrame, *, id_col: str, text_col: str, label_col: str, fit_
         sample = labelled.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"), F.col(text_col).alias("text")).join(chosen, ["id", "y"], "left_semi")
     else:
         sample = texts.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(chosen, "id")
-    sample = sample.select("id", "y", "text")
+    sample = sample.select("id", "y", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"))
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = bags(batch.column(2).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([i.tobytes() for i, _ in found], pa.binary()), pa.array([w.astype(np.float16).tobytes() for _, w in found], pa.binary())], names=["id", "y", "ids", "weights"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array([i.tobytes() for i, _ in found], pa.binary()), pa.array([w.astype(np.float16).tobytes() for _, w in found], pa.binary())], names=["id", "y", "h", "ids", "weights"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    found = sample.mapInArrow(gather, f"id {kind}, y int, ids binary, weights binary").orderBy("id").collect()
+    bagged = written(sample.mapInArrow(gather, f"id {kind}, y int, h long, ids binary, weights binary"), "bags")
+    parts = [bagged.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id", "h").limit(fit_rows) for y in (0, 1)]  # rows, not ids: an id may repeat
+    found = parts[0].unionByName(parts[1]).orderBy("id", "y", "h").collect()
     labels = np.array([r["y"] for r in found], np.float64)
     n = np.array([max(1, int((labels == y).sum())) for y in (0, 1)])
     total = sum(shares.values()) or 1
