@@ -36,7 +36,7 @@ def dedup_lines(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     Lines are cut at line feeds and compared as sequences of words. Lines are near if their word edit distance (insert, delete, replace) is 0, or
     1 where the longer has `min_words` words or more. A line is dropped if an earlier line, by (id, line_no), is near it; first_id and
     first_line name the earliest such line, or the line itself where it is kept. Null, empty and blank lines give no row; a null id
-    comes first; rows that repeat an id hold lines of equal rank, of which one is kept.
+    comes first. Rows that repeat an id hold lines of one rank, of which none is earlier: equal or near ones among them are all kept, if no line of an earlier rank is near.
 
     Equal lines are one class, represented by its earliest line, before anything is compared. Of the classes, those that share a
     half with another (at the places where one edit must leave a half whole) go on; the others are near no line. Those emit every variant

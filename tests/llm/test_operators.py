@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from reelgrid.llm import components, decontam, exact, jaccard, langid, licenses, lines, packing, suffix, toxicity, warc
+from reelgrid.llm import components, decontam, exact, jaccard, langid, licenses, lines, packing, phrases, quality, runs, suffix, toxicity, warc
 from reelgrid.llm.queries import ORACLE_SQL, QUERIES
 from reelgrid.session import shared_dir
 
@@ -657,3 +657,276 @@ def test_query_columns(spark, sf):
     for name, columns in want.items():
         assert columns <= set(QUERIES[name](spark, sf).columns)
     assert set(ORACLE_SQL) <= set(QUERIES)
+
+
+# quality rules
+
+
+def brute_quality(text):
+    t = text or ""
+    w = re.findall("[^\x20\x09-\x0d]+", t)
+    lines = [x for x in t.split("\n") if re.search("[^\x20\x09-\x0d]", x)]
+    windows = [tuple(w[k : k + 3]) for k in range(len(w) - 2)]
+    seen = Counter(windows)
+    covered = {k + d for k, x in enumerate(windows) if seen[x] > 1 for d in range(3)}
+    n, chars, symbols, dup, repeat = len(w), sum(map(len, w)), sum(map(t.count, "#*$%&|<>")), len(lines) - len(set(lines)), len(covered)
+    base = n < 50 or 100 * repeat > 50 * n
+    lettered = sum(bool(re.search("[A-Za-z\x80-\U0010ffff]", x)) for x in w)
+    bullets = sum(bool(re.match("[\x20\x09-\x0d]*[-*•]", x)) for x in lines)
+    dots = sum(bool(re.search("(\\.\\.\\.|…)[\x20\x09-\x0d]*$", x)) for x in lines)
+    top = max(Counter(w).values(), default=0)
+    bad = 10 * symbols > n or chars < 3 * n or chars > 10 * n or 100 * lettered < 80 * n or 100 * dup > 50 * len(lines) or 100 * bullets > 90 * len(lines) or 100 * dots > 30 * len(lines) or 100 * top > 30 * n
+    return n, chars, symbols, dup, repeat, base, not (base or bad)
+
+
+@pytest.fixture(scope="module")
+def judged(spark, odd):
+    """Texts that each rule rejects, and texts at its bound."""
+    plain = [f"wort{k}" for k in range(60)]
+    say = lambda words, by=" ": by.join(words)
+    texts = [
+        say(plain), say(plain[:50]), say(plain[:49]), say(plain) + " ####", say(plain) + " #######", say([f"a{k}" for k in range(60)]), say([f"abcdefghijk{k:02}" for k in range(60)]), say([str(1000 + k) for k in range(15)] + plain[:45]),
+        say(["one line"] * 40 + plain, "\n"), say(["- " + x for x in plain], "\n"), say(["-" + x for x in plain], "\n"), say(["• " + x for x in plain[:50]] + plain[50:54], "\n"), say([x + "..." for x in plain[:40]] + plain[40:], "\n"), say([x + "…\t" for x in plain], "\n"),
+        say(["x"] * 30 + plain), say(plain + plain), say(plain[:30] * 2 + plain), "\n" * 90, say(["ü" * 9, "日本"] * 2 + plain), say(plain, "\x0b"), say(plain) + "\n" + say(plain[:20]) + "\n\n" + say(plain[:20]) + "\n" + say(plain[:20]) + " ",
+    ]
+    rows = [(100 + k, t) for k, t in enumerate(texts)]
+    return odd.select("doc_id", "text", "h").unionByName(spark.createDataFrame(rows, "doc_id long, text string"), allowMissingColumns=True)
+
+
+def test_quality(docs, judged):
+    for df in (judged, docs, judged.limit(0)):
+        got = Counter(tuple(r)[:8] for r in quality.judge(df).drop("failed_rule").collect())
+        assert got == Counter((i, *brute_quality(t)) for i, t in texts(df))
+    rejected = {r["failed_rule"] for r in quality.judge(judged).collect()}
+    assert rejected >= {None, "few_words", "repeated_windows", "symbols", "word_length", "letters", "bullets", "ellipses", "one_word"}
+
+
+def test_quality_order(spark, judged):
+    """The order follows from rejections per cost among what is left; no order changes what is kept, and rules see only what passed those before."""
+    slow = quality.Rule("slow", lambda t: (sum(range(200_000)) < 0) | (t.n_words < 60))
+    rules = [slow, quality.Rule("quick", lambda t: t.n_words < 60), quality.Rule("never", lambda t: t.n_words < 0)]
+    found = quality.estimate(judged, rules)
+    assert [e.name for e in found][0] == "quick" and {e.name: e.rejected for e in found}["slow"] == 0 and found[0].worth > 0
+    kept = [quality.judge(judged, quality.RULES, order=order).select("doc_id", "kept").orderBy("doc_id").collect() for order in ([r.name for r in quality.RULES], [r.name for r in quality.RULES][::-1])]
+    assert kept[0] == kept[1]
+    with pytest.raises(ValueError):
+        quality.judge(judged, order=["symbols"])
+    assert [e.name for e in quality.estimate(judged.limit(0))] == [r.name for r in quality.RULES]
+    assert len(quality.estimate(judged, sample_rows=5)) == len(quality.RULES)
+
+
+# periodic runs
+
+
+def brute_runs(w, times, least):
+    found = {}
+    for p in range(1, len(w) // times + 1):
+        k = 0
+        while k + p < len(w):
+            start = k
+            while k + p < len(w) and w[k] == w[k + p]:
+                k += 1
+            if (size := k - start + p) >= max(least, times * p) and k > start:
+                found.setdefault((start, size), p)
+            k += 1
+    return sorted(((s, n, p) for (s, n), p in found.items()), key=lambda r: (r[0], r[2]))
+
+
+def brute_collapsed(w, runs):
+    gone = {k for s, n, p in runs for k in range(s + p, s + n)}
+    return " ".join(x for k, x in enumerate(w) if k not in gone)
+
+
+@pytest.mark.parametrize("times,least", [(4, 6), (3, 3), (5, 1), (4, 10)])
+def test_find_runs(times, least):
+    rng = np.random.default_rng(times * 100 + least)
+    for _ in range(300):
+        words_ = []
+        for _ in range(int(rng.integers(1, 6))):
+            w = rng.integers(0, rng.choice([1, 2, 3, 9]), int(rng.integers(0, 80)))
+            if len(w) > 9 and rng.random() < 0.5:
+                s, p = int(rng.integers(0, len(w))), int(rng.integers(1, 7))
+                for i in range(s + p, len(w)):
+                    w[i] = w[i - p]
+            words_.append(w.astype(np.int64))
+        for w, found in zip(words_, runs.find_runs(words_, times=times, least=least), strict=True):
+            assert [tuple(r) for r in found.tolist()] == brute_runs(w.tolist(), times, least)
+
+
+def test_extensions():
+    rng = np.random.default_rng(5)
+    for values in (rng.integers(0, 2, 90), np.zeros(64, int), np.arange(40), np.tile(rng.integers(0, 5, 7), 9)):
+        e, n = runs.Extensions(values), len(values)
+        i, j = (x.ravel() for x in np.meshgrid(np.arange(n), np.arange(n)))
+        i, j = i[i != j], j[i != j]
+        for a, b, got in zip(i, j, e.lce(i, j), strict=True):
+            want = next((k for k in range(n - max(a, b)) if values[a + k] != values[b + k]), n - max(a, b))
+            assert got == want
+
+
+def test_periodic_runs(spark, docs, odd):
+    more = [(200, "a b " * 50), (201, "x " * 7), (202, "x " * 5), (203, "p q r s p q r s p q r s p q r s t"), (204, "z\n" * 12 + " ".join(f"w{k}" for k in range(30)) + " é" * 9), (205, " ".join(["u", "v"] * 6 + ["u", "u"] * 4)), (206, LONG + " " + " ".join(["k l m"] * 40)), (None, "n " * 9)]
+    df = odd.select("doc_id", "text", "norm").unionByName(spark.createDataFrame(more, "doc_id long, text string"), allowMissingColumns=True)
+    for rows in (df, docs, df.limit(0)):
+        want = Counter()
+        for i, t in texts(rows):
+            w = re.findall("[^\x20\x09-\x0d]+", t or "")
+            r = brute_runs(w, 4, 6)
+            best = min(r, key=lambda x: (-x[1] / x[2], x[0], x[2]), default=None)
+            want[i, len(w), tuple(r), best, brute_collapsed(w, r)] += 1
+        got = Counter((r["doc_id"], r["n_words"], tuple(tuple(x) for x in r["runs"]), r["best"] and tuple(r["best"]), r["collapsed"]) for r in runs.periodic_runs(rows).collect())
+        assert got == want
+    assert all(r["n_runs"] == len(r["runs"]) for r in runs.periodic_runs(df).collect())
+
+
+def test_strongest():
+    assert runs.strongest(np.zeros((0, 3), int)) is None
+    assert runs.strongest(np.array([[0, 12, 3], [5, 8, 2], [9, 40, 10]])) == (0, 12, 3)
+    big = 3 * 10**15
+    assert runs.strongest(np.array([[0, big, 10**15], [1, big + 1, 10**15]])) == (1, big + 1, 10**15)
+
+
+# phrases
+
+
+def brute_phrases(rows, longest, least, top, subsume):
+    counts = defaultdict(Counter)
+    for lang, t in rows:
+        low = (t or "").translate({c: c + 32 for c in range(65, 91)})
+        for piece in re.split("[.,;:!?\n\x0b\x0c\r]", low):
+            w = re.findall("[^ \t]+", piece)
+            for k in range(1, longest + 1):
+                counts["und" if lang is None else lang].update(tuple(w[s : s + k]) for s in range(len(w) - k + 1))
+    out = []
+    for lang, f in counts.items():
+        n = sum(v for k, v in f.items() if len(k) == 1)
+        frequent = {p: a for p, a in f.items() if len(p) > 1 and a >= least}
+        scored = []
+        for p, a in frequent.items():
+            if any(len(q) > len(p) and 100 * b >= subsume * a and any(q[s : s + len(p)] == p for s in range(len(q) - len(p) + 1)) for q, b in frequent.items()):
+                continue
+            low, k = min((1000 * a * n // (f[p[:k]] * f[p[k:]]), k) for k in range(1, len(p)))
+            scored.append((-low, -a, " ".join(p).encode(), f[p[:k]], f[p[k:]]))
+        out += [(lang, rank, p.decode(), -a, left, right, n, -low) for rank, (low, a, p, left, right) in enumerate(sorted(scored)[:top], 1)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("longest,least,top,subsume,cells", [(5, 3, 2000, 100, 1 << 26), (5, 3, 7, 100, 1 << 14), (3, 2, 50, 60, 1 << 14), (2, 5, 2000, 100, 1 << 26)])
+def test_phrases(spark, docs, odd, longest, least, top, subsume, cells, monkeypatch):
+    monkeypatch.setattr(phrases, "HELD", 50)
+    df = odd.select("doc_id", "text", "lang").unionByName(docs.select("doc_id", "text", "lang").limit(60))
+    for rows in (df, df.limit(0)):
+        got = phrases.collocations(rows.withColumn("n", F.lit(1)).withColumn("phrase", F.lit("x")), longest=longest, min_count=least, top=top, subsume=subsume, max_cells=cells)
+        assert sorted(map(tuple, got.collect())) == brute_phrases([(r["lang"], r["text"]) for r in rows.select("lang", "text").collect()], longest, least, top, subsume)
+
+
+def test_phrases_odd(spark):
+    """Cases of letters, blanks and pieces, a word as long as a page, phrases that repeat within themselves, and a hot language."""
+    rows = [("a", "Big  RED\tdog. big red dog;big red dog big red dog"), ("a", "x x x x x x"), (None, "big red\x0bbig red"), ("", "é ü é ü!é ü"), ("a", "w" * 3000 + " y " + "w" * 3000 + " y"), *[("hot", "one two three")] * 40]
+    df = spark.createDataFrame(rows, "lang string, text string")
+    got = phrases.collocations(df, min_count=2)
+    assert sorted(map(tuple, got.collect())) == brute_phrases(rows, 5, 2, 2000, 100)
+
+
+def test_sketch():
+    """Counts stop at the limit, alone and in sums, and are never too low before it."""
+    rng = np.random.default_rng(1)
+    hashes = rng.integers(0, 2**64, 5000, np.uint64)
+    drawn = hashes[rng.zipf(1.3, 60_000) % 5000]
+    for limit, kind in ((100, np.uint8), (300, np.uint16)):
+        sketch = phrases.Sketch(1 << 14, limit)
+        assert sketch.table.dtype == kind
+        for part in np.array_split(drawn, 7):
+            sketch.add(part)
+            sketch.settle()
+        values, seen = np.unique(drawn, return_counts=True)
+        for row in range(phrases.ROWS):
+            told = sketch.table[row, phrases.Sketch.cells(values, row, 14)]
+            assert (told >= np.minimum(seen, limit)).all() and told.max() == limit
+
+
+# long words
+
+
+def test_long_words(spark):
+    """Words that a polynomial modulo a power of two cannot tell apart, through the hashes of the near-duplicate join, decontamination and packing."""
+    from tokenizers import Tokenizer
+
+    from reelgrid.llm.arrays import same_spans, span_hashes, span_ids
+
+    def pair(n):
+        word = "a"
+        while len(word) < n:
+            word += word.translate(str.maketrans("ab", "ba"))
+        return word, word.translate(str.maketrans("ab", "ba"))
+
+    rows, k = [], 0
+    for n in (1024, 2048, 4096):
+        for word in pair(n):
+            rows.append((k, word))
+            k += 1
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["component_id"] for r in jaccard.near_duplicates(df, shingle=3, num=90, den=100).collect()} == set(range(k))
+    bench = spark.createDataFrame([("one", rows[2][1])], "item_id string, text string")
+    assert [r["doc_id"] for r in decontam.decontaminate(df, bench).where("contaminated").collect()] == [2]
+    plain = Tokenizer.from_file(tokenizer())
+    packed = packing.pack(df, tokenizer(), with_ids=True).collect()
+    ids = defaultdict(list)
+    for r in sorted(packed, key=lambda r: (r["doc_id"], r["start"])):
+        ids[r["doc_id"]] += r["ids"]
+    assert dict(ids) == {i: plain.encode(t, add_special_tokens=False).ids + [1] for i, t in rows}
+    data = np.frombuffer(b"abc abd abc abcabc" + b"x" * 70 + b" " + b"x" * 69 + b"y", np.uint8)
+    starts, ends = np.array([0, 4, 8, 12, 18, 89]), np.array([3, 7, 11, 18, 88, 159])
+    assert span_ids(data, starts, ends)[0].tolist() == span_ids(data, starts, ends, np.zeros(6, np.uint64))[0].tolist() or len(set(span_ids(data, starts, ends)[0])) == 5
+    clashing, places = span_ids(data, starts, ends, np.zeros(6, np.uint64))
+    assert clashing.tolist() == [0, 1, 0, 2, 3, 4] and places.tolist() == [0, 1, 3, 4, 5]
+    assert same_spans(data, starts, ends, starts[[2, 0, 0, 3, 5, 5]], ends[[2, 0, 0, 3, 5, 5]]).tolist() == [True, False, True, True, False, True]
+    assert len(set(span_hashes(data, starts, ends).tolist())) == 5
+
+
+def test_windows_size():
+    """A block's windows take some hundred bytes each, and equal windows of several items are one."""
+    import pickle
+
+    rng = np.random.default_rng(2)
+    items = [(str(k), " ".join(f"w{x}" for x in rng.integers(0, 5000, 200))) for k in range(500)] + [("again", None)]
+    items.append(("same", items[3][1]))
+    block = decontam.Windows(items, 10)
+    block.order({n: np.zeros(len(v), np.int64) for n, v in block.vocabulary.items()})
+    assert len(block) == 500 * 191 and len(pickle.dumps(block)) < 100 * len(block)
+    assert sorted(block.items[i] for i in block.owners[block.owner_of[0] : block.owner_of[1]]) in [[str(k)] for k in range(500)] + [["3", "same"]]
+    assert sum(np.diff(block.owner_of) == 2) == 191
+
+
+def test_toxicity_rows(spark):
+    """The bound of a fit is one of rows, also where one id has them all."""
+    rows = spark.range(400).select(F.lit(7).alias("id"), (F.col("id") % 2).cast("int").alias("y"), F.concat(F.lit("text "), F.col("id")).alias("text"))
+    taken = []
+    original = toxicity.train
+    toxicity.train = lambda data, labels, share, **k: taken.append(len(data)) or original(data, labels, share, **k)
+    try:
+        toxicity.fit(rows, id_col="id", text_col="text", label_col="y", fit_rows=20)
+    finally:
+        toxicity.train = original
+    assert taken == [40]
+
+
+def test_new_queries(spark, sf, docs):
+    """The thin queries give their contracts' columns, whole tables, and the digests of what the operators give."""
+    found = QUERIES["op12_periodic_runs"](spark, sf)
+    assert found.columns == ["doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256"]
+    want = {}
+    for i, t in texts(docs):
+        w, h = re.findall("[^\x20\x09-\x0d]+", t or ""), zlib.crc32(str(i).encode())
+        if h % 10 == 0 and w:
+            g = h // 10
+            a = g % len(w)
+            p = 1 + (len(w) - a) // (3 + g % 8)
+            w = [x if k < a else w[a + (k - a) % p] for k, x in enumerate(w)]
+        r = brute_runs(w, 4, 6)
+        best = min(r, key=lambda x: (-x[1] / x[2], x[0], x[2]), default=(None,) * 3)
+        digest = lambda x: hashlib.sha256(x.encode()).hexdigest()
+        want[i] = (len(r), *best, 1000 * best[1] // best[2] if r else None, digest("".join(f"{s},{n},{q}\n" for s, n, q in r)), digest(brute_collapsed(w, r)))
+    assert {r[0]: tuple(r)[1:] for r in found.collect()} == want
+    assert QUERIES["op11_quality_rules"](spark, sf).columns == ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    assert QUERIES["op13_phrases"](spark, sf).columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
