@@ -69,6 +69,7 @@ SAYS = {
     "elements": "XML has too many elements",
     "playlist_large": "Playlist is too large",
     "playlist": "Not an HLS playlist",
+    "refused_before": "This site refused Chrome's own downloader earlier, so the built-in downloader is used (it sends the page's Referer and cookies).",
     "playlist_scheme": "Unsupported URL scheme in playlist: {scheme}",
     "method": "Unsupported encryption method {method}.",
     "no_key": "Encrypted stream without a usable key URI.",
