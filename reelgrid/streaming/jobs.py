@@ -77,7 +77,7 @@ def job_store(asks: DataFrame, minutes: float = K.JOB_MINUTES) -> DataFrame:
     """Answers to what is asked of a stream (columns of ASK): a row for each `find` of a job that was opened and hasn't outlived its time.
 
     The time is the state's own time to live, by the clock: jobs that nobody asks for vanish as well. Opening a job again changes nothing.
-    Needs the RocksDB state store.
+    Needs the RocksDB state store, and a trigger by time: with state that expires by the clock, a query never runs out of batches.
     """
     names = [c.split()[0] for c in ASK.split(", ")]
     return asks.select(*names).groupBy("job_id").transformWithStateInPandas(statefulProcessor=_store(int(minutes * 60_000)), outputStructType=JOB, outputMode="Update", timeMode="ProcessingTime")

@@ -245,7 +245,7 @@ def test_stream_equals_batch(spark, sf, tmp_path):
     closed = spark.createDataFrame([(3, 10**9, "closed")], "tab_id long, event_id long, what string").withColumn("seen", F.lit("2024-01-20").cast("timestamp"))
     rows.unionByName(closed, allowMissingColumns=True).repartition(3, F.rand(7)).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    q = tab_items(stream, 1000, delay="60 days").writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).foreachBatch(lambda df, n: df.withColumn("batch", F.lit(n)).write.mode("append").parquet(str(tmp_path / "out"))).start()
+    q = tab_items(stream, delay="60 days").writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).foreachBatch(lambda df, n: df.withColumn("batch", F.lit(n)).write.mode("append").parquet(str(tmp_path / "out"))).start()
     assert q.awaitTermination(180)
     last = spark.read.parquet(str(tmp_path / "out")).groupBy("tab_id", "key").agg(F.max_by(F.struct("gone", "kind", "mime", "size", "url", "sightings"), "batch").alias("x")).select("tab_id", "key", "x.*").where("not gone and tab_id <> 3")
     want = observe.upsert(found.where("tab_id <> 3"))
@@ -270,3 +270,170 @@ def test_page_media(spark):
     assert sorted(map(tuple, observe.page_media(pages, entries).collect())) == [
         (1, "https://h/v/a.mp4", "element", 0), (1, "https://h/v/a.mp4#t", "link", 2), (1, "https://h/v/b.webm", "timing", 1), (1, "https://h/v/e/player", "meta", 3), (2, "https://cdn/x.mpd?y", "timing", 0),
     ]
+
+
+# state machine of a tab
+
+
+def tab_frame(spark, rows):
+    """Rows of the tab machine: (seconds, event, what, key, rest as a dict)."""
+    import datetime
+
+    from reelgrid.streaming import tabs
+
+    names = [c.split()[0] for c in tabs.ROW.split(", ")]
+    start = datetime.datetime(2024, 1, 1)
+    full = [{"tab_id": 1, "seen": start + datetime.timedelta(seconds=s), "event_id": e, "what": w, "key": k, "kind": "file", "via": "media", "fetchable": True, "url": f"u{e}", "size": 1, "mime": "", **rest} for s, e, w, k, rest in rows]
+    return spark.createDataFrame([tuple(r.get(n) for n in names) for r in full], tabs.ROW)
+
+
+def test_tab_rules(spark):
+    """Eviction by hidden, file and age; what is evicted may come again; the probe budget; rejected keys; retries; late showing; navigation and closing."""
+    from reelgrid.streaming import tabs
+
+    rows = [(k, k, "item", f"s{k}", {"kind": "hls"}) for k in range(38)] + [(38, 38, "item", "f1", {}), (39, 39, "item", "f2", {})]
+    rows += [(50, 50, "manifest", "s0", {"children": ["f2", "s5"]}), (51, 51, "item", "new1", {}), (52, 52, "item", "new2", {}), (53, 53, "item", "new3", {}), (54, 54, "item", "s5", {"kind": "hls"})]
+    got = tabs.replayed(tab_frame(spark, rows)).orderBy("n").collect()
+    assert [r["key"] for r in got if r["effect"] == "folded"] == ["s5", "f2"]
+    assert [r["key"] for r in got if r["effect"] == "evicted"] == ["s5", "f2", "f1", "s5"]  # the one that comes again is folded, and so goes first
+    rows = [(k, k, "item", f"p{k}", {"via": "other"}) for k in range(32)] + [(33, 90, "item", "q", {"size": None}), (34, 91, "probe", "p1", {"reject": True}), (35, 92, "item", "p1", {}), (36, 93, "probe", "p2", {"size": 7, "mime": "video/x"}), (200, 94, "item", "z", {})]
+    got = tabs.replayed(tab_frame(spark, rows)).orderBy("n").collect()
+    asks = {r["event_id"]: r["asks"] for r in got if r["effect"] == "listed"}
+    assert [asks[k] for k in range(30)] == ["probe"] * 30 and asks[90] is None
+    assert [r["event_id"] for r in got if r["effect"] == "passed_over"] == [30, 31]
+    assert [(r["effect"], r["key"]) for r in got if r["event_id"] in (91, 92)] == [("rejected", "p1"), ("refused", "p1")]
+    shown = [r for r in got if r["effect"] == "shown"]
+    # Probes that came before twenty seconds were over would have kept an item back; these came after it was shown.
+    assert [r["key"] for r in shown] == [f"p{k}" for k in range(30)] and shown[3]["at"].second == 23
+    dash = {"kind": "dash"}
+    rows = [(0, 0, "item", "d", dash), (1, 1, "manifest", "d", {"error": "HTTP 500"}), (5, 2, "item", "d", dash), (12, 3, "item", "d", dash), (13, 4, "manifest", "d", {"children": []}), (40, 5, "item", "d", dash), (41, 6, "navigating", None, {}), (42, 7, "item", "e", {}), (43, 8, "navigation", None, {}), (44, 9, "closed", None, {}), (45, 10, "item", "g", {})]
+    got = tabs.replayed(tab_frame(spark, rows)).orderBy("n").collect()
+    assert [(r["effect"], r["key"], r["asks"]) for r in got] == [("listed", "d", "read"), ("failed", "d", None), ("again", "d", None), ("again", "d", "read"), ("read", "d", None), ("again", "d", None), ("listed", "e", None), ("cleared", "d", None), ("closed", "e", None)]
+    assert [r["url"] for r in got if r["key"] == "d"] == ["u0", "u0", "u0", "u0", "u0", "u0", "u0"]
+
+
+def test_tab_stream_order(spark, tmp_path):
+    """Rows that arrive out of order, over several batches, give what the ordered replay gives."""
+    from reelgrid.queries import ran
+    from reelgrid.streaming import tabs
+
+    rows = [(3 * k, k, "item", f"k{k % 9}", {"via": "other", "size": None}) for k in range(60)] + [(3 * k + 4, 100 + k, "probe", f"k{k % 9}", {"reject": k % 4 == 0}) for k in range(60)] + [(500, 900, "item", "last", {})]
+    frame = tab_frame(spark, rows)
+    parts = [[r for r in frame.collect() if (2 if r["event_id"] == 900 else (r["event_id"] * 7 + r["event_id"] // 30) % 3) == k] for k in range(3)]
+    for k, part in enumerate(parts):
+        spark.createDataFrame(part, tabs.ROW).coalesce(1).write.parquet(f"{tmp_path}/{k}")
+    stream = spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/*").withWatermark("seen", "20 minutes")
+    got = ran(spark, tabs.tab_effects(stream), "append").orderBy("n").collect()
+    assert got == []  # the watermark has passed nothing yet
+    stream = spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/*").withWatermark("seen", "250 seconds")
+    got = [tuple(r)[1:-1] for r in ran(spark, tabs.tab_effects(stream), "append").orderBy("n").collect()]
+    want = [tuple(r)[1:] for r in tabs.replayed(frame).orderBy("n").collect()]
+    assert got and got == want[: len(got)] and all(r[1].minute * 60 + r[1].second > 240 for r in want[len(got) :])
+
+
+def test_state_round_trip():
+    from reelgrid.streaming.tabs import Item, Tab
+
+    tab = Tab(rejected=["a"], children=["b"], probes=3, moving=5, n=9)
+    tab.items["k"] = Item("k", "hls", "u", None, "", 7, False, True, True, False, "HTTP 404", 11)
+    assert Tab.unpacked(tab.packed()) == tab and tab.wakes() == [7 + 20_000_000]
+
+
+# scanners and addresses
+
+
+def test_markup():
+    from reelgrid.functions.markup import decoded, html_tags, page_references
+
+    assert decoded("a&amp;b&#65;&#x42;&eacute;&copy=1&copy;&copyx&nosuch;&amp") == "a&bABé&copy=1©&copyx&nosuch;&"
+    assert list(html_tags("<a b='1' B=2 c d=x/y><!--<i>--><p/></a ><br<x")) == [("a", {"b": "1", "c": "", "d": "x/y"}), ("p", {}), ("a", None)]
+    assert list(html_tags("<!--><b><!DOCTYPE html><?x <i>?><u></ 3><title><em></title><s>")) == [("b", {}), ("u", {}), ("title", {}), ("title", None), ("s", {})]
+    assert page_references("<template><video src=x></video></template><video><source src=a></video><source src=b>") == (None, [("element", "a")])
+
+
+def test_xml_events():
+    from reelgrid.constants import SAYS
+    from reelgrid.functions.markup import XmlError, xml_events
+
+    def said(text):
+        try:
+            return list(xml_events(text, SAYS, deep=3, many=5))
+        except XmlError as e:
+            return str(e)
+
+    assert said("﻿<?xml version='1.0'?><p:a xmlns='u' p:b='1 &lt;'>t<![CDATA[<&]]><c/></p:a>") == [("start", "a", {"b": "1 <"}), ("text", "t", None), ("text", "<&", None), ("start", "c", {}), ("end", "c", None), ("end", "a", None)]
+    for bad in ("<a><b></a>", "<a>", "<a/><b/>", "x", "<a><!-- ", "<a><![CDATA[x</a>", "", "<a", "<a b='>", "< a/>", "</a>", "<a/>x", "<![CDATA[x]]>"):
+        assert said(bad) == SAYS["malformed"], bad
+    assert said("<!DOCTYPE a [<!ENTITY x 'y'>]><a/>") == SAYS["doctype"] and said("<!DOCTYPE a") == SAYS["doctype"] and said("<!DOCTYPE a><a/>")[0] == ("start", "a", {})
+    assert said("<a><a><a><a></a></a></a></a>") == SAYS["deep"] and said("<a><b/><b/><b/><b/><b/></a>") == SAYS["elements"]
+
+
+# sources, table functions and stores
+
+
+def test_file_sources(spark, tmp_path):
+    from reelgrid.constants import SAYS
+    from reelgrid.sources import files
+
+    files.register(spark)
+    texts = {"a.m3u8": "x" * 100, "b.m3u8": "é" * 101, "sub/c.m3u8": "z" * 500, "d.txt": "no", "_hidden.m3u8": "no", "e.m3u8": "😀" * 51}
+    (tmp_path / "sub").mkdir()
+    for name, text in texts.items():
+        (tmp_path / name).write_text(text, encoding="utf-8")
+    got = {r["path"].removeprefix(f"{tmp_path}/"): (r["size"], r["text"], r["error"]) for r in spark.read.format("media_texts").option("path", str(tmp_path)).option("suffix", ".m3u8").option("max_chars", 100).load().collect()}
+    large = SAYS["playlist_large"]
+    assert got == {"a.m3u8": (100, "x" * 100, None), "b.m3u8": (202, None, large), "sub/c.m3u8": (500, None, large), "e.m3u8": (204, None, large)}
+    reader = files._Texts({"path": f"file://{tmp_path}", "max_chars": "100", "task_bytes": "6000"})
+    assert len(reader.partitions()) > 1 and reader.cost(401) == 0
+    (tmp_path / "sub/c.m3u8").unlink()  # a file over the cap by its size is never opened
+    assert list(reader.read(files.Files([(f"{tmp_path}/sub/c.m3u8", 500)]))) == [(f"{tmp_path}/sub/c.m3u8", 500, None, large)]
+    heads = spark.read.format("media_heads").option("path", str(tmp_path)).option("bytes", 3).load().collect()
+    assert {bytes(r["head"]) for r in heads if r["path"].endswith("a.m3u8")} == {b"xxx"}
+    assert spark.read.format("media_heads").option("path", f"{tmp_path}/none").load().count() == 0
+
+
+def test_table_functions(spark):
+    from reelgrid.functions import tables
+
+    tables.register(spark)
+    spark.createDataFrame([(1, "<a href='/x'>y</a><!-- <b> --><video src=v.mp4>"), (2, None)], "id int, html string").createOrReplaceTempView("some_pages")
+    rows = spark.sql("SELECT id, t.* FROM some_pages, LATERAL html_tags(html) t ORDER BY n").collect()
+    assert [(r["id"], r["name"], r["attributes"]) for r in rows] == [(1, "a", {"href": "/x"}), (1, "video", {"src": "v.mp4"})]
+    assert spark.sql("SELECT * FROM mp4_boxes(NULL)").count() == 0 and spark.sql("SELECT * FROM ts_streams(X'00')").count() == 0
+
+
+def test_job_store(spark, tmp_path):
+    """A job is found until its time is over, whoever asks; opening it again changes nothing."""
+    import datetime
+    import time
+
+    from reelgrid.streaming import jobs
+
+    names = [c.split()[0] for c in jobs.ASK.split(", ")]
+    ask = lambda what, note="n", job="j": spark.createDataFrame([tuple({"what": what, "job_id": job, "tab_id": 1, "note": note, "title": "t", "created": datetime.datetime(2024, 1, 1)}.get(n) for n in names)], jobs.ASK)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    (tmp_path / "in").mkdir()
+    stream = jobs.job_store(spark.readStream.schema(jobs.ASK).parquet(f"{tmp_path}/in/*"), minutes=0.5)
+    found = []
+    query = stream.writeStream.outputMode("update").option("checkpointLocation", f"{tmp_path}/checkpoint").trigger(processingTime="1 second").foreachBatch(lambda rows, n: found.extend((r["job_id"], r["note"]) for r in rows.collect())).start()
+
+    def step(frame):
+        """The answers to some rows, once they have been read; a query with such state never runs out of batches."""
+        seen, told = sum(p["numInputRows"] for p in query.recentProgress), len(found)
+        frame.coalesce(1).write.parquet(f"{tmp_path}/in/{time.time_ns()}")
+        until = time.time() + 90
+        while sum(p["numInputRows"] for p in query.recentProgress) <= seen and time.time() < until:
+            assert query.isActive
+            time.sleep(0.2)
+        return found[told:]
+
+    try:
+        opened = time.time()
+        assert step(ask("open")) == [] and step(ask("open", note="other")) == []
+        answers = step(ask("find"))
+        assert answers == ([("j", "n")] if time.time() - opened < 30 else answers)
+        assert step(ask("find", job="none")) == []
+        time.sleep(max(0, 45 - (time.time() - opened)))
+        assert step(ask("find")) == []
+    finally:
+        query.stop()
