@@ -25,7 +25,10 @@ def _stored(spark, sf_dir, kinds: int):
     return folder
 
 
-_KIND = F.regexp_extract("path", "kind=([0-9]+)/", 1).cast("bigint")
+def _kind():
+    return F.regexp_extract("path", "kind=([0-9]+)/", 1).cast("bigint").alias("kind")
+
+
 _FILES = "WITH f AS (SELECT kind, string_agg(url, chr(10) ORDER BY page_id) || chr(10) AS text FROM (SELECT CASE WHEN page_id % 4 = 0 THEN 0 ELSE page_id % {n} END AS kind, page_id, url FROM pages) GROUP BY kind)"
 
 
@@ -35,7 +38,7 @@ def stored_texts(spark, sf_dir):
     files.register(spark)
     folder = _stored(spark, sf_dir, 9)
     rows = spark.read.format("media_texts").option("path", folder).option("max_chars", _MOST).option("task_bytes", 20_000).load()
-    return rows.select(_KIND.alias("kind"), "size", F.sha2("text", 256).alias("text_sha256"), "error")
+    return rows.select(_kind(), "size", F.sha2("text", 256).alias("text_sha256"), "error")
 
 
 @query(_FILES.format(n=5) + " SELECT kind, strlen(text) AS size, md5(left(text, 200)) AS head_md5 FROM f")
@@ -43,7 +46,7 @@ def stored_heads(spark, sf_dir):
     """The first 200 bytes of files, read as ranges."""
     files.register(spark)
     rows = spark.read.format("media_heads").option("path", _stored(spark, sf_dir, 5)).option("bytes", 200).load()
-    return rows.select(_KIND.alias("kind"), "size", F.md5("head").alias("head_md5"))
+    return rows.select(_kind(), "size", F.md5("head").alias("head_md5"))
 
 
 @query("""WITH e AS (SELECT event_id, event_id % 9 AS pad, event_id % 4 = 0 AS cut FROM events)
