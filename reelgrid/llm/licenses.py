@@ -22,8 +22,13 @@ TEMPLATES = {
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0",
     "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0",
     "Proprietary": "All rights reserved",
+    "GPL-2.0": "This work is licensed under the GNU General Public License, version 2",
+    "AGPL-3.0": "This work is licensed under the GNU Affero General Public License, version 3",
+    "BSD-2-Clause": "Licensed under the BSD 2-Clause License",
+    "ISC": "Released under the ISC License",
+    "Unlicense": "This is free and unencumbered software released into the public domain.",
 }
-#: Longer notices of the same licences: standard headers, titles with the opening of the full text, and SPDX lines.
+#: Longer notices of the same licences: standard headers, and titles with the opening of the full text.
 NOTICES = {
     "Apache-2.0": (
         'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
@@ -45,11 +50,26 @@ NOTICES = {
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
     ),
     "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.", "Mozilla Public License Version 2.0"),
+    "GPL-2.0": (
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+        "GNU GENERAL PUBLIC LICENSE Version 2, June 1991",
+    ),
+    "AGPL-3.0": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007",
+    ),
+    "BSD-2-Clause": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    ),
+    "ISC": ("ISC License", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
     "CC-BY-4.0": ("Creative Commons Attribution 4.0 International",),
     "CC-BY-NC-4.0": ("Creative Commons Attribution-NonCommercial 4.0 International",),
     "CC-BY-SA-4.0": ("Creative Commons Attribution-ShareAlike 4.0 International",),
 }
-NOTICES = {k: (*NOTICES.get(k, ()), *(() if k == "Proprietary" else (f"SPDX-License-Identifier: {k}",))) for k in TEMPLATES}
+#: A tag that names a licence by its SPDX identifier; what is behind it is taken as it stands, not by likeness.
+TAG = "SPDX-License-Identifier:[ \\t]*\\(?([A-Za-z0-9][A-Za-z0-9.+-]*)"
+#: Where two licences are this near for one unit, it speaks for neither.
+MARGIN = 0.01
 #: Numbers of adjacent lines that hold a term that make a unit, besides single lines.
 SPANS = (2, 3, 4, 5, 6, 7, 8, 10, 12, 16, 20, 24)
 #: Texts to be looked at for runs whose keys (16 bytes each) are broadcast at most; more are joined by a shuffle.
@@ -66,14 +86,15 @@ def _counted(words: list[str]) -> dict[str, int]:
     return {w: words.count(w) for w in sorted(set(words))}
 
 
-def scan(files: DataFrame, *, id_col: str = "doc_id", path_col: str = "path", text_col: str = "text", templates: dict[str, str] = TEMPLATES, notices: dict[str, tuple[str, ...]] = NOTICES, threshold: float = 0.8, licence_names: tuple[str, ...] = LICENCE_NAMES) -> DataFrame:
+def scan(files: DataFrame, *, id_col: str = "doc_id", path_col: str = "path", text_col: str = "text", templates: dict[str, str] = TEMPLATES, notices: dict[str, tuple[str, ...]] = NOTICES, threshold: float = 0.8, margin: float = MARGIN, licence_names: tuple[str, ...] = LICENCE_NAMES) -> DataFrame:
     """One row per file: id, path, own_license, own_score, own_line, license, via (header, file, inherited or none), license_dir.
 
     Units are the lines of a file, and runs of adjacent lines that hold a term (of SPANS lines, or as many as there are), as headers and licence
     files wrap their text. Templates are `templates` and the longer `notices` of the same licences. A unit's vector has tf * idf of its
     terms, a template's likewise; idf is log((1 + lines) / (1 + lines with the term)) + 1 over all lines of all files,
-    for every term, in the templates or not. Of the (unit, template) pairs with a cosine of `threshold` or more
-    the highest wins (then the fewest lines, the earlier line, the licence's name). Files with a line of cosine 1 need no longer units.
+    for every term, in the templates or not. A unit whose two nearest licences are within `margin` of each other
+    speaks for neither. Of the other (unit, template) pairs with a cosine of `threshold` or more the highest wins (then the fewest lines, the earlier line, the licence's name). Files with a line of cosine 1 need no longer units.
+    A line with an SPDX tag says what the tag says (without -only, -or-later or +), whether it is among the templates or not, with a score of 1.
     A file without a licence of its own takes that of the nearest ancestor directory that has a licence file (named as in `licence_names`; of several,
     the highest score, then the smallest path). The root directory is ''. Null paths are '' and inherit from the root; null and empty texts have no own
     licence; an empty table gives no rows; rows that repeat an id are rows of their own.
@@ -136,16 +157,23 @@ def scan(files: DataFrame, *, id_col: str = "doc_id", path_col: str = "path", te
         weighed = each.join(weights, "term").withColumn("x", F.col("tf") * F.col("idf"))
         sizes = weighed.groupBy("u1", "u2").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("size"))
         dots = weighed.join(postings, "term").groupBy("u1", "u2", "template", "k").agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
-        return dots.join(sizes, ["u1", "u2"]).select("u1", "u2", "template", F.round(F.col("dot") / F.col("size"), 9).alias("score")).where(F.col("score") >= threshold - 5e-10)
+        each = dots.join(sizes, ["u1", "u2"]).select("u1", "u2", "template", F.round(F.col("dot") / F.col("size"), 9).alias("score")).where(F.col("score") >= threshold - margin - 5e-10)
+        each = each.groupBy("u1", "u2", "template").agg(F.max("score").alias("score")).groupBy("u1", "u2").agg(F.reverse(F.array_sort(F.collect_list(F.struct("score", "template")))).alias("x"))  # a licence at most once
+        first, second = F.get("x", F.lit(0)), F.get("x", F.lit(1))
+        clear = (first["score"] >= threshold - 5e-10) & (second.isNull() | (first["score"] - second["score"] >= margin - 5e-10))
+        return each.where(clear).select("u1", "u2", first["template"].alias("template"), first["score"].alias("score"))
 
     cut = threshold - 1e-9
     # Without an anchor term, by the Cauchy-Schwarz inequality, no template's cosine reaches the threshold.
-    found = written(with_unit(lines.select("h1", "h2", "line", terms(F.col("unit")).alias("t")).where(anchored(F.col("t")))), "units")
+    tag = F.regexp_replace(F.regexp_extract("unit", TAG, 1), "(?:-only|-or-later|\\+)$", "")
+    tagged = lines.where(F.contains(F.col("unit"), F.lit("SPDX-License-Identifier:"))).select("h1", "h2", F.lit(1).alias("span"), "line", tag.alias("template"), F.lit(1.0).alias("score")).where("template <> ''").distinct()
+    found = lines.where(~F.contains(F.col("unit"), F.lit("SPDX-License-Identifier:")))
+    found = written(with_unit(found.select("h1", "h2", "line", terms(F.col("unit")).alias("t")).where(anchored(F.col("t")))), "units")
     bounded = with_bound(found.groupBy("u1", "u2").agg(F.first("t").alias("t")))
     # Rows leave through `explode`: a filter would be pushed below the bound and work it out twice.
     near = F.explode(F.array_compact(F.array(F.when(F.array_max("dots") >= F.sqrt("low") * cut, F.col("t")))))
     close = written(bounded.select("u1", "u2", near.alias("t")), "close")
-    single = written(found.select("h1", "h2", F.lit(1).alias("span"), "line", "u1", "u2").distinct().join(scored(close), ["u1", "u2"]).drop("u1", "u2"), "lines")
+    single = written(found.select("h1", "h2", F.lit(1).alias("span"), "line", "u1", "u2").distinct().join(scored(close), ["u1", "u2"]).drop("u1", "u2").unionByName(tagged), "lines")
     # Runs of lines: of texts without a line of cosine 1 that hold, in all their lines, a template's terms with threshold^2 of its weight.
     open_ = found.select("h1", "h2").distinct().join(single.where("score >= 1").select("h1", "h2").distinct(), ["h1", "h2"], "left_anti")
     open_ = written(open_, "open")

@@ -509,13 +509,18 @@ def brute_licences(rows, threshold):
     df, total = Counter(x for own in lines for u in own for x in set(u)), sum(map(len, lines))
     vector = lambda u: {x: c * (math.log((1 + total) / (1 + df[x])) + 1) for x, c in Counter(u).items()}
     norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
-    templates = [(name, vector(terms(t))) for name, t in [*licenses.TEMPLATES.items(), *((k, t) for k in licenses.TEMPLATES for t in licenses.NOTICES[k])]]
+    templates = [(name, vector(terms(t))) for name, t in [*licenses.TEMPLATES.items(), *((k, t) for k in licenses.TEMPLATES for t in licenses.NOTICES.get(k, ()))]]
 
     def best(units):
         out = []
         for span, k, u in units:
             if v := vector(u):
-                out += [(-round(s, 9), span, k, name) for name, w in templates if (s := sum(v[x] * w.get(x, 0) for x in v) / norm(v) / norm(w)) >= threshold - 5e-10]
+                scores = {}
+                for name, w in templates:
+                    scores[name] = max(scores.get(name, 0), round(sum(v[x] * w.get(x, 0) for x in v) / norm(v) / norm(w), 9))
+                (top, name), (second, _) = sorted(((s, n) for n, s in scores.items()), reverse=True)[:2]
+                if top >= threshold - 5e-10 and (second < threshold - licenses.MARGIN - 5e-10 or top - second >= licenses.MARGIN - 5e-10):
+                    out.append((-top, span, k, name))
         return out
 
     folder = lambda p: p.rsplit("/", 1)[0] if "/" in p else ""
@@ -597,12 +602,17 @@ def test_licences_wrapped(spark):
         (5, "e/w.c", wrap(notice["GPL-3.0"], 10, " * ") + "\nint main() {}"),
         (6, "f/v.c", "Licensed under the\nApache License, Version 2.0"),
         (7, "g/u.c", "The MIT License (MIT)"),
+        (10, "i/LICENSE", wrap(licenses.NOTICES["BSD-2-Clause"][0], 9)), (11, "j/LICENSE", wrap(licenses.NOTICES["BSD-3-Clause"][0], 9)), (12, "k/a.c", "/* SPDX-License-Identifier: GPL-2.0-only */"), (13, "k/b.c", "// SPDX-License-Identifier: (Zlib+ OR MIT)"), (14, "k/c.c", "# SPDX-License-Identifier:"),
+        (15, "l/LICENSE", "GNU GENERAL PUBLIC LICENSE\nVersion 2, June 1991\n"), (16, "m/COPYING", "GNU AFFERO GENERAL PUBLIC LICENSE\nVersion 3, 19 November 2007"), (17, "n/LICENSE", "ISC License\n\n" + wrap(licenses.NOTICES["ISC"][1], 10)), (18, "o/UNLICENSE", licenses.TEMPLATES["Unlicense"]),
+        (19, "q/x.c", wrap(notice["GPL-2.0"], 10, " * ")), (20, "r/x.c", "This work is licensed under the GNU General Public License, version 7"), (21, "s/x.c", wrap(notice["AGPL-3.0"], 10, " * ")), (22, "t/x.c", wrap(notice["LGPL-3.0"], 10, " * ")),
         (8, "h/same.c", "Released under the MIT License"),
         (8, "h/same.c", "nothing is said here"),
         *[(100 + k, f"p/{k}.txt", f"plain words number {k}\nof the file {k} and of no other") for k in range(300)],
     ]
     got = Counter((r["doc_id"], r["license"], r["via"]) for r in licenses.scan(spark.createDataFrame(files, "doc_id long, path string, text string")).where("doc_id < 100").collect())
-    assert got == Counter([(1, "MIT", "header"), (2, "Apache-2.0", "header"), (3, "MIT", "file"), (4, "MIT", "inherited"), (5, "GPL-3.0", "header"), (6, "Apache-2.0", "header"), (7, "MIT", "header"), (8, "MIT", "header"), (8, None, "none")])
+    assert got == Counter([(1, "MIT", "header"), (2, "Apache-2.0", "header"), (3, "MIT", "file"), (4, "MIT", "inherited"), (5, "GPL-3.0", "header"), (6, "Apache-2.0", "header"), (7, "MIT", "header"), (8, "MIT", "header"), (8, None, "none"),
+        (10, "BSD-2-Clause", "file"), (11, "BSD-3-Clause", "file"), (12, "GPL-2.0", "header"), (13, "Zlib", "header"), (14, None, "none"), (15, "GPL-2.0", "file"), (16, "AGPL-3.0", "file"), (17, "ISC", "file"), (18, "Unlicense", "file"),
+        (19, "GPL-2.0", "header"), (20, None, "none"), (21, "AGPL-3.0", "header"), (22, "LGPL-3.0", "header")])
 
 
 # queries: each is run whole on the smallest tables
