@@ -41,7 +41,7 @@ def hls_containers(spark, sf_dir):
     return hls.container(_orders(spark, sf_dir))
 
 
-@query("SELECT r_regionkey, CASE r_regionkey WHEN 0 THEN 'Playlist is too large' WHEN 1 THEN 'Not an HLS playlist' END AS playlist, CASE WHEN r_regionkey = 0 THEN 'XML document is too large' WHEN r_regionkey < 4 THEN 'Not a DASH manifest' WHEN r_regionkey = 4 THEN NULL END AS manifest FROM region")
+@query("SELECT r_regionkey, CASE r_regionkey WHEN 0 THEN 'Playlist is too large' WHEN 1 THEN 'Not an HLS playlist' END AS playlist, CASE WHEN r_regionkey = 0 THEN 'XML document is too large' WHEN r_regionkey = 1 THEN 'Not a DASH manifest' WHEN r_regionkey < 4 THEN 'Malformed XML' WHEN r_regionkey = 4 THEN NULL END AS manifest FROM region")
 def capped_texts(spark, sf_dir):
     """Texts over the size caps, of another kind, and whole ones."""
     i = F.col("r_regionkey")
