@@ -192,9 +192,9 @@ def report_changes(spark, sf_dir):
 @query(OBS + _HIDDEN + ", m AS (SELECT max(seen) AS as_of FROM obs) SELECT tab_id, count(*) FILTER (NOT hidden AND NOT (size IS NULL AND as_of < seen + INTERVAL 20 SECOND)) AS badge FROM shown, m GROUP BY tab_id")
 def visible_items(spark, sf_dir):
     """Badge counts: items that are neither hidden nor waiting for verification."""
-    as_of = X.observations(spark, sf_dir).agg(F.max("seen")).first()[0]
-    items = _hidden(spark, sf_dir).withColumn("pending", F.col("size").isNull())
-    return observe.badge_count(items, F.lit(as_of).cast("timestamp_ntz") if as_of else F.col("seen"))
+    now = X.observations(spark, sf_dir).agg(F.max("seen").alias("as_of"))  # one row
+    items = _hidden(spark, sf_dir).withColumn("pending", F.col("size").isNull()).join(F.broadcast(now), F.col("seen") <= F.col("as_of"))
+    return observe.badge_count(items, F.col("as_of"))
 
 
 @query(OBS + "SELECT tab_id, key, row_number() OVER (PARTITION BY tab_id ORDER BY (kind <> 'dash') DESC, seen DESC, key) AS place FROM items")

@@ -92,17 +92,17 @@ def settled_downloads(spark, sf_dir):
 def fresh_jobs(spark, sf_dir):
     """Jobs that have not outlived their hour."""
     jobs = X.table(spark, sf_dir, "events").select(F.col("event_id").alias("job_id"), F.col("ts").alias("created"))
-    as_of = jobs.agg(F.max("created")).first()[0]
-    return observe.fresh_jobs(jobs, F.lit(as_of).cast("timestamp_ntz") if as_of else F.col("created")).select("job_id")
+    now = jobs.agg(F.max("created").alias("as_of"))  # one row
+    return observe.fresh_jobs(jobs.join(F.broadcast(now), F.col("created") <= F.col("as_of")), F.col("as_of")).select("job_id")
 
 
 @query(OBS + ", m AS (SELECT max(seen) AS as_of FROM items) SELECT tab_id, key, CASE WHEN sightings % 3 = 0 THEN false WHEN sightings % 3 = 1 THEN true ELSE as_of > seen + INTERVAL 10 SECOND END AS due FROM items, m WHERE kind <> 'file'")
 def enrich_retries(spark, sf_dir):
     """Manifests to be read: unread ones, and those whose read failed more than ten seconds ago."""
     items = _items(spark, sf_dir).where("kind <> 'file'")
-    as_of = items.agg(F.max("seen")).first()[0]
+    items = items.join(F.broadcast(items.agg(F.max("seen").alias("as_of"))), F.col("seen") <= F.col("as_of"))  # one row
     n = F.col("sightings") % 3
-    due = C.needs_reading(F.lit(True), F.lit(False), n != 1, F.when(n == 2, "HTTP 500"), F.col("seen"), F.lit(as_of).cast("timestamp_ntz") if as_of else F.col("seen"))
+    due = C.needs_reading(F.lit(True), F.lit(False), n != 1, F.when(n == 2, "HTTP 500"), F.col("seen"), F.col("as_of"))
     return items.select("tab_id", "key", due.alias("due"))
 
 
