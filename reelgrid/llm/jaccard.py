@@ -39,6 +39,8 @@ BAND = 1.6
 #: One row in SAMPLE is looked at for hot cells; a cell is hot with one in HOT of the rows seen.
 SAMPLE = 64
 HOT = 10_000
+#: Hashes of placed texts that are broadcast at most (16 bytes each).
+MAX_KEYS = 2_000_000
 
 _U = np.uint64
 
@@ -291,7 +293,10 @@ def near_duplicates(df: DataFrame, *, shingle: int = 5, num: int = 8, den: int =
     regions = written(_uncovered(cells), "regions")
     places = rows.where("n > 0").groupBy("node").agg(F.min(F.struct("k1", "k2")).alias("at"), F.max("n").alias("n")).join(regions.select("node").distinct(), "node").select("node", "at.k1", "at.k2", "n")
     placed = written(regions.join(places, "node").select(F.col("pivot").alias("region"), "node", "k1", "k2", "n"), "placed")
-    texts = docs.groupBy("k1", "k2").agg(F.min("text").alias("text"))  # a row and its repeats once
+    # Texts that lie in no region need not be shuffled: a semi-join by the first hash leaves the others, as long as the hashes can be broadcast.
+    keys = written(placed.select("k1").distinct(), "keys")
+    held = docs.join(F.broadcast(keys), "k1", "left_semi") if keys.count() <= MAX_KEYS else docs
+    texts = held.groupBy("k1", "k2").agg(F.min("text").alias("text"))  # a row and its repeats once
     sizes = placed.groupBy("region").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("w"))
     large = written(sizes.where((F.col("m") > region) | ((F.col("w") > region * SHINGLES) & (F.col("m") > 2))).select("region"), "large")
     some_large = large.limit(1).count() > 0

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -940,3 +941,29 @@ def test_new_queries(spark, sf, docs):
     assert {r[0]: tuple(r)[1:] for r in found.collect()} == want
     assert QUERIES["op11_quality_rules"](spark, sf).columns == ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
     assert QUERIES["op13_phrases"](spark, sf).columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
+
+
+def test_shuffles_go_with_their_query(spark, tmp_path):
+    """A written step leaves no shuffle files behind; a frame that is asked twice gives its rows twice."""
+    from reelgrid.session import written
+
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    blocks = lambda: {str(p) for p in (manager.getAllFiles().apply(i).getName() for i in range(manager.getAllFiles().size())) if p.startswith("shuffle_")}
+    before = blocks()
+    written(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "counted")
+    for _ in range(50):
+        if not blocks() - before:
+            break
+        time.sleep(0.1)
+    assert not blocks() - before
+    twice = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+    assert sorted(twice.collect()) == sorted(twice.collect())
+
+
+def test_jaccard_without_broadcast(spark, monkeypatch):
+    """Texts of regions are the same by a semi-join of their hashes and without it; others are not shuffled."""
+    rows = [(i, f"w{i // 3} " + " ".join(f"x{i // 3}y{j}" for j in range(40)) + (" z" if i % 3 == 2 else "")) for i in range(60)] + [(100 + i, " ".join(f"u{i}v{j}" for j in range(30))) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    with_keys = Counter(map(tuple, jaccard.near_duplicates(df, shingle=3, num=80, den=100).collect()))
+    monkeypatch.setattr(jaccard, "MAX_KEYS", 0)
+    assert with_keys == Counter(map(tuple, jaccard.near_duplicates(df, shingle=3, num=80, den=100).collect())) == brute_components(rows, 3, 80, 100)
