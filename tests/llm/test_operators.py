@@ -967,3 +967,11 @@ def test_jaccard_without_broadcast(spark, monkeypatch):
     with_keys = Counter(map(tuple, jaccard.near_duplicates(df, shingle=3, num=80, den=100).collect()))
     monkeypatch.setattr(jaccard, "MAX_KEYS", 0)
     assert with_keys == Counter(map(tuple, jaccard.near_duplicates(df, shingle=3, num=80, den=100).collect())) == brute_components(rows, 3, 80, 100)
+
+
+def test_op12_wordless(spark, tmp_path):
+    """Documents that would be planted but have no word."""
+    ids = [i for i in range(1000) if zlib.crc32(str(i).encode()) % 10 == 0][:4]
+    spark.createDataFrame(list(zip(ids, ["", None, " \n\t", "a b"], strict=True)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: (r["n_runs"], r["start"], r["collapsed_sha256"]) for r in QUERIES["op12_periodic_runs"](spark, str(tmp_path)).collect()}
+    assert set(got) == set(ids) and all(got[i] == (0, None, hashlib.sha256(b"").hexdigest()) for i in ids[:3])
