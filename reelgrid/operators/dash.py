@@ -153,9 +153,16 @@ def _rebased(rows: DataFrame, level: str) -> DataFrame:
 
 def representations(p: DataFrame) -> DataFrame:
     """One row per representation, attributes inherited from its adaptation set and period; `error` where a BaseURL is not http(s)."""
+    # Of each level only what the next ones need goes on: an element of a period or set holds all its representations, which would be carried with each of them.
+    facts = ["manifest_id", "type", "total", "period", "start", "duration"]
+    inherited = ("ContentProtection", "SegmentTemplate", "SegmentList")
+    level = lambda x: F.struct(*[F.col(f"{x}.{n}") for n in inherited]).alias(x)
+    media = ("_mimeType", "_contentType", "_codecs", "_width", "_height", "_lang")
     p = _rebased(_rebased(p.withColumn("base", U.base(F.col("url"))).withColumn("error", F.lit(None).cast("string")), "mpd_base"), "element.BaseURL")
-    sets = _rebased(p.select("*", F.posexplode("element.AdaptationSet").alias("set", "s")), "s.BaseURL")
-    reps = _rebased(sets.select("*", F.posexplode("s.Representation").alias("rep", "r")), "r.BaseURL")
+    sets = p.select(*facts, "base", "error", level("element"), F.posexplode("element.AdaptationSet").alias("set", "s"))
+    sets = _rebased(sets, "s.BaseURL").select(*facts, "base", "error", "element", "set", F.struct(*[F.col(f"s.{n}") for n in (*media, *inherited)]).alias("own"), F.col("s.Representation").alias("all"))
+    reps = sets.select(*facts, "base", "error", "element", "set", F.col("own").alias("s"), F.posexplode("all").alias("rep", "r"))
+    reps = _rebased(reps, "r.BaseURL")
     both = lambda k: F.coalesce(F.col(f"r.{k}"), F.col(f"s.{k}"))
     mime = F.coalesce(both("_mimeType"), F.lit(""))
     kind = F.coalesce(both("_contentType"), F.element_at(F.split(mime, "/"), 1))

@@ -448,3 +448,20 @@ def test_segments_stay_where_they_are(spark):
     assert tuple(long) == (30_000, 29_999, 89_997, 60_000.0)
     rest = segs.where("playlist_id > 1").orderBy("playlist_id", "index").select("sequence", "url", "range_offset", "range_length", F.size("drm")).collect()
     assert list(map(tuple, rest)) == [(0, None, -3, 5, 0), (1, None, None, None, 0), (7, "https://h/p/a%20b.ts", None, None, 1), (8, "https://h/c.ts", None, None, 0)]
+
+
+def test_representations_carry_no_siblings(spark):
+    """What goes to Python for each representation holds neither its period's sets nor its set's representations."""
+    reps = dash.representations(dash.periods(mpd(spark, '<Period><AdaptationSet><Representation id="a"/><Representation id="b"/></AdaptationSet></Period>')))
+    seen = []
+
+    def walk(node):
+        """Explosions at and below a node."""
+        below = sum(walk(node.children().apply(i)) for i in range(node.children().size()))
+        if node.nodeName() == "ArrowEvalPython":
+            seen.append((below, node.schema().simpleString()))
+        return below + (node.nodeName() == "Generate")
+
+    walk(reps._jdf.queryExecution().optimizedPlan())
+    of_rows = [schema for below, schema in seen if below == 3]
+    assert of_rows and not any("AdaptationSet:" in x or "Representation:" in x for x in of_rows)
