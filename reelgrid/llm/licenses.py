@@ -104,7 +104,6 @@ def scan(files: DataFrame, *, id_col: str = "doc_id", path_col: str = "path", te
     run's squared size is no less than the sum of its lines'; they are looked at in texts that hold threshold^2 of a template's weight. Units within the bound are then
     vectorised as a whole. Document frequencies are partial aggregates by term. Broadcast are the templates and their terms, bounded by the parameter; other terms meet their frequencies in a shuffle.
     """
-    spark = files.sparkSession
     two = lambda x: [F.xxhash64(F.lit(seed), x) for seed in (5, 23)]
     rows = files.select(F.col(id_col).alias("id"), F.coalesce(F.col(path_col), F.lit("")).alias("path"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     h1, h2 = two(F.col("text"))
@@ -136,15 +135,14 @@ def scan(files: DataFrame, *, id_col: str = "doc_id", path_col: str = "path", te
     listed = F.array(*[F.lit(t) for t in vocabulary]).cast("array<string>")
     none = F.array_repeat(F.lit(0.0), len(names))
     weights = seen.select("term", (F.log(F.lit(1.0 + total) / (1 + F.col("n"))) + 1).alias("idf"))
-    postings = F.broadcast(spark.createDataFrame([(t, *key, x / norm[key]) for key, w in weight.items() for t, x in w.items()] or [("", "", 0, 0.0)], "term string, template string, k int, y double"))
 
     def with_bound(some: DataFrame) -> DataFrame:
-        """low (no more than the squared size) and dots (by template) of units t."""
+        """known (the squared size of the terms of the templates), low (no more than the whole squared size) and dots (by template) of units t."""
         own = F.transform(F.array_intersect("t", listed), lambda w: F.struct(F.size(F.filter("t", lambda x: x == w)).alias("tf"), F.element_at(table, w).alias("y")))
         rows = some.withColumn("own", own)
-        low = F.aggregate("own", F.lit(0.0), lambda acc, e: acc + (e["tf"] * e["y"][0]) ** 2) + F.size(F.array_distinct("t")) - F.size("own")
+        known = F.aggregate("own", F.lit(0.0), lambda acc, e: acc + (e["tf"] * e["y"][0]) ** 2)
         dots = F.aggregate("own", none, lambda acc, e: F.zip_with(acc, F.slice(e["y"], 2, len(names)), lambda d, y: d + e["tf"] * e["y"][0] * y))
-        return rows.withColumn("low", low).withColumn("dots", dots).drop("own")
+        return rows.withColumn("known", known).withColumn("low", F.col("known") + F.size(F.array_distinct("t")) - F.size("own")).withColumn("dots", dots).drop("own")
 
     def with_unit(some: DataFrame) -> DataFrame:
         u1, u2 = two(F.col("t"))
@@ -152,13 +150,15 @@ def scan(files: DataFrame, *, id_col: str = "doc_id", path_col: str = "path", te
 
     def scored(units: DataFrame) -> DataFrame:
         """u1, u2, template, score of the distinct units in `units` (u1, u2, t) that reach the threshold."""
-        distinct = units.groupBy("u1", "u2").agg(F.first("t").alias("t"))
-        each = distinct.select("u1", "u2", F.explode(F.transform(F.array_distinct("t"), lambda w: F.struct(w.alias("term"), F.size(F.filter("t", lambda x: x == w)).alias("tf")))).alias("e")).select("u1", "u2", "e.*")
-        weighed = each.join(weights, "term").withColumn("x", F.col("tf") * F.col("idf"))
-        sizes = weighed.groupBy("u1", "u2").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("size"))
-        dots = weighed.join(postings, "term").groupBy("u1", "u2", "template", "k").agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
-        each = dots.join(sizes, ["u1", "u2"]).select("u1", "u2", "template", F.round(F.col("dot") / F.col("size"), 9).alias("score")).where(F.col("score") >= threshold - margin - 5e-10)
-        each = each.groupBy("u1", "u2", "template").agg(F.max("score").alias("score")).groupBy("u1", "u2").agg(F.reverse(F.array_sort(F.collect_list(F.struct("score", "template")))).alias("x"))  # a licence at most once
+        distinct = written(with_bound(units.groupBy("u1", "u2").agg(F.first("t").alias("t"))).select("u1", "u2", "t", "known", "dots"), "distinct")
+        # Terms of the templates are weighed already: only the others of a unit meet their frequencies, and no unit is multiplied by templates.
+        others = distinct.select("u1", "u2", F.explode(F.transform(F.array_except("t", listed), lambda w: F.struct(w.alias("term"), F.size(F.filter("t", lambda x: x == w)).alias("tf")))).alias("e")).select("u1", "u2", "e.*")
+        sizes = others.join(weights, "term").withColumn("x", F.col("tf") * F.col("idf")).groupBy("u1", "u2").agg(F.sum(F.col("x") * F.col("x")).alias("rest"))
+        size = F.sqrt(F.col("known") + F.coalesce("rest", F.lit(0.0)))
+        best = lambda name: F.array_max(F.array(*[F.get("dots", F.lit(k)) for k, key in enumerate(names) if key[0] == name]))  # noqa: E731  a licence at most once
+        each = F.array(*[F.struct(F.round(best(name) / size, 9).alias("score"), F.lit(name).alias("template")) for name in templates]) if templates else F.array().cast("array<struct<score:double,template:string>>")
+        near = F.filter(each, lambda e: e["score"] >= threshold - margin - 5e-10)
+        each = distinct.join(sizes, ["u1", "u2"], "left").select("u1", "u2", F.reverse(F.array_sort(near)).alias("x")).where(F.size("x") > 0)
         first, second = F.get("x", F.lit(0)), F.get("x", F.lit(1))
         clear = (first["score"] >= threshold - 5e-10) & (second.isNull() | (first["score"] - second["score"] >= margin - 5e-10))
         return each.where(clear).select("u1", "u2", first["template"].alias("template"), first["score"].alias("score"))
