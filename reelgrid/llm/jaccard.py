@@ -10,6 +10,11 @@ A region's join is exact: distances to the pivot are computed; documents within
 it; others are compared with the documents whose distance to the pivot differs by no more than the threshold (the triangle
 inequality), through the places where they differ from the pivot.
 
+Many documents share a part and little else (a passage, a notice). Before a text moves, a region is therefore looked at by sketches: a
+set's shingles are dealt into some two buckets each, and of each bucket one bit tells whether it holds an odd number. Buckets in which
+two sketches differ are no more than the shingles in which the sets differ, so members whose sketches are too far
+from all others are linked with none in the region, and their texts stay where they are.
+
 A region too large for a task gets further pivots, and each document is assigned to the nearest (a Voronoi cell). Documents that
 are not linked to the region's own pivot are open: they look for partners in their own cell, to which documents
 of other cells are replicated if they lie within twice the threshold of the boundary. A cell is cut into rings of
@@ -89,6 +94,40 @@ def set_hashes(shingles: np.ndarray) -> tuple[int, int]:
     return int(mix(n + a).view(np.int64)[0]), int(mix(n ^ b).view(np.int64)[0])
 
 
+def sketch(shingles: np.ndarray) -> bytes:
+    """One bit a bucket: whether it holds an odd number of the set's shingles. Half as many buckets are the two halves' exclusive or."""
+    bits = max(64, 1 << (3 * len(shingles) // 2).bit_length())
+    held = np.bincount((shingles & _U(bits - 1)).astype(np.int64), minlength=bits)
+    return np.packbits((held & 1).astype(bool), bitorder="little").tobytes()
+
+
+def may_link(sketches: list[bytes], sizes: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Which sets may be linked with another one, by a bound that no link escapes: sketches differ in no more buckets than the sets do in shingles."""
+    widths = np.array([len(s) for s in sketches])
+    out = np.zeros(len(sketches), bool)
+    for width in np.unique(widths).tolist():
+        own = np.flatnonzero(widths == width)
+        wider = np.flatnonzero(widths > width)
+        wider = wider[den * sizes[own].max() >= num * sizes[wider]]
+        rows = [np.frombuffer(sketches[i], np.uint64) for i in own.tolist()]
+        for i in wider.tolist():
+            bits = np.frombuffer(sketches[i], np.uint64)
+            while len(bits) * 8 > width:
+                bits = bits[: len(bits) // 2] ^ bits[len(bits) // 2 :]
+            rows.append(bits)
+        bits, members = np.stack(rows), np.concatenate((own, wider))
+        n = sizes[members]
+        step = max(1, (1 << 22) // (width * len(members)))
+        for i in range(0, len(own), step):
+            a = n[i : min(i + step, len(own)), None]
+            apart = np.bitwise_count(bits[i : i + len(a), None] ^ bits[None]).sum(axis=2, dtype=np.int64)
+            near = ((num + den) * apart <= (den - num) * (a + n)) & (den * np.minimum(a, n) >= num * np.maximum(a, n))
+            near[np.arange(len(a)), i + np.arange(len(a))] = False  # itself
+            out[members[near.any(axis=0)]] = True
+            out[members[i : i + len(a)][near.any(axis=1)]] = True
+    return out
+
+
 def _sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
     offsets, data = utf8(column)
     for i, j in row_chunks(offsets):
@@ -193,6 +232,15 @@ def _join_region(size: int, num: int, den: int):
     return run
 
 
+def _likely(num: int, den: int):
+    def run(table: pa.Table) -> pa.Table:
+        nodes = table.column("node").to_numpy()
+        found = may_link(table.column("sketch").to_pylist(), table.column("n").to_numpy(), num, den) if len(nodes) > 1 else np.zeros(1, bool)
+        return table.select(["region", "node", "k1", "k2"]).filter(pa.array(found))
+
+    return run
+
+
 def _pair(a: np.ndarray, b: np.ndarray, *names: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=list(names))
 
@@ -257,9 +305,9 @@ def near_duplicates(df: DataFrame, *, shingle: int = 5, num: int = 8, den: int =
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(len(s), *set_hashes(s)) for s in _sets(batch.column(3), shingle)]  # the second hash tells sets apart that share the first
-            columns = [pa.array([f[k] for f in found], pa.int64()) for k in range(3)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns], names=["id", "k1", "k2", "n", "node", "check"])
+            found = [(len(s), *set_hashes(s), sketch(s)) for s in _sets(batch.column(3), shingle)]  # the second hash tells sets apart that share the first
+            columns = [pa.array([f[k] for f in found], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns], names=["id", "k1", "k2", "n", "node", "check", "sketch"])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # copies that a task meets again add nothing
@@ -281,7 +329,7 @@ def near_duplicates(df: DataFrame, *, shingle: int = 5, num: int = 8, den: int =
             if parts:
                 yield _pair(np.concatenate(parts), np.concatenate(nodes), "part", "node")
 
-    rows = written(docs.select("id", "k1", "k2", "text").mapInArrow(measure, f"id {kind}, k1 long, k2 long, n long, node long, check long"), "sets")
+    rows = written(docs.select("id", "k1", "k2", "text").mapInArrow(measure, f"id {kind}, k1 long, k2 long, n long, node long, check long, sketch binary"), "sets")
     # Sets with one 64-bit hash but two others are named by the second: about one pair in 10^19 collides, so these are a handful at any size.
     clash = [r["node"] for r in rows.groupBy("node").agg(F.min("check").alias("a"), F.max("check").alias("b")).where("a <> b").select("node").collect()]
     clashing = frozenset(clash)
@@ -291,19 +339,25 @@ def near_duplicates(df: DataFrame, *, shingle: int = 5, num: int = 8, den: int =
     signed = lambda some: some.select("text").mapInArrow(sign, "part long, node long")
     cells = written(_regions(signed(docs), signed(docs.where(F.pmod("k1", F.lit(SAMPLE)) == 0))), "cells")
     regions = written(_uncovered(cells), "regions")
-    places = rows.where("n > 0").groupBy("node").agg(F.min(F.struct("k1", "k2")).alias("at"), F.max("n").alias("n")).join(regions.select("node").distinct(), "node").select("node", "at.k1", "at.k2", "n")
-    placed = written(regions.join(places, "node").select(F.col("pivot").alias("region"), "node", "k1", "k2", "n"), "placed")
-    # Texts that lie in no region need not be shuffled: a semi-join by the first hash leaves the others, as long as the hashes can be broadcast.
-    keys = written(placed.select("k1").distinct(), "keys")
-    held = docs.join(F.broadcast(keys), "k1", "left_semi") if keys.count() <= MAX_KEYS else docs
-    texts = held.groupBy("k1", "k2").agg(F.min("text").alias("text"))  # a row and its repeats once
+    lying = rows.where("n > 0").join(regions.select("node").distinct(), "node", "left_semi")
+    places = lying.groupBy("node").agg(F.min(F.struct("k1", "k2")).alias("at"), F.max("n").alias("n"), F.min("sketch").alias("sketch"))
+    placed = written(regions.join(places, "node").select(F.col("pivot").alias("region"), "node", "at.k1", "at.k2", "n", "sketch"), "placed")
     sizes = placed.groupBy("region").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("w"))
     large = written(sizes.where((F.col("m") > region) | ((F.col("w") > region * SHINGLES) & (F.col("m") > 2))).select("region"), "large")
     some_large = large.limit(1).count() > 0
     small = placed.join(large, "region", "left_anti") if some_large else placed
+    small = written(small.select("region", "node", "k1", "k2", "n", "sketch").groupBy("region").applyInArrow(lambda t: _likely(num, den)(t), "region long, node long, k1 long, k2 long"), "likely")
+    keys = small.select("k1")
+    if some_large:
+        among = placed.join(large, "region", "left_semi").select("region", "node", "k1", "k2", "n")
+        keys = keys.unionByName(among.select("k1"))
+    # Texts that no region asks for need not be shuffled: a semi-join by the first hash leaves them, as long as the hashes can be broadcast.
+    keys = written(keys.distinct(), "keys")
+    held = docs.join(F.broadcast(keys), "k1", "left_semi") if keys.count() <= MAX_KEYS else docs
+    texts = held.groupBy("k1", "k2").agg(F.min("text").alias("text"))  # a row and its repeats once
     edges = small.join(texts, ["k1", "k2"]).select("region", "node", "text").groupBy("region").applyInArrow(lambda t: _join_region(shingle, num, den)(t), "a long, b long")
     if some_large:
-        members = written(placed.join(large, "region", "left_semi").join(texts, ["k1", "k2"]).select("region", "node", "n", "text"), "members")
+        members = written(among.join(texts, ["k1", "k2"]).select("region", "node", "n", "text"), "members")
         stars, found = _split(members, shingle, num, den, region)
         edges = edges.unionByName(stars).unionByName(found)
     labels = components(edges)
