@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from reelgrid.session import spread
+
 EXTS = ["mp4", "webm", "m3u8", "mpd", "ts", "m4s", "mp3", "exe", "html", "", "mov", "flac", "mkv", "aac", "m4a"]
 MIMES = ["video/mp4", "video/webm", "application/vnd.apple.mpegurl", "application/dash+xml", "video/mp2t", "video/iso.segment", "audio/mpeg", "application/x-msdownload", "text/html", "", "video/quicktime", "audio/flac", "video/x-matroska", "audio/aac", "audio/mp4"]
 
@@ -167,7 +169,8 @@ def odd_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One odd manifest per part, in turn."""
     texts = [t if not t.startswith("<Period") else f"<MPD>{t}</MPD>" for t, *_ in ODD_MANIFESTS]
     i = F.col("p_partkey")
-    return table(spark, sf_dir, "part").select(i.alias("manifest_id"), F.lit("https://dash.example.com/x/m.mpd").alias("url"), F.get(F.array(*[F.lit(t) for t in texts]), (i % len(texts)).cast("int")).alias("text"))
+    parts = spread(table(spark, sf_dir, "part").select("p_partkey"), "p_partkey")  # a text is long beside its key
+    return parts.select(i.alias("manifest_id"), F.lit("https://dash.example.com/x/m.mpd").alias("url"), F.get(F.array(*[F.lit(t) for t in texts]), (i % len(texts)).cast("int")).alias("text"))
 
 
 #: What may stand in a playlist, and the scheme that fails it (none: it can be read).
