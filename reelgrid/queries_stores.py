@@ -10,6 +10,7 @@ from reelgrid import constants as K
 from reelgrid.functions import tables
 from reelgrid.queries import event_stream, shared_dir
 from reelgrid.registry import query, sql_text
+from reelgrid.session import spread
 from reelgrid.sources import files
 from reelgrid.sources import fixtures as X
 from reelgrid.streaming import jobs
@@ -58,7 +59,8 @@ def box_rows(spark, sf_dir):
     i = F.col("event_id")
     inner = "0000001C" + "6D6F6F76" + "00000010" + "7472616B" + "00000008" + "746B6864" + "00000000"
     data = F.concat(F.lpad(F.hex(8 + i % 9), 8, "0"), F.lit("66747970"), F.repeat(F.lit("AA"), (i % 9).cast("int")), F.lit(inner), F.when(i % 4 == 0, "00000063").otherwise("00000001"), F.lit("6D646174" + "0000000000000010"))
-    X.table(spark, sf_dir, "events").select("event_id", F.unhex(data).alias("body")).createOrReplaceTempView("reelgrid_files")
+    events = spread(X.table(spark, sf_dir, "events").select("event_id"), "event_id")  # boxes are read row by row in Python
+    events.select("event_id", F.unhex(data).alias("body")).createOrReplaceTempView("reelgrid_files")
     return spark.sql("SELECT f.event_id, b.path, b.depth, b.start, b.end, b.error FROM reelgrid_files f, LATERAL mp4_boxes(f.body) b")
 
 
