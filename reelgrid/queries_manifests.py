@@ -9,7 +9,7 @@ from reelgrid.functions import formats as T
 from reelgrid.operators import dash, hls, observe
 from reelgrid.queries import _MPD, _VAR, _masters, _mpd
 from reelgrid.registry import query, sql_text
-from reelgrid.session import written
+from reelgrid.session import spread, written
 from reelgrid.sources import fixtures as X
 
 #: Playlists of orders: a plain key for every second, a protected one for every third, a map for every fourth.
@@ -103,6 +103,6 @@ def odd_manifests(spark, sf_dir):
 SELECT tab_id, k AS child FROM c WHERE n <= 500""")
 def children_cap(spark, sf_dir):
     """The last 500 children of each tab's manifests."""
-    tabs = X.table(spark, sf_dir, "events").select(F.col("user_id").alias("tab_id")).distinct()
+    tabs = spread(X.table(spark, sf_dir, "events").select(F.col("user_id").alias("tab_id")), "tab_id").distinct()  # a tab becomes hundreds of rows, so its shuffle's few bytes must not be few tasks
     rows = tabs.select("tab_id", F.explode(F.sequence(F.lit(1), (F.lit(400) + F.col("tab_id") % 201).cast("int"))).alias("child"))
     return observe.last_rows(rows, ["tab_id"], ["child"], K.MAX_CHILD_URLS)
