@@ -110,6 +110,34 @@ def diagnostics(items: DataFrame) -> DataFrame:
     return items.select("tab_id", U.hash_string(F.col("key")).alias("id"), "key", "kind", "media", "mime", "ext", "size", U.safe_url(F.col("url")).alias("url"), U.host_of(F.col("initiator")).alias("page_host"))
 
 
+#: References of pages that are sent on together.
+_ROWS = 20_000
+
+
+def _page_urls(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """URLs that pages (page_id, url, html) name, by their place. A page is read and its references are resolved in the same pass, so that a task has one worker of Python, and none that loads pandas."""
+    from reelgrid.functions.weburl import absolute, behind
+
+    def batch_of(ids: pa.Array, rows: list[tuple]) -> pa.RecordBatch:
+        of, at, source, url = zip(*rows, strict=True)
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(of, pa.int64())), pa.array(at, pa.int32()), pa.array(source, pa.string()), pa.array(url, pa.string())], names=["tab_id", "at", "source", "url"])
+
+    for batch in batches:
+        rows = []
+        for i in range(batch.num_rows):
+            named_base, named = page_references(batch.column(2)[i].as_py() or "")
+            own = absolute(batch.column(1)[i].as_py())
+            other = behind(named_base, own)
+            base = own if other is None else other.partition("#")[0]
+            named = [(source, reference) for source, reference in named if not (source == "element" and reference.startswith("blob:"))]
+            rows += [(i, at, source, url) for at, (source, reference) in enumerate(named) if (url := behind(reference, base)) is not None]
+            if len(rows) >= _ROWS:
+                yield batch_of(batch.column(0), rows)
+                rows = []
+        if rows:
+            yield batch_of(batch.column(0), rows)
+
+
 def page_media(pages: DataFrame, entries: DataFrame | None = None, limit: int = 60, links: int = 20) -> DataFrame:
     """Media URLs of stored pages: what elements play, what was requested (`entries`: page_id, name), links and a player's meta tag.
 
@@ -119,19 +147,8 @@ def page_media(pages: DataFrame, entries: DataFrame | None = None, limit: int =
     source is no URL. Pages come one row each.
     """
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("source", pa.string()), ("reference", pa.string())]))
-        for batch in batches:
-            read = [page_references(html or "") for html in batch.column(2).to_pylist()]
-            found = [[{"source": s, "reference": r} for s, r in named if not (s == "element" and r.startswith("blob:"))] for _, named in read]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([b for b, _ in read], pa.string()), pa.array(found, kind)], names=["page_id", "url", "named_base", "named"])
-
     kind = pages.schema["page_id"].dataType.simpleString()
-    named = pages.select("page_id", "url", "html").mapInArrow(scan, f"page_id {kind}, url string, named_base string, named array<struct<source:string,reference:string>>")
-    based = named.withColumn("own", U.base(F.col("url"))).withColumn("other", U.resolve(F.col("named_base"), F.col("own")))
-    based = based.select("page_id", "named", F.coalesce(F.regexp_replace("other", "#.*", ""), F.col("own")).alias("base"))
-    each = based.select(F.col("page_id").alias("tab_id"), "base", F.posexplode("named").alias("at", "m"))
-    each = each.select("tab_id", "at", "m.source", U.resolve(F.col("m.reference"), F.col("base")).alias("url")).where("url is not null")
+    each = pages.select("page_id", "url", "html").mapInArrow(_page_urls, f"tab_id {kind}, at int, source string, url string")
     media = lambda u: F.regexp_replace(u, "[?#].*", "").rlike(K.MEDIA_PATH)
     each = each.where((F.col("source") != "link") | media(F.col("url")))
     by = Window.partitionBy("tab_id", "source").orderBy("at")
