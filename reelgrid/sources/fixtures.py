@@ -59,8 +59,8 @@ def playlists(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_returnflag", "l_linestatus", F.lag("l_returnflag").over(w).alias("flag0"), F.lag("l_linestatus").over(w).alias("status0"), F.row_number().over(w).alias("n"))
     key = F.when(F.col("l_returnflag").eqNullSafe(F.col("flag0")), None).when(F.col("l_returnflag") == "N", "#EXT-X-KEY:METHOD=NONE").otherwise(F.concat(F.lit('#EXT-X-KEY:METHOD=AES-128,URI="key,'), "l_returnflag", F.lit('.bin",IV=0x'), F.hex("l_suppkey")))
     gap = F.when((F.col("n") > 1) & (F.col("l_linestatus") != F.col("status0")), "#EXT-X-DISCONTINUITY")
-    lines = F.array_compact(F.array(key, gap, F.concat(F.lit("#EXTINF:"), F.col("l_quantity").cast("int"), F.lit(",part, "), "l_partkey"), F.concat(F.lit("#EXT-X-BYTERANGE:"), F.col("l_extendedprice").cast("bigint"), F.when(F.col("n") == 1, "@1000").otherwise("")), F.concat("l_partkey", F.lit(".ts"))))
-    body = rows.groupBy("l_orderkey").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("n", lines.alias("x")))), lambda s: s["x"])).alias("body"))
+    lines = F.concat_ws("\r\n", key, gap, F.concat(F.lit("#EXTINF:"), F.col("l_quantity").cast("int"), F.lit(",part, "), "l_partkey"), F.concat(F.lit("#EXT-X-BYTERANGE:"), F.col("l_extendedprice").cast("bigint"), F.when(F.col("n") == 1, "@1000").otherwise("")), F.concat("l_partkey", F.lit(".ts")))
+    body = rows.groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", lines.alias("x")))), lambda s: s["x"]).alias("body"))  # a segment's lines are one text
     head = F.array(F.lit("﻿#EXTM3U"), F.lit(""), F.lit("#EXT-X-TARGETDURATION:50"), F.lit("#EXT-X-MEDIA-SEQUENCE:100"))
     text = F.array_join(F.concat(head, "body", F.when(F.col("l_orderkey") % 4 != 0, F.array(F.lit("#EXT-X-ENDLIST"))).otherwise(F.array().cast("array<string>"))), "\r\n")
     return body.select(F.col("l_orderkey").alias("playlist_id"), F.concat(F.lit("https://Media.example.com/a/b/../o"), "l_orderkey", F.lit("/index.m3u8?x=1")).alias("base_url"), text.alias("text"))

@@ -10,6 +10,6 @@ def python_nodes(df):
     return sum(plan.count(name) for name in ("MapInArrow", "MapInPandas", "ArrowEvalPython", "BatchEvalPython"))
 
 
-@pytest.mark.parametrize("name", ["page_media"])
+@pytest.mark.parametrize("name", ["page_media", "hls_segments"])
 def test_workers(spark, sf, name):
     assert python_nodes(entry.queries()[name](spark, sf)) == 1
