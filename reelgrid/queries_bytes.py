@@ -89,7 +89,7 @@ def decrypted_segments(spark, sf_dir):
     lists = orders.select("playlist_id", F.concat("folder", F.lit("i.m3u8")).alias("base_url"), F.lit('#EXTM3U\n#EXT-X-MEDIA-SEQUENCE:7\n#EXT-X-KEY:METHOD=AES-128,URI="k"\ns.ts').alias("text"))
     bodies = orders.select(F.concat("folder", F.lit("s.ts")).alias("url"), F.expr(f"substring(aes_encrypt(encode(clear, 'UTF-8'), {secret}, 'CBC', 'PKCS', unhex(lpad('7', 32, '0'))), 17)").alias("body"))
     keys = orders.where("playlist_id % 4 <> 3").select(F.concat("folder", F.lit("k")).alias("url"), F.when(F.col("playlist_id") % 4 == 1, F.lit(b"short")).otherwise(F.expr(secret)).alias("key"))
-    found = hls.decrypted(hls.segments(hls.playlists(lists)), bodies, keys)
+    found = hls.decrypted(hls.read_segments(lists, "sequence", "url", "range_offset", "range_length", "key", "drm"), bodies, keys)
     return found.select("playlist_id", "error", F.sha2("data", 256).alias("digest"))
 
 
