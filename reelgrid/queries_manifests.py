@@ -92,11 +92,13 @@ def odd_manifests(spark, sf_dir):
     """Manifests that are broken or odd, one a part: the error, or the segments that come of them. None stops the job, none vanishes."""
     parsed = written(dash.manifests(X.odd_manifests(spark, sf_dir)), "manifests")
     plans = written(dash.plans(dash.representations(dash.periods(parsed))), "plans")
-    first = lambda rows: rows.groupBy("manifest_id").agg(F.count(F.lit(1)).alias("segments"), F.min_by("url", "index").alias("first_url"))
-    found = first(dash.template_segments(plans)).unionByName(first(dash.list_segments(plans)))
-    rows = parsed.select("manifest_id", F.col("error").alias("whole")).join(plans.select("manifest_id", "error", F.col("init.url").alias("init_url"), "open_ended"), "manifest_id", "left").join(found, "manifest_id", "left")
-    clear = F.col("whole").isNull() & F.col("error").isNull()
-    return rows.select("manifest_id", F.coalesce("whole", "error").alias("error"), F.coalesce("segments", F.lit(0)).alias("segments"), "first_url", F.when(clear, F.col("init_url")).alias("init_url"), F.coalesce("open_ended", F.lit(False)).alias("open_ended"))
+    # What is known of a manifest meets in one aggregate: nothing is joined, so nothing of the tables' size can be broadcast.
+    segments = [rows.select("manifest_id", F.col("index").cast("bigint").alias("index"), "url") for rows in (dash.template_segments(plans), dash.list_segments(plans))]
+    rows = parsed.select("manifest_id", F.col("error").alias("whole"))
+    for more in (plans.select("manifest_id", "error", F.col("init.url").alias("init_url"), "open_ended"), *segments):
+        rows = rows.unionByName(more, allowMissingColumns=True)
+    found = rows.groupBy("manifest_id").agg(F.coalesce(F.max("whole"), F.max("error")).alias("error"), F.count("index").alias("segments"), F.min_by("url", "index").alias("first_url"), F.max("init_url").alias("init_url"), F.coalesce(F.bool_or("open_ended"), F.lit(False)).alias("open_ended"))
+    return found.withColumn("init_url", F.when(F.col("error").isNull(), F.col("init_url")))
 
 
 @query("""WITH e AS (SELECT DISTINCT user_id AS tab_id FROM events), c AS (SELECT tab_id, k, row_number() OVER (PARTITION BY tab_id ORDER BY k DESC) AS n FROM e, (SELECT unnest(generate_series(1, 600)) AS k) WHERE k <= 400 + tab_id % 201)

@@ -23,7 +23,7 @@ def test_summaries(spark):
     assert (found := hls.encryption(hls.segments(parsed)).where("playlist_id = 8").first())["systems"] == ["FairPlay"] and not found["supported"]
 
 
-@pytest.mark.parametrize("name", ["decrypted_segments", "hls_summary"])
+@pytest.mark.parametrize("name", ["decrypted_segments", "hls_summary", "odd_manifests"])
 def test_no_broadcast(spark, sf, name):
     df = entry.queries()[name](spark, sf)
     assert df.count()
